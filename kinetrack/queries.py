@@ -1,10 +1,349 @@
-"""Registered queries of the trajectory operators and their DuckDB SQL."""
+"""Registered queries of the trajectory operators and the DuckDB SQL of their expected results.
+
+Every query works on whole tables. Floating-point results are rounded to 6 decimals, integers are long, on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures
+from .functions import scalar
+from .operators import agreement, association, episodes, features, kinematics, laws, order, report, serial, signal, states, summary
+from .oracles import STATE, compose, kinematics as kinematics_sql, ranks
+from .sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+METRICS = kinematics.METRICS
+K = list(kinematics.KEY)
+
+
+def plain(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded (without negative zero), integers as long."""
+    kinds = {"double": lambda c: F.round(c, digits) + F.lit(0.0), "float": lambda c: F.round(c.cast("double"), digits) + F.lit(0.0), "int": lambda c: c.cast("long"), "smallint": lambda c: c.cast("long"), "tinyint": lambda c: c.cast("long")}
+    return df.select(*[kinds.get(t, lambda c: c)(F.col(f"`{n}`")).alias(n) for n, t in df.dtypes])
+
+
+def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None, digits: int = 6):
+    """Register a query; ``sql`` selects from named blocks, and its doubles are rounded as the query's are."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: plain(f(spark, sf_dir), digits)
+        if sql:
+            ORACLES[name] = compose(sql if digits == 6 else sql.replace(", 6) + 0.0", f", {digits}) + 0.0"), extra)
+        return f
+
+    return add
+
+
+def r(*columns: str) -> str:
+    return ", ".join(f'round({c.rsplit(" AS ", 1)[0]}, 6) + 0.0 AS {c.rsplit(" AS ", 1)[-1]}' for c in columns)
+
+
+def L(*columns: str) -> str:  # noqa: N802
+    return ", ".join(f'CAST({c.rsplit(" AS ", 1)[0]} AS BIGINT) AS {c.rsplit(" AS ", 1)[-1]}' for c in columns)
+
+
+Q = [f'"{m}"' for m in METRICS]
+tracks, clinical, pred = fixtures.tracks, fixtures.clinical, fixtures.pred_tracks
+
+
+def kept(s: SparkSession, d: str) -> DataFrame:
+    return kinematics.judged_tracks(tracks(s, d)).filter("reason is null")
+
+
+def frame_states(s: SparkSession, d: str, window: int = 25) -> DataFrame:
+    return states.frame_states(tracks(s, d), window)
+
+
+def eps9(s: SparkSession, d: str) -> DataFrame:
+    return episodes.episodes(frame_states(s, d, 9))
+
+
+def resid(s: SparkSession, d: str) -> DataFrame:
+    return serial.residuals(eps9(s, d))
+
+
+def summaries(s: SparkSession, d: str) -> DataFrame:
+    return summary.video_summary(tracks(s, d), fixtures.detections(s, d))
+
+
+# ---- kinematics
+query("W09_track_metrics", f"SELECT {', '.join(K)}, {L('n_frames')}, duration_s, {r(*Q)} FROM metrics")(lambda s, d: kinematics.track_metrics(tracks(s, d)))
+query("W10_extra_metrics", f"SELECT {', '.join(K)}, {r('round_even(tac, 4) AS \"TAC\"', 'round_even(var_v, 4) AS \"VAR_V\"')} FROM turns")(lambda s, d: kinematics.extra_metrics(tracks(s, d)))
+query("P06_filter_reasons", "SELECT reason, count(*) AS n FROM judged GROUP BY reason")(lambda s, d: kinematics.judged_tracks(tracks(s, d)).groupBy("reason").agg(F.count("*").alias("n")))
+query("P05_motility_class", f"SELECT {', '.join(K)}, motility FROM judged")(lambda s, d: kinematics.judged_tracks(tracks(s, d)).select(*K, "motility"))
+query("P01_units", f"SELECT {', '.join(K)}, {L('frame')}, {r('cx / 1.422 AS x_um', 'cy / 1.422 AS y_um', 'frame * 0.02 AS t_s')} FROM tracks")(
+    lambda s, d: tracks(s, d).select(*K, "frame", scalar.px_to_um(F.col("cx")).alias("x_um"), scalar.px_to_um(F.col("cy")).alias("y_um"), (F.col("frame") * scalar.frame_interval()).alias("t_s"))
+)
+query("P02_box_centroids", f"SELECT video, {L('frame', 'cls')}, {r('(x1 + x2) / 2 AS cx', '(y1 + y2) / 2 AS cy', 'x2 - x1 AS w', 'y2 - y1 AS h')} FROM detections")(
+    lambda s, d: fixtures.detections(s, d).select("video", "frame", "cls", *[c.alias(n) for c, n in zip(scalar.centroid(*[F.col(x) for x in ("x1", "y1", "x2", "y2")]), ("cx", "cy", "w", "h"), strict=True)])
+)
+query("P03_normalised_boxes", f"SELECT video, {L('frame')}, {r('greatest(0, least(1, (x1 + x2) / 2 / 640)) AS nx', 'greatest(0, least(1, (y1 + y2) / 2 / 480)) AS ny', 'greatest(0, least(1, (x2 - x1) / 640)) AS w', 'greatest(0, least(1, (y2 - y1) / 480)) AS h')} FROM detections", digits=12)(
+    lambda s, d: fixtures.detections(s, d).select("video", "frame", *[c.alias(n) for c, n in zip(scalar.normalise(*[F.col(x) for x in ("x1", "y1", "x2", "y2")], 640, 480), ("nx", "ny", "w", "h"), strict=True)])
+)
+query("P04_long_tracks", "SELECT video, count(*) AS n_points FROM (SELECT video, count(*) OVER (PARTITION BY video, track_id) AS n FROM tracks) WHERE n >= 50 GROUP BY video")(lambda s, d: kinematics.long_enough(tracks(s, d), 50).groupBy("video").agg(F.count("*").alias("n_points")))
+query("P07_video_set", "SELECT video, count(DISTINCT track_id) AS n FROM tracks WHERE video IN ('1', '4', '7', '11') GROUP BY video")(lambda s, d: tracks(s, d).filter(F.col("video").isin("1", "4", "7", "11")).groupBy("video").agg(F.count_distinct("track_id").alias("n")))
+query("P08_compliance", "SELECT video, progressive_pct + non_progressive_pct >= 42 AS meets_total, progressive_pct >= 30 AS meets_progressive FROM summary")(lambda s, d: summary.compliance(summaries(s, d)))
+query("P09_standard_labels", "SELECT CASE motility WHEN 'progressive' THEN 'Progressive' WHEN 'non_progressive' THEN 'Non-progressive' ELSE 'Immotile' END AS label, count(*) AS n FROM kept GROUP BY 1")(lambda s, d: kept(s, d).groupBy(scalar.standard_label(F.col("motility")).alias("label")).agg(F.count("*").alias("n")))
+query("P10_trails", f"SELECT * FROM (SELECT video, track_id, {L('frame')}, count(*) OVER (PARTITION BY video, track_id) AS k FROM tracks WHERE frame BETWEEN 20 AND 40) WHERE k >= 2")(lambda s, d: report.trails(tracks(s, d), 40, 20).select(*K, "frame", F.count("*").over(report.Window.partitionBy(*K)).alias("k")))
+query("P11_band_fractions", f"SELECT video, {r('avg(CASE WHEN \"VCL\" > 50 THEN 1.0 ELSE 0 END) AS vigorous', 'avg(CASE WHEN \"VCL\" BETWEEN 5 AND 25 THEN 1.0 ELSE 0 END) AS intermediate')} FROM kept GROUP BY video")(
+    lambda s, d: kept(s, d).groupBy("video").agg(F.avg((F.col("VCL") > 50).cast("double")).alias("vigorous"), F.avg(F.col("VCL").between(5, 25).cast("double")).alias("intermediate"))
+)
+CONFIGS = [("base", 5.0, 25.0, 0.5), ("v_imm_low", 4.0, 25.0, 0.5), ("v_imm_high", 6.0, 25.0, 0.5), ("v_prog_low", 5.0, 20.0, 0.5), ("v_prog_high", 5.0, 30.0, 0.5), ("s_low", 5.0, 25.0, 0.4), ("s_high", 5.0, 25.0, 0.6)]
+query("P12_threshold_configs", f"SELECT config, CASE WHEN \"VCL\" <= v_imm THEN 'immotile' WHEN \"VCL\" >= v_prog AND \"STR\" >= s_prog THEN 'progressive' ELSE 'non_progressive' END AS motility, count(*) AS n FROM metrics, (VALUES {', '.join(map(str, CONFIGS))}) c(config, v_imm, v_prog, s_prog) GROUP BY 1, 2")(
+    lambda s, d: agreement.class_sweep(kinematics.track_metrics(tracks(s, d)), s.createDataFrame(CONFIGS, "config string, v_imm double, v_prog double, s_prog double"))
+)
+query("P13_short_dwells", f"SELECT state, {r(*[f'avg(CASE WHEN run < {9 * k} THEN 1.0 ELSE 0 END) AS below_{k}w' for k in (1, 2, 3)])} FROM eps9 GROUP BY state".replace("SELECT state", "SELECT CAST(state AS BIGINT) AS state"))(lambda s, d: episodes.restricted_fractions(eps9(s, d), 9))
+
+# ---- summaries and agreement
+query("A01_mean_confidence", f"SELECT video, track_id, {r('avg(conf) AS mean_conf')} FROM tracks GROUP BY ALL")(lambda s, d: kinematics.mean_confidence(tracks(s, d)))
+query("A02_active_tracks", f"SELECT video, {r('avg_active')} FROM active")(lambda s, d: summary.active_tracks(tracks(s, d)))
+query("A03_detection_stats", f"SELECT video, total_detections, {r('avg_detections')}, frames_with_boxes FROM detected")(lambda s, d: summary.detection_stats(fixtures.detections(s, d)))
+query("A04_class_counts", f"SELECT video, count(*) AS total_tracks, {', '.join(f'count(*) FILTER (motility = \'{c}\') AS {c}' for c in scalar.CLASSES)}, {r(*[f'round_even(100 * count(*) FILTER (motility = \'{c}\') / count(*), 1) AS {c}_pct' for c in scalar.CLASSES])} FROM kept GROUP BY video")(lambda s, d: summary.class_counts(kept(s, d)))
+SUMMARY = ["tracks_before_filter", "filtered_low_conf", "filtered_high_vcl", "filtered_jitter", "filtered_short_duration", "total_tracks", *scalar.CLASSES, "estimated_untracked", "adjusted_total", "adjusted_immotile"]
+SUMMARY_R = [*[f'"mean_{m}"' for m in METRICS], *[f"{c}_pct" for c in scalar.CLASSES], *[f"adjusted_{c}_pct" for c in scalar.CLASSES], "untracked_fraction", "round_even(avg_active, 2) AS avg_active", "round_even(avg_detections, 2) AS avg_detections"]
+query("A06_video_summary", f"SELECT video, {L(*SUMMARY)}, {r(*SUMMARY_R)} FROM summary")(summaries)
+query("A05_adjusted_mix", f"SELECT video, {L('estimated_untracked', 'adjusted_total')}, {r(*[f'adjusted_{c}_pct' for c in scalar.CLASSES])} FROM summary")(lambda s, d: summaries(s, d).select("video", "estimated_untracked", "adjusted_total", *[f"adjusted_{c}_pct" for c in scalar.CLASSES]))
+query("A07_cohort_means", f"SELECT count(*) AS n_videos, {r('avg(\"mean_VCL\") AS \"mean_VCL\"', 'avg(progressive_pct) AS progressive_pct', 'avg(total_tracks) AS total_tracks')} FROM summary")(lambda s, d: summary.cohort_means(summaries(s, d), ["mean_VCL", "progressive_pct", "total_tracks"]))
+query("A08_weighted_mix", f"SELECT {r(*[f'sum(total_tracks * {c}_pct) / sum(total_tracks) AS {c}_pct' for c in scalar.CLASSES])} FROM summary")(lambda s, d: summary.weighted_mix(summaries(s, d)))
+LONG = {"long": "SELECT c.video, category, truth, predicted FROM clinical c JOIN summary s USING (video), LATERAL (VALUES ('progressive', gt_progressive, progressive_pct), ('non_progressive', gt_non_progressive, non_progressive_pct), ('immotile', gt_immotile, immotile_pct)) v(category, truth, predicted)"}
+
+
+def compared(s: SparkSession, d: str) -> DataFrame:
+    return agreement.compared(clinical(s, d), summaries(s, d).select("video", *[f"{c}_pct" for c in scalar.CLASSES]))
+
+
+AGREE = r("avg(abs(predicted - truth)) AS mae", "sqrt(avg(power(predicted - truth, 2))) AS rmse", "avg(predicted - truth) AS bias", "CASE WHEN count(*) < 3 THEN 0 ELSE corr(truth, predicted) END AS r")
+query("A09_agreement", f"SELECT category, {AGREE}, count(*) AS n FROM long GROUP BY category", LONG)(lambda s, d: agreement.agreement(compared(s, d)))
+RUNS = LONG | {"runs": "SELECT *, 'all' AS experiment FROM long UNION ALL SELECT *, 'even' FROM long WHERE CAST(video AS INT) % 2 = 0"}
+query("A10_experiments", f"SELECT experiment, category, {AGREE}, count(*) AS n FROM runs GROUP BY ALL", RUNS)(
+    lambda s, d: agreement.agreement(compared(s, d).withColumn("experiment", F.explode(F.when(F.col("video").cast("int") % 2 == 0, F.array(F.lit("all"), F.lit("even"))).otherwise(F.array(F.lit("all"))))), ["experiment", "category"])
+)
+BA = [f"avg(predicted - truth) {x} AS {n}" for x, n in (("", "bias"), ("- 1.96 * stddev_pop(predicted - truth)", "low"), ("+ 1.96 * stddev_pop(predicted - truth)", "high"))]
+query("A11_bland_altman", f"SELECT category, {r(*BA, 'stddev_pop(predicted - truth) AS sd')} FROM long GROUP BY category", LONG)(lambda s, d: agreement.bland_altman(compared(s, d)))
+VCLS, STRS, IMMS = list(range(15, 36, 2))[:10], [k / 100 for k in range(40, 95, 5)], list(range(3, 16))
+GRID = {
+    "grid": f"SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS BIGINT) AS combo, CAST(a AS DOUBLE) AS vcl_prog, CAST(b AS DOUBLE) AS str_prog, CAST(c AS DOUBLE) AS vcl_imm FROM (SELECT unnest({VCLS}) AS a), (SELECT unnest({STRS}) AS b), (SELECT unnest({IMMS}) AS c)",
+    "mix": 'SELECT combo, vcl_prog, str_prog, vcl_imm, video, count(*) AS n, count(*) FILTER ("VCL" > vcl_imm AND "VCL" >= vcl_prog AND "STR" >= str_prog) AS p, count(*) FILTER ("VCL" <= vcl_imm) AS i FROM kept, grid GROUP BY ALL',
+    "sweep": "SELECT combo, vcl_prog, str_prog, vcl_imm, avg(abs(100 * p / n - gt_progressive) + abs(100 * i / n - gt_immotile) + abs(100 * (n - p - i) / n - gt_non_progressive)) AS total_mae, count(*) AS n_videos FROM mix JOIN clinical USING (video) GROUP BY ALL",
+}
+
+
+def sweep(s: SparkSession, d: str) -> DataFrame:
+    return agreement.threshold_sweep(kept(s, d), clinical(s, d), agreement.threshold_grid(s, VCLS, STRS, IMMS))
+
+
+query("A12_threshold_sweep", f"SELECT combo, {r('vcl_prog', 'str_prog', 'vcl_imm', 'total_mae')}, n_videos FROM sweep", GRID)(sweep)
+query("T02_best_thresholds", f"SELECT combo, {r('vcl_prog', 'str_prog', 'vcl_imm', 'total_mae')}, n_videos FROM sweep ORDER BY round(sweep.total_mae, 9), combo LIMIT 10", GRID)(lambda s, d: agreement.best_rows(sweep(s, d)))
+query("T01_fastest", f"SELECT video, track_id, {r('\"VCL\"')}, rank FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY \"VCL\" DESC, track_id) AS rank FROM kept WHERE motility = 'progressive') WHERE rank <= 5")(lambda s, d: summary.fastest(kept(s, d)).select(*K, "VCL", "rank"))
+query("T03_numeric_order", "SELECT video, row_number() OVER (ORDER BY CAST(video AS INT)) AS place FROM (SELECT DISTINCT video FROM tracks)")(lambda s, d: tracks(s, d).select("video").distinct().withColumn("place", F.row_number().over(report.Window.orderBy(F.expr("try_cast(video as int)"), "video"))))
+query("T04_seeded_cap", "SELECT video, track_id FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY md5(video || '|' || track_id || '|0'), track_id) AS k FROM (SELECT DISTINCT video, track_id FROM tracks)) WHERE k <= 3")(lambda s, d: summary.seeded_cap(tracks(s, d), 3).select(*K).distinct())
+query("U01_union", "SELECT video, count(*) AS n, count(tracker) AS tagged FROM (SELECT video, NULL AS tracker FROM tracks UNION ALL SELECT video, 'auto' FROM pred_tracks) GROUP BY video")(lambda s, d: summary.union_all([tracks(s, d), pred(s, d).withColumn("tracker", F.lit("auto"))]).groupBy("video").agg(F.count("*").alias("n"), F.count("tracker").alias("tagged")))
+query("U02_shared_frames", f"SELECT DISTINCT video, {L('frame')} FROM (SELECT video, frame FROM tracks INTERSECT SELECT video, frame FROM pred_tracks)")(lambda s, d: summary.shared_keys(tracks(s, d), pred(s, d), ["video", "frame"]))
+query("U03_unmatched_tracks", "SELECT DISTINCT video, track_id FROM pred_tracks WHERE (video, track_id) NOT IN (SELECT video, track_id FROM tracks)")(lambda s, d: summary.unknown_keys(pred(s, d), tracks(s, d).select(*K).distinct(), K))
+query("U04_video_list", "SELECT video FROM tracks UNION SELECT video FROM pred_tracks UNION SELECT video FROM clinical")(lambda s, d: tracks(s, d).select("video").union(pred(s, d).select("video")).union(clinical(s, d).select("video")).distinct())
+
+# ---- joins
+query("J01_class_on_points", "SELECT t.video, coalesce(motility, 'unknown') AS motility, count(*) AS n FROM tracks t LEFT JOIN kept k USING (video, track_id) GROUP BY ALL")(lambda s, d: tracks(s, d).join(kept(s, d).select(*K, "motility"), K, "left").groupBy("video", F.coalesce("motility", F.lit("unknown")).alias("motility")).agg(F.count("*").alias("n")))
+query("J02_speed_on_points", f"SELECT t.video, count(*) AS n, {r('avg(\"VCL\") AS vcl')} FROM tracks t JOIN kept k USING (video, track_id) GROUP BY t.video")(lambda s, d: tracks(s, d).join(kept(s, d).select(*K, "VCL"), K).groupBy("video").agg(F.count("*").alias("n"), F.avg("VCL").alias("vcl")))
+query("J03_clinical_join", f"SELECT video, category, {r('truth', 'predicted')} FROM long", LONG)(compared)
+query("J04_features_with_targets", f"SELECT v.video, {r('VCL AS vcl', 'dfi')} FROM (SELECT video, avg(\"VCL\") AS VCL FROM kept GROUP BY video) v LEFT JOIN clinical USING (video)")(lambda s, d: kept(s, d).groupBy("video").agg(F.avg("VCL").alias("vcl")).join(clinical(s, d).select("video", "dfi"), "video", "left"))
+query("J10_grid_class_mix", "SELECT combo, sum(n)::BIGINT AS n, sum(p)::BIGINT AS p, sum(i)::BIGINT AS i FROM mix GROUP BY combo", GRID)(
+    lambda s, d: kept(s, d).groupBy("VCL", "STR").agg(F.count("*").alias("n")).crossJoin(F.broadcast(agreement.threshold_grid(s, VCLS, STRS, IMMS))).groupBy("combo").agg(F.sum("n").alias("n"), F.sum(F.when((F.col("VCL") > F.col("vcl_imm")) & (F.col("VCL") >= F.col("vcl_prog")) & (F.col("STR") >= F.col("str_prog")), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("VCL") <= F.col("vcl_imm"), F.col("n")).otherwise(0)).alias("i"))
+)
+IOU = "greatest(0, least(a.cx, b.cx) + 8 - (greatest(a.cx, b.cx) - 8)) * greatest(0, least(a.cy, b.cy) + 8 - (greatest(a.cy, b.cy) - 8))"
+query("J07_iou_candidates", f"SELECT a.video, CAST(a.frame AS BIGINT) AS frame, a.track_id AS gt, b.track_id AS pred, {r(f'{IOU} / (512 - {IOU}) AS iou')} FROM tracks a JOIN pred_tracks b ON a.video = b.video AND a.frame = b.frame WHERE round({IOU} / (512 - {IOU}), 9) >= 0.5", digits=9)(lambda s, d: association.candidates(tracks(s, d), pred(s, d)))
+query("J07_greedy_matches")(lambda s, d: association.greedy_matches(association.candidates(tracks(s, d), pred(s, d))))
+query("A41_tracking_quality")(lambda s, d: association.tracking_quality(tracks(s, d), pred(s, d)))
+
+# ---- states
+query("W12_frame_states", f"SELECT {', '.join(K)}, {L('frame', 'idx', 'state')} FROM states")(frame_states)
+query("W12_frame_states_9", f"SELECT {', '.join(K)}, {L('frame', 'idx', 'state')} FROM states9")(lambda s, d: frame_states(s, d, 9))
+query("W11_windowed_kinematics", f"SELECT {', '.join(K)}, {L('frame', 'idx', 'n_track')}, {r('vcl', 'straightness')} FROM kin")(lambda s, d: states.frame_kinematics(tracks(s, d)))
+BLOCKS = {
+    "blocked": "SELECT * FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY video, track_id ORDER BY frame) - 1) / 9) AS BIGINT) AS block, floor(count(*) OVER (PARTITION BY video, track_id) / 9) AS blocks FROM tracks) WHERE blocks >= 3 AND block < blocks",
+    "bsteps": "SELECT *, sqrt(power(cx - lag(cx) OVER t, 2) + power(cy - lag(cy) OVER t, 2)) AS step, sqrt(power(lead(cx, 3) OVER t - lag(cx, 2) OVER t, 2) + power(lead(cy, 3) OVER t - lag(cy, 2) OVER t, 2)) AS g, row_number() OVER t AS k, lead(cx) OVER t AS x1, lead(cy) OVER t AS y1, lead(cx, 2) OVER t AS x2, lead(cy, 2) OVER t AS y2, lead(cx, 3) OVER t AS x3, lead(cy, 3) OVER t AS y3, lead(cx, 4) OVER t AS x4, lead(cy, 4) OVER t AS y4 FROM blocked WINDOW t AS (PARTITION BY video, track_id, block ORDER BY frame)",
+    "bsums": "SELECT video, track_id, block, sum(step) / 8 / 1.422 * 50 AS vcl, sqrt(power(max(cx) FILTER (k = 9) - max(cx) FILTER (k = 1), 2) + power(max(cy) FILTER (k = 9) - max(cy) FILTER (k = 1), 2)) AS net, (sum(g) + sum(sqrt(power(x3 - x1, 2) + power(y3 - y1, 2)) + sqrt(power(x4 - cx, 2) + power(y4 - cy, 2))) FILTER (k = 1) + sum(sqrt(power(x4 - cx, 2) + power(y4 - cy, 2))) FILTER (k = 5) + sum(sqrt(power(x2 - cx, 2) + power(y2 - cy, 2))) FILTER (k = 6)) / 5 AS smooth FROM bsteps GROUP BY ALL",
+    "bstates": f"SELECT video, track_id, block, {STATE} AS state FROM (SELECT *, CASE WHEN smooth > 0 THEN net / smooth ELSE 0 END AS straightness FROM bsums)",
+}
+query("W13_block_states", f"SELECT video, track_id, block, {L('state')} FROM bstates", BLOCKS)(lambda s, d: states.block_states(tracks(s, d), 9))
+query("W14_modal_blocks", f"SELECT video, track_id, block, {L('state')} FROM (SELECT *, row_number() OVER (PARTITION BY video, track_id, block ORDER BY n DESC, state) AS k FROM (SELECT video, track_id, block, state, count(*) AS n FROM (SELECT *, CAST(floor(idx / 25) AS BIGINT) AS block, floor(count(*) OVER (PARTITION BY video, track_id) / 25) AS blocks FROM states) WHERE blocks >= 2 AND block < blocks GROUP BY ALL)) WHERE k = 1")(lambda s, d: states.modal_blocks(frame_states(s, d)))
+WINDOWS = {
+    "wn": "SELECT video, greatest(1, CAST(floor(max(frame) / 20) AS BIGINT)) AS n_windows FROM tracks GROUP BY video",
+    "span": "SELECT video, track_id, min(frame) AS a, max(frame) AS b FROM states GROUP BY ALL",
+    "w": "SELECT video, track_id, window_id FROM span JOIN wn USING (video), LATERAL (SELECT unnest(range(n_windows)) AS window_id) WHERE a < (window_id + 1) * 20 AND b >= window_id * 20",
+    "at_mid": "SELECT w.video, w.track_id, w.window_id, coalesce(arg_min(s.state, s.frame) FILTER (s.frame >= w.window_id * 20 + 10), arg_max(s.state, s.frame)) AS state FROM w JOIN states s ON w.video = s.video AND w.track_id = s.track_id GROUP BY ALL",
+    "twin": "SELECT video, window_id + 1 AS \"window\", window_id * 20 / 50 AS t_start_s, (window_id + 0.5) * 20 / 50 AS t_mid_s, (window_id + 1) * 20 / 50 AS t_end_s, count(*) AS n_active, count(*) FILTER (state = 0) AS n_progressive, count(*) FILTER (state = 1) AS n_non_progressive, count(*) FILTER (state = 2) AS n_immotile, 100 * count(*) FILTER (state = 0) / count(*) AS pct_progressive, 100 * count(*) FILTER (state = 1) / count(*) AS pct_non_progressive, 100 * count(*) FILTER (state = 2) / count(*) AS pct_immotile FROM at_mid GROUP BY video, window_id",
+}
+
+
+def windows(s: SparkSession, d: str) -> DataFrame:
+    return states.temporal_windows(tracks(s, d), 20)
+
+
+PCT = ["pct_progressive", "pct_non_progressive", "pct_immotile"]
+query("W15_temporal_windows", f"SELECT video, {L('\"window\"', 'n_active', 'n_progressive', 'n_non_progressive', 'n_immotile')}, {r('t_start_s', 't_mid_s', 't_end_s', *PCT)} FROM twin", WINDOWS)(windows)
+query("A13_temporal_aggregate", f"SELECT {L('\"window\"')}, {r('any_value(t_mid_s) AS t_mid_s', 'avg(n_active) AS n_active_mean', *[f'{f}({c}) AS {c}_{n}' for c in PCT for f, n in (('avg', 'mean'), ('stddev_samp', 'std'))])}, count(DISTINCT video) AS n_videos FROM twin GROUP BY \"window\"", WINDOWS)(lambda s, d: states.temporal_aggregate(windows(s, d)))
+TREND = " UNION ALL ".join(f"SELECT '{c}' AS series, {r(f'regr_slope({c}, t_mid_s) AS slope', f'regr_intercept({c}, t_mid_s) AS intercept', f'regr_r2({c}, t_mid_s) AS r2')} FROM twin" for c in PCT)
+query("A14_trends", TREND, WINDOWS)(lambda s, d: states.linear_trends(windows(s, d)))
+query("A37_video_by_window", f"SELECT video, {r('max(pct_progressive) FILTER (\"window\" = 1) AS \"1\"', 'max(pct_progressive) FILTER (\"window\" = 2) AS \"2\"', 'max(pct_progressive) FILTER (\"window\" = 3) AS \"3\"')} FROM twin GROUP BY video", WINDOWS)(lambda s, d: states.wide_heatmap(windows(s, d), [1, 2, 3]))
+
+# ---- transitions and episodes
+query("A15_transition_counts", f"SELECT {L('f AS \"from\"', 't AS \"to\"', 'n')} FROM counts")(lambda s, d: episodes.transition_counts(frame_states(s, d)))
+query("A15_transition_counts_by_video", f"SELECT v.video, {L('a.f AS \"from\"', 'b.t AS \"to\"', 'count(m.f) AS n')} FROM (SELECT DISTINCT video FROM states) v, (VALUES (0), (1), (2)) a(f), (VALUES (0), (1), (2)) b(t) LEFT JOIN moves m ON m.video = v.video AND m.f = a.f AND m.t = b.t GROUP BY v.video, a.f, b.t")(lambda s, d: episodes.transition_counts(frame_states(s, d), ["video"]))
+query("A16_transition_probabilities", f"SELECT {L('f AS \"from\"', 't AS \"to\"', 'n')}, {r('p')} FROM probs")(lambda s, d: episodes.transition_probabilities(episodes.transition_counts(frame_states(s, d))))
+query("A17_persistence", f"SELECT {L('f AS state')}, {r('max(p) FILTER (f = t) AS p_stay', 'CASE WHEN max(p) FILTER (f = t) < 1 THEN 1 / (1 - max(p) FILTER (f = t)) END AS sojourn_frames', 'CASE WHEN max(p) FILTER (f = t) < 1 THEN 1 / (1 - max(p) FILTER (f = t)) END / 50 AS sojourn_s')}, {L('CASE WHEN max(p) FILTER (f <> t) > 0 THEN arg_max(t, p) FILTER (f <> t) END AS next_state')} FROM probs GROUP BY f")(lambda s, d: episodes.persistence(episodes.transition_probabilities(episodes.transition_counts(frame_states(s, d)))))
+query("A18_stationary")(lambda s, d: episodes.stationary(episodes.transition_probabilities(episodes.transition_counts(frame_states(s, d)))))
+
+
+def two_cohorts(s: SparkSession, d: str) -> DataFrame:
+    return summary.union_all([states.frame_states(t(s, d).withColumn("cohort", F.lit(n)), key=("cohort", *K)) for n, t in (("gt", tracks), ("auto", pred))])
+
+
+query("A19_cohort_matrices")(lambda s, d: episodes.transition_probabilities(episodes.transition_counts(two_cohorts(s, d), ["cohort"], ("cohort", *K)), ["cohort"]))
+query("A44_switch_rate", f"SELECT video, {r('sum(switches) / (sum(n) / 50) AS switch_rate')}, {L('sum(switches) AS switches')} FROM rates GROUP BY video")(lambda s, d: episodes.switch_rate(frame_states(s, d, 9), ["video"]))
+query("W16_episodes", f"SELECT {', '.join(K)}, {L('ep_idx', 'state', 'run', 'n_eps')}, is_first, is_last, censored FROM eps9")(eps9)
+query("W17_censored_runs", f"SELECT {L('state')}, censored, count(*) AS n, {L('sum(run) AS frames')} FROM eps9 GROUP BY state, censored")(lambda s, d: eps9(s, d).groupBy("state", "censored").agg(F.count("*").alias("n"), F.sum("run").alias("frames")))
+query("W18_dwell_seconds", f"SELECT {L('state')}, {r('run / 50 AS seconds')}, n FROM hist")(lambda s, d: episodes.dwell_histogram(eps9(s, d)).select("state", (F.col("run") / 50).alias("seconds"), "n"))
+query("W25_interior_runs", f"SELECT {L('state', 'run')}, count(*) AS n FROM eps9 WHERE NOT censored GROUP BY state, run")(lambda s, d: episodes.dwell_histogram(eps9(s, d).filter("not censored")))
+query("W19_flicker_merge")(lambda s, d: episodes.merge_flickers(eps9(s, d), 3))
+query("W20_hysteresis_states")(lambda s, d: episodes.hysteresis_states(states.frame_kinematics(tracks(s, d)), 0.1))
+GEO = {
+    "mom": "SELECT state, sum(n) AS n, sum(n * run) / sum(n) AS mean, sum(n * run * run) / sum(n) AS sq, max(run) AS top FROM hist GROUP BY state",
+    "ks": "SELECT m.state, max(abs((SELECT sum(n) FROM hist h WHERE h.state = m.state AND h.run <= k) / m.n - (1 - power(greatest(1e-6, 1 - 1 / mean), k)))) AS ks FROM (SELECT *, unnest(range((SELECT min(run) FROM hist), top + 1)) AS k FROM mom) m GROUP BY m.state",
+    "ks0": "SELECT state, max(abs(coalesce((SELECT sum(n) FROM hist h WHERE h.state = m.state AND h.run <= k), 0) / m.n - (1 - power(greatest(1e-6, 1 - 1 / mean), k)))) AS ks FROM (SELECT *, unnest(range(1, top + 1)) AS k FROM mom) m GROUP BY state",
+}
+query("A20_geometric_test", f"SELECT {L('m.state AS state', 'n AS n_episodes')}, {r('mean', 'mean / 50 AS mean_s', 'sqrt(greatest(0, sq - mean * mean)) / mean AS cv', '(SELECT coalesce(sum(h.n), 0) FROM hist h WHERE h.state = m.state AND h.run > 3 * mean) / n AS emp_tail', 'power(greatest(1e-6, 1 - 1 / mean), floor(3 * mean)) AS geo_tail', '(SELECT coalesce(sum(h.n), 0) FROM hist h WHERE h.state = m.state AND h.run > 3 * mean) / n / power(greatest(1e-6, 1 - 1 / mean), floor(3 * mean)) AS tail_excess', 'ks')} FROM mom m JOIN ks0 ON m.state = ks0.state", GEO)(lambda s, d: episodes.geometric_test(episodes.dwell_histogram(eps9(s, d))))
+query("A21_pooled_cv", f"SELECT {L('state')}, {r('stddev_pop(run) / avg(run) AS pooled_cv')}, count(*) AS n FROM eps9 GROUP BY state")(lambda s, d: episodes.pooled_cv(eps9(s, d)))
+query("A21_within_cv", f"SELECT {L('state')}, count(*) AS n_tracks, {r('quantile_cont(cv, 0.5) AS median_cv', 'quantile_cont(cv, 0.25) AS q25', 'quantile_cont(cv, 0.75) AS q75')} FROM (SELECT state, stddev_pop(run) / avg(run) AS cv FROM eps9 GROUP BY video, track_id, state HAVING count(*) >= 3) GROUP BY state")(lambda s, d: episodes.within_cv(eps9(s, d), 3))
+ICC = {"per": "SELECT video, track_id, count(*) AS n, avg(resid) AS m, var_pop(resid) AS v FROM resid GROUP BY ALL HAVING count(*) >= 3", "tot": "SELECT count(*) AS k, sum(n) AS nn, sum(n * n) AS n2, sum(n * m * m) - sum(n) * power(sum(n * m) / sum(n), 2) AS ssb, sum(n * v) AS ssw FROM per"}
+query("A22_icc", f"SELECT {r('(ssb / (k - 1) - ssw / (nn - k)) / (ssb / (k - 1) + ((nn - n2 / nn) / (k - 1) - 1) * ssw / (nn - k)) AS icc', 'ssb / (ssb + ssw) AS eta2')}, {L('k AS n_groups', 'nn AS n')} FROM tot", ICC)(lambda s, d: episodes.anova_icc(resid(s, d), "resid", K))
+query("A23_eta_squared", f"SELECT {r('sum(n * power(m - g, 2)) / sum(n * power(m - g, 2) + n * v) AS eta2')} FROM (SELECT count(*) AS n, avg(vcl) AS m, var_pop(vcl) AS v FROM kin GROUP BY video, track_id), (SELECT avg(vcl) AS g FROM kin)")(lambda s, d: episodes.anova_icc(states.frame_kinematics(tracks(s, d)), "vcl", K, min_n=1).select("eta2"))
+query("A30_occupancy", f"SELECT {L('state')}, {r('count(*) / sum(count(*)) OVER () AS share')} FROM states GROUP BY state")(lambda s, d: frame_states(s, d).groupBy("state").agg(F.count("*").alias("n")).select("state", agreement.share(F.col("n")).alias("share")))
+query("A31_quantiles", f"SELECT {r(*[f'quantile_cont(vcl, {p}) AS q{int(p * 100)}' for p in (0.05, 0.25, 0.5, 0.75, 0.95)])} FROM kin")(lambda s, d: states.frame_kinematics(tracks(s, d)).agg(*[F.percentile("vcl", p).alias(f"q{int(p * 100)}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
+query("A38_survival", f"SELECT {L('state', 'run')}, {r('1 - sum(n) OVER (PARTITION BY state ORDER BY run) / sum(n) OVER (PARTITION BY state) AS survival')} FROM hist")(lambda s, d: episodes.survival(eps9(s, d)))
+query("A39_track_lengths", f"SELECT {r(*[f'quantile_cont(n, {p}) AS q{int(p * 100)}' for p in (0.05, 0.5, 0.95)], 'avg(n) AS mean')}, count(*) AS n_tracks FROM (SELECT count(*) AS n FROM tracks GROUP BY video, track_id)")(lambda s, d: tracks(s, d).groupBy(*K).agg(F.count("*").alias("n")).agg(*[F.percentile("n", p).alias(f"q{int(p * 100)}") for p in (0.05, 0.5, 0.95)], F.avg("n").alias("mean"), F.count("*").alias("n_tracks")))
+query("A39_ks_dwell_length", f"SELECT {r('max(abs(a - b)) AS ks')} FROM (SELECT sum(na) OVER (ORDER BY x) / sum(na) OVER () AS a, sum(nb) OVER (ORDER BY x) / sum(nb) OVER () AS b FROM (SELECT x, sum(na) AS na, sum(nb) AS nb FROM (SELECT run AS x, 1 AS na, 0 AS nb FROM eps9 UNION ALL SELECT count(*), 0, 1 FROM tracks GROUP BY video, track_id) GROUP BY x))")(lambda s, d: episodes.two_sample_ks(eps9(s, d).select("run"), tracks(s, d).groupBy(*K).agg(F.count("*").alias("run")), "run"))
+query("A40_boundary_fractions", f"SELECT count(*) AS n, {r('avg(CASE WHEN censored AND NOT (is_first AND is_last) THEN 1.0 ELSE 0 END) AS one_boundary', 'avg(CASE WHEN is_first AND is_last THEN 1.0 ELSE 0 END) AS whole_track', 'avg(CASE WHEN censored THEN 0 ELSE 1.0 END) AS interior')} FROM eps9")(lambda s, d: episodes.boundary_fractions(eps9(s, d)))
+FANO = {
+    "ends": "SELECT video, track_id, is_last, sum(run) OVER (PARTITION BY video, track_id ORDER BY ep_idx) AS e, sum(run) OVER (PARTITION BY video, track_id) AS total FROM eps9",
+    "wins": "SELECT video, track_id, t, unnest(range(CAST(floor(total / 50 / t) AS BIGINT))) AS w FROM (SELECT DISTINCT video, track_id, total FROM ends), (VALUES (0.2), (0.3)) x(t) WHERE floor(total / 50 / t) >= 4",
+    "cnt": "SELECT w.video, w.track_id, w.t, w.w, count(e.e) AS c FROM wins w LEFT JOIN ends e ON e.video = w.video AND e.track_id = w.track_id AND NOT e.is_last AND floor(e.e / 50 / w.t) = w.w GROUP BY ALL",
+}
+query("A43_fano", f"SELECT {r('CAST(t AS DOUBLE) AS \"T\"', 'CASE WHEN count(*) >= 10 THEN quantile_cont(f, 0.5) END AS fano')}, count(*) AS n_tracks FROM (SELECT t, var_samp(c) / avg(c) AS f FROM cnt GROUP BY video, track_id, t HAVING sum(c) > 0) GROUP BY t", FANO)(lambda s, d: episodes.fano(eps9(s, d), (0.2, 0.3), min_tracks=10))
+query("W34_embedded_chain", f"SELECT {L('1 AS \"order\"', 'a', 'b', '-1 AS c', 'count(*) AS n')} FROM (SELECT state AS a, lead(state) OVER (PARTITION BY video, track_id ORDER BY ep_idx) AS b FROM eps9) WHERE b IS NOT NULL GROUP BY a, b UNION ALL SELECT {L('2 AS "order"', 'a', 'b', 'c', 'count(*) AS n')} FROM (SELECT state AS a, lead(state) OVER t AS b, lead(state, 2) OVER t AS c FROM eps9 WINDOW t AS (PARTITION BY video, track_id ORDER BY ep_idx)) WHERE c IS NOT NULL GROUP BY a, b, c")(lambda s, d: episodes.embedded_chain(eps9(s, d)))
+query("J11_state_pairs", f"SELECT count(*) AS n, {r('corr(a, b) AS r')} FROM (SELECT avg(ln(run / 50)) FILTER (state = 0) AS a, avg(ln(run / 50)) FILTER (state = 1) AS b FROM eps9 GROUP BY video, track_id) WHERE a IS NOT NULL AND b IS NOT NULL")(
+    lambda s, d: eps9(s, d).groupBy(*K).agg(*[F.avg(F.when(F.col("state") == k, F.log(F.col("run") / 50))).alias(n) for k, n in ((0, "a"), (1, "b"))]).filter("a is not null and b is not null").agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"))
+)
+
+# ---- order, laws
+FOLD = "CAST(('0x' || substr(md5(video || '|' || track_id || '|0'), 1, 8)) AS BIGINT) % 5"
+CTX = {"tok": f"SELECT {FOLD} AS fold, state AS nxt, lag(state) OVER t AS s1, lag(state, 2) OVER t AS s2, lag(state, 3) OVER t AS s3 FROM states WINDOW t AS (PARTITION BY video, track_id ORDER BY idx)", "ctok": "SELECT 0 AS o, fold, '' AS ctx, nxt FROM tok UNION ALL SELECT 1, fold, s1::VARCHAR, nxt FROM tok WHERE s1 IS NOT NULL UNION ALL SELECT 2, fold, s2::VARCHAR || s1, nxt FROM tok WHERE s2 IS NOT NULL UNION ALL SELECT 3, fold, s3::VARCHAR || s2 || s1, nxt FROM tok WHERE s3 IS NOT NULL"}
+CTX |= {
+    "cf": "SELECT o, fold, ctx, nxt, count(*) AS n FROM ctok GROUP BY ALL",
+    "ca": "SELECT o, ctx, nxt, sum(n) AS t FROM cf GROUP BY ALL",
+    "cx": "SELECT o, ctx, sum(n) AS ct FROM cf GROUP BY ALL",
+    "cxf": "SELECT o, fold, ctx, sum(n) AS c FROM cf GROUP BY ALL",
+    "uni": "SELECT f.fold, u.nxt, (u.t - coalesce(c.n, 0) + 0.5) / (sum(u.t - coalesce(c.n, 0)) OVER (PARTITION BY f.fold) + 1.5) AS g FROM (SELECT DISTINCT fold FROM cf) f CROSS JOIN (SELECT nxt, t FROM ca WHERE o = 0) u LEFT JOIN (SELECT * FROM cf WHERE o = 0) c ON c.fold = f.fold AND c.nxt = u.nxt",
+    "ll": "SELECT cf.o, sum(cf.n * ln(CASE WHEN ct - c > 0 THEN (t - cf.n + 0.5) / (ct - c + 1.5) ELSE g END + 1e-12)) / sum(cf.n) AS ll, sum(cf.n) AS n FROM cf JOIN ca ON cf.o = ca.o AND cf.ctx = ca.ctx AND cf.nxt = ca.nxt JOIN cx ON cf.o = cx.o AND cf.ctx = cx.ctx JOIN cxf ON cf.o = cxf.o AND cf.ctx = cxf.ctx AND cf.fold = cxf.fold JOIN uni ON cf.fold = uni.fold AND cf.nxt = uni.nxt GROUP BY cf.o",
+}
+query("M05_context_counts", f"SELECT ctx, {L('nxt AS next', 't AS n')} FROM ca WHERE o = 2", CTX)(lambda s, d: order.context_counts(frame_states(s, d), 2))
+query("M06_order_test", f"SELECT {L('o AS \"order\"', 'n AS n_tokens')}, {r('ll AS ll_per_token')} FROM ll", CTX)(lambda s, d: order.order_test(frame_states(s, d)))
+query("M06_order_gains", f"SELECT {L('a.o AS \"order\"')}, {r('a.ll - b.ll AS gain', 'exp(b.ll - a.ll) AS perplexity_ratio')} FROM ll a JOIN ll b ON a.o = b.o + 1", CTX)(lambda s, d: order.order_gains(order.order_test(frame_states(s, d))))
+query("M07_block_order_test")(lambda s, d: order.order_test(states.modal_blocks(frame_states(s, d), 9), index="block"))
+LAWS = {"sums": "SELECT state, sum(n) AS n, sum(n * run / 50) AS sx, sum(n * ln(run / 50)) AS sl, sum(n * power(ln(run / 50), 2)) AS sl2 FROM hist GROUP BY state", "va": "SELECT *, sl2 / n - power(sl / n, 2) AS v FROM sums"}
+query("M01_closed_laws", f"SELECT {L('state', 'n')}, 'exponential' AS law, {r('sx / n AS a', 'CAST(NULL AS DOUBLE) AS b', '2 + 2 * n * (ln(sx / n) + 1) AS aic')} FROM sums UNION ALL SELECT {L('state', 'n')}, 'lognormal', {r('sl / n AS a', 'sqrt(v) AS b', '4 + 2 * (n * (0.5 * ln(2 * pi() * v) + 0.5) + sl) AS aic')} FROM va", LAWS)(lambda s, d: laws.closed_laws(episodes.dwell_histogram(eps9(s, d))))
+query("M01_dwell_laws")(lambda s, d: laws.dwell_laws(episodes.dwell_histogram(eps9(s, d))))
+query("M02_censored_exponential", f"SELECT {L('state', 'events')}, {r('seconds', 'events / seconds AS rate', '2 - 2 * (events * ln(events / seconds) - events) AS aic')} FROM (SELECT state, count(*) FILTER (NOT censored) AS events, sum(run) / 50 AS seconds FROM eps9 GROUP BY state)")(lambda s, d: laws.censored_exponential(episodes.dwell_histogram(eps9(s, d), censoring=True)))
+query("M03_hill_exponent", f"SELECT {L('state')}, {r('xmin')}, count(*) AS n_tail, {r('CASE WHEN count(*) >= 50 AND sum(ln(run / 50 / xmin)) > 0 THEN 1 + count(*) / sum(ln(run / 50 / xmin)) END AS alpha')} FROM eps9 JOIN (SELECT state, quantile_cont(run / 50, 0.8) AS xmin FROM eps9 GROUP BY state) USING (state) WHERE run / 50 >= xmin GROUP BY state, xmin")(lambda s, d: laws.hill_exponent(eps9(s, d)))
+query("M04_laws_by_window")(lambda s, d: summary.union_all([laws.closed_laws(episodes.dwell_histogram(episodes.episodes(frame_states(s, d, w)))).withColumn("state_window", F.lit(w)) for w in (13, 25, 51)]))
+
+# ---- serial memory
+query("W21_residuals", f"SELECT {', '.join(K)}, {L('ep_idx', 'state')}, {r('resid')} FROM resid")(lambda s, d: resid(s, d).select(*K, "ep_idx", "state", "resid"))
+query("W22_trait_residuals", f"SELECT {', '.join(K)}, {L('ep_idx', 'state')}, {r('resid')} FROM trait")(lambda s, d: serial.trait_residuals(eps9(s, d)).select(*K, "ep_idx", "state", "resid"))
+query("W23_lag_pairs", f"SELECT {', '.join(K)}, {L('lag')}, {r('x', 'y')} FROM pairs")(lambda s, d: serial.lag_pairs(resid(s, d)))
+query("W24_spearman_by_lag", f"SELECT {L('lag')}, {r('CASE WHEN count(*) >= 3 THEN corr(rx, ry) END AS rho')}, count(*) AS n FROM ranked GROUP BY lag", {"ranked": ranks("SELECT * FROM pairs", "lag")})(lambda s, d: serial.spearman(serial.lag_pairs(resid(s, d)), ["lag"]))
+CELL = {"res6": "SELECT e.*, ln(run / 50) - m AS resid FROM eps9 e JOIN (SELECT state, avg(ln(run / 50)) AS m FROM eps9 GROUP BY state) USING (state) WHERE n_eps >= 5", "p6": "SELECT video, track_id, x, y FROM (SELECT video, track_id, resid AS x, lead(resid) OVER (PARTITION BY video, track_id ORDER BY ep_idx) AS y FROM res6) WHERE y IS NOT NULL", "rk6": ranks("SELECT * FROM p6", "video, track_id"), "rho6": "SELECT CASE WHEN count(*) >= 3 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho FROM rk6 GROUP BY video, track_id"}
+query("M12_per_cell_memory", f"SELECT {r('tanh(avg(atanh(greatest(-0.999, least(0.999, rho))))) AS mean_rho')}, count(*) AS n_tracks FROM rho6 WHERE rho IS NOT NULL", CELL)(lambda s, d: serial.per_cell_memory(eps9(s, d), 5))
+query("M11_permutation_null")(lambda s, d: serial.permutation_null(resid(s, d)))
+query("M13_bootstrap")(lambda s, d: serial.bootstrap_rho(serial.lag_pairs(resid(s, d), 1)))
+LOO = {"cp": "SELECT l.video AS left_out, p.video, x, y FROM pairs p, (SELECT DISTINCT video FROM pairs WHERE lag = 1) l WHERE lag = 1 AND p.video <> l.video", "rkl": ranks("SELECT * FROM cp", "left_out")}
+query("M13_leave_one_out", f"SELECT left_out, {r('CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho')}, count(*) AS n FROM rkl GROUP BY left_out", LOO)(lambda s, d: serial.leave_one_out(serial.lag_pairs(resid(s, d), 1)))
+query("M14_wild_bootstrap")(lambda s, d: serial.wild_bootstrap_t(serial.lag_pairs(resid(s, d), 1).groupBy("video").agg(F.avg(F.col("x") * F.col("y")).alias("delta"))))
+query("M15_scc_profile")(lambda s, d: summary.union_all([serial.scc_profile(x).withColumn("variant", F.lit(n)) for n, x in (("raw", resid(s, d)), ("trait", serial.trait_residuals(eps9(s, d))))]))
+query("M16_design_sweep")(lambda s, d: summary.union_all([serial.spearman(serial.lag_pairs(serial.residuals(episodes.episodes(episodes.hysteresis_states(states.frame_kinematics(tracks(s, d), 9), m))), 1)).withColumn("margin", F.lit(m)) for m in (0.05, 0.1, 0.2)]))
+
+# ---- features and statistics
+query("A24_gini", f"SELECT video, {r('CASE WHEN sum(x) > 0 THEN sum((2 * k - n - 1) * x) / (n * sum(x)) ELSE 0 END AS gini')} FROM (SELECT video, round(rate, 9) AS x, row_number() OVER (PARTITION BY video ORDER BY rate) AS k, count(*) OVER (PARTITION BY video) AS n FROM rates) GROUP BY video, n")(lambda s, d: features.gini(features.cell_rates(frame_states(s, d, 9)).withColumn("rate", F.round("rate", 9)), "rate", ["video"]))
+query("A25_cell_rates", f"SELECT {', '.join(K)}, {L('switches', 'n', 'first_state')}, {r('rate')} FROM rates")(lambda s, d: features.cell_rates(frame_states(s, d, 9)))
+query("A25_rate_features")(lambda s, d: features.rate_features(features.cell_rates(frame_states(s, d, 9))))
+query("A26_stayer_features", f"SELECT a.*, frac_prog, frac_nonprog, frac_immotile FROM (SELECT video, count(*) AS n_cells, {r('avg(CASE WHEN switches = 0 THEN 1.0 ELSE 0 END) AS stayer_frac', *[f'avg(CASE WHEN switches = 0 AND first_state = {k} THEN 1.0 ELSE 0 END) AS stable_{n}_frac' for k, n in enumerate(features.SHORT)])} FROM rates GROUP BY video) a JOIN (SELECT video, {r(*[f'avg(CASE WHEN state = {k} THEN 1.0 ELSE 0 END) AS frac_{n}' for k, n in enumerate(features.SHORT)])} FROM states9 GROUP BY video) b USING (video)")(lambda s, d: features.stayer_features(frame_states(s, d, 9)))
+query("A27_participant_features")(lambda s, d: features.participant_features(kinematics.track_metrics(tracks(s, d)), frame_states(s, d, 9)))
+QS = [f'quantile_cont("{m}", {p}) AS "{m}_{n}"' for m in ("VCL", "ALH", "BCF", "LIN") for p, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))] + [f'quantile_cont("{m}", 0.75) - quantile_cont("{m}", 0.25) AS "{m}_iqr"' for m in ("VCL", "ALH", "BCF", "LIN", "PWR", "TAC")]
+QS += ['quantile_cont("PWR", 0.9) AS "PWR_p90"', 'quantile_cont("TAC", 0.5) AS "TAC_med"', 'quantile_cont("VAR_V", 0.5) AS "VAR_V_med"', 'avg(CASE WHEN "VCL" > 50 THEN 1.0 ELSE 0 END) AS vigorous_frac', 'avg(CASE WHEN "VCL" BETWEEN 5 AND 25 THEN 1.0 ELSE 0 END) AS intermediate_frac', "ln(count(*)) AS log_ntracks", 'quantile_cont("DUR", 0.5) AS "DUR_med"']
+QS += [f"100 * count(*) FILTER (motility = '{m}') / count(*) AS {n}_pct" for m, n in (("progressive", "prog"), ("non_progressive", "nonprog"), ("immotile", "immot"))]
+query("A28_sample_features", f"SELECT video, {r(*QS)}, count(*) AS n_tracks FROM features GROUP BY video HAVING count(*) >= 3")(lambda s, d: features.sample_features(kinematics.track_features(tracks(s, d)), min_tracks=3))
+query("M18_partial_spearman")(lambda s, d: features.partial_spearman(kept(s, d), "VCL", "STR", "ALH"))
+query("M19_split_half")(lambda s, d: serial.spearman(features.split_half(features.cell_rates(frame_states(s, d, 9)))))
+query("M24_multiplicity", f"SELECT video, {r('p', 'holm', 'bh')} FROM (SELECT video, p, max(least(1, (m - k + 1) * p)) OVER (ORDER BY p, video) AS holm, min(least(1, m * p / k)) OVER (ORDER BY p DESC, video DESC) AS bh FROM (SELECT video, dfi / 100 + CAST(video AS INT) / 10000 AS p, row_number() OVER (ORDER BY dfi / 100 + CAST(video AS INT) / 10000) AS k, count(*) OVER () AS m FROM clinical))")(
+    lambda s, d: features.benjamini_hochberg(features.holm(clinical(s, d).select("video", (F.col("dfi") / 100 + F.col("video").cast("int") / 10000).alias("p"))))
+)
+UNI = {"uv": f"SELECT feature, x, y FROM (SELECT video, dfi AS y, {', '.join(f'avg(\"{m}\") AS \"{m}\"' for m in METRICS)} FROM kept JOIN clinical USING (video) GROUP BY video, dfi), LATERAL (VALUES {', '.join(f'(\'{m}\', \"{m}\")' for m in METRICS)}) v(feature, x)", "ruv": ranks("SELECT * FROM uv", "feature")}
+query("M27_univariate", f"SELECT feature, {r('corr(rx, ry) AS rho')}, count(*) AS n FROM ruv GROUP BY feature", UNI)(lambda s, d: features.univariate_spearman(kept(s, d).groupBy("video").agg(*[F.avg(m).alias(m) for m in METRICS]).join(clinical(s, d), "video"), METRICS, "dfi"))
+query("M28_wilcoxon", f"SELECT {r('sum(CASE WHEN dd > 0 THEN rx ELSE 0 END) AS w_plus', 'sum(CASE WHEN dd < 0 THEN rx ELSE 0 END) AS w_minus')}, count(*) AS n FROM wr", LONG | {"wd": "SELECT predicted - truth AS dd, abs(predicted - truth) AS x, 0 AS y FROM long WHERE category = 'progressive' AND abs(predicted - truth) > 1e-12", "wr": ranks("SELECT * FROM wd")})(lambda s, d: features.wilcoxon(compared(s, d).filter("category = 'progressive'"), "predicted", "truth"))
+query("M29_correlation", f"SELECT {r('corr(\"VCL\", \"STR\") AS r')}, count(*) AS n FROM kept")(lambda s, d: agreement.correlation(kept(s, d), "VCL", "STR"))
+query("M30_recalibration", f"SELECT {', '.join(K)}, {L('n_frames')}, duration_s, {r(*Q)}, 'new' AS calibration FROM metrics UNION ALL SELECT {', '.join(K)}, {L('n_frames')}, duration_s, {r(*Q)}, 'old' FROM metrics_old")(lambda s, d: agreement.recalibrated(tracks(s, d), [("new", 1.422, 50), ("old", 1.0, 30)]))
+STATS = {"cm": "SELECT 'gt' AS cohort, count(*) AS n, avg(conf) AS conf FROM tracks UNION ALL SELECT 'auto', count(*), avg(conf) FROM pred_tracks"}
+query("J14_cohort_comparison", f"SELECT metric, {r('a', 'b', 'a / b AS ratio', 'a - b AS difference')} FROM (SELECT 'n' AS metric, max(n) FILTER (cohort = 'auto')::DOUBLE AS a, max(n) FILTER (cohort = 'gt')::DOUBLE AS b FROM cm UNION ALL SELECT 'conf', max(conf) FILTER (cohort = 'auto'), max(conf) FILTER (cohort = 'gt') FROM cm)", STATS)(
+    lambda s, d: agreement.compare_cohorts(summary.union_all([t(s, d).agg(F.count("*").cast("double").alias("n"), F.avg("conf").alias("conf")).select(F.lit(n).alias("cohort"), F.explode(F.create_map(F.lit("n"), F.col("n"), F.lit("conf"), F.col("conf"))).alias("metric", "value")) for n, t in (("gt", tracks), ("auto", pred))]), "auto", "gt")
+)
+
+# ---- signals
+query("W26_sliding_vcl", f"SELECT {', '.join(K)}, {L('idx - 23 AS idx')}, {r('w AS wvcl')} FROM (SELECT *, avg(sqrt(vx * vx + vy * vy)) OVER t AS w, count(*) OVER t AS c FROM vel WINDOW t AS (PARTITION BY video, track_id ORDER BY idx ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) WHERE c = 24")(lambda s, d: signal.sliding_vcl(tracks(s, d)))
+W27 = {"b25": "SELECT *, sqrt(power(cx - lag(cx) OVER t, 2) + power(cy - lag(cy) OVER t, 2)) AS step FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY video, track_id ORDER BY frame) - 1) / 25) AS BIGINT) AS block FROM tracks) WINDOW t AS (PARTITION BY video, track_id, block ORDER BY frame)"}
+query("W27_block_kinematics", f"SELECT video, track_id, block, {r('sum(step) / 1.422 / 24 * 50 AS vcl', 'CASE WHEN sum(step) > 0 THEN sqrt(power(arg_max(cx, frame) - arg_min(cx, frame), 2) + power(arg_max(cy, frame) - arg_min(cy, frame), 2)) / sum(step) ELSE 0 END AS lin')} FROM b25 GROUP BY ALL HAVING count(*) = 25", W27)(lambda s, d: signal.block_kinematics(tracks(s, d)))
+ACF = {"mid": "SELECT video, track_id, idx, vx - avg(vx) OVER (PARTITION BY video, track_id) AS x, vy - avg(vy) OVER (PARTITION BY video, track_id) AS y FROM vel", "z": "SELECT video, track_id, sum(x * x + y * y) AS z FROM mid GROUP BY ALL HAVING sum(x * x + y * y) > 0 AND count(*) >= 2", "prod": "SELECT a.video, a.track_id, b.idx - a.idx AS lag, sum(a.x * b.x + a.y * b.y) AS p FROM mid a JOIN mid b ON a.video = b.video AND a.track_id = b.track_id AND b.idx - a.idx BETWEEN 0 AND 20 GROUP BY ALL"}
+query("W28_velocity_acf", f"SELECT {L('lag')}, {r('avg(p / z) AS acf')}, count(*) AS n_tracks FROM prod JOIN z USING (video, track_id) GROUP BY lag", ACF)(lambda s, d: signal.acf(signal.velocities(tracks(s, d)), ["vx", "vy"], 20))
+query("W28_acf_distance")(lambda s, d: signal.acf_distance(signal.acf(signal.velocities(tracks(s, d)), ["vx", "vy"], 20), signal.acf(signal.velocities(pred(s, d)), ["vx", "vy"], 20)))
+CROSS = {"sp": "SELECT video, track_id, idx, sqrt(vx * vx + vy * vy) AS sp FROM vel", "cr": "SELECT *, CASE WHEN (sp >= 25) <> (lag(sp) OVER (PARTITION BY video, track_id ORDER BY idx) >= 25) THEN 1 ELSE 0 END AS c FROM sp", "gaps": "SELECT (idx - lag(idx) OVER (PARTITION BY video, track_id ORDER BY idx)) / 50 AS gap FROM cr WHERE c = 1"}
+query("W29_crossings", f"SELECT {L('(SELECT sum(c) FROM cr) AS crossings')}, {r('(SELECT sum(c) / (count(*) / 50) FROM cr) AS rate', 'avg(gap) AS mean_gap', 'stddev_pop(gap) / avg(gap) AS cv_gap')} FROM gaps", CROSS)(lambda s, d: signal.crossings(signal.velocities(tracks(s, d)).withColumn("speed", scalar.distance(F.col("vx"), F.col("vy"))), "speed", 25.0))
+query("W30_periodogram")(lambda s, d: signal.periodogram(tracks(s, d)))
+W31 = {"pq": "SELECT video, track_id, vx * lead(vx) OVER t + vy * lead(vy) OVER t AS p, vx * vx + vy * vy AS q FROM vel WINDOW t AS (PARTITION BY video, track_id ORDER BY idx)", "aa": "SELECT sum(p) / sum(q) AS a FROM pq GROUP BY video, track_id HAVING count(*) >= 49 AND sum(q) > 0", "am": "SELECT quantile_cont(a, 0.5) AS a, count(*) AS n FROM aa"}
+query("W31_relaxation", f"SELECT {r('a', 'CASE WHEN a > 0 AND a < 1 THEN -1 / ln(a) / 50 END AS tau_s')}, n AS n_tracks FROM am", W31)(lambda s, d: signal.lag_one(tracks(s, d)))
+AR = {"cv": "SELECT *, vx - avg(vx) OVER (PARTITION BY video, track_id) AS x, vy - avg(vy) OVER (PARTITION BY video, track_id) AS y, avg(vx) OVER (PARTITION BY video, track_id) AS mx, avg(vy) OVER (PARTITION BY video, track_id) AS my FROM vel", "lg": "SELECT *, x * x + y * y AS c0, x * lead(x) OVER t + y * lead(y) OVER t AS c1, x * lead(x, 2) OVER t + y * lead(y, 2) OVER t AS c2 FROM cv WINDOW t AS (PARTITION BY video, track_id ORDER BY idx)", "ar": "SELECT video, track_id, count(*) AS n, any_value(mx) AS mx, any_value(my) AS my, sum(c0) / (2 * count(*)) AS var, sum(c1) / sum(c0) AS r1, sum(c2) / sum(c0) AS r2 FROM lg GROUP BY ALL HAVING count(*) >= 9"}
+query("W32_ou_fit", f"SELECT {', '.join(K)}, n, {r('mx', 'my', 'var', 'greatest(0, least(0.999, coalesce(r1, 0))) AS phi')} FROM ar", AR)(lambda s, d: signal.fit_ou(tracks(s, d)))
+query("W32_ou_pooled")(lambda s, d: signal.fit_ou(tracks(s, d), pooled=True))
+OK = "1 - r1 * r1 > 1e-9 AND abs((r2 - r1 * r1) / (1 - r1 * r1)) < 1 AND r1 * (1 - r2) / (1 - r1 * r1) + (r2 - r1 * r1) / (1 - r1 * r1) < 1 AND (r2 - r1 * r1) / (1 - r1 * r1) - r1 * (1 - r2) / (1 - r1 * r1) < 1"
+query("W33_ar2_fit", f"SELECT {', '.join(K)}, n, {r('var', f'CASE WHEN {OK} THEN r1 * (1 - r2) / (1 - r1 * r1) ELSE greatest(-0.999, least(0.999, r1)) END AS phi1', f'CASE WHEN {OK} THEN (r2 - r1 * r1) / (1 - r1 * r1) ELSE 0 END AS phi2')} FROM ar WHERE r1 IS NOT NULL", AR)(lambda s, d: signal.fit_ar2(tracks(s, d)))
+
+# ---- reports
+HEAT = {"pts": 'SELECT t.*, k."VCL" AS v, max(cx) OVER () AS mx, max(cy) OVER () AS my FROM tracks t JOIN kept k USING (video, track_id)'}
+CELLS = "CAST(greatest(0, least(19, floor(cx / (mx + 1) * 20))) AS BIGINT) AS gx, CAST(greatest(0, least(19, floor(cy / (my + 1) * 20))) AS BIGINT) AS gy"
+query("A32_heat_map", f"SELECT g.gx, h.gy, {r('coalesce(m, 0) AS mean')} FROM (SELECT unnest(range(20)) AS gx) g CROSS JOIN (SELECT unnest(range(20)) AS gy) h LEFT JOIN (SELECT {CELLS}, avg(v) AS m FROM pts GROUP BY 1, 2) x ON x.gx = g.gx AND x.gy = h.gy", HEAT)(lambda s, d: report.heat_map(tracks(s, d).join(kept(s, d).select(*K, "VCL"), K), "VCL"))
+query("A33_histogram", "SELECT CAST(least(29, floor((\"VCL\" - lo) / (hi - lo) * 30)) AS BIGINT) AS bin, count(*) AS n FROM kept, (SELECT min(\"VCL\") AS lo, max(\"VCL\") AS hi FROM kept) GROUP BY 1")(lambda s, d: report.histogram(kept(s, d), "VCL"))
+query("A34_box_stats", f"SELECT motility, {r('q1', 'med AS median', 'q3', 'min(\"VCL\") FILTER (\"VCL\" BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low', 'max(\"VCL\") FILTER (\"VCL\" BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high')}, count(*) AS n FROM kept JOIN (SELECT motility, quantile_cont(\"VCL\", 0.25) AS q1, quantile_cont(\"VCL\", 0.5) AS med, quantile_cont(\"VCL\", 0.75) AS q3 FROM kept GROUP BY motility) USING (motility) GROUP BY motility, q1, med, q3")(lambda s, d: report.box_stats(kept(s, d), "VCL", "motility"))
+query("A35_cross_tab", f"SELECT video, motility, n, {r('share')}, max(share) OVER (PARTITION BY video) > 0.5 AS dominated FROM (SELECT video, motility, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY video) AS share FROM kept GROUP BY video, motility)")(lambda s, d: report.cross_tab(kept(s, d), "video", "motility"))
+CHI = {"xt": "SELECT video, motility, count(*) AS n FROM kept GROUP BY ALL"}
+query("A35_chi_square", f"SELECT {r('sum(n) * (sum(n * n / (rr * kk)) - 1) AS chi2')}, {L('(count(DISTINCT video) - 1) * (count(DISTINCT motility) - 1) AS dof')} FROM (SELECT *, sum(n) OVER (PARTITION BY video) AS rr, sum(n) OVER (PARTITION BY motility) AS kk FROM xt)", CHI)(lambda s, d: report.chi_square(kept(s, d), "video", "motility"))
+AGR = {"emb": "SELECT label AS a, CAST(vec_id % 7 AS BIGINT) AS b, count(*) AS n FROM embeddings GROUP BY ALL", "ta": "SELECT sum(n) AS t FROM emb", "ea": "SELECT sum(x * (x - 1) / 2) AS p, -sum(x / t * ln(x / t)) AS h FROM (SELECT sum(n) AS x FROM emb GROUP BY a), ta", "eb": "SELECT sum(x * (x - 1) / 2) AS p, -sum(x / t * ln(x / t)) AS h FROM (SELECT sum(n) AS x FROM emb GROUP BY b), ta", "eab": "SELECT sum(n * (n - 1) / 2) AS p, -sum(n / t * ln(n / t)) AS h FROM emb, ta"}
+query("A36_partition_agreement", f"SELECT {r('(ea.h + eb.h - eab.h) / ((ea.h + eb.h) / 2) AS nmi', '(eab.p - ea.p * eb.p / (t * (t - 1) / 2)) / ((ea.p + eb.p) / 2 - ea.p * eb.p / (t * (t - 1) / 2)) AS ari')} FROM ea, eb, eab, ta", AGR)(lambda s, d: report.partition_agreement(fixtures.table(s, d, "embeddings").select("label", (F.col("vec_id") % 7).alias("b")), "label", "b"))
+query("M32_video_context")(lambda s, d: report.video_context(summaries(s, d), summary.fastest(kept(s, d))))
+
+# ---- sources over derived tables
+query("S05_annotation_tracks", f"SELECT video, CAST(dense_rank() OVER (PARTITION BY video ORDER BY f0, k0) AS BIGINT) AS track_id, {L('frame')}, {r('nx * 640 AS cx', 'ny * 480 AS cy')} FROM (SELECT *, first(frame) OVER (PARTITION BY video, fid ORDER BY frame, pos) AS f0, first(pos) OVER (PARTITION BY video, fid ORDER BY frame, pos) AS k0 FROM (SELECT video, frame, 'c' || track_id AS fid, row_number() OVER (PARTITION BY video, frame ORDER BY track_id) - 1 AS pos, round(cx / 640, 9) AS nx, round(cy / 480, 9) AS ny FROM tracks))")(
+    lambda s, d: files.parse_annotations(tracks(s, d).select("video", "frame", (F.row_number().over(report.Window.partitionBy("video", "frame").orderBy("track_id")) - 1).alias("pos"), F.format_string("c%d 0 %.9f %.9f 0.025000 0.033333", "track_id", F.round(F.col("cx") / 640, 9), F.round(F.col("cy") / 480, 9)).alias("line"))).select(*K, "frame", "cx", "cy")
+)
+query("S08_nested_detections", f"SELECT video, {L('frame', 'cls')}, {r('x1', 'y1', 'x2', 'y2', 'conf')} FROM detections")(lambda s, d: files.explode_detections(files.nest_detections(fixtures.detections(s, d))).select("video", "frame", "cls", "x1", "y1", "x2", "y2", "conf"))
+query("S04_source_preference", "SELECT video, source, count(*) AS n FROM (SELECT video, 'plain' AS source FROM tracks WHERE CAST(video AS INT) % 3 = 0 UNION ALL SELECT video, 'extra' FROM pred_tracks WHERE CAST(video AS INT) % 3 <> 0) GROUP BY ALL")(lambda s, d: files.prefer_source([("plain", tracks(s, d).filter("cast(video as int) % 3 = 0")), ("extra", pred(s, d))]).groupBy("video", "source").agg(F.count("*").alias("n")))
+query("S10_decimal_commas", f"SELECT video, {r('dfi')} FROM clinical")(lambda s, d: clinical(s, d).select("video", files.decimal_comma(F.concat(F.lit(" "), F.regexp_replace(F.col("dfi").cast("string"), r"\.", ","))).alias("dfi")))
+query("S12_preferred_percentages", f"SELECT video, {r(*[f'adjusted_{c}_pct AS {c}_pct' for c in scalar.CLASSES])} FROM summary")(lambda s, d: files.preferred_percentages(summaries(s, d)))
+query("S16_pending_work", "SELECT DISTINCT video, e AS experiment FROM tracks, (VALUES ('a'), ('b')) x(e) WHERE NOT (e = 'a' AND CAST(video AS INT) % 2 = 0)")(lambda s, d: files.pending(tracks(s, d).select("video").distinct().withColumn("experiment", F.explode(F.array(F.lit("a"), F.lit("b")))), tracks(s, d).select("video", F.lit("a").alias("experiment")).distinct().filter("cast(video as int) % 2 = 0")))
+query("S17_label_lines")(lambda s, d: files.label_lines(fixtures.detections(s, d), 640, 480))
+query("S18_validation", "SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT video, track_id FROM tracks)) AS n_tracks, count(DISTINCT frame) AS n_frames FROM tracks")(lambda s, d: files.validated(tracks(s, d)))
+query("S19_label_census", f"SELECT split, {L('cls')}, n, {r('n / sum(n) OVER (PARTITION BY split) AS share')} FROM (SELECT CASE video WHEN '1' THEN 'val' WHEN '2' THEN 'test' ELSE 'train' END AS split, cls, count(*) AS n FROM detections GROUP BY 1, 2)")(lambda s, d: files.label_census(fixtures.detections(s, d), {"1": "val", "2": "test"}))
+query("S20_frame_split", f"SELECT video, {L('frame')}, CASE WHEN row_number() OVER (PARTITION BY video ORDER BY md5(video || '|' || frame || '|0'), frame) <= greatest(1, floor(count(*) OVER (PARTITION BY video) * 0.2)) THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT video, frame FROM tracks)")(lambda s, d: files.frame_split(tracks(s, d)))
