@@ -75,5 +75,11 @@ def who_flags(total_motile_pct: Column, progressive_pct: Column) -> tuple[Column
     return total_motile_pct >= 42.0, progressive_pct >= 30.0
 
 
+def half_even(x: Column | str, digits: int) -> Column:
+    """Rounding to ``digits`` decimals, halves to even, on the binary value (as NumPy rounds)."""
+    c = F.col(x) if isinstance(x, str) else x
+    return F.rint(c * 10.0**digits) / 10.0**digits
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)

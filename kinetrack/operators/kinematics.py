@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import FPS, MIN_LENGTH, PX_PER_UM, distance, motility, px_to_um, ratio
+from ..functions.scalar import FPS, MIN_LENGTH, PX_PER_UM, distance, half_even, motility, px_to_um, ratio
 
 KEY = ("video", "track_id")
 METRICS = ["VCL", "VSL", "VAP", "LIN", "STR", "WOB", "ALH", "BCF"]
@@ -60,9 +60,9 @@ def track_metrics(tracks: DataFrame, key: Sequence[str] = KEY, ppm: float = PX_P
         (F.col("smooth_step") * fps).alias("vap"), F.col("lateral").alias("alh"), ratio(F.col("crossings"), total).alias("bcf"),
     )
     return raw.select(
-        *key, "n_frames", "duration_s", F.bround("vcl", 2).alias("VCL"), F.bround("vsl", 2).alias("VSL"), F.bround("vap", 2).alias("VAP"),
-        F.bround(ratio(F.col("vsl"), F.col("vcl")), 3).alias("LIN"), F.bround(ratio(F.col("vsl"), F.col("vap")), 3).alias("STR"),
-        F.bround(ratio(F.col("vap"), F.col("vcl")), 3).alias("WOB"), F.bround("alh", 2).alias("ALH"), F.bround("bcf", 2).alias("BCF"),
+        *key, "n_frames", "duration_s", half_even("vcl", 2).alias("VCL"), half_even("vsl", 2).alias("VSL"), half_even("vap", 2).alias("VAP"),
+        half_even(ratio(F.col("vsl"), F.col("vcl")), 3).alias("LIN"), half_even(ratio(F.col("vsl"), F.col("vap")), 3).alias("STR"),
+        half_even(ratio(F.col("vap"), F.col("vcl")), 3).alias("WOB"), half_even("alh", 2).alias("ALH"), half_even("bcf", 2).alias("BCF"),
     )
 
 
@@ -74,7 +74,7 @@ def extra_metrics(tracks: DataFrame, key: Sequence[str] = KEY, min_length: int =
     sums = turn.groupBy(*key).agg(F.count("*").alias("n"), F.avg(F.sin("turn")).alias("s"), F.avg(F.cos("turn")).alias("c"), F.stddev_pop("speed").alias("sd"), F.avg("speed").alias("mean"))
     r = distance(F.col("s"), F.col("c"))
     tac = F.when(F.col("n") < 3, 0.0).when(r > 1e-12, F.sqrt(F.greatest(F.lit(0.0), -2 * F.log(r)))).otherwise(3.141592653589793)
-    return sums.filter(F.col("n") >= min_length).select(*key, F.bround(tac, 4).alias("TAC"), F.bround(ratio(F.col("sd"), F.col("mean")), 4).alias("VAR_V"))
+    return sums.filter(F.col("n") >= min_length).select(*key, half_even(tac, 4).alias("TAC"), half_even(ratio(F.col("sd"), F.col("mean")), 4).alias("VAR_V"))
 
 
 def long_enough(tracks: DataFrame, n: int = MIN_LENGTH, key: Sequence[str] = KEY) -> DataFrame:
@@ -105,4 +105,4 @@ def judged_tracks(tracks: DataFrame, key: Sequence[str] = KEY, **metric_options)
 def track_features(tracks: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Kept tracks with metrics, class, PWR = ALH * BCF, TAC, VAR_V and DUR."""
     kept = judged_tracks(tracks, key).filter("reason is null").drop("reason", "mean_conf")
-    return kept.join(extra_metrics(tracks, key), list(key)).withColumns({"PWR": F.bround(F.col("ALH") * F.col("BCF"), 4), "DUR": F.col("duration_s")})
+    return kept.join(extra_metrics(tracks, key), list(key)).withColumns({"PWR": half_even(F.col("ALH") * F.col("BCF"), 4), "DUR": F.col("duration_s")})

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import CLASSES, who_flags
+from ..functions.scalar import CLASSES, half_even, who_flags
 from .kinematics import KEY, judged_tracks
 
 
@@ -29,21 +29,21 @@ def detection_stats(detections: DataFrame, video: str = "video", cls: int = 0) -
 def class_counts(kept: DataFrame, by: Sequence[str] = ("video",)) -> DataFrame:
     """A4: tracks and percentages of each class."""
     counts = kept.groupBy(*by).agg(F.count("*").alias("total_tracks"), *[F.count_if(F.col("motility") == c).alias(c) for c in CLASSES])
-    return counts.withColumns({f"{c}_pct": F.bround(100.0 * F.col(c) / F.col("total_tracks"), 1) for c in CLASSES})
+    return counts.withColumns({f"{c}_pct": half_even(100.0 * F.col(c) / F.col("total_tracks"), 1) for c in CLASSES})
 
 
 def adjusted(df: DataFrame) -> DataFrame:
     """A5: untracked objects counted as immotile, from avg_detections and avg_active (null detections: no adjustment)."""
     det, act, total = F.coalesce("avg_detections", F.lit(0.0)), F.col("avg_active"), F.col("total_tracks")
     known = F.col("avg_detections").isNotNull()
-    missing = F.when(known, F.greatest(F.lit(0.0), F.bround(det - act, 0))).otherwise(0.0).cast("long")
+    missing = F.when(known, F.greatest(F.lit(0.0), half_even(det - act, 0))).otherwise(0.0).cast("long")
     fraction = F.when(known & (det > 0), F.greatest(F.lit(0.0), (det - act) / det)).otherwise(0.0)
-    pct = {c: F.when(total > 0, F.bround(100 * (F.col(c) / total) * (1 - F.col("_fraction")), 1)).otherwise(0.0) for c in CLASSES[:2]}
+    pct = {c: F.when(total > 0, half_even(100 * (F.col(c) / total) * (1 - F.col("_fraction")), 1)).otherwise(0.0) for c in CLASSES[:2]}
     out = df.withColumns({"estimated_untracked": missing, "_fraction": fraction}).withColumns({f"adjusted_{c}_pct": x for c, x in pct.items()})
     return out.withColumns({
-        "adjusted_immotile_pct": F.bround(100.0 - F.col("adjusted_progressive_pct") - F.col("adjusted_non_progressive_pct"), 1),
+        "adjusted_immotile_pct": half_even(100.0 - F.col("adjusted_progressive_pct") - F.col("adjusted_non_progressive_pct"), 1),
         "adjusted_total": total + F.col("estimated_untracked"), "adjusted_immotile": F.col("immotile") + F.col("estimated_untracked"),
-        "untracked_fraction": F.bround("_fraction", 4),
+        "untracked_fraction": half_even("_fraction", 4),
     }).drop("_fraction")
 
 
@@ -58,15 +58,15 @@ def video_summary(tracks: DataFrame, detections: DataFrame | None = None, key: S
     agg = judged.groupBy(video).agg(
         F.count("*").alias("tracks_before_filter"), *[F.count_if(F.col("reason") == r).alias(f"filtered_{r}") for r in ("low_conf", "high_vcl", "jitter", "short_duration")],
         F.count_if(kept).alias("total_tracks"), *[F.count_if(kept & (F.col("motility") == c)).alias(c) for c in CLASSES],
-        *[F.bround(F.round(F.avg(one(m)), 9), d).alias(f"mean_{m}") for m, d in (("VCL", 2), ("VSL", 2), ("VAP", 2), ("LIN", 3), ("STR", 3), ("WOB", 3), ("ALH", 2), ("BCF", 2))],
+        *[half_even(F.round(F.avg(one(m)), 9), d).alias(f"mean_{m}") for m, d in (("VCL", 2), ("VSL", 2), ("VAP", 2), ("LIN", 3), ("STR", 3), ("WOB", 3), ("ALH", 2), ("BCF", 2))],
     )
-    agg = agg.withColumns({f"{c}_pct": F.when(F.col("total_tracks") > 0, F.bround(100.0 * F.col(c) / F.col("total_tracks"), 1)) for c in CLASSES})
+    agg = agg.withColumns({f"{c}_pct": F.when(F.col("total_tracks") > 0, half_even(100.0 * F.col(c) / F.col("total_tracks"), 1)) for c in CLASSES})
     joined = agg.join(active_tracks(tracks, video), video, "left")
     if detections is None:
         joined = joined.withColumn("avg_detections", F.lit(None).cast("double"))
     else:
         joined = joined.join(detection_stats(detections, video).select(video, "avg_detections"), video, "left")
-    return adjusted(joined).withColumns({"avg_active": F.bround("avg_active", 2), "avg_detections": F.bround(F.coalesce("avg_detections", F.lit(0.0)), 2)})
+    return adjusted(joined).withColumns({"avg_active": half_even("avg_active", 2), "avg_detections": half_even(F.coalesce("avg_detections", F.lit(0.0)), 2)})
 
 
 def cohort_means(summaries: DataFrame, columns: Sequence[str]) -> DataFrame:
