@@ -14,6 +14,7 @@ from . import fixtures
 from .functions import scalar
 from .operators import agreement, association, episodes, features, kinematics, laws, order, report, serial, signal, states, summary
 from .oracles import STATE, compose, kinematics as kinematics_sql, ranks
+from .plans import battery
 from .sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -347,3 +348,6 @@ query("S17_label_lines")(lambda s, d: files.label_lines(fixtures.detections(s, d
 query("S18_validation", "SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT video, track_id FROM tracks)) AS n_tracks, count(DISTINCT frame) AS n_frames FROM tracks")(lambda s, d: files.validated(tracks(s, d)))
 query("S19_label_census", f"SELECT split, {L('cls')}, n, {r('n / sum(n) OVER (PARTITION BY split) AS share')} FROM (SELECT CASE video WHEN '1' THEN 'val' WHEN '2' THEN 'test' ELSE 'train' END AS split, cls, count(*) AS n FROM detections GROUP BY 1, 2)")(lambda s, d: files.label_census(fixtures.detections(s, d), {"1": "val", "2": "test"}))
 query("S20_frame_split", f"SELECT video, {L('frame')}, CASE WHEN row_number() OVER (PARTITION BY video ORDER BY md5(video || '|' || frame || '|0'), frame) <= greatest(1, floor(count(*) OVER (PARTITION BY video) * 0.2)) THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT video, frame FROM tracks)")(lambda s, d: files.frame_split(tracks(s, d)))
+
+query("M31_cohort_battery")(lambda s, d: battery.cohort_battery(tracks(s, d), 9))
+query("E01_batch_agreement", f"SELECT category, {AGREE}, count(*) AS n FROM long GROUP BY category", LONG)(lambda s, d: battery.batch_agreement(tracks(s, d), fixtures.detections(s, d), clinical(s, d)))

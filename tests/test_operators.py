@@ -208,8 +208,8 @@ def test_transitions_and_stationary(spark, seqs):
 
 
 def test_fano_counts_empty_windows(spark, seqs):
-    got = {r["T"]: (r.fano, r.n_tracks) for r in episodes.fano(episodes.episodes(sequences(spark, seqs)), (0.1, 0.2), min_tracks=1).collect()}
-    for T in (0.1, 0.2):
+    got = {r["T"]: (r.fano, r.n_tracks) for r in episodes.fano(episodes.episodes(sequences(spark, seqs)), (0.125, 0.25), min_tracks=1).collect()}
+    for T in (0.125, 0.25):
         f = []
         for s in seqs.values():
             n = int(len(s) / FPS // T)
@@ -380,3 +380,16 @@ def test_fixture_sql_is_the_same_in_both(spark, sf_dir):
     want = con.execute(oracles.compose("SELECT count(*), sum(cx), sum(track_id) FROM tracks")).fetchall()[0]
     got = fixtures.tracks(spark, sf_dir).agg(F.count("*"), F.sum("cx"), F.sum("track_id")).first()
     assert got[0] == want[0] and got[2] == want[2] and abs(got[1] - want[1]) < 1e-6
+
+
+def test_stream_of_class_mix(spark, sf_dir, tmp_path):
+    from kinetrack.streaming.class_mix import class_mix_stream
+
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet")
+    batch.repartition(2).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in")
+    q = class_mix_stream(stream, "1 day", "365 days").writeStream.outputMode("complete").format("memory").queryName("mix").start()
+    q.processAllAvailable()
+    q.stop()
+    want = {(r.w.start, r.event_type): r.n for r in batch.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).collect()}
+    assert {(r.window_start, r.kind): r.n for r in spark.table("mix").collect()} == want
