@@ -7,9 +7,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -50,3 +52,37 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator
 def byte_rows(array: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null counts as empty."""
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]
+
+
+#: Bits of the filter that keeps documents without candidates out of a join with texts; 1 MB, whatever the input.
+FILTER_BITS = 1 << 23
+
+
+def _words(ids: DataFrame) -> np.ndarray:
+    """Bitmap of hashed document ids, as 64-bit words; at most FILTER_BITS / 64 rows reach the driver."""
+    bit = f"pmod(xxhash64(doc_id), {FILTER_BITS})"
+    rows = ids.select(F.expr(f"cast({bit} div 64 as int)").alias("word"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))").alias("bit"))
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for batch in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
+        words[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return words
+
+
+def with_texts(texts: DataFrame, listed: DataFrame) -> DataFrame:
+    """Join texts with a table by doc_id; most texts that have no partner stay out of the shuffle.
+
+    The filter has false positives (more as it fills), which the join drops; it never loses a document.
+    """
+    return split_by(texts, listed)[0].join(listed, "doc_id")
+
+
+def split_by(texts: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose doc_id may be in ``listed``, and rows whose doc_id is surely not."""
+    shared = texts.sparkSession.sparkContext.broadcast(_words(listed))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        bit = h.to_numpy() % FILTER_BITS
+        return pd.Series(shared.value.view(np.uint64)[bit // 64] >> (bit % 64).astype(np.uint64) & np.uint64(1) == 1)
+
+    return texts.filter(maybe(F.xxhash64("doc_id"))), texts.filter(~maybe(F.xxhash64("doc_id")))

@@ -6,25 +6,26 @@ whose rank is unique drop out; the rest go on at a greater length until the thre
 
 1. length 64, at anchors only. In each threshold-long string the 64 bytes of smallest hash are its anchor
    (leftmost on ties), so equal strings have equal anchors at equal offsets. Consecutive starts that share an
-   anchor form a cell. Cells whose anchor occurs once hold no repeated string.
-2. the whole cell, with the threshold behind its last start. Cells equal as a whole repeat at each of their starts,
-   however many copies there are; one of them stays on, as a witness.
-3. the threshold, at each start of the distinct cells whose anchor has several contents.
-
-Step 2 is what keeps copies from being expanded: step 3 sees each distinct content once.
+   anchor form a cell. Cells whose anchor occurs once hold no repeated string. Cells equal as a whole, up to the
+   threshold behind their last start, repeat at each of their starts; one of them stays on, as a witness.
+2. threshold - 15, for blocks of 16 starts (aligned to the anchor) of the distinct cells whose anchor has several
+   contents: the bytes that all strings of a block share. Blocks of unique rank drop out; blocks equal as a whole
+   are settled, and one stays on as a witness.
+3. the threshold, at each start of the blocks that are left: those at the edges of repeated passages.
+
+So copies, however many, are never expanded: steps 2 and 3 see each distinct content once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_rows, save, slices
+from .common import byte_rows, save, slices, split_by, with_texts
 
 THRESHOLD, GRAM = 200, 64
 POSITION_BITS = 28
@@ -85,64 +86,146 @@ def cells(raw: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, np.nd
     anchor = (sliding_min(grams & ~mask | np.arange(len(grams), dtype=np.uint64), threshold - gram + 1) & mask).astype(np.int64)
     first = np.flatnonzero(np.diff(anchor, prepend=-1))
     last = np.append(first[1:], len(anchor)) - 1
-    whole = Ranks(raw, 1).at(first, last + threshold) ^ _mix(((anchor[first] - first) * 1024 + last - first).astype(np.uint64))
-    return first, last, grams[anchor[first]], whole
+    q = anchor[first]
+    whole = Ranks(raw, 1).at(first, last + threshold) ^ _mix(((q - first) * 1024 + last - first).astype(np.uint64))
+    return first, last, q, grams[q], whole
+
+
+def pack_cell(first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """First start, count of further starts and distance from the last start to the anchor, in one number."""
+    return first << 16 | (last - first) << 8 | (anchor - last)
+
+
+def unpack_cell(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First start, last start and anchor."""
+    first = at >> 16
+    last = first + (at >> 8 & 255)
+    return first, last, last + (at & 255)
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs ``first, first + 1, ...`` of ``count`` numbers: all numbers, and the run that each belongs to."""
+    run = np.repeat(np.arange(len(first)), count)
+    return first[run] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), run
+
+
+#: Starts of a block.
+BLOCK = 16
+#: Hot anchors: those in 1 of 500 documents of a sample of about this size. They are only dealt out differently.
+SAMPLE_DOCS, SALTS = 3000, 16
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``row``: the id, or a hash of the text where it is null."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, F.xxhash64(text)).alias("row"))
 
 
 def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """``(doc_id, first, last)``: runs of starts at which a string of ``threshold`` bytes begins that also begins elsewhere.
+    """``(doc_id, first, last)`` (doc_id as in ``keyed``): runs of starts at which a string of ``threshold`` bytes begins that also begins elsewhere.
 
     ``docs`` holds ``doc_id`` and ``text``. Runs may touch or overlap. Texts shorter than the threshold have none.
     """
 
+    texts = keyed(docs).select(F.col("row").alias("doc_id"), "text").filter(F.octet_length("text") >= threshold)
+    hot = texts.sparkSession.sparkContext.broadcast(_hot_anchors(texts, threshold, gram))
+
     def find_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 out = []
                 for doc, text in zip(part.column(0).to_pylist(), byte_rows(part.column(1)), strict=True):
-                    if len(text) >= threshold:
-                        first, last, anchor, whole = cells(np.frombuffer(text, np.uint8), threshold, gram)
-                        out.append((np.full(len(first), doc), first * 256 + last - first, anchor.view(np.int64), whole.view(np.int64)))
+                    first, last, q, anchor, whole = cells(np.frombuffer(text, np.uint8), threshold, gram)
+                    salt = np.where(np.isin(anchor, hot.value), 1 + doc % SALTS, 0).astype(np.int32)
+                    out.append((np.full(len(first), doc), pack_cell(first, last, q), anchor.view(np.int64), salt, whole.view(np.int64)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["doc_id", "at", "anchor", "whole"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = save(texts.filter(F.octet_length("text") >= threshold).mapInArrow(find_cells, "doc_id long, at long, anchor long, whole long"), "cells")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    stay = save(found.join(often, "anchor"), "cells_of_repeated_anchors")
-    kinds = save(stay.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("one")), "distinct_cells")
-    equal = stay.join(kinds.filter("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select("doc_id", "at")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["doc_id", "at", "anchor", "salt", "whole"])
+
+    # one shuffle and sort settle all but the hot anchors, whose salted parts meet in small aggregates below
+    found = texts.mapInArrow(find_cells, "doc_id long, at long, anchor long, salt int, whole long")
+    alike, near = Window.partitionBy("anchor", "salt", "whole"), Window.partitionBy("anchor", "salt")
+    placed = found.withColumn("nth", F.row_number().over(alike.orderBy("doc_id", "at"))).withColumn("n", F.count("*").over(alike)).withColumn("all", F.count("*").over(near))
+    stay = save(placed.filter("all > 1 or salt > 0").select("anchor", "salt", "whole", "doc_id", "at", "n", "all", (F.col("nth") == 1).alias("one")), "cells")
+    cold, warm = stay.filter("salt = 0"), stay.filter("salt > 0")
+    kinds = warm.filter("one").groupBy("anchor", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "at")).alias("one"))
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
-    listed = kinds.join(mixed, "anchor").select("one.doc_id", F.struct("one.at", "anchor", (F.col("n") == 1).alias("alone")).alias("cell")).groupBy("doc_id").agg(F.collect_list("cell").alias("cells"))
+    # copies that met in their salted part are settled there; the rest asks the aggregate
+    equal = stay.filter("n > 1").select("doc_id", "at").union(warm.filter("n = 1").join(kinds.filter("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select("doc_id", "at"))
+    picked = cold.filter("one and n < all").select("doc_id", "at", "anchor", (F.col("n") == 1).alias("alone")).union(kinds.join(mixed, "anchor").select("one.doc_id", "one.at", "anchor", F.col("n") == 1))
+    listed = save(picked.groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor", "alone")).alias("cells")), "open_cells")
 
-    def rank_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rank_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 1 << 18):
                 out = []
                 for doc, text, cs in zip(part.column(0).to_pylist(), byte_rows(part.column(1)), part.column(2).to_pylist(), strict=True):
                     rank = Ranks(np.frombuffer(text, np.uint8), 1)
-                    at = np.array([c["at"] for c in cs])
-                    n = at % 256 + 1
-                    start = np.repeat(at // 256, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    anchor, alone = np.repeat(np.array([c["anchor"] for c in cs]), n), np.repeat(np.array([c["alone"] for c in cs]), n)
-                    out.append((anchor, rank.at(start, start + threshold).view(np.int64), np.where(alone, np.int64(doc), np.int64(-1)), start, alone))
+                    cs = [c for c in cs if (c["at"] >> 16) + (c["at"] >> 8 & 255) + threshold <= len(text)]  # rows that share an id
+                    if not cs:
+                        continue
+                    first, last, q = unpack_cell(np.array([c["at"] for c in cs]))
+                    low = (q - last) // BLOCK
+                    k, cell = spread(low, (q - first) // BLOCK - low + 1)
+                    end = q[cell] - k * BLOCK  # behind the block's starts, if none is cut off
+                    a, b = np.maximum(end - BLOCK + 1, first[cell]), np.minimum(end, last[cell])
+                    common = rank.at(end, end - BLOCK + 1 + threshold)
+                    whole = rank.at(a, b + threshold) ^ _mix(((end - a) * 64 + end - b).astype(np.uint64))
+                    out.append((np.array([c["anchor"] for c in cs])[cell], k, common.view(np.int64), whole.view(np.int64), np.full(len(k), doc), a << 8 | (b - a), np.array([c["alone"] for c in cs])[cell]))
                 if out:
-                    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], mask=~cols[4]), pa.array(cols[3])], ["anchor", "rank", "doc_id", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["anchor", "k", "common", "whole", "doc_id", "at", "alone"])
 
-    ranked = save(texts.join(listed, "doc_id").select("doc_id", "text", "cells").mapInArrow(rank_starts, "anchor long, rank long, doc_id long, start long"), "ranked_starts")
+    blocks = save(with_texts(texts, listed).select("doc_id", "text", "cells").mapInArrow(rank_blocks, "anchor long, k long, common long, whole long, doc_id long, at long, alone boolean"), "blocks")
+    shared = ["anchor", "k", "common"]
+    often = blocks.groupBy(*shared).agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).filter("n > 1").drop("n")
+    open_ = save(blocks.join(often, shared), "open_blocks")
+    same = save(open_.groupBy(*shared, "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at", "alone")).alias("one"), F.first("mixed").alias("mixed")), "distinct_blocks")
+    settled = open_.filter("alone").join(same.filter("n > 1").select(*shared, "whole"), [*shared, "whole"]).select("doc_id", "at")
+    edges = save(same.filter("mixed").select("one.doc_id", F.struct("one.at", "anchor", (F.col("one.alone") & (F.col("n") == 1)).alias("alone")).alias("block")).groupBy("doc_id").agg(F.collect_list("block").alias("blocks")), "edge_blocks")
+
+    def rank_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, 1 << 18):
+                out = []
+                for doc, text, bs in zip(part.column(0).to_pylist(), byte_rows(part.column(1)), part.column(2).to_pylist(), strict=True):
+                    rank = Ranks(np.frombuffer(text, np.uint8), 1)
+                    bs = [b for b in bs if (b["at"] >> 8) + (b["at"] & 255) + threshold <= len(text)]
+                    if not bs:
+                        continue
+                    at = np.array([b["at"] for b in bs])
+                    start, block = spread(at >> 8, (at & 255) + 1)
+                    out.append((np.array([b["anchor"] for b in bs])[block], rank.at(start, start + threshold).view(np.int64), np.full(len(start), doc), start, np.array([b["alone"] for b in bs])[block]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["anchor", "rank", "doc_id", "start", "alone"])
+
+    ranked = save(with_texts(texts, edges).select("doc_id", "text", "blocks").mapInArrow(rank_starts, "anchor long, rank long, doc_id long, start long, alone boolean"), "starts")
     again = ranked.groupBy("anchor", "rank").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "rank")
-    partly = ranked.filter("doc_id is not null").join(again, ["anchor", "rank"]).select("doc_id", (F.col("start") * 256).alias("at"))
-    return equal.union(partly).select("doc_id", F.expr("at div 256").alias("first"), F.expr("at div 256 + at % 256").alias("last"))
+    single = ranked.filter("alone").join(again, ["anchor", "rank"]).select("doc_id", F.col("start").alias("first"), F.col("start").alias("last"))
+    cut = equal.select("doc_id", F.expr("at >> 16").alias("first"), F.expr("(at >> 16) + ((at >> 8) & 255)").alias("last"))
+    return cut.union(settled.select("doc_id", F.expr("at >> 8").alias("first"), F.expr("(at >> 8) + (at & 255)").alias("last"))).union(single)
+
+
+def _hot_anchors(texts: DataFrame, threshold: int, gram: int) -> np.ndarray:
+    """Anchors of 1 in 500 sampled documents: at most 500 times a document's mean number of cells."""
+    n = texts.count()
+    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_DOCS / max(n, 1))) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in byte_rows(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(cells(np.frombuffer(text, np.uint8), threshold, gram)[3]).view(np.int64))], ["anchor"])
+
+    rows = some.mapInArrow(run, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= max(3, min(n, SAMPLE_DOCS) // 500)).select("anchor").toArrow()
+    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that no repeated string covers), spans.
 
     Every copy of a repeated string goes, in the same document too; spans are half-open byte ranges. Null and empty
-    texts keep nothing of nothing. Ids are expected to be unique; rows that share an id and a text count as copies.
+    texts keep nothing of nothing. Ids are expected to be unique: rows that share an id and a text count as copies, and rows that share an id only
+    share their spans. A row without an id takes part like any other.
     """
-    runs = repeated_starts(docs, threshold, gram).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = save(repeated_starts(docs, threshold, gram).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +235,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
                     if not rs:
                         rows.append((len(text), 0, 0, text, []))
                         continue
-                    a = np.array(sorted((r["first"], r["last"] + threshold) for r in rs))
+                    a = np.minimum(np.array(sorted((r["first"], r["last"] + threshold) for r in rs)), len(text))
                     reach = np.maximum.accumulate(a[:, 1])
                     new = np.flatnonzero(np.append(True, a[1:, 0] > reach[:-1]))
                     start, end = a[new, 0], reach[np.append(new[1:], len(a)) - 1]
@@ -161,12 +244,12 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
                 n, gone, spans, kept, at = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(at, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
-
-
-def kept_sha256(kept: bytes) -> str:
-    return sha256(kept).hexdigest()
+    texts = keyed(docs).withColumnsRenamed({"doc_id": "id", "row": "doc_id"})
+    # texts without a candidate pass by on their own, without a shuffle
+    listed = split_by(texts, runs)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>"
+    none = F.lit(None).cast("array<struct<first:bigint,last:bigint>>")
+    return listed[0].join(runs, "doc_id", "left").select("id", "text", "runs").mapInArrow(cut, schema).union(listed[1].select("id", "text", none.alias("runs")).mapInArrow(cut, schema))
 
 
 def text_of(cut: DataFrame) -> DataFrame:
