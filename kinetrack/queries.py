@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures
 from .functions import scalar
-from .operators import agreement, association, episodes, features, kinematics, laws, order, report, serial, signal, states, summary
+from .operators import agreement, association, episodes, features, kinematics, laws, models, order, report, serial, signal, states, summary
 from .oracles import STATE, compose, kinematics as kinematics_sql, ranks
 from .plans import battery
 from .sources import files
@@ -351,3 +351,22 @@ query("S20_frame_split", f"SELECT video, {L('frame')}, CASE WHEN row_number() OV
 
 query("M31_cohort_battery")(lambda s, d: battery.cohort_battery(tracks(s, d), 9))
 query("E01_batch_agreement", f"SELECT category, {AGREE}, count(*) AS n FROM long GROUP BY category", LONG)(lambda s, d: battery.batch_agreement(tracks(s, d), fixtures.detections(s, d), clinical(s, d)))
+
+
+# ---- models
+def by_video(s: SparkSession, d: str) -> DataFrame:
+    return kept(s, d).groupBy("video").agg(*[F.avg(m).alias(m) for m in METRICS]).join(clinical(s, d).select("video", "dfi"), "video")
+
+
+FEATURES = ["VCL", "LIN", "ALH"]
+query("M08_hidden_markov")(lambda s, d: models.hidden_markov(states.modal_blocks(frame_states(s, d), 9), index="block"))
+query("M09_concentration")(lambda s, d: models.concentration(frame_states(s, d, 9)))
+query("M20_ridge_loo")(lambda s, d: models.ridge_loo(by_video(s, d), FEATURES, "dfi"))
+query("M20_ridge_kfold")(lambda s, d: models.ridge_kfold(kept(s, d), ["LIN", "ALH", "BCF"], "VCL", order.fold_of()))
+query("M21_mean_predictor", f"SELECT {r('avg(abs(dfi - (t - dfi) / (n - 1))) AS mae')}, any_value(n) AS n FROM (SELECT dfi, sum(dfi) OVER () AS t, count(*) OVER () AS n FROM clinical)")(
+    lambda s, d: clinical(s, d).crossJoin(clinical(s, d).agg(F.sum("dfi").alias("t"), F.count("*").alias("n"))).agg(F.avg(F.abs(F.col("dfi") - (F.col("t") - F.col("dfi")) / (F.col("n") - 1))).alias("mae"), F.first("n").alias("n"))
+)
+query("M22_permutation_test")(lambda s, d: models.permutation_test(by_video(s, d), FEATURES, "dfi", "video"))
+query("M23_bca_interval")(lambda s, d: models.bca_interval(by_video(s, d), "VCL", "video"))
+query("M25_forest")(lambda s, d: models.forest_regression(kept(s, d), ["LIN", "ALH", "BCF"], "VCL", order.fold_of(folds=2), trees=10))
+query("M26_mixture_bic")(lambda s, d: models.mixture_bic(kept(s, d), FEATURES))
