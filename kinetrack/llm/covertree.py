@@ -139,14 +139,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """Per row: vec_id, n_links, component_id, kept, over pairs of equal, non-null labels with at least this cosine.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and so do vectors
-    of different lengths. Repeated rows and equal vectors link with each other.
+    of different lengths and rows without an id. Repeated rows and equal vectors link with each other.
     """
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.col(label_col).alias("label"))
     # nulls and NaN fail the comparison, as infinities do
     sound = F.size("v") > 0
     sound &= ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.withColumn("sound", F.coalesce(sound & F.col("label").isNotNull(), F.lit(False)))
+    rows = rows.withColumn("sound", F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
     # adding 0.0 makes -0.0 and 0.0 one value; the key names a vector within its label
     key = F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0)).cast("string"))), 256)
     keyed = save(rows.filter("sound").select("vec_id", "label", key.alias("key"), "v"), "vectors")

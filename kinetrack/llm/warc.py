@@ -41,7 +41,7 @@ def url_key(url: str) -> str:
 def record(page_id: int, url: str, stamp: str, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record. A revisit holds headers only."""
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {stamp}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {stamp}",
         # a target that holds line breaks would break the header: percent-encoded there
         "WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8",
@@ -116,7 +116,7 @@ def with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     page = pages.select("page_id", "url", "stamp", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     key = page.select("page_id", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").alias("n")).filter(F.col("n") >= min_bytes)
     best = key.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    again = key.join(best, "payload_digest").filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    again = key.join(best, "payload_digest").filter("page_id <> refers_to").groupBy("page_id").agg(F.max("refers_to").alias("refers_to"))
     return page.join(again, "page_id", "left")
 
 
@@ -147,8 +147,9 @@ def capture_runs(archives: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in CAPTURES.split(", ")]
     types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
-    def page_of(urn: str) -> int:
-        return int(urn[len("<urn:page:") : -1])
+    def page_of(urn: str) -> int | None:
+        number = urn[len("<urn:page:") : -1]
+        return int(number) if number else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +161,7 @@ def capture_runs(archives: DataFrame) -> DataFrame:
                         raise ValueError(f"{archive}, byte {at}: the payload does not match its digest")
                     url = h["WARC-Target-URI"].replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
                     rows.append((url_key(url), h["WARC-Date"], page_of(h["WARC-Record-ID"]), url, kind, digest, size, page_of(h["WARC-Refers-To"]) if kind == "revisit" else None, archive, at))
-                rows.sort(key=lambda r: r[:3])
+                rows.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return archives.select("archive", "data").mapInArrow(run, CAPTURES)
@@ -182,8 +183,8 @@ def merge_runs(captures: DataFrame) -> DataFrame:
         cols = [table.column(n).to_pylist() for n in (*order, "archive")]
         runs: dict[str, list[tuple]] = {}
         for k, (key, stamp, page, archive) in enumerate(zip(*cols, strict=True)):
-            runs.setdefault(archive, []).append((key, stamp, page, k))
-        at = [row[3] for row in LoserTree(runs.values())]
+            runs.setdefault(archive, []).append((key, stamp, page is not None, page, k))
+        at = [row[-1] for row in LoserTree(runs.values())]
         base = TaskContext.get().partitionId() << 40
         merged = table.take(at).append_column("place", pa.array(range(base, base + len(at)), pa.int64()))
         yield from merged.combine_chunks().to_batches(max_chunksize=10_000)
@@ -196,7 +197,7 @@ def archive_history(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     """Write pages as WARC, read the archives back, and return their merged capture history, one row per page.
 
     Null html is an empty payload, a null url an empty target. Payloads under 1,000 bytes are always responses. Page
-    ids are expected to be unique; repeated rows give repeated captures.
+    ids are expected to be unique; repeated rows give repeated captures, and a page without an id is a response.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.lit(stamp).alias("stamp"))
     archives = save(write_archives(rows), "archives")
