@@ -8,13 +8,22 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
+from itertools import islice
 
 SPACE_RUN = re.compile(r" (?:\s|\Z)")
 CUT = re.compile(r" (?=\S)")
-#: Distinct pieces that a worker keeps before it starts anew; bounds its memory, not the result.
-CACHE_PIECES = 300_000
+#: Distinct pieces that a worker keeps; bounds its memory (some 200 bytes each), not the result.
+CACHE_PIECES = 700_000
+
+
+def make_room(cache: dict, new: int, limit: int) -> None:
+    """Where ``new`` entries do not fit, keep the half met first: frequent words come early."""
+    if len(cache) + new > limit:
+        kept = list(islice(cache.items(), limit // 2))
+        cache.clear()
+        cache.update(kept)
 
 
 class PieceEncoder:
@@ -34,11 +43,11 @@ class PieceEncoder:
         self.tails: dict[str, bytes] = {}
 
     def _fill(self, cache: dict[str, bytes], pieces: list[str], prefix: str) -> None:
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        if new := list(set(pieces).difference(cache)):
+        wanted = set(pieces)
+        make_room(cache, len(wanted), CACHE_PIECES)
+        if new := list(wanted.difference(cache)):
             done = self.tokenizer.encode_batch_fast([prefix + p for p in new], add_special_tokens=False)
-            cache.update((p, np.array(e.ids, "<u2").tobytes()) for p, e in zip(new, done, strict=True))
+            cache.update((p, ids_bytes(e.ids)) for p, e in zip(new, done, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [(CUT.split(t) if SPACE_RUN.search(t) else t.split(" ")) if t else [] for t in texts]
@@ -48,5 +57,12 @@ class PieceEncoder:
         return [self.heads[c[0]] + b"".join(map(tail, c[1:])) if c else b"" for c in cut]
 
 
+def ids_bytes(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def texts_of(array) -> list[str]:
     return [x or "" for x in array.to_pylist()]
