@@ -21,6 +21,8 @@ from .common import partitions, save, slices
 from .tokens import PieceEncoder, texts_of
 
 BUCKETS, DIMS, BITS = 256, 4, 10
+#: Hash bucket of each 16-bit id.
+BUCKET_OF = ((np.arange(1 << 16, dtype=np.uint32) * np.uint32(2654435761) >> np.uint32(16)) % BUCKETS).astype(np.int64)
 TOKENS = "doc_id long, curve long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -57,7 +59,7 @@ def curve_keys(rows: list[np.ndarray]) -> np.ndarray:
     """Hilbert keys of documents given by their token ids. Equal documents get equal keys; an empty one sits mid-range."""
     vectors = np.zeros((len(rows), BUCKETS))
     for k, ids in enumerate(rows):
-        vectors[k] = np.bincount((ids.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(16)) % BUCKETS, minlength=BUCKETS)
+        vectors[k] = np.bincount(BUCKET_OF[ids], minlength=BUCKETS)
     vectors = np.sqrt(vectors)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     points = vectors @ np.random.default_rng(7).standard_normal((BUCKETS, DIMS))

@@ -10,12 +10,13 @@ import os
 import re
 import sys
 from array import array
-from itertools import islice
+from collections.abc import Iterable
+from itertools import chain, islice
 
 SPACE_RUN = re.compile(r" (?:\s|\Z)")
 CUT = re.compile(r" (?=\S)")
 #: Distinct pieces that a worker keeps; bounds its memory (some 200 bytes each), not the result.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 1_000_000
 
 
 def make_room(cache: dict, new: int, limit: int) -> None:
@@ -42,7 +43,7 @@ class PieceEncoder:
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
-    def _fill(self, cache: dict[str, bytes], pieces: list[str], prefix: str) -> None:
+    def _fill(self, cache: dict[str, bytes], pieces: Iterable[str], prefix: str) -> None:
         wanted = set(pieces)
         make_room(cache, len(wanted), CACHE_PIECES)
         if new := list(wanted.difference(cache)):
@@ -52,7 +53,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [(CUT.split(t) if SPACE_RUN.search(t) else t.split(" ")) if t else [] for t in texts]
         self._fill(self.heads, [c[0] for c in cut if c], "")
-        self._fill(self.tails, [p for c in cut for p in c[1:]], " ")
+        self._fill(self.tails, chain.from_iterable(c[1:] for c in cut), " ")
         tail = self.tails.__getitem__
         return [self.heads[c[0]] + b"".join(map(tail, c[1:])) if c else b"" for c in cut]
 
