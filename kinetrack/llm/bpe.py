@@ -11,6 +11,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -18,63 +19,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokens import texts_of
+from .tokens import make_room, texts_of
 
 NONE = 1 << 62
 MASK = (1 << 32) - 1
-CACHE_WORDS = 250_000
-#: Control characters on which str.split() and the regular expression's \s disagree.
-ODD_SPACE = regex.compile("[\x1c-\x1f\x85᠎]")
+#: Distinct words that a worker keeps; bounds its memory (some 400 bytes each), not the result.
+CACHE_WORDS = 500_000
 
 
-def merge_symbols(symbols: list, merges: dict) -> list:
-    """Apply BPE ``merges`` ({(left, right): (rank, merged)}) to a list of symbols: lowest rank first, leftmost first."""
+def merge_symbols(symbols: list[int], merges: dict[int, tuple[int, int]]) -> list[int]:
+    """Apply BPE merges to symbols (numbers below 2**16): lowest rank first, leftmost first.
+
+    ``merges`` maps ``left << 16 | right`` to ``(rank << 32, merged)``.
+    """
     n = len(symbols) - 1
     if n < 1:
         return symbols
-    size = 1 << (n - 1).bit_length()
-    tree = [NONE] * (2 * size)
     get = merges.get
+    leaves = []
     for i in range(n):
-        if m := get((symbols[i], symbols[i + 1])):
-            tree[size + i] = m[0] << 32 | i
+        m = get(symbols[i] << 16 | symbols[i + 1])
+        leaves.append(m[0] | i if m else NONE)
+    size = 1 << (n - 1).bit_length()
+    tree = [NONE] * size + leaves + [NONE] * (size - n)
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-    if tree[1] == NONE:
+    if (root := tree[1]) == NONE:
         return symbols
     symbols = symbols.copy()
     after, before = list(range(1, n + 2)), list(range(-1, n))
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            a = a if a < b else b
-            if tree[k] == a:
-                return
-            tree[k] = a
-            k >>= 1
-
-    while (root := tree[1]) != NONE:
+    while root != NONE:
         i = root & MASK
         j = after[i]
-        symbols[i], symbols[j] = get((symbols[i], symbols[j]))[1], None
+        merged = symbols[i] = get(symbols[i] << 16 | symbols[j])[1]
+        symbols[j] = -1
         k = after[i] = after[j]
-        if j < n:  # the pair (j, k) is gone
-            put(j, NONE)
+        h = before[i]
+        fresh = NONE
         if k <= n:
             before[k] = i
-            m = get((symbols[i], symbols[k]))
-            put(i, m[0] << 32 | i if m else NONE)
-        else:
-            put(i, NONE)
-        if (h := before[i]) >= 0:
-            m = get((symbols[h], symbols[i]))
-            put(h, m[0] << 32 | h if m else NONE)
-    return [s for s in symbols if s is not None]
+            if m := get(merged << 16 | symbols[k]):
+                fresh = m[0] | i
+        changed = [(i, fresh)]
+        if j < n:  # the pair (j, k) is gone
+            changed.append((j, NONE))
+        if h >= 0:
+            m = get(symbols[h] << 16 | merged)
+            changed.append((h, m[0] | h if m else NONE))
+        for at, value in changed:
+            at += size
+            if tree[at] != value:
+                tree[at] = value
+                at >>= 1
+                while at:
+                    a, b = tree[2 * at], tree[2 * at + 1]
+                    if b < a:
+                        a = b
+                    if tree[at] == a:
+                        break
+                    tree[at] = a
+                    at >>= 1
+        root = tree[1]
+    return [s for s in symbols if s >= 0]
 
 
 def byte_symbols() -> list[str]:
@@ -97,61 +104,69 @@ class BpeCodec:
         if model["type"] != "BPE" or steps != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in pre] != ["Split", "ByteLevel"] or spec.get("decoder"):
             raise ValueError(f"{path}: only NFC, white-space, lower-case, split, byte-level BPE without a decoder is known")
         self.vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
-        self.merges = {tuple(m): (rank, "".join(m)) for rank, m in enumerate(model["merges"])}
+        v = self.vocab
+        if max(v.values()) >= 1 << 16:
+            raise ValueError(f"{path}: the vocabulary has more than 65,536 ids")
+        self.merges = {v[a] << 16 | v[b]: (rank << 32, v[a + b]) for rank, (a, b) in enumerate(model["merges"])}
         self.split = regex.compile(pre[0]["pattern"]["Regex"])
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.byte = byte_symbols()
-        self.word_of_byte = {}
+        symbols = byte_symbols()
+        self.inner, self.last = [v.get(x) for x in symbols], [v.get(x + self.suffix) for x in symbols]
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in special.items()}
-        self.pieces: dict[str, tuple[str, str, int]] = {}
+        self.ids: dict[str, str] = {}
+        self.text: dict[str, str] = {}
 
     def word_ids(self, word: str) -> list[int]:
-        symbols = [self.byte[b] for b in word.encode("utf-8")]
-        symbols[-1] += self.suffix
-        vocab = self.vocab
-        return [vocab[s] for s in merge_symbols([s for s in symbols if s in vocab], self.merges)]
-
-    def piece_ids(self, piece: str) -> list[int]:
-        """Ids of a text without special tokens."""
-        text = unicodedata.normalize("NFC", piece)
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # the library lowers character by character
-        return [i for w in self.split.findall(text) for i in self.word_ids(w)]
-
-    def _piece(self, piece: str) -> tuple[str, str, int]:
-        ids = self.piece_ids(piece)
-        return " ".join(map(str, ids)), self.decode(ids), len(ids)
+        raw = word.encode("utf-8")
+        symbols = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
+        return merge_symbols([x for x in symbols if x is not None] if None in symbols else symbols, self.merges)
+
+    def lowered(self, text: str) -> str:
+        """The normaliser's steps, but for white space, which no id depends on."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if "Σ" in text:  # the library lowers character by character
+                return "".join(map(str.lower, text))
+        return text.lower()
+
+    def words(self, text: str) -> list[str]:
+        """Special tokens, and the words of what lies between them."""
+        if self.special_at and "<|" in text:
+            return [w for k, run in enumerate(self.special_at.split(text)) for w in ([run] if k % 2 else self.split.findall(self.lowered(run)))]
+        return self.split.findall(self.lowered(text))
 
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by spaces: what a file without a decoder stands for."""
         return " ".join(self.token[i] for i in ids if i in self.token)
 
-    def encode_parts(self, text: str) -> tuple[list[str], list[str], int]:
-        """Id strings and decoded strings of the parts of a text that cannot influence each other, and the ids' count."""
-        ids, out, n = [], [], 0
-        cache = self.pieces
-        for k, run in enumerate(self.special_at.split(text) if self.special_at and "<" in text else [text]):
-            if k % 2:
-                ids.append(str(self.special[run]))
-                out.append(run)
-                n += 1
-                continue
-            for piece in [run] if ODD_SPACE.search(run) else run.split():
-                if (done := cache.get(piece)) is None:
-                    done = self._piece(piece)
-                    if len(piece) <= 64:
-                        if len(cache) > CACHE_WORDS:
-                            cache.clear()
-                        cache[piece] = done
-                if done[2]:
-                    ids.append(done[0])
-                    out.append(done[1])
-                    n += done[2]
-        return ids, out, n
+    def learn(self, words: set[str]) -> None:
+        """Encode words that have not been met yet."""
+        make_room(self.ids, len(words), CACHE_WORDS)
+        make_room(self.text, len(words), CACHE_WORDS)
+        for w in words.difference(self.ids):
+            ids = [self.special[w]] if w in self.special else self.word_ids(w)
+            self.ids[w] = " ".join(map(str, ids))
+            self.text[w] = self.decode(ids)
+
+    def encode_batch(self, texts: list[str]) -> tuple[list[str], list[str]]:
+        """Of each text its ids (decimal, joined by spaces) and its decoded form."""
+        cut = [self.words(t) for t in texts]
+        self.learn(set(chain.from_iterable(cut)))
+        ids, text = self.ids.__getitem__, self.text.__getitem__
+        return [" ".join(filter(None, map(ids, c))) for c in cut], [" ".join(filter(None, map(text, c))) for c in cut]
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for part in self.encode_parts(text)[0] for x in part.split(" ")]
+        return [int(x) for x in self.encode_batch([text])[0][0].split()]
+
+
+def digest(text: str) -> str:
+    return sha256(text.encode()).hexdigest()
+
+
+def count(ids: str) -> int:
+    return ids.count(" ") + 1 if ids else 0
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,11 +179,8 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         codec = BpeCodec(tokenizer_path)
         for batch in batches:
             for part in slices(batch, 1):
-                done = [codec.encode_parts(t) for t in texts_of(part.column(1))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([d[2] for d in done], pa.int64()), pa.array([" ".join(d[0]) for d in done], pa.string()), pa.array([" ".join(d[1]) for d in done], pa.string())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
-                )
+                ids, decoded = codec.encode_batch(texts_of(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(count, ids), pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")
 
@@ -180,12 +192,7 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         codec = BpeCodec(tokenizer_path)
         for batch in batches:
             for part in slices(batch, 1):
-                n, ids, out = [], [], []
-                for text in texts_of(part.column(1)):
-                    a, b, c = codec.encode_parts(text)
-                    n.append(c)
-                    ids.append(sha256(" ".join(a).encode()).hexdigest())
-                    out.append(sha256(" ".join(b).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(out)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids, decoded = codec.encode_batch(texts_of(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(count, ids), pa.int64()), pa.array(map(digest, ids), pa.string()), pa.array(map(digest, decoded), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
