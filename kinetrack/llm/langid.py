@@ -27,6 +27,10 @@ DIM = 1 << 12
 #: At most so many labelled documents are learned from (those of smallest hash, evenly over languages).
 SAMPLE_PER_LANG = 400
 CACHE_WORDS = 250_000
+#: Longer words are computed at each meeting, not cached: this bounds a cache's bytes, not what is read of a word.
+CACHE_LETTERS = 64
+#: Letters whose grams are counted at a time; bounds the memory that a long word takes.
+STRETCH = 1 << 14
 # ISO 639-1 codes by family. A language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb", "yi"],
@@ -44,15 +48,31 @@ def grams(word: str) -> np.ndarray:
     return np.array([xxhash.xxh32_intdigest(g) % DIM for g in found])
 
 
+def gram_counts(word: str) -> np.ndarray:
+    """How often each feature of ``grams`` occurs in a long word, a stretch at a time."""
+    w = f"<{word}>"
+    n = np.bincount([xxhash.xxh32_intdigest(w) % DIM], minlength=DIM)
+    for a in range(0, len(w), STRETCH):
+        b = min(a + STRETCH, len(w))
+        found = Counter(w[i : i + k] for k in (1, 2, 3, 4) for i in range(a, min(b, len(w) - k + 1)))
+        np.add.at(n, [xxhash.xxh32_intdigest(g) % DIM for g in found], list(found.values()))
+    return n
+
+
 def word_vector(word: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a word and their values, of length 1."""
-    at, n = np.unique(grams(word), return_counts=True)
+    """Features of a word, all of it, and their values, of length 1."""
+    if len(word) > CACHE_LETTERS:
+        n = gram_counts(word)
+        at = np.flatnonzero(n)
+        n = n[at]
+    else:
+        at, n = np.unique(grams(word), return_counts=True)
     return at, n / np.sqrt(n @ n)
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case runs of word characters; none at all if no character is a letter. A run's first 64 characters name it."""
-    words = [w[:64] for w in WORD.findall(text.lower())]
+    """Lower-case runs of word characters, each whole; none at all if no character is a letter."""
+    words = WORD.findall(text.lower())
     return words if any(c.isalpha() for w in words for c in w) else []
 
 
@@ -125,9 +145,12 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_per_l
                 words = words_of(text)
                 v = np.zeros(DIM)
                 for w, n in Counter(words).items():
-                    if w not in table:
-                        table[w] = word_vector(w)
-                    at, x = table[w]
+                    if len(w) > CACHE_LETTERS:
+                        at, x = word_vector(w)
+                    else:
+                        if w not in table:
+                            table[w] = word_vector(w)
+                        at, x = table[w]
                     v[at] += n * x
                 means.append((v / max(len(words), 1)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.binary()), batch.column(2)], ["doc_id", "v", "lang"])
@@ -170,6 +193,12 @@ class Judge:
         for at in range(0, n, 50_000):
             some = words[at : at + 50_000]
             if new := set(some).difference(table):
+                if long := [w for w in new if len(w) > CACHE_LETTERS]:
+                    times = Counter(w for w in some if len(w) > CACHE_LETTERS)
+                    for w in sorted(long):
+                        total += times[w] * word_value(w, self.model.weights)
+                    new.difference_update(long)
+                    some = [w for w in some if len(w) <= CACHE_LETTERS]
                 if len(table) + len(new) > CACHE_WORDS:
                     table.clear()
                     new = set(some)

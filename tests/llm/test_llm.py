@@ -167,6 +167,25 @@ def test_language_id(spark, docs, empty):
     assert langid.predict(one, langid.fit(one, "doc_id", "text", "lang")).filter("lang_pred = 'fr'").count() == one.count()
 
 
+def test_language_id_reads_whole_runs(spark):
+    """Words glued into runs far over 64 letters: what stands behind a common beginning decides."""
+    rng, words = random.Random(8), {"en": ["the", "which", "would", "through", "thought"], "de": ["nicht", "zwischen", "schön", "über", "straße"]}
+    same = "x" * 80
+    rows = [(k, same + "".join(rng.choice(words[lang]) for _ in range(n)), lang) for k, (lang, n) in enumerate((lang, n) for lang in words for n in [40] * 30 + [5000] * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, "doc_id", "text", "lang")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect()} == {k: lang for k, _, lang in rows}
+    assert {r.doc_id: r.lang_pred for r in langid.label(df, model).collect()} == {k: lang for k, _, lang in rows}
+    for word in (rows[0][1], rows[31][1]):
+        at, n = np.unique(langid.grams(word), return_counts=True)
+        assert np.array_equal(langid.word_vector(word)[0], at) and np.allclose(langid.word_vector(word)[1], n / np.sqrt(n @ n))
+        both = langid.Judge(model)
+        both(f"the {word} the {word}")
+        assert list(both.table) == ["the"]
+        loop = np.mean([langid.word_value(w, model.weights) for w in ("the", word, "the", word)], 0)
+        assert both(f"the {word} the {word}") == pytest.approx(model.decide(loop[None])[0])
+
+
 def word_sets(rows):
     out = {}
     for r in rows:
