@@ -114,6 +114,7 @@ def linear_trends(windows: DataFrame, x: str = "t_mid_s", columns: Sequence[str]
     return long.groupBy("series").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))
 
 
-def wide_heatmap(windows: DataFrame, windows_shown: Sequence[int], value: str = "pct_progressive") -> DataFrame:
-    """Video by window matrix."""
-    return windows.groupBy("video").pivot("window", list(windows_shown)).agg(F.first(value))
+def wide_heatmap(windows: DataFrame, windows_shown: Sequence[int] | None = None, value: str = "pct_progressive") -> DataFrame:
+    """Video by window matrix; all windows of the data where none are named, as many as the longest video has."""
+    shown = sorted(r["window"] for r in windows.select("window").distinct().collect()) if windows_shown is None else list(windows_shown)
+    return windows.groupBy("video").pivot("window", shown).agg(F.first(value))

@@ -192,7 +192,7 @@ query("W15_temporal_windows", f"SELECT video, {L('\"window\"', 'n_active', 'n_pr
 query("A13_temporal_aggregate", f"SELECT {L('\"window\"')}, {r('any_value(t_mid_s) AS t_mid_s', 'avg(n_active) AS n_active_mean', *[f'{f}({c}) AS {c}_{n}' for c in PCT for f, n in (('avg', 'mean'), ('stddev_samp', 'std'))])}, count(DISTINCT video) AS n_videos FROM twin GROUP BY \"window\"", WINDOWS)(lambda s, d: states.temporal_aggregate(windows(s, d)))
 TREND = " UNION ALL ".join(f"SELECT '{c}' AS series, {r(f'regr_slope({c}, t_mid_s) AS slope', f'regr_intercept({c}, t_mid_s) AS intercept', f'regr_r2({c}, t_mid_s) AS r2')} FROM twin" for c in PCT)
 query("A14_trends", TREND, WINDOWS)(lambda s, d: states.linear_trends(windows(s, d)))
-query("A37_video_by_window", f"SELECT video, {r('max(pct_progressive) FILTER (\"window\" = 1) AS \"1\"', 'max(pct_progressive) FILTER (\"window\" = 2) AS \"2\"', 'max(pct_progressive) FILTER (\"window\" = 3) AS \"3\"')} FROM twin GROUP BY video", WINDOWS)(lambda s, d: states.wide_heatmap(windows(s, d), [1, 2, 3]))
+query("A37_video_by_window", f"SELECT video, {r('max(pct_progressive) FILTER (\"window\" = 1) AS \"1\"', 'max(pct_progressive) FILTER (\"window\" = 2) AS \"2\"', 'max(pct_progressive) FILTER (\"window\" = 3) AS \"3\"')} FROM twin GROUP BY video", WINDOWS)(lambda s, d: states.wide_heatmap(windows(s, d)))
 
 # ---- transitions and episodes
 query("A15_transition_counts", f"SELECT {L('f AS \"from\"', 't AS \"to\"', 'n')} FROM counts")(lambda s, d: episodes.transition_counts(frame_states(s, d)))

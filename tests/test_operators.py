@@ -374,6 +374,14 @@ def test_against_duckdb(spark, sf_dir, name):
     assert a.equals(b)
 
 
+def test_heatmap_has_every_window(spark, sf_dir):
+    long = {(r.video, r.window): r.pct_progressive for r in queries.QUERIES["W15_temporal_windows"](spark, sf_dir).collect()}
+    assert max(w for _, w in long) > 3
+    wide = queries.QUERIES["A37_video_by_window"](spark, sf_dir)
+    assert wide.columns == ["video", *map(str, sorted({w for _, w in long}))]
+    assert {(r.video, int(c)): r[c] for r in wide.collect() for c in wide.columns[1:] if r[c] is not None} == long
+
+
 def test_fixture_sql_is_the_same_in_both(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
