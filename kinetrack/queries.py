@@ -127,7 +127,7 @@ query("A10_experiments", f"SELECT experiment, category, {AGREE}, count(*) AS n F
 )
 BA = [f"avg(predicted - truth) {x} AS {n}" for x, n in (("", "bias"), ("- 1.96 * stddev_pop(predicted - truth)", "low"), ("+ 1.96 * stddev_pop(predicted - truth)", "high"))]
 query("A11_bland_altman", f"SELECT category, {r(*BA, 'stddev_pop(predicted - truth) AS sd')} FROM long GROUP BY category", LONG)(lambda s, d: agreement.bland_altman(compared(s, d)))
-VCLS, STRS, IMMS = list(range(15, 36, 2))[:10], [k / 100 for k in range(40, 95, 5)], list(range(3, 16))
+VCLS, STRS, IMMS = list(range(10, 60, 5)), [k / 100 for k in range(40, 95, 5)], list(range(2, 15))
 GRID = {
     "grid": f"SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS BIGINT) AS combo, CAST(a AS DOUBLE) AS vcl_prog, CAST(b AS DOUBLE) AS str_prog, CAST(c AS DOUBLE) AS vcl_imm FROM (SELECT unnest({VCLS}) AS a), (SELECT unnest({STRS}) AS b), (SELECT unnest({IMMS}) AS c)",
     "mix": 'SELECT combo, vcl_prog, str_prog, vcl_imm, video, count(*) AS n, count(*) FILTER ("VCL" > vcl_imm AND "VCL" >= vcl_prog AND "STR" >= str_prog) AS p, count(*) FILTER ("VCL" <= vcl_imm) AS i FROM kept, grid GROUP BY ALL',

@@ -382,6 +382,16 @@ def test_heatmap_has_every_window(spark, sf_dir):
     assert {(r.video, int(c)): r[c] for r in wide.collect() for c in wide.columns[1:] if r[c] is not None} == long
 
 
+def test_grid_has_the_range_of_the_survey(spark, sf_dir):
+    """10 to 55 by 5, 0.40 to 0.90 by 0.05, 2 to 14; each combination counts the tracks."""
+    want = [(float(v), s / 100, float(i)) for v in range(10, 60, 5) for s in range(40, 95, 5) for i in range(2, 15)]
+    got = {r.combo: (r.vcl_prog, r.str_prog, r.vcl_imm) for r in queries.QUERIES["A12_threshold_sweep"](spark, sf_dir).collect()}
+    assert got == dict(enumerate(want))
+    kept = [(r.VCL, r.STR) for r in queries.kept(spark, sf_dir).collect()]
+    mix = {r.combo: (r.n, r.p, r.i) for r in queries.QUERIES["J10_grid_class_mix"](spark, sf_dir).collect()}
+    assert mix == {k: (len(kept), sum(x > i and x >= v and y >= s for x, y in kept), sum(x <= i for x, _ in kept)) for k, (v, s, i) in enumerate(want)}
+
+
 def test_fixture_sql_is_the_same_in_both(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
