@@ -156,21 +156,27 @@ def read_mpeg(data: bytes) -> Stream:
     """Measure a stream. Bytes that belong to no frame and no tag are counted as ``skipped``; an empty stream has no frames."""
     out = Stream()
     at, out.tags = read_tags(data)
-    end = len(data) - 128 if len(data) >= 128 and data[-128:-125] == b"TAG" else len(data)
+    end = len(data)
+    # an ID3v1 trailer counts only where parsing has come to its start: the same bytes within a frame are the frame's
+    trailer = end - 128 if data[-128:-125] == b"TAG" else -1
     known: dict[int, tuple | None] = {}
     offsets, sizes, frames = [], [], []
     synced = False
     while at + 4 <= end:
+        if at == trailer:
+            end = at
+            break
         h = int.from_bytes(data[at : at + 4], "big")
         info = known[h] if h in known else known.setdefault(h, parse_header(h))
         ok = info is not None and at + info[0] <= end
         if ok and not synced:  # out of sync: the next header has to stand where this one says
             nxt = at + info[0]
-            ok = nxt >= end or nxt + 4 <= end and parse_header(int.from_bytes(data[nxt : nxt + 4], "big")) is not None
+            ok = nxt in (end, trailer) or nxt + 4 <= end and parse_header(int.from_bytes(data[nxt : nxt + 4], "big")) is not None
         if not ok:
             synced = False
             step = data.find(b"\xff", at + 1, end)
             step = end if step < 0 else step
+            step = trailer if at < trailer < step else step
             out.skipped += step - at
             at = step
             continue
@@ -221,8 +227,8 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 MEASURED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_s double, n_frames long, seek_every array<long>"
 
 
-def measure_media(media: DataFrame, seek_step: int = 256) -> DataFrame:
-    """Read a media column back: payload and stream digests, exact duration, every ``seek_step``-th frame's offset, features.
+def measure_media(media: DataFrame, seek_step: int = 1) -> DataFrame:
+    """Read a media column back: payload and stream digests, exact duration, the offsets of all frames (of each ``seek_step``-th), features.
 
     Null media counts as an empty stream: no frames, an empty payload, duration 0.
     """

@@ -125,6 +125,18 @@ def test_mpeg_round_trip(docs, empty):
     assert mpeg.measure_media(mpeg.encode_media(empty)).count() == 0
 
 
+@pytest.mark.parametrize(("units", "at"), [(1, 89), (2, 137), (7, 89), (8, 137)])
+def test_mpeg_trailer_mark_inside_the_last_frame(spark, units, at):
+    payload = bytes(b"a" * 192 * (units - 1) + b"b" * at + b"TAG").ljust(192 * units - 5, b"c")
+    data = mpeg.write_mpeg(payload)
+    assert data[-128:-125] == b"TAG"
+    for stream in (data, data + b"TAG" + b" " * 125):
+        s = mpeg.read_mpeg(stream)
+        assert mpeg.payload_of(stream, s) == mpeg.pad(payload) and (len(s.offsets), s.skipped, s.bad_crc) == (units, 0, 0)
+    r = mpeg.measure_media(mpeg.encode_media(spark.createDataFrame([(1, payload.decode())], "doc_id long, text string"))).first()
+    assert r.payload_sha256 == hashlib.sha256(mpeg.pad(payload)).hexdigest() and r.seek_every == mpeg.read_mpeg(data).offsets.tolist() and len(r.seek_every) == units
+
+
 def test_mpeg_resynchronises():
     data = mpeg.write_mpeg(b"x" * 192 * 9)
     s = mpeg.read_mpeg(data)
