@@ -23,22 +23,42 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``row`` that tells each row from every other, in the order of the ids.
+
+    It is ``doc_id`` where every row has one of its own. Otherwise rows are numbered, by id and hash of the text, and
+    written once, so that every later reading sees the same numbers.
+    """
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    return save(docs.orderBy("doc_id", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of n-gram Jaccard links stays: the one with the smallest id."""
-    keep = jaccard.jaccard_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of n-gram Jaccard links stays: the one with the smallest id.
+
+    Rows that share an id are judged by their texts like any others: unlike ones stay, of equal or near ones (with a
+    text) one stays. A row without an id joins no group and stays.
+    """
+    named = row_keys(docs.filter("doc_id is not null"))
+    keep = jaccard.jaccard_groups(named, "row").filter("doc_id = component_id").select(F.col("doc_id").alias("row"))
+    return named.join(keep, "row", "left_semi").select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated 200-byte strings; documents of which nothing is left go.
 
     A cut inside a multi-byte character takes the rest of that character with it. ``n_chars`` is counted anew.
+    Each row counts for itself, with an id, without one or with one that other rows have too, and loses only what its
+    own text repeats. Rows whose text is null or empty have nothing to lose and stay as they are.
     """
-    cut = suffix_dedup.remove_repeats(docs.select("doc_id", "text"))
+    keyed = row_keys(docs)
+    cut = suffix_dedup.remove_repeats(keyed.filter("text <> ''").select(F.col("row").alias("doc_id"), "text"))
     left = cut.filter("octet_length(kept) > 0").select("doc_id", F.col("kept").alias("kept"), "n_removed")
-    rest = docs.select([c for c in docs.columns if c not in ("text", "n_chars")])
-    whole = suffix_dedup.text_of(left)
-    return rest.join(whole, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rest = keyed.select("row", *[c for c in docs.columns if c not in ("text", "n_chars")])
+    whole = suffix_dedup.text_of(left).withColumnRenamed("doc_id", "row")
+    told = rest.join(whole, "row").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return told.union(docs.filter("text is null or text = ''"))
 
 
 def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

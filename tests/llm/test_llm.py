@@ -401,6 +401,33 @@ def test_pipeline(spark, docs, tmp_path):
         assert step.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_pipeline_stages_keep_rows_without_ids_and_shared_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    clean = ["".join(rng.choice("abcdefghij ") for _ in range(300)) for _ in range(5)]
+    words = " ".join(f"w{k}" for k in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def run(stage, rows):
+        out = stage(spark, spark.createDataFrame([(k, t, "en", s, len(t or "")) for k, t, s in rows], schema), "")
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        return Counter((r.doc_id, r.text, r.source, r.n_chars) for r in out.collect())
+
+    def want(rows):
+        return Counter((k, t, s, len(t or "")) for k, t, s in rows)
+
+    stay = [(None, clean[0], "a"), (None, clean[0], "b"), (None, words, "c"), (7, clean[1], "d"), (7, clean[2], "e"), (2, words, "f"), (9, None, "g"), (9, "", "h")]
+    go = [(7, words, "i"), (8, words + " w", "j"), (10, clean[1], "k")]
+    assert run(corpus_pipeline.near_duplicates, stay + go) == want(stay)
+    assert sum(run(corpus_pipeline.near_duplicates, [(5, words, "a")] * 3 + [(6, words, "a")]).values()) == 1
+
+    both = "".join(rng.choice("klmnopqrst ") for _ in range(250))
+    rows = [(None, clean[0], "a"), (None, "<" + both + ">", "b"), (7, clean[1], "c"), (7, clean[2] + both, "d"), (9, None, "e"), (9, "", "f"), (3, both, "g"), (4, clean[3], "h"), (4, clean[3], "h")]
+    after = [(None, clean[0], "a"), (None, "<>", "b"), (7, clean[1], "c"), (7, clean[2], "d"), (9, None, "e"), (9, "", "f")]
+    assert run(corpus_pipeline.repeated_passages, rows) == want(after)
+
+
 def test_rows_without_ids_and_shared_ids(spark):
     """Null ids and ids that several texts share must not crash any operator, and give the results that docstrings state."""
     rng = random.Random(12)
