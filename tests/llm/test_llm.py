@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from kinetrack.llm import bpe, covertree, jaccard, langid, mpeg, packing, queries, suffix_dedup, token_counts, urlfilter, warc
+from kinetrack.llm import bpe, covertree, jaccard, langid, mpeg, packing, queries, suffix_dedup, token_counts, tokens, urlfilter, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, anchor string, key long"
 ODD = [
@@ -98,6 +99,47 @@ def test_bpe_matches_library(docs, empty):
     assert bpe.encode_texts(empty, path).count() == 0
 
 
+def test_bpe_of_every_character():
+    """All code points, also those that Python's Unicode tables do not know yet."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    t, codec = Tokenizer.from_file(path), bpe.BpeCodec(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 512):
+        texts = [" ".join(f"a{chr(c)}B {chr(c)}" for c in points[k : k + 16]) for k in range(at, min(at + 512, len(points)), 16)]
+        assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [[int(x) for x in ids.split()] for ids in codec.encode_batch(texts)[0]]
+
+
+def test_words_kept_do_not_show(monkeypatch):
+    """A cache that is always full gives the same ids; long words pass through it."""
+    path = queries.tokenizer("word_bpe_49k.json")
+    texts = [f"w{k % 7} x{k} {'long' * 40} w{k % 3}" for k in range(60)]
+    whole = bpe.BpeCodec(path).encode_batch(texts)
+    tight = bpe.BpeCodec(path)
+    tight.ids.limit = tight.text.limit = 900
+    assert [tight.encode_batch([t]) for t in texts] == [([a], [b]) for a, b in zip(*whole, strict=True)]
+    assert tight.ids.old and not any(len(w) > 64 for w in tight.ids.room())
+
+
+def test_byte_level_ids_match_library():
+    from tokenizers import Tokenizer
+
+    path, rng = queries.tokenizer("byte_bpe_50k.json"), random.Random(4)
+    texts = ["", " ", "a  b", "x ", "a\n b", "it's, you'LL", "<|endoftext|> a<|endoftext|>", "\x1c \x85\u2003z", "é" * 700, " " * 200_000 + "x", "語 1²٣ ⅷ"]
+    texts += ["".join(rng.choice(" \n\tab'é1!語\u0301\U0001f600") for _ in range(rng.randrange(80))) for _ in range(300)]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += [" ".join(f"a{chr(c)}b {chr(c)}1" for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    for as_text in (False, True):
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = as_text
+        ids, bounds = tokens.Encoder(path, as_text).encode(texts, 7)
+        for k, e in enumerate(t.encode_batch(texts, add_special_tokens=False)):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == [*e.ids, 7]
+    ids, bounds = tokens.encoder(path).encode([], 7)
+    assert not len(ids) and bounds.tolist() == [0]
+
+
 def test_segment_tree_merges_like_a_scan():
     rng = random.Random(5)
     for _ in range(300):
@@ -151,6 +193,44 @@ def test_mpeg_resynchronises():
     assert mpeg.parse_header(int.from_bytes(bytes([0xFF, 0xFB, 0x90, 0x64]), "big"))[:3] == (417, 1152, 44100)
 
 
+def test_mpeg_payloads_that_look_like_structure():
+    """Marks of tags, tables and headers at every offset of the last block, and random payloads, come back whole."""
+    rng = random.Random(6)
+    for blocks in (1, 2):
+        for mark in (b"TAG", b"ID3\x04\x00\x00", b"Xing", b"Info", b"VBRI", b"\xff\xfb\x94\xc0", b"\xff" * 9):
+            for at in range(mpeg.UNIT - len(mark) + 1):
+                data = b"x" * (mpeg.UNIT * (blocks - 1) + at) + mark
+                stream = mpeg.read_mpeg(made := mpeg.write_mpeg(data))
+                assert mpeg.payload_of(made, stream) == mpeg.pad(data) and stream.skipped == stream.bad_crc == 0
+    for _ in range(200):
+        data = bytes(rng.choice([0xFF, 0xFA, 0xFB, 0x54, 0x41, 0x47, 0, rng.randrange(256)]) for _ in range(rng.randrange(1200)))
+        made = mpeg.write_mpeg(data)
+        stream = mpeg.read_mpeg(made)
+        assert mpeg.payload_of(made, stream) == mpeg.pad(data) and stream.seconds * 48000 == 1152 * len(stream.offsets)
+        assert all(made[o : o + 2] == b"\xff\xfa" for o in stream.offsets.tolist())
+
+
+def test_mpeg_rates_trailers_and_vbri():
+    def frames(hz, n):  # MPEG-1 Layer III, 64 kbit/s, mono, without checksum
+        size = 144 * 64_000 // [44100, 48000, 32000][hz]
+        return [bytes([0xFF, 0xFB, 5 << 4 | hz << 2, 0xC0]) + bytes(size - 4) for _ in range(n)]
+
+    assert mpeg.read_mpeg(b"".join(frames(1, 10) + frames(2, 10))).duration == pytest.approx(0.24 + 0.36, abs=1e-12)
+    trailer = b"TAG" + b"name".ljust(30, b"\0") + b"who".ljust(30) + bytes(30) + b"1999" + b"note".ljust(28, b"\0") + b"\x00\x07" + b"\x11"
+    audio = b"".join(frames(1, 3))
+    stream = mpeg.read_mpeg(b"junk" + audio + trailer)
+    assert stream.tags == {"ID3v1:title": "name", "ID3v1:artist": "who", "ID3v1:year": "1999", "ID3v1:comment": "note", "ID3v1:track": "7", "ID3v1:genre": "17"}
+    assert stream.offsets.tolist() == [4, 196, 388] and stream.skipped == 4
+    first = bytearray(frames(2, 1)[0])
+    first[36:66] = b"VBRI" + bytes(6) + (3 * 192).to_bytes(4, "big") + (3).to_bytes(4, "big") + bytes([0, 2, 0, 1, 0, 2, 0, 2]) + bytes([1, 128, 0, 192])
+    stream = mpeg.read_mpeg(bytes(first) + b"".join(frames(2, 3)))
+    assert stream.table == {"frames": 3, "bytes": 576, "frames_per_entry": 2, "entry_bytes": [384, 192]} and len(stream.offsets) == 3
+    # a stray header that the stream behind it does not bear out is no frame
+    stray = frames(0, 1)[0][:4] + bytes(204) + frames(1, 1)[0][:4]
+    assert mpeg.read_mpeg(stray + bytes(100) + audio).offsets.tolist()[-3:] == [len(stray) + 100 + 192 * k for k in range(3)]
+    assert mpeg.read_mpeg(b"").duration == 0
+
+
 def test_separator_scan(spark, docs, empty):
     from tokenizers import Tokenizer
 
@@ -187,15 +267,62 @@ def test_language_id_reads_whole_runs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(df, "doc_id", "text", "lang")
     assert {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect()} == {k: lang for k, _, lang in rows}
-    assert {r.doc_id: r.lang_pred for r in langid.label(df, model).collect()} == {k: lang for k, _, lang in rows}
-    for word in (rows[0][1], rows[31][1]):
-        at, n = np.unique(langid.grams(word), return_counts=True)
-        assert np.array_equal(langid.word_vector(word)[0], at) and np.allclose(langid.word_vector(word)[1], n / np.sqrt(n @ n))
-        both = langid.Judge(model)
-        both(f"the {word} the {word}")
-        assert list(both.table) == ["the"]
-        loop = np.mean([langid.word_value(w, model.weights) for w in ("the", word, "the", word)], 0)
-        assert both(f"the {word} the {word}") == pytest.approx(model.decide(loop[None])[0])
+    for k, text, _ in rows[::7]:
+        assert (langid.gram_counts(text) == grams_by_hand(text)).all() and (langid.gram_counts(text, 5) == grams_by_hand(text)).all()
+    assert langid.gram_counts("1\u0301 _٣", 2) is None and langid.gram_counts("") is None
+
+
+def grams_by_hand(text):
+    """Counts of hashed 1- to 4-grams, character by character."""
+    chars = [0, 0, 32]
+    for c in text.lower() + " ":
+        if c.isalpha() or chars[-1] != 32:
+            chars.append(ord(c) if c.isalpha() else 32)
+    n = np.zeros(langid.DIM, np.int64)
+    for i in range(3, len(chars)):
+        h = 0
+        for k in range(4):
+            h += chars[i - k] * 2654435761**k
+            n[(h * int(langid.SPREAD[k]) & 0xFFFFFFFF) >> (32 - langid.BITS)] += 1
+    return n
+
+
+def language_by_hand(text, model):
+    """Family by the largest decision value, then a vote of the pairs inside it."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    n = grams_by_hand(text)
+    told = [sum((n[i] / n.sum()) ** 0.5 * model.weights[i, m] for i in np.flatnonzero(n)) + model.bias[m] for m in range(len(model.bias))]
+    ranked = sorted(range(len(model.families)), key=lambda f: -told[f])
+    inside = [x for x in model.langs if langid.FAMILY.get(x, x) == model.families[ranked[0]]]
+    wins, least = Counter(), {x: 8.0 for x in inside}
+    for m, (a, b) in enumerate(model.pairs, len(model.families)):
+        if a in inside:
+            wins[a if told[m] >= 0 else b] += 1
+            least[a], least[b] = min(least[a], told[m]), min(least[b], -told[m])
+    best = sorted(inside, key=lambda x: (wins[x], least[x], x))[-1]
+    apart = told[ranked[0]] - told[ranked[1]] if len(ranked) > 1 else 8.0
+    return best, 1 / (1 + np.exp(-2 * apart)) / (1 + np.exp(-2 * least[best]))
+
+
+def test_language_id_like_a_slow_predictor(spark, docs, sf_dir):
+    """Every row: label and score of the loop, repeated and odd rows included; extra columns stay, clashing ones give way."""
+    model = langid.fit(docs.filter(~langid.held_out()), "doc_id", "text", "lang")
+    again = docs.filter("doc_id < 40 or doc_id > 8999")
+    rows = docs.filter("doc_id < 60 or doc_id between 8000 and 8110 or doc_id > 9000").unionAll(again).selectExpr("*", "key as score", "anchor as lang_pred").collect()
+    assert len(rows) > 150
+    got = langid.predict(spark.createDataFrame(rows), model)
+    assert got.columns == [*docs.columns, "lang_pred", "score"]
+    told = {}
+    for r in got.collect():
+        lang, score = told.setdefault(r.text, language_by_hand(r.text, model))
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-9) and 0 <= r.score <= 1
+    # ties of ids, null ids and a tiny total sample: still one answer for equal texts
+    twins = docs.select("text", "lang").withColumn("doc_id", F.lit(None).cast("long"))
+    small = langid.fit(twins, "doc_id", "text", "lang", sample_total=8)
+    assert small.langs == model.langs and langid.predict(twins, small).filter("lang_pred = 'und'").count() == langid.predict(docs, model).filter("lang_pred = 'und'").count()
+    query = queries.op5_language_id(spark, sf_dir)
+    assert query.filter("held_out is null or lang_pred is null").count() == 0
 
 
 def word_sets(rows):
@@ -333,6 +460,38 @@ def test_suffix_dedup_edges(spark):
     assert [r.n_removed for r in twice] == [500, 500]
 
 
+def test_suffix_dedup_in_stretches(spark, monkeypatch):
+    """Cells cut between stretches of a long text, and anchors dealt to many parts, change nothing."""
+    rng = random.Random(21)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    texts = {k: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(900))) + shared[k * 9 :][: 300 + 40 * k] * (1 + k % 2) + "z" * (k * 60) for k in range(12)}
+    truth = {k: sum(spans[1] - spans[0] for spans in v) for k, v in suffix_spans({k: t.encode() for k, t in texts.items()}).items()}
+    raw = np.frombuffer(texts[11].encode(), np.uint8)
+    whole = suffix_dedup.cells(raw, 200, 64)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 97)
+    cut = suffix_dedup.cells(raw, 200, 64)
+    starts = [np.concatenate([np.arange(f, t + 1) for f, t in zip(c[0], c[1])]) for c in (whole, cut)]
+    anchors = [np.concatenate([np.repeat(q, t - f + 1) for f, t, q in zip(c[0], c[1], c[2])]) for c in (whole, cut)]
+    assert np.array_equal(*starts) and np.array_equal(*anchors)
+    monkeypatch.undo()
+    monkeypatch.setattr(suffix_dedup, "PART_CELLS", 1)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == truth
+    hot = (np.array([5, 9], np.uint64), np.array([4, 1]))
+    parts = suffix_dedup.salts_of(hot, np.array([5] * 50 + [9, 7], np.uint64), -3, np.arange(52))
+    assert set(parts[:50].tolist()) == {1, 2, 3, 4} and parts[50:].tolist() == [1, 0]
+
+
+def suffix_spans(texts, n=200):
+    seen = Counter(t[i : i + n] for t in texts.values() for i in range(len(t) - n + 1))
+    out = {}
+    for k, t in texts.items():
+        gone = sorted({j for i in range(len(t) - n + 1) if seen[t[i : i + n]] > 1 for j in range(i, i + n)})
+        runs = [x for x in gone if x - 1 not in set(gone)], [x + 1 for x in gone if x + 1 not in set(gone)]
+        out[k] = list(zip(*runs))
+    return out
+
+
 def test_url_filter(spark, sf_dir):
     odd = [(9001, None), (9002, "no scheme/en/"), (9003, "HTTP://WWW.Example.COM/en/7x?y=://a.net/de/"), (9004, "https://net/de/8"), (9005, "http://xexample.net/de/8"), (9006, "http://com?/en/"), (9007, "ftp://a.example.net/de/8#z"), (9008, "://org/es/")]
     df = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").union(spark.createDataFrame(odd, "page_id long, url string"))
@@ -435,7 +594,7 @@ def test_rows_without_ids_and_shared_ids(spark):
     rows = [(None, long), (None, "y" + long), (1, long + "tail"), (2, "two words here"), (2, "x" * 30), (2, long[:250]), (None, None), (3, "two words here")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     cut = suffix_dedup.remove_repeats(df).collect()
-    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in cut) == sorted([(0, 400, 400), (0, 401, 400), (1, 404, 400), (2, 14, 14), (2, 30, 30), (2, 250, 250), (0, 0, 0), (3, 14, 0)]) or sum(r.n_removed for r in cut) >= 1450
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in cut) == sorted([(0, 400, 400), (0, 401, 400), (1, 404, 400), (2, 14, 0), (2, 30, 0), (2, 250, 250), (0, 0, 0), (3, 14, 0)])
     assert {r.n_removed for r in cut if r.doc_id is None} == {0, 400} and [r.n_removed for r in cut if r.doc_id == 1] == [400]
     groups = jaccard.jaccard_groups(df).collect()
     assert len(groups) == 8 and {r.component_id for r in groups if r.doc_id is None} == {None} and {r.component_id for r in groups if r.doc_id == 3} == {2}
