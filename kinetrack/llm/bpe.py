@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
 
@@ -19,12 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokens import make_room, texts_of
+from .tokens import WordCache, byte_symbols, texts_of
 
 NONE = 1 << 62
 MASK = (1 << 32) - 1
-#: Distinct words that a worker keeps; bounds its memory (some 400 bytes each), not the result.
-CACHE_WORDS = 500_000
 
 
 def merge_symbols(symbols: list[int], merges: dict[int, tuple[int, int]]) -> list[int]:
@@ -84,13 +83,6 @@ def merge_symbols(symbols: list[int], merges: dict[int, tuple[int, int]]) -> lis
     return [s for s in symbols if s >= 0]
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in plain else next(spare)) for b in range(256)]
-
-
 class BpeCodec:
     """Encoder and decoder of a tokenizer file whose model is BPE over byte symbols with a word-end suffix.
 
@@ -98,6 +90,9 @@ class BpeCodec:
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         model, pre = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
         steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
@@ -115,8 +110,9 @@ class BpeCodec:
         symbols = byte_symbols()
         self.inner, self.last = [v.get(x) for x in symbols], [v.get(x + self.suffix) for x in symbols]
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in special.items()}
-        self.ids: dict[str, str] = {}
-        self.text: dict[str, str] = {}
+        self.byte_of = {c: b for b, c in enumerate(symbols)}
+        self.ids, self.text = WordCache(), WordCache()
+        self.known: set[str] = set()
 
     def word_ids(self, word: str) -> list[int]:
         raw = word.encode("utf-8")
@@ -131,36 +127,49 @@ class BpeCodec:
                 return "".join(map(str.lower, text))
         return text.lower()
 
+    def foreign(self, text: str) -> bool:
+        """Whether Python's Unicode tables do not know some character that the library's may know."""
+        fresh = set(text).difference(self.known)
+        strange = {c for c in fresh if unicodedata.category(c) == "Cn"}
+        self.known |= fresh - strange
+        return bool(strange)
+
+    def plain_words(self, text: str) -> list[str]:
+        if not text.isascii() and self.foreign(text):
+            found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in found]
+        return self.split.findall(self.lowered(text))
+
     def words(self, text: str) -> list[str]:
         """Special tokens, and the words of what lies between them."""
         if self.special_at and "<|" in text:
-            return [w for k, run in enumerate(self.special_at.split(text)) for w in ([run] if k % 2 else self.split.findall(self.lowered(run)))]
-        return self.split.findall(self.lowered(text))
+            return [w for k, run in enumerate(self.special_at.split(text)) for w in ([run] if k % 2 else self.plain_words(run))]
+        return self.plain_words(text)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The tokens joined by spaces: what a file without a decoder stands for."""
         return " ".join(self.token[i] for i in ids if i in self.token)
 
-    def learn(self, words: set[str]) -> None:
-        """Encode words that have not been met yet."""
-        make_room(self.ids, len(words), CACHE_WORDS)
-        make_room(self.text, len(words), CACHE_WORDS)
-        for w in words.difference(self.ids):
-            ids = [self.special[w]] if w in self.special else self.word_ids(w)
-            self.ids[w] = " ".join(map(str, ids))
-            self.text[w] = self.decode(ids)
-
     def encode_batch(self, texts: list[str]) -> tuple[list[str], list[str]]:
         """Of each text its ids (decimal, joined by spaces) and its decoded form."""
         cut = [self.words(t) for t in texts]
-        self.learn(set(chain.from_iterable(cut)))
-        ids, text = self.ids.__getitem__, self.text.__getitem__
-        return [" ".join(filter(None, map(ids, c))) for c in cut], [" ".join(filter(None, map(text, c))) for c in cut]
+        ids, text, words = self.ids.room(), self.text.room(), set(chain.from_iterable(cut))
+        for w in self.ids.missing(words):
+            self.ids.put(w, " ".join(map(str, [self.special[w]] if w in self.special else self.word_ids(w))))
+        for w in self.text.missing(words):
+            self.text.put(w, self.decode(map(int, ids[w].split())))
+        return [" ".join(filter(None, map(ids.__getitem__, c))) for c in cut], [" ".join(filter(None, map(text.__getitem__, c))) for c in cut]
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.encode_batch([text])[0][0].split()]
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str) -> BpeCodec:
+    """The codec of this process: later tasks of a worker find the words that earlier ones met."""
+    return BpeCodec(path)
+
+
 def digest(text: str) -> str:
     return sha256(text.encode()).hexdigest()
 
@@ -176,7 +185,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = BpeCodec(tokenizer_path)
+        codec = codec_of(tokenizer_path)
         for batch in batches:
             for part in slices(batch, 1):
                 ids, decoded = codec.encode_batch(texts_of(part.column(1)))
@@ -189,7 +198,7 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """``encode_texts`` with SHA-256 digests in place of the ids and the decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = BpeCodec(tokenizer_path)
+        codec = codec_of(tokenizer_path)
         for batch in batches:
             for part in slices(batch, 1):
                 ids, decoded = codec.encode_batch(texts_of(part.column(1)))

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, save, slices
-from .tokens import PieceEncoder, texts_of
+from .tokens import binaries, encoder, texts_of
 
 BUCKETS, DIMS, BITS = 256, 4, 10
+#: Ids that one task packs, about (64 MB).
+RANGE_TOKENS = 1 << 25
 #: Hash bucket of each 16-bit id.
 BUCKET_OF = ((np.arange(1 << 16, dtype=np.uint32) * np.uint32(2654435761) >> np.uint32(16)) % BUCKETS).astype(np.int64)
 TOKENS = "doc_id long, curve long, doc_tokens long, ids binary"
@@ -55,12 +57,11 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(rows: list[np.ndarray]) -> np.ndarray:
-    """Hilbert keys of documents given by their token ids. Equal documents get equal keys; an empty one sits mid-range."""
-    vectors = np.zeros((len(rows), BUCKETS))
-    for k, ids in enumerate(rows):
-        vectors[k] = np.bincount(BUCKET_OF[ids], minlength=BUCKETS)
-    vectors = np.sqrt(vectors)
+def curve_keys(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents, the token ids of which lie in a row. Equal documents get equal keys."""
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n) * BUCKETS, np.diff(bounds))
+    vectors = np.sqrt(np.bincount(owner + BUCKET_OF[ids], minlength=n * BUCKETS).reshape(n, BUCKETS))
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     points = vectors @ np.random.default_rng(7).standard_normal((BUCKETS, DIMS))
     cells = ((np.tanh(points) + 1) / 2 * (1 << BITS)).astype(np.int64)
@@ -71,12 +72,11 @@ def token_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     """Per document: its ids with ``end_id`` behind them (16-bit little-endian), their count and its curve key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = PieceEncoder(tokenizer_path), np.array([end_id], "<u2").tobytes()
+        tokens = encoder(tokenizer_path)
         for batch in batches:
             for part in slices(batch, 1):
-                ids = [x + end for x in encoder.encode(texts_of(part.column(1)))]
-                keys = curve_keys([np.frombuffer(x, "<u2") for x in ids])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "curve", "doc_tokens", "ids"])
+                ids, bounds = tokens.encode(texts_of(part.column(1)), end_id)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve_keys(ids, bounds)), pa.array(np.diff(bounds)), binaries(ids, bounds)], ["doc_id", "curve", "doc_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, TOKENS)
 
@@ -114,8 +114,10 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, id_col: str = "
     large group of copies spreads over tasks); repeated rows are packed once each; an empty table gives no piece.
     """
     tokens = save(token_table(docs, tokenizer_path, id_col, text_col, end_id), "tokens")
-    # the smallest sequences that a task can leave open are a vanishing share as long as it holds many sequences
-    dealt = tokens.repartitionByRange(partitions(docs.sparkSession), "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
+    # ranges of bounded size; what a task leaves open is a vanishing share as long as it holds many sequences
+    total = tokens.agg(F.sum("doc_tokens")).first()[0] or 0
+    ranges = max(partitions(docs.sparkSession), -(-total // RANGE_TOKENS))
+    dealt = tokens.repartitionByRange(ranges, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():

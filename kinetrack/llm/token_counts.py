@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokens import PieceEncoder, texts_of
+from .tokens import encoder, texts_of
 
 BLOCK_IDS = 1 << 17
 FLAT = "file long, block long, data binary, doc_ids array<long>"
@@ -29,7 +29,7 @@ def write_flat(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = PieceEncoder(tokenizer_path, special_as_text=True), np.array([end_id], "<u2").tobytes()
+        tokens = encoder(tokenizer_path, True)
         file, block, width = TaskContext.get().partitionId(), 0, 2 * block_ids
         data, docs_in, ends, base = bytearray(), [], [], 0
 
@@ -41,13 +41,13 @@ def write_flat(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
 
         for batch in batches:
             for part in slices(batch, 1):
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts_of(part.column(1))), strict=True):
-                    data += ids + end
-                    docs_in.append(doc)
-                    ends.append(base + len(data))
-                    while len(data) >= width:
-                        yield row(width)
-                        base, block = base + width, block + 1
+                ids, bounds = tokens.encode(texts_of(part.column(1)), end_id)
+                docs_in += part.column(0).to_pylist()
+                ends += (base + len(data) + 2 * bounds[1:]).tolist()
+                data += ids.tobytes()
+                while len(data) >= width:
+                    yield row(width)
+                    base, block = base + width, block + 1
         if data:
             yield row(len(data))
 
