@@ -4,17 +4,20 @@ Writer: an ID3v2 tag with the payload's length, a Xing table frame, then one CRC
 bytes, silent in the decoder's eyes (empty side information), with the payload in the frame's main-data region.
 Bit rates alternate, so the stream is variable-bitrate and its table of contents is not a straight line.
 
-Reader: skips tags, resynchronises on frame headers (a header counts only if the next one, or the stream's end,
-stands where it says), reads the Xing table, verifies each frame's CRC-16, and gives the exact duration and the
-byte offset of every frame.
+Reader (Layer III): parses ID3v2 and ID3v1 tags, resynchronises on frame headers (out of step, a header counts only
+if one of the same version and sampling rate, or the stream's end, stands where it says), reads the Xing, Info or VBRI
+table, verifies each frame's CRC-16, and gives the exact duration (each frame by its own sampling rate) and the byte
+offset of every frame. Free-format frames (no bit rate in the header) are skipped.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 from hashlib import sha256
 
 import numpy as np
@@ -111,7 +114,8 @@ class Stream:
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     samples: int = 0
-    hertz: int = 0
+    hertz: int = 0  # of the first frame
+    seconds: Fraction = Fraction(0)
     tags: dict = field(default_factory=dict)
     table: dict | None = None
     bad_crc: int = 0
@@ -119,7 +123,7 @@ class Stream:
 
     @property
     def duration(self) -> float:
-        return self.samples / self.hertz if self.hertz else 0.0
+        return float(self.seconds)
 
 
 def parse_header(h: int) -> tuple[int, int, int, int, bool] | None:
@@ -152,6 +156,36 @@ def read_tags(data: bytes) -> tuple[int, dict]:
     return at, out
 
 
+def read_id3v1(tag: bytes) -> dict:
+    """The fields of a 128-byte ID3v1 trailer that are not empty; version 1.1 keeps a track number in the comment's end."""
+    out, at = {}, 3
+    for name, n in (("title", 30), ("artist", 30), ("album", 30), ("year", 4), ("comment", 30)):
+        out["ID3v1:" + name] = tag[at : at + n].split(b"\x00")[0].decode("latin-1").rstrip()
+        at += n
+    if tag[125] == 0 and tag[126]:
+        out["ID3v1:track"] = str(tag[126])
+    if tag[127] != 255:
+        out["ID3v1:genre"] = str(tag[127])
+    return {k: v for k, v in out.items() if v}
+
+
+def rate_table(frame: bytes, side: int) -> dict | None:
+    """The variable-bitrate table in a stream's first frame: Xing or Info behind the side information, VBRI 32 bytes behind the header."""
+    if frame[4 + side : 8 + side] in (b"Xing", b"Info"):
+        flags, k, out = int.from_bytes(frame[8 + side : 12 + side], "big"), 12 + side, {}
+        for bit, key in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                out[key], k = int.from_bytes(frame[k : k + 4], "big"), k + 4
+        if flags & 4:
+            out["toc"] = list(frame[k : k + 100])
+        return out
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, frames, entries, scale, width, step = struct.unpack(">IIHHHH", frame[46:62])
+        toc = [int.from_bytes(frame[62 + k * width : 62 + (k + 1) * width], "big") * scale for k in range(entries)]
+        return {"frames": frames, "bytes": size, "frames_per_entry": step, "entry_bytes": toc}
+    return None
+
+
 def read_mpeg(data: bytes) -> Stream:
     """Measure a stream. Bytes that belong to no frame and no tag are counted as ``skipped``; an empty stream has no frames."""
     out = Stream()
@@ -164,6 +198,7 @@ def read_mpeg(data: bytes) -> Stream:
     synced = False
     while at + 4 <= end:
         if at == trailer:
+            out.tags |= read_id3v1(data[at:])
             end = at
             break
         h = int.from_bytes(data[at : at + 4], "big")
@@ -171,7 +206,8 @@ def read_mpeg(data: bytes) -> Stream:
         ok = info is not None and at + info[0] <= end
         if ok and not synced:  # out of sync: the next header has to stand where this one says
             nxt = at + info[0]
-            ok = nxt in (end, trailer) or nxt + 4 <= end and parse_header(int.from_bytes(data[nxt : nxt + 4], "big")) is not None
+            after = parse_header(int.from_bytes(data[nxt : nxt + 4], "big")) if nxt + 4 <= end else None
+            ok = nxt in (end, trailer) or after is not None and after[1:3] == info[1:3]
         if not ok:
             synced = False
             step = data.find(b"\xff", at + 1, end)
@@ -181,15 +217,8 @@ def read_mpeg(data: bytes) -> Stream:
             at = step
             continue
         synced = True
-        side_end = at + 4 + 2 * info[4] + info[3]
-        if not offsets and out.table is None and data[side_end : side_end + 4] in (b"Xing", b"Info"):
-            flags, k = int.from_bytes(data[side_end + 4 : side_end + 8], "big"), side_end + 8
-            out.table = {}
-            for bit, key in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    out.table[key], k = int.from_bytes(data[k : k + 4], "big"), k + 4
-            if flags & 4:
-                out.table["toc"] = list(data[k : k + 100])
+        if not offsets and out.table is None and (table := rate_table(data[at : at + info[0]], 2 * info[4] + info[3])) is not None:
+            out.table = table
         else:
             offsets.append(at)
             sizes.append(info[0])
@@ -198,6 +227,7 @@ def read_mpeg(data: bytes) -> Stream:
     out.skipped += max(0, end - at)
     out.offsets, out.sizes = np.array(offsets, np.int64), np.array(sizes, np.int64)
     out.samples, out.hertz = sum(f[1] for f in frames), frames[0][2] if frames else 0
+    out.seconds = sum((Fraction(f[1] * n, f[2]) for f, n in Counter((0, f[1], f[2]) for f in frames).items()), Fraction(0))
     raw = np.frombuffer(data, np.uint8)
     for side in {f[3] for f in frames if f[4]}:
         at_ = np.array([o for o, f in zip(offsets, frames, strict=True) if f[4] and f[3] == side])
