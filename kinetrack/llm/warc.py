@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import partitions, save, slices
 
 ARCHIVE_BYTES = 4 << 20
+#: Captures that one task merges, about.
+RANGE_ROWS = 100_000
 MIN_REVISIT_BYTES = 1000
 EPOCH = "2024-01-01T00:00:00Z"
 CAPTURES = "url_key string, stamp string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, archive string, position long"
@@ -110,8 +112,9 @@ class LoserTree:
 def with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     """Adds payload (UTF-8 of html, null: empty), payload_digest (SHA-1), and refers_to for copies of a later page.
 
-    The largest page_id of each digest comes from a partial aggregate; pages are matched to it by page_id, in rows
-    without payloads, so a payload that a third of all pages share is no hot key for the payload join.
+    The largest page_id of each digest comes from a partial aggregate and meets the copies' ids in rows without
+    payloads. A digest that a third of all pages share is one key of that join, which adaptive execution splits (the
+    other side has one row for it); payloads are then met by page_id, which has no hot key.
     """
     page = pages.select("page_id", "url", "stamp", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     key = page.select("page_id", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").alias("n")).filter(F.col("n") >= min_bytes)
@@ -170,11 +173,13 @@ def capture_runs(archives: DataFrame) -> DataFrame:
 def merge_runs(captures: DataFrame) -> DataFrame:
     """The capture history: all runs merged by URL key, timestamp and page; ``place`` numbers a partition's captures in order.
 
-    Ranges also cut by timestamp and page, so one URL with a third of all captures spreads over tasks.
+    Ranges also cut by timestamp and page, so one URL with a third of all captures spreads over tasks. Their number
+    grows with the captures, so that a task merges about ``RANGE_ROWS`` of them, which carry no payloads.
     """
     names = [f.name for f in captures.schema]
     order = ["url_key", "stamp", "page_id"]
-    dealt = captures.repartitionByRange(partitions(captures.sparkSession), *order).sortWithinPartitions("archive", *order)
+    ranges = max(partitions(captures.sparkSession), -(-captures.count() // RANGE_ROWS))
+    dealt = captures.repartitionByRange(ranges, *order).sortWithinPartitions("archive", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
