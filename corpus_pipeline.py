@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrack.llm import jaccard, langid, packing, suffix_dedup
-from kinetrack.llm.common import save
+from kinetrack.llm.common import row_keys, save
 from kinetrack.llm.queries import tokenizer
 
 
@@ -18,20 +18,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told (``und`` goes: no text, or no letter in it); ``lang`` is filled where it is null."""
     model = langid.fit(docs.filter(~langid.held_out()), "doc_id", "text", "lang")
 
-    # the prediction rides along with the row: narrow, no join
-    told = langid.label(docs, model)
-    return told.filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
-
-
-def row_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``row`` that tells each row from every other, in the order of the ids.
-
-    It is ``doc_id`` where every row has one of its own. Otherwise rows are numbered, by id and hash of the text, and
-    written once, so that every later reading sees the same numbers.
-    """
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
-        return docs.withColumn("row", F.col("doc_id").cast("long"))
-    return save(docs.orderBy("doc_id", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
+    # the prediction rides along with the row, in one pass: narrow, no join
+    told = langid.predict(docs, model, lang_pred="#lang", score="#score").filter(F.col("#lang") != "und")
+    return told.withColumn("lang", F.coalesce("lang", "#lang")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     text) one stays. A row without an id joins no group and stays.
     """
     named = row_keys(docs.filter("doc_id is not null"))
-    keep = jaccard.jaccard_groups(named, "row").filter("doc_id = component_id").select(F.col("doc_id").alias("row"))
-    return named.join(keep, "row", "left_semi").select(*docs.columns).union(docs.filter("doc_id is null"))
+    keep = jaccard.jaccard_groups(named, "#row").filter("doc_id = component_id").select(F.col("doc_id").alias("#row"))
+    return named.join(keep, "#row", "left_semi").select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +42,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     own text repeats. Rows whose text is null or empty have nothing to lose and stay as they are.
     """
     keyed = row_keys(docs)
-    cut = suffix_dedup.remove_repeats(keyed.filter("text <> ''").select(F.col("row").alias("doc_id"), "text"))
-    left = cut.filter("octet_length(kept) > 0").select("doc_id", F.col("kept").alias("kept"), "n_removed")
-    rest = keyed.select("row", *[c for c in docs.columns if c not in ("text", "n_chars")])
-    whole = suffix_dedup.text_of(left).withColumnRenamed("doc_id", "row")
-    told = rest.join(whole, "row").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    whole = suffix_dedup.without_repeats(keyed.filter("text <> ''").select(F.col("#row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "#row")
+    rest = keyed.select("#row", *[c for c in docs.columns if c not in ("text", "n_chars")])
+    told = rest.join(whole, "#row").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
     return told.union(docs.filter("text is null or text = ''"))
 
 

@@ -18,17 +18,19 @@ So copies, however many, are never expanded: steps 2 and 3 see each distinct con
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_rows, save, slices, split_by, with_texts
+from .common import byte_rows, row_keys, save, slices, split_by, with_texts
 
 THRESHOLD, GRAM = 200, 64
-POSITION_BITS = 28
+POSITION_BITS = 24
+#: Starts of a text that are looked at together; bounds memory and keeps positions below 2 ** POSITION_BITS.
+STRETCH = 1 << 23
 _RNG = np.random.default_rng(20_200)
 BYTES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = tuple(int(x) * 8 + 5 for x in _RNG.integers(1 << 50, 1 << 60, 2))
@@ -78,9 +80,12 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def cells(raw: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last start of each cell, the anchor's rank, and the rank of the cell's whole content."""
+def cells(raw: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last start and anchor of each cell, the anchor's rank, and the rank of the cell's whole content."""
     n = len(raw)
+    if n >= STRETCH + threshold:  # a long text, some starts at a time: a cell that is cut there counts as two
+        parts = [(at, cells(raw[at : at + STRETCH + threshold - 1], threshold, gram)) for at in range(0, n - threshold + 1, STRETCH)]
+        return tuple(np.concatenate([part[k] + (at if k < 3 else np.uint64(0)) for at, part in parts]) for k in range(5))
     grams = Ranks(raw, 0).at(slice(0, n - gram + 1), slice(gram, n + 1))
     mask = np.uint64((1 << POSITION_BITS) - 1)
     anchor = (sliding_min(grams & ~mask | np.arange(len(grams), dtype=np.uint64), threshold - gram + 1) & mask).astype(np.int64)
@@ -111,23 +116,18 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 #: Starts of a block.
 BLOCK = 16
-#: Hot anchors: those in 1 of 500 documents of a sample of about this size. They are only dealt out differently.
-SAMPLE_DOCS, SALTS = 3000, 16
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``row``: the id, or a hash of the text where it is null."""
-    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.select(doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, F.xxhash64(text)).alias("row"))
+#: Hot anchors: those in 1 of 500 documents of a sample of about this size. They are only dealt out differently:
+#: over so many parts that each is expected to hold about PART_CELLS cells.
+SAMPLE_DOCS, PART_CELLS = 3000, 1000
 
 
 def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """``(doc_id, first, last)`` (doc_id as in ``keyed``): runs of starts at which a string of ``threshold`` bytes begins that also begins elsewhere.
+    """``(doc_id, first, last)``: runs of starts at which a string of ``threshold`` bytes begins that also begins elsewhere.
 
-    ``docs`` holds ``doc_id`` and ``text``. Runs may touch or overlap. Texts shorter than the threshold have none.
+    ``docs`` holds ``doc_id``, a long that no two rows share, and ``text``. Runs may touch or overlap. Texts shorter
+    than the threshold have none.
     """
-
-    texts = keyed(docs).select(F.col("row").alias("doc_id"), "text").filter(F.octet_length("text") >= threshold)
+    texts = docs.select("doc_id", "text").filter(F.octet_length("text") >= threshold)
     hot = texts.sparkSession.sparkContext.broadcast(_hot_anchors(texts, threshold, gram))
 
     def find_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRA
                 out = []
                 for doc, text in zip(part.column(0).to_pylist(), byte_rows(part.column(1)), strict=True):
                     first, last, q, anchor, whole = cells(np.frombuffer(text, np.uint8), threshold, gram)
-                    salt = np.where(np.isin(anchor, hot.value), 1 + doc % SALTS, 0).astype(np.int32)
+                    salt = salts_of(hot.value, anchor, doc, first)
                     out.append((np.full(len(first), doc), pack_cell(first, last, q), anchor.view(np.int64), salt, whole.view(np.int64)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["doc_id", "at", "anchor", "salt", "whole"])
@@ -160,9 +160,6 @@ def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRA
                 out = []
                 for doc, text, cs in zip(part.column(0).to_pylist(), byte_rows(part.column(1)), part.column(2).to_pylist(), strict=True):
                     rank = Ranks(np.frombuffer(text, np.uint8), 1)
-                    cs = [c for c in cs if (c["at"] >> 16) + (c["at"] >> 8 & 255) + threshold <= len(text)]  # rows that share an id
-                    if not cs:
-                        continue
                     first, last, q = unpack_cell(np.array([c["at"] for c in cs]))
                     low = (q - last) // BLOCK
                     k, cell = spread(low, (q - first) // BLOCK - low + 1)
@@ -188,9 +185,6 @@ def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRA
                 out = []
                 for doc, text, bs in zip(part.column(0).to_pylist(), byte_rows(part.column(1)), part.column(2).to_pylist(), strict=True):
                     rank = Ranks(np.frombuffer(text, np.uint8), 1)
-                    bs = [b for b in bs if (b["at"] >> 8) + (b["at"] & 255) + threshold <= len(text)]
-                    if not bs:
-                        continue
                     at = np.array([b["at"] for b in bs])
                     start, block = spread(at >> 8, (at & 255) + 1)
                     out.append((np.array([b["anchor"] for b in bs])[block], rank.at(start, start + threshold).view(np.int64), np.full(len(start), doc), start, np.array([b["alone"] for b in bs])[block]))
@@ -204,60 +198,81 @@ def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRA
     return cut.union(settled.select("doc_id", F.expr("at >> 8").alias("first"), F.expr("(at >> 8) + (at & 255)").alias("last"))).union(single)
 
 
-def _hot_anchors(texts: DataFrame, threshold: int, gram: int) -> np.ndarray:
-    """Anchors of 1 in 500 sampled documents: at most 500 times a document's mean number of cells."""
+def _hot_anchors(texts: DataFrame, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of 1 in 500 sampled documents (at most 500 times a document's mean number of cells), and the parts to deal each to."""
     n = texts.count()
     some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_DOCS / max(n, 1))) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in byte_rows(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(cells(np.frombuffer(text, np.uint8), threshold, gram)[3]).view(np.int64))], ["anchor"])
+                anchor, times = np.unique(cells(np.frombuffer(text, np.uint8), threshold, gram)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(times, pa.int64())], ["anchor", "times"])
+
+    met = some.mapInArrow(run, "anchor long, times long").groupBy("anchor").agg(F.count("*").alias("n"), F.sum("times").alias("times"))
+    rows = met.filter(F.col("n") >= max(3, min(n, SAMPLE_DOCS) // 500)).orderBy("anchor").toArrow()
+    anchors, times = (rows.column(k).to_numpy().astype(np.int64) for k in (0, 2))
+    order = np.argsort(anchors.view(np.uint64))
+    return anchors.view(np.uint64)[order], 1 + times[order] * max(n // SAMPLE_DOCS, 1) // PART_CELLS
+
+
+def salts_of(hot: tuple[np.ndarray, np.ndarray], anchor: np.ndarray, doc: int, first: np.ndarray) -> np.ndarray:
+    """Part of each cell: 0 for anchors that are not hot, else one of the anchor's parts by document and place."""
+    if not len(hot[0]):
+        return np.zeros(len(anchor), np.int32)
+    at = np.minimum(np.searchsorted(hot[0], anchor), len(hot[0]) - 1)
+    spot = _mix(_mix(np.uint64(doc & (1 << 64) - 1) + first.astype(np.uint64) * np.uint64(BASE[0])))
+    return np.where(hot[0][at] == anchor, 1 + (spot >> np.uint64(8)) % hot[1][at].astype(np.uint64), 0).astype(np.int32)
+
+
+def _cut(docs: DataFrame, threshold: int, gram: int, finish: Callable[[bytes, list[tuple[int, int]]], tuple], columns: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """Per row of ``docs`` its doc_id and what ``finish`` makes of the text's bytes and the maximal spans that go."""
+    rows = row_keys(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    texts = rows.select(F.col("doc_id").alias("id"), "text", F.col("#row").alias("doc_id"))
+    runs = save(repeated_starts(texts, threshold, gram).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
+
+    def spans_of(text: bytes, found: list | None) -> list[tuple[int, int]]:
+        if not found:
+            return []
+        a = np.minimum(np.array(sorted((r["first"], r["last"] + threshold) for r in found)), len(text))
+        reach = np.maximum.accumulate(a[:, 1])
+        new = np.flatnonzero(np.append(True, a[1:, 0] > reach[:-1]))
+        return list(zip(a[new, 0].tolist(), reach[np.append(new[1:], len(a)) - 1].tolist(), strict=True))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                made = [finish(text, spans_of(text, found)) for text, found in zip(byte_rows(part.column(1)), part.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, (_, t, _) in zip(zip(*made, strict=True), columns, strict=True)]], ["doc_id", *[n for n, _, _ in columns]])
+
+    # texts without a candidate pass by on their own, without a shuffle
+    near, far = split_by(texts, runs)
+    schema = ", ".join(["doc_id long", *[f"{n} {k}" for n, _, k in columns]])
+    none = F.lit(None).cast("array<struct<first:bigint,last:bigint>>")
+    return near.join(runs, "doc_id", "left").select("id", "text", "runs").mapInArrow(cut, schema).union(far.select("id", "text", none.alias("runs")).mapInArrow(cut, schema))
 
-    rows = some.mapInArrow(run, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= max(3, min(n, SAMPLE_DOCS) // 500)).select("anchor").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    return b"".join(text[x:y] for x, y in zip([0, *[b for _, b in spans]], [*[a for a, _ in spans], len(text)], strict=True)) if spans else text
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that no repeated string covers), spans.
 
     Every copy of a repeated string goes, in the same document too; spans are half-open byte ranges. Null and empty
-    texts keep nothing of nothing. Ids are expected to be unique: rows that share an id and a text count as copies, and rows that share an id only
-    share their spans. A row without an id takes part like any other.
+    texts keep nothing of nothing. Every row counts for itself, also where rows share an id or have none: it loses
+    what its own text repeats, and rows of equal texts are copies of each other. The result holds unless two different
+    strings have one 64-bit fingerprint.
     """
-    runs = save(repeated_starts(docs, threshold, gram).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                rows = []
-                for text, rs in zip(byte_rows(part.column(1)), part.column(2).to_pylist(), strict=True):
-                    if not rs:
-                        rows.append((len(text), 0, 0, text, []))
-                        continue
-                    a = np.minimum(np.array(sorted((r["first"], r["last"] + threshold) for r in rs)), len(text))
-                    reach = np.maximum.accumulate(a[:, 1])
-                    new = np.flatnonzero(np.append(True, a[1:, 0] > reach[:-1]))
-                    start, end = a[new, 0], reach[np.append(new[1:], len(a)) - 1]
-                    kept = b"".join(text[x:y] for x, y in zip([0, *end.tolist()], [*start.tolist(), len(text)], strict=True))
-                    rows.append((len(text), int((end - start).sum()), len(start), kept, np.stack([start, end], 1).ravel().tolist()))
-                n, gone, spans, kept, at = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(at, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
-
-    texts = keyed(docs).withColumnsRenamed({"doc_id": "id", "row": "doc_id"})
-    # texts without a candidate pass by on their own, without a shuffle
-    listed = split_by(texts, runs)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>"
-    none = F.lit(None).cast("array<struct<first:bigint,last:bigint>>")
-    return listed[0].join(runs, "doc_id", "left").select("id", "text", "runs").mapInArrow(cut, schema).union(listed[1].select("id", "text", none.alias("runs")).mapInArrow(cut, schema))
 
+    def finish(text: bytes, spans: list[tuple[int, int]]) -> tuple:
+        return len(text), sum(b - a for a, b in spans), len(spans), _kept(text, spans), [x for span in spans for x in span]
 
-def text_of(cut: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` from kept bytes; the torn ends of characters that a cut went through are dropped."""
+    columns = [("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept", pa.binary(), "binary"), ("spans", pa.list_(pa.int64()), "array<long>")]
+    return _cut(docs, threshold, gram, finish, columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.decode("utf-8", "ignore") for x in byte_rows(part.column(1))])], ["doc_id", "text"])
 
-    return cut.select("doc_id", "kept").mapInArrow(run, "doc_id long, text string").filter("text <> ''")
+def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
+    """Per row of which something is left: doc_id and text. The torn ends of characters that a cut went through are dropped."""
+    out = _cut(docs, threshold, gram, lambda text, spans: (_kept(text, spans).decode("utf-8", "ignore"),), [("text", pa.string(), "string")])
+    return out.filter("text <> ''")
