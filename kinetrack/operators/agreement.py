@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import CLASSES
+from ..functions.scalar import CLASSES, state_code
+from ..functions.special import column_of, correlation_p
 from .kinematics import KEY, track_metrics
 
 
@@ -20,12 +21,13 @@ def compared(clinical: DataFrame, predicted: DataFrame, on: str = "video") -> Da
 
 
 def agreement(long: DataFrame, by: Sequence[str] = ("category",)) -> DataFrame:
-    """MAE, RMSE, bias, Pearson r (0 with fewer than 3 pairs) and n of each group."""
+    """MAE, RMSE, bias, Pearson r (0 with fewer than 3 pairs), its two-sided p (1 then) and n of each group."""
     e = F.col("predicted") - F.col("truth")
-    return long.groupBy(*by).agg(
+    out = long.groupBy(*by).agg(
         F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"),
         F.when(F.count("*") < 3, 0.0).otherwise(F.corr("truth", "predicted")).alias("r"), F.count("*").alias("n"),
     )
+    return out.withColumn("p", column_of(correlation_p, "r", "n"))
 
 
 def bland_altman(long: DataFrame, by: Sequence[str] = ("category",)) -> DataFrame:
@@ -62,6 +64,12 @@ def best_rows(sweep: DataFrame, n: int = 10) -> DataFrame:
     return sweep.orderBy(F.round("total_mae", 9), "combo").limit(n)
 
 
+def state_sweep(kinematics: DataFrame, configs: DataFrame) -> DataFrame:
+    """The state code of each frame under each configuration (config, v_imm, v_prog, s_prog), a list that the caller bounds."""
+    both = kinematics.crossJoin(F.broadcast(configs))
+    return both.withColumn("state", state_code(F.col("vcl"), F.col("straightness"), F.col("v_imm"), F.col("v_prog"), F.col("s_prog"))).drop("v_imm", "v_prog", "s_prog")
+
+
 def class_sweep(metrics: DataFrame, configs: DataFrame) -> DataFrame:
     """Class counts under each configuration of thresholds (config, v_imm, v_prog, s_prog)."""
     counts = metrics.groupBy("VCL", "STR").agg(F.count("*").alias("n")).crossJoin(F.broadcast(configs))

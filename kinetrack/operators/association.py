@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,23 +43,41 @@ def candidates(truth: DataFrame, predicted: DataFrame, min_iou: float = 0.5, cel
 
 
 def greedy_matches(pairs: DataFrame) -> DataFrame:
-    """Each truth box, in id order, takes its best unused prediction (ties: the smaller id); a fold per frame."""
-    frame = pairs.groupBy("video", "frame").agg(F.sort_array(F.collect_list(F.struct("gt", (-F.col("iou")).alias("cost"), "pred"))).alias("c"))
-    empty = F.expr("cast(array() as array<struct<gt:bigint,pred:bigint,iou:double>>)")
-
-    def fold(acc: Column, x: Column) -> Column:
-        used = F.exists(acc, lambda m: (m["gt"] == x["gt"]) | (m["pred"] == x["pred"]))
-        return F.when(used, acc).otherwise(F.concat(acc, F.array(F.struct(x["gt"].cast("long").alias("gt"), x["pred"].cast("long").alias("pred"), (-x["cost"]).alias("iou")))))
+    """Each truth box, in id order, takes its best unused prediction (ties: the smaller id).
 
-    return frame.select("video", "frame", F.explode(F.aggregate("c", empty, fold)).alias("m")).select("video", "frame", "m.*")
+    Frames are dealt to tasks and sorted; a task walks over its candidates once and remembers one frame's taken boxes.
+    """
+    dealt = pairs.select("video", F.col("frame").cast("long"), F.col("gt").cast("long"), F.col("pred").cast("long"), "iou").repartition("video", "frame")
+    ordered = dealt.sortWithinPartitions("video", "frame", "gt", F.desc("iou"), "pred")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, taken, last = None, set(), None
+        for batch in batches:
+            keep = []
+            for video, frame, gt, pred in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if (video, frame) != at:
+                    at, taken, last = (video, frame), set(), None
+                free = gt != last and pred not in taken
+                if free:
+                    taken.add(pred)
+                    last = gt
+                keep.append(free)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(walk, ordered.schema)
 
 
 def tracking_quality(truth: DataFrame, predicted: DataFrame, fps: float = FPS, fragment_s: float = 0.5) -> DataFrame:
-    """Per video, share of truth tracks matched in half of their frames, identity switches per track, short predicted tracks."""
+    """Per video, share of truth tracks matched in half of their frames, identity switches per track, short predicted tracks.
+
+    A truth track's frames count where the predictions have the frame too; tracks without such a frame are not covered.
+    """
     m = greedy_matches(candidates(truth, predicted))
     w = Window.partitionBy("video", "gt").orderBy("frame")
     sw = m.withColumn("sw", F.coalesce((F.col("pred") != F.lag("pred").over(w)).cast("int"), F.lit(0))).groupBy("video", "gt").agg(F.count("*").alias("hit"), F.sum("sw").alias("sw"))
-    size = truth.groupBy("video", F.col("track_id").alias("gt")).agg(F.count("*").alias("n"))
-    per = size.join(sw, ["video", "gt"], "left").groupBy("video").agg(F.count("*").alias("n_gt"), F.avg((F.coalesce("hit", F.lit(0)) >= 0.5 * F.col("n")).cast("double")).alias("coverage"), (F.sum(F.coalesce("sw", F.lit(0))) / F.count("*")).alias("id_switches"))
+    shared = predicted.select("video", "frame").distinct().withColumn("_both", F.lit(1))
+    size = truth.join(shared, ["video", "frame"], "left").groupBy("video", F.col("track_id").alias("gt")).agg(F.sum(F.coalesce("_both", F.lit(0))).alias("n"))
+    covered = (F.coalesce("hit", F.lit(0)) >= 0.5 * F.col("n")) & (F.col("n") > 0)
+    per = size.join(sw, ["video", "gt"], "left").groupBy("video").agg(F.count("*").alias("n_gt"), F.avg(covered.cast("double")).alias("coverage"), (F.sum(F.coalesce("sw", F.lit(0))) / F.count("*")).alias("id_switches"))
     frag = predicted.groupBy("video", "track_id").agg(F.count("*").alias("n")).groupBy("video").agg(F.avg((F.col("n") < fragment_s * fps).cast("double")).alias("fragmentation"))
     return per.join(frag, "video", "left")

@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import FPS
-from .kinematics import KEY
+from ..functions.scalar import FPS, MIN_LENGTH
+from ..functions.special import column_of, kolmogorov_p
+from .kinematics import KEY, ordered
+from .serial import average_ranks, hashed
 
 
 def episodes(states: DataFrame, key: Sequence[str] = KEY, order: str = "idx") -> DataFrame:
@@ -107,6 +109,39 @@ def anova_icc(df: DataFrame, value: str, group: Sequence[str], by: Sequence[str]
     return tot.select(*by, F.when(enough, (msb - msw) / (msb + (n0 - 1) * msw)).alias("icc"), F.when(F.col("k") > 1, ssb / (ssb + F.col("ssw"))).alias("eta2"), F.col("k").alias("n_groups"), F.col("N").alias("n"))
 
 
+def rank_icc(resid: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """The ICC of each state on the scale of ranks over all residuals, for tracks with two dwells in the state."""
+    n = resid.agg(F.count("*").alias("_all"))
+    ranked = average_ranks(resid, {"resid": "_rank"}).crossJoin(n).withColumn("_rank", F.col("_rank") / F.col("_all"))
+    return anova_icc(ranked, "_rank", key, ["state"], min_n=2)
+
+
+def pooled_icc(per_state: DataFrame, min_groups: int = 5) -> DataFrame:
+    """ICCs of the states that have ``min_groups`` tracks, weighted by their dwells."""
+    return per_state.filter(F.col("n_groups") >= min_groups).agg((F.sum(F.col("icc") * F.col("n")) / F.sum("n")).alias("icc"), F.sum("n").alias("n"))
+
+
+def truncated(tracks: DataFrame, reference: DataFrame, key: Sequence[str] = KEY, seed: int = 0, min_length: int = MIN_LENGTH) -> DataFrame:
+    """Of each track a random run of points, as long as a random reference track that is no longer than it is.
+
+    A track shorter than every reference stays whole; runs below ``min_length`` points go. The reference enters as
+    one row: its distinct lengths with running counts, bounded by a video's length. Draws are MD5 of track and seed.
+    """
+    key = list(key)
+    lengths = reference.groupBy(*key).agg(F.count("*").alias("len")).groupBy("len").agg(F.count("*").alias("c"))
+    running = lengths.withColumn("cum", F.sum("c").over(Window.orderBy("len")))
+    one = running.agg(F.sort_array(F.collect_list(F.struct("len", "cum"))).alias("lens"))
+    draw = lambda what: F.conv(F.substring(hashed(*key, F.lit(what), F.lit(seed)), 1, 8), 16, 10).cast("long")
+    sized = tracks.groupBy(*key).agg(F.count("*").alias("n")).crossJoin(one)
+    fit = F.filter("lens", lambda x: x["len"] <= F.col("n"))
+    spot = draw("length") % F.element_at(F.col("fit"), -1)["cum"]
+    length = F.when(F.size("fit") == 0, F.col("n")).otherwise(F.element_at(F.filter("fit", lambda x: x["cum"] > spot), 1)["len"])
+    part = sized.withColumn("fit", fit).withColumn("len", length).filter(F.col("len") >= min_length)
+    part = part.select(*key, "len", (draw("start") % (F.col("n") - F.col("len") + 1)).alias("start"))
+    placed = tracks.withColumn("_i", F.row_number().over(ordered(key)) - 1).join(part, key)
+    return placed.filter((F.col("_i") >= F.col("start")) & (F.col("_i") < F.col("start") + F.col("len"))).select(*tracks.columns)
+
+
 def survival(eps: DataFrame, by: Sequence[str] = ("state",)) -> DataFrame:
     """Share of dwells longer than each observed dwell."""
     h = dwell_histogram(eps, by)
@@ -114,11 +149,12 @@ def survival(eps: DataFrame, by: Sequence[str] = ("state",)) -> DataFrame:
 
 
 def two_sample_ks(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """Largest distance of two empirical distributions, from their histograms."""
+    """Largest distance of two empirical distributions, from their histograms, and its asymptotic p."""
     h = a.select(F.col(value).alias("x"), F.lit(1).alias("na"), F.lit(0).alias("nb")).union(b.select(F.col(value), F.lit(0), F.lit(1))).groupBy("x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
     w = Window.orderBy("x")  # one row per distinct value: dwell and track lengths are bounded by a video's length
     gap = F.abs(F.sum("na").over(w) / F.sum("na").over(Window.partitionBy()) - F.sum("nb").over(w) / F.sum("nb").over(Window.partitionBy()))
-    return h.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+    out = h.select(gap.alias("gap"), "na", "nb").agg(F.max("gap").alias("ks"), F.sum("na").alias("_n"), F.sum("nb").alias("_m"))
+    return out.select("ks", column_of(kolmogorov_p, "ks", "_n", "_m").alias("p"))
 
 
 def boundary_fractions(eps: DataFrame) -> DataFrame:
@@ -196,7 +232,7 @@ def hysteresis_states(kinematics: DataFrame, margin: float, key: Sequence[str] =
         nxt = F.when(F.size(acc) == 0, x["plain"]).when(st == 2, from_imm).when(st == 0, from_prog).otherwise(from_np)
         return F.concat(acc, F.array(nxt.cast("int")))
 
-    states = F.aggregate("seq", F.expr("cast(array() as array<int>)"), lambda acc, x: fold(F.when(F.size(acc) == 0, acc).otherwise(acc), x))
+    states = F.aggregate("seq", F.expr("cast(array() as array<int>)"), fold)
     out = seq.select(*key, F.explode(F.arrays_zip(F.col("seq"), states.alias("st"))).alias("z"))
     return out.select(*key, F.col("z.seq.frame").alias("frame"), F.col("z.seq.idx").alias("idx"), F.col("z.st").alias("state"))
 

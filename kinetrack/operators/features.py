@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import FPS
+from ..functions.special import column_of, correlation_p, normal_p
 from .episodes import episodes, transition_counts, transition_probabilities
 from .kinematics import KEY
 from .serial import average_ranks, hashed
@@ -77,14 +79,35 @@ def sample_features(features: DataFrame, by: str = "video", min_tracks: int = 1)
     return features.groupBy(by).agg(*pct, *quant, *rest, *bands, F.percentile("DUR", 0.5).alias("DUR_med"), F.count("*").alias("n_tracks")).filter(F.col("n_tracks") >= min_tracks)
 
 
-def partial_spearman(df: DataFrame, x: str, y: str, control: str) -> DataFrame:
-    """Spearman of x and y after their ranks are freed, linearly, from the control's ranks."""
-    ranked = average_ranks(df.select(x, y, control), {c: f"_r_{c}" for c in (x, y, control)})
-    rx, ry, rc = (F.col(f"_r_{c}") for c in (x, y, control))
-    fit = ranked.agg(F.regr_slope(rx, rc).alias("bx"), F.regr_intercept(rx, rc).alias("ax"), F.regr_slope(ry, rc).alias("by"), F.regr_intercept(ry, rc).alias("ay"))
-    left = ranked.crossJoin(F.broadcast(fit)).select((rx - F.col("ax") - F.col("bx") * rc).alias("x"), (ry - F.col("ay") - F.col("by") * rc).alias("y"))
+def partial_spearman(df: DataFrame, x: str, y: str, *controls: str) -> DataFrame:
+    """Spearman of x and y after their ranks are freed, linearly, from the controls' ranks, with its two-sided p.
+
+    The normal equations are one aggregate of (controls + 1)^2 sums; constant controls are harmless (least squares of
+    smallest norm).
+    """
+    names = [x, y, *controls]
+    ranked = average_ranks(df.select(*dict.fromkeys(names)).dropna(), {c: f"_r_{c}" for c in dict.fromkeys(names)})
+    one = [F.lit(1.0), *[F.col(f"_r_{c}") for c in controls]]
+    cells = {f"g{i}_{j}": F.sum(a * b) for i, a in enumerate(one) for j, b in enumerate([*one, F.col(f"_r_{x}"), F.col(f"_r_{y}")])}
+    sums = ranked.agg(*[c.alias(k) for k, c in cells.items()]).first()
+    p = len(one)
+    g = np.array([[sums[f"g{i}_{j}"] or 0.0 for j in range(p + 2)] for i in range(p)])
+    beta = np.linalg.lstsq(g[:, :p], g[:, p:], rcond=None)[0]
+    rest = lambda c, k: F.col(f"_r_{c}") - sum((b * float(w) for b, w in zip(one, beta[:, k], strict=True)), F.lit(0.0))
+    left = ranked.select(rest(x, 0).alias("x"), rest(y, 1).alias("y"))
     again = average_ranks(left, {"x": "_a", "y": "_b"})
-    return again.agg(F.corr("_a", "_b").alias("rho"), F.count("*").alias("n"))
+    out = again.agg(F.corr("_a", "_b").alias("rho"), F.count("*").alias("n"))
+    return out.withColumn("p", column_of(correlation_p, "rho", "n"))
+
+
+def split_half_features(rates: DataFrame, key: Sequence[str] = KEY, video: str = "video", seed: int = 0) -> DataFrame:
+    """(video, feature, x, y): CV of rates, stayer share and Gini of each hashed half of a participant's tracks."""
+    half = F.row_number().over(Window.partitionBy(video).orderBy(hashed(*key, F.lit(seed)), *key)) % 2
+    per = rate_features(rates.withColumn("half", half).withColumn("_unit", F.struct(video, "half")), "_unit")
+    names = ("cv_rate", "stayer_frac", "gini_rate")
+    long = per.select(F.col(f"_unit.{video}").alias(video), F.col("_unit.half").alias("half"), F.explode(F.create_map(*[v for c in names for v in (F.lit(c), F.col(c))])).alias("feature", "v"))
+    side = lambda k: F.max(F.when(F.col("half") == k, F.col("v")))
+    return long.groupBy(video, "feature").agg(side(0).alias("x"), side(1).alias("y")).filter("x is not null and y is not null")
 
 
 def split_half(rates: DataFrame, key: Sequence[str] = KEY, video: str = "video", seed: int = 0) -> DataFrame:
@@ -117,7 +140,13 @@ def univariate_spearman(df: DataFrame, features: Sequence[str], target: str) ->
 
 
 def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Signed-rank sums of paired differences (zeros dropped, average ranks)."""
+    """Signed-rank sums of paired differences (zeros dropped, average ranks) and the two-sided normal p, corrected for ties."""
     d = pairs.select((F.col(a) - F.col(b)).alias("d")).filter("abs(d) > 1e-12").withColumn("m", F.abs("d"))
     r = average_ranks(d, {"m": "r"})
-    return r.agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.count("*").alias("n"))
+    out = r.agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.count("*").alias("n"))
+    t = F.col("t")
+    ties = d.groupBy(F.round("m", 9).alias("m")).agg(F.count("*").alias("t")).agg(F.coalesce(F.sum(t * t * t - t), F.lit(0)).alias("ties"))
+    n = F.col("n")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    z = F.when(spread > 0, (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / spread)
+    return out.crossJoin(ties).select("w_plus", "w_minus", "n", column_of(normal_p, z).alias("p"))

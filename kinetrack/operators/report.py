@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import CLASSES
+from ..functions.special import chi2_p, column_of
 
 
 def heat_map(points: DataFrame, value: str, cells: int = 20, x: str = "cx", y: str = "cy") -> DataFrame:
@@ -43,10 +44,16 @@ def cross_tab(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
-    """Chi-square statistic of a cross table, by sum n^2 / (r c): empty cells need no rows."""
+    """Chi-square statistic of a cross table, by sum n^2 / (r c): empty cells need no rows; with its p."""
     c = df.groupBy(row, column).agg(F.count("*").alias("n"))
     r, k = c.groupBy(row).agg(F.sum("n").alias("r")), c.groupBy(column).agg(F.sum("n").alias("k"))
-    return c.join(r, row).join(k, column).agg((F.sum("n") * (F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("k"))) - 1)).alias("chi2"), ((F.count_distinct(row) - 1) * (F.count_distinct(column) - 1)).alias("dof"))
+    out = c.join(r, row).join(k, column).agg((F.sum("n") * (F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("k"))) - 1)).alias("chi2"), ((F.count_distinct(row) - 1) * (F.count_distinct(column) - 1)).alias("dof"))
+    return out.withColumn("p", column_of(chi2_p, "chi2", "dof"))
+
+
+def display_rows(df: DataFrame, *order: str, rows: int = 200) -> DataFrame:
+    """T5k: the first rows of a table for display, in a stated order."""
+    return df.orderBy(*order).limit(rows)
 
 
 def partition_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -75,8 +82,13 @@ def trails(tracks: DataFrame, at: int, length: int = 60) -> DataFrame:
     return near.withColumn("_n", F.count("*").over(Window.partitionBy("video", "track_id"))).filter("_n >= 2").drop("_n")
 
 
-def video_context(summaries: DataFrame, fastest: DataFrame) -> DataFrame:
-    """One row per video with its summary line and its fastest tracks as JSON."""
+def video_context(summaries: DataFrame, fastest: DataFrame, moves: DataFrame, compliance: DataFrame) -> DataFrame:
+    """One row per video with its summary line, its fastest tracks and its transition matrix as JSON, and whether it meets the references.
+
+    ``moves`` has (video, from, to, n), ``compliance`` a row per video; the text around them is the caller's.
+    """
     top = fastest.groupBy("video").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("rank", "track_id", "VCL"))), lambda x: F.struct(x["track_id"].alias("track_id"), x["VCL"].alias("VCL")))).alias("fastest"))
     line = F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in ("total_tracks", *CLASSES)])
-    return summaries.select("video", line.alias("line")).join(top, "video", "left")
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("from", "to", "n"))), lambda x: x["n"])
+    matrix = moves.groupBy("video").agg(F.to_json(cells).alias("transitions"))
+    return summaries.select("video", line.alias("line")).join(top, "video", "left").join(matrix, "video", "left").join(compliance, "video", "left")

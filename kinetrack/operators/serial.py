@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import FPS
+from ..sources.files import stored
 from .kinematics import KEY
 
 
@@ -16,10 +20,10 @@ def hashed(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
 
 
-def residuals(eps: DataFrame, min_eps: int = 4, fps: float = FPS) -> DataFrame:
-    """Log-dwell less its state's mean, for tracks with ``min_eps`` episodes (the means use all episodes)."""
-    means = eps.groupBy("state").agg(F.avg(F.log(F.col("run") / fps)).alias("m"))
-    return eps.filter(F.col("n_eps") >= min_eps).join(F.broadcast(means), "state").withColumn("resid", F.log(F.col("run") / fps) - F.col("m")).drop("m")
+def residuals(eps: DataFrame, min_eps: int = 4, fps: float = FPS, by: Sequence[str] = ()) -> DataFrame:
+    """Log-dwell less its state's mean (within ``by``), for tracks with ``min_eps`` episodes (the means use all episodes)."""
+    means = eps.groupBy(*by, "state").agg(F.avg(F.log(F.col("run") / fps)).alias("m"))
+    return eps.filter(F.col("n_eps") >= min_eps).join(means, [*by, "state"]).withColumn("resid", F.log(F.col("run") / fps) - F.col("m")).drop("m")
 
 
 def trait_residuals(eps: DataFrame, min_eps: int = 4, key: Sequence[str] = KEY, fps: float = FPS) -> DataFrame:
@@ -67,67 +71,155 @@ def per_cell_memory(eps: DataFrame, min_eps: int = 6, key: Sequence[str] = KEY)
     return rho.agg(F.tanh(F.avg(z)).alias("mean_rho"), F.count("*").alias("n_tracks"))
 
 
-def permuted(resid: DataFrame, reps: int, key: Sequence[str] = KEY, seed: int = 0) -> DataFrame:
-    """``reps`` copies of the residuals, each track's episodes in a new random order."""
-    out = resid.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    w = Window.partitionBy("rep", *key).orderBy(hashed("rep", *key, "ep_idx", F.lit(seed)), "ep_idx")
-    return out.withColumn("ep_idx", F.row_number().over(w) - 1)
+#: Permutations whose pairs a task counts before it hands them on; bounds its memory.
+PAIRS_HELD = 1 << 20
 
 
-def permutation_null(resid: DataFrame, reps: int = 50, lag: int = 1, key: Sequence[str] = KEY, seed: int = 0) -> DataFrame:
-    """Observed lag Spearman, mean of the permuted ones, their difference and the share at or above the observed."""
-    seen = spearman(lag_pairs(resid, lag, key).filter(F.col("lag") == lag)).select(F.col("rho").alias("observed"), "n")
-    null = spearman(lag_pairs(permuted(resid, reps, key, seed), lag, key, ["rep"]).filter(F.col("lag") == lag), ["rep"]).select("rho")
-    both = null.crossJoin(F.broadcast(seen))
-    return both.groupBy("observed", "n").agg(F.avg("rho").alias("null_mean"), F.avg((F.round("rho", 9) >= F.round("observed", 9)).cast("double")).alias("p")).withColumn("delta", F.col("observed") - F.col("null_mean"))
+def pair_counts(resid: DataFrame, perms: int = 0, lags: int = 1, key: Sequence[str] = KEY, by: Sequence[str] = ("video",), seed: int = 0) -> DataFrame:
+    """(by, perm, lag, x, y, c): how often residuals y stand ``lag`` episodes behind x; perm 0 is the observed order.
+
+    Perms 1 .. ``perms`` put each track's episodes in new random orders, drawn from a hash of track, perm and seed.
+    Tracks are dealt to tasks whole and sorted; a task shuffles an array per track and counts equal pairs before any
+    row leaves it. Values are rounded to 9 decimals, so that equal residuals tie. The counts are written once.
+    """
+    key, by = list(key), list(by)
+    rows = resid.select(*key, *[c for c in by if c not in key], "ep_idx", F.round("resid", 9).alias("resid"))
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, "ep_idx")
+    kinds = [(f.name, f.dataType.simpleString()) for f in rows.select(*by).schema]
+    at = [rows.columns.index(c) for c in by]
+    names = [*by, "perm", "lag", "x", "y", "c"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, int] = {}
+        types = None
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*[(*unit, perm, lag, x, y, c) for (unit, perm, lag, x, y), c in held.items()], strict=True))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+        def count(track: tuple, unit: tuple, values: list[float]) -> None:
+            v = np.array(values)
+            code = int.from_bytes(blake2b(repr((track, seed)).encode(), digest_size=8).digest(), "big")
+            rng = np.random.default_rng(code)
+            for perm in range(perms + 1):
+                order = v if not perm else rng.permutation(v)
+                for lag in range(1, min(lags, len(v) - 1) + 1):
+                    for x, y in zip(order[:-lag].tolist(), order[lag:].tolist(), strict=True):
+                        k = (unit, perm, lag, x, y)
+                        held[k] = held.get(k, 0) + 1
+
+        last, unit, values = None, (), []
+        for batch in batches:
+            types = types or [*[batch.schema.field(i).type for i in at], pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
+            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for k in range(batch.num_rows):
+                track = tuple(c[k] for c in cols[: len(key)])
+                if track != last:
+                    if values:
+                        count(last, unit, values)
+                    last, unit, values = track, tuple(cols[i][k] for i in at), []
+                values.append(cols[-1][k])
+            if len(held) > PAIRS_HELD:
+                yield out()
+        if values:
+            count(last, unit, values)
+        if held:
+            yield out()
+
+    schema = ", ".join([*[f"{n} {t}" for n, t in kinds], "perm int", "lag int", "x double", "y double", "c long"])
+    counted = dealt.mapInArrow(run, schema)
+    return stored(counted.groupBy(*by, "perm", "lag", "x", "y").agg(F.sum("c").alias("c")))
+
+
+def deltas(rho: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """From (by, perm, rho, n): observed, mean of the permuted ones, their difference, and the share of them at or above the observed."""
+    seen = rho.filter("perm = 0").select(*by, F.col("rho").alias("observed"), "n")
+    null = rho.filter("perm > 0").select(*by, "rho")
+    both = null.join(seen, list(by)) if by else null.crossJoin(seen)
+    out = both.groupBy(*by, "observed", "n").agg(F.avg("rho").alias("null_mean"), F.avg((F.round("rho", 9) >= F.round("observed", 9)).cast("double")).alias("p"))
+    return out.withColumn("delta", F.col("observed") - F.col("null_mean"))
+
+
+def permutation_null(resid: DataFrame, reps: int = 50, lag: int = 1, key: Sequence[str] = KEY, seed: int = 0, by: Sequence[str] = (), min_pairs: int = 3) -> DataFrame:
+    """Observed lag Spearman (of each group), mean of the within-track permuted ones, difference, share at or above the observed."""
+    counts = pair_counts(resid, reps, lag, key, by, seed).filter(F.col("lag") == lag)
+    return deltas(weighted_spearman(counts, [*by, "perm"], "c", min_pairs), by)
 
 
 def resampled_videos(videos: DataFrame, reps: int, seed: int = 0) -> DataFrame:
     """Multiplicity of each video in each bootstrap replicate: as many hashed draws as there are videos, with replacement."""
     numbered = videos.select("video").distinct().withColumn("i", F.row_number().over(Window.orderBy("video")) - 1)
     n = numbered.agg(F.count("*").alias("n"))
-    draws = numbered.select(F.col("i").alias("draw")).crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    draws = numbered.select(F.col("i").alias("draw")).crossJoin(n).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     pick = F.conv(F.substring(hashed("rep", "draw", F.lit(seed)), 1, 8), 16, 10).cast("long") % F.col("n")
-    return draws.select("rep", pick.alias("i")).groupBy("rep", "i").agg(F.count("*").alias("m")).join(F.broadcast(numbered), "i").select("rep", "video", "m")
+    return draws.select("rep", pick.alias("i")).groupBy("rep", "i").agg(F.count("*").alias("m")).join(numbered, "i").select("rep", "video", "m")
 
 
-def weighted_spearman(pairs: DataFrame, by: Sequence[str], weight: str) -> DataFrame:
-    """Spearman of pairs that each stand ``weight`` times."""
+def weighted_spearman(pairs: DataFrame, by: Sequence[str], weight: str, min_n: int = 3) -> DataFrame:
+    """Spearman of pairs that each stand ``weight`` times; null below ``min_n`` pairs."""
     w = F.col(weight)
     r = average_ranks(pairs, {"x": "_rx", "y": "_ry"}, by, w)
     s = r.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * F.col("_rx")).alias("sx"), F.sum(w * F.col("_ry")).alias("sy"), F.sum(w * F.col("_rx") * F.col("_ry")).alias("sxy"), F.sum(w * F.col("_rx") * F.col("_rx")).alias("sxx"), F.sum(w * F.col("_ry") * F.col("_ry")).alias("syy"))
     n = F.col("n")
     cov, vx, vy = F.col("sxy") - F.col("sx") * F.col("sy") / n, F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
-    return s.select(*by, F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("rho"), "n")
+    return s.select(*by, F.when((n >= min_n) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("rho"), "n")
+
+
+def bootstrap_deltas(counts: DataFrame, reps: int = 200, by: Sequence[str] = (), seed: int = 0, min_pairs: int = 3) -> DataFrame:
+    """(by, rep, delta) over resampled videos, from ``pair_counts`` by (video and ``by``) with the permuted orders in it.
+
+    A replicate weighs each video's counts; the permuted orders are drawn once, not anew for each replicate.
+    """
+    videos = resampled_videos(counts, reps, seed)
+    drawn = counts.join(videos, "video").withColumn("w", F.col("c") * F.col("m"))
+    pooled = stored(drawn.groupBy(*by, "rep", "perm", "x", "y").agg(F.sum("w").alias("w")))
+    return deltas(weighted_spearman(pooled, [*by, "rep", "perm"], "w", min_pairs), [*by, "rep"]).select(*by, "rep", "delta").filter("delta is not null")
 
 
-def bootstrap_rho(pairs: DataFrame, reps: int = 200, seed: int = 0) -> DataFrame:
-    """95 % interval of the lag Spearman over resampled videos, and the share of replicates at or above 0."""
-    counts = pairs.withColumns({"x": F.round("x", 9), "y": F.round("y", 9)}).groupBy("video", "x", "y").agg(F.count("*").alias("c"))
-    drawn = counts.join(F.broadcast(resampled_videos(pairs, reps, seed)), "video").withColumn("w", F.col("c") * F.col("m"))
-    rho = weighted_spearman(drawn, ["rep"], "w")
-    return rho.agg(F.percentile("rho", 0.025).alias("low"), F.percentile("rho", 0.5).alias("median"), F.percentile("rho", 0.975).alias("high"), F.avg((F.col("rho") >= 0).cast("double")).alias("p_positive"), F.count("*").alias("n_reps"))
+def interval(replicates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """95 % interval and median of replicate deltas, and the share at or above 0."""
+    return replicates.groupBy(*by).agg(F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.5).alias("median"), F.percentile("delta", 0.975).alias("high"), F.avg((F.col("delta") >= 0).cast("double")).alias("p_positive"), F.count("*").alias("n_reps"))
 
 
-def leave_one_out(pairs: DataFrame) -> DataFrame:
-    """Spearman without each video in turn, from per-video counts of equal pairs."""
-    counts = pairs.withColumns({"x": F.round("x", 9), "y": F.round("y", 9)}).groupBy("video", "x", "y").agg(F.count("*").alias("c"))
+def cohort_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Interval of the difference of two cohorts' replicate deltas, which are independent: replicates are paired by number."""
+    return interval(a.join(b.select("rep", F.col("delta").alias("_b")), "rep").select("rep", (F.col("delta") - F.col("_b")).alias("delta")))
+
+
+def leave_one_out(counts: DataFrame, by: Sequence[str] = (), weight: str = "c") -> DataFrame:
+    """Spearman without each video in turn, from counts of equal pairs by video.
+
+    A total less a video's own: a row enters with a negative weight, so that nothing is copied for every video but the
+    pooled counts of distinct pairs.
+    """
+    pooled = counts.groupBy(*by, "x", "y").agg(F.sum(weight).alias("c"))
     videos = counts.select(F.col("video").alias("left_out")).distinct()
-    # one copy of the counted pairs for each video left out: videos are the resampling units, not the rows
-    each = counts.join(F.broadcast(videos), counts["video"] != F.col("left_out"))
-    return weighted_spearman(each, ["left_out"], "c")
+    less = counts.select(F.col("video").alias("left_out"), *by, "x", "y", (-F.col(weight)).alias("c"))
+    each = stored(pooled.crossJoin(videos).select("left_out", *by, "x", "y", "c").unionByName(less).groupBy("left_out", *by, "x", "y").agg(F.sum("c").alias("c")).filter("c > 0"))
+    return weighted_spearman(each, ["left_out", *by], "c")
 
 
 def wild_bootstrap_t(deltas: DataFrame, reps: int = 999, value: str = "delta", unit: str = "video", seed: int = 0) -> DataFrame:
-    """Rademacher signs on per-video deviations; two-sided p of the t statistic against a mean of 0."""
+    """Rademacher signs on per-video deltas, imposing a mean of 0: t, two-sided p = (count + 1) / (reps + 1), 95 % interval by the bootstrapped t."""
+    sized = deltas.filter(F.col(value).isNotNull())
     n, m, sd = F.count("*"), F.avg(value), F.stddev_samp(value)
-    seen = deltas.agg((m / (sd / F.sqrt(n))).alias("t0"), m.alias("mean"), n.alias("n_units"))
+    seen = sized.agg((m / (sd / F.sqrt(n))).alias("t0"), m.alias("mean"), (sd / F.sqrt(n)).alias("se"), n.alias("n_units"))
     sign = F.when(F.conv(F.substring(hashed("rep", unit, F.lit(seed)), 1, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    star = deltas.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_v", sign * F.col(value))
-    t = star.groupBy("rep").agg((F.avg("_v") / (F.stddev_samp("_v") / F.sqrt(F.count("*")))).alias("t"))
-    return t.crossJoin(F.broadcast(seen)).groupBy("t0", "mean", "n_units").agg(F.avg((F.abs("t") >= F.abs(F.col("t0"))).cast("double")).alias("p"))
+    star = sized.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_v", sign * F.col(value))
+    se = F.stddev_samp("_v") / F.sqrt(F.count("*"))
+    t = star.groupBy("rep").agg(F.when(se > 0, F.avg("_v") / se).otherwise(0.0).alias("t"))
+    out = t.crossJoin(seen).groupBy("t0", "mean", "se", "n_units").agg(F.count_if(F.abs("t") >= F.abs(F.col("t0"))).alias("_k"), F.count("*").alias("_n"), F.percentile(F.abs("t"), 0.975).alias("_q"))
+    return out.select(F.col("t0").alias("t"), "mean", "se", "n_units", ((F.col("_k") + 1) / (F.col("_n") + 1)).alias("p"), (F.col("mean") - F.col("_q") * F.col("se")).alias("low"), (F.col("mean") + F.col("_q") * F.col("se")).alias("high"))
+
+
+def scc_profile(resid: DataFrame, lags: int = 5, key: Sequence[str] = KEY, perms: int = 20, seed: int = 0) -> DataFrame:
+    """At each lag the serial correlation of dwells, its permutation mean, and the difference; null below 30 pairs."""
+    counts = pair_counts(resid, perms, lags, key, (), seed)
+    return deltas(weighted_spearman(counts, ["lag", "perm"], "c", 30), ["lag"])
 
 
-def scc_profile(resid: DataFrame, lags: int = 5, key: Sequence[str] = KEY) -> DataFrame:
-    """Serial correlation of dwells at each lag."""
-    return spearman(lag_pairs(resid, lags, key), ["lag"], min_n=30)
+def scc_intervals(resid: DataFrame, lags: int = 5, key: Sequence[str] = KEY, perms: int = 3, reps: int = 50, seed: int = 0) -> DataFrame:
+    """95 % interval over resampled videos of each lag's difference."""
+    counts = pair_counts(resid, perms, lags, key, ["video"], seed)
+    return interval(bootstrap_deltas(counts, reps, ["lag"], seed, 30), ["lag"])

@@ -57,32 +57,56 @@ def acf_distance(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def crossings(series: DataFrame, column: str, threshold: float, key: Sequence[str] = KEY, fps: float = FPS) -> DataFrame:
     """Crossings of a threshold per second, and mean and CV of the seconds between a track's crossings."""
+    return crossing_gaps(series, column, threshold, key, fps).agg(F.sum("c").alias("crossings"), (F.sum("c") / (F.count("*") / fps)).alias("rate"), F.avg("gap").alias("mean_gap"), (F.stddev_pop("gap") / F.avg("gap")).alias("cv_gap"))
+
+
+def crossing_gaps(series: DataFrame, column: str, threshold: float, key: Sequence[str] = KEY, fps: float = FPS) -> DataFrame:
+    """Each point with ``c`` (1 where a threshold is crossed) and the seconds since the track's crossing before it."""
     w = Window.partitionBy(*key).orderBy("idx")
     at = series.withColumn("c", F.coalesce(((F.col(column) >= threshold) != F.lag(F.col(column) >= threshold).over(w)).cast("int"), F.lit(0)))
     at = at.withColumn("at", F.when(F.col("c") == 1, F.col("idx")))
     before = F.max("at").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    gap = at.withColumn("gap", F.when(F.col("c") == 1, (F.col("idx") - before) / fps))
-    return gap.agg(F.sum("c").alias("crossings"), (F.sum("c") / (F.count("*") / fps)).alias("rate"), F.avg("gap").alias("mean_gap"), (F.stddev_pop("gap") / F.avg("gap")).alias("cv_gap"))
+    return at.withColumn("gap", F.when(F.col("c") == 1, (F.col("idx") - before) / fps))
+
+
+def track_peaks(spectra: DataFrame, key: Sequence[str] = KEY, search: tuple[float, float] = (2.0, 24.0)) -> DataFrame:
+    """Median and quartiles over tracks of the frequency of largest power in a search range."""
+    peak = spectra.filter(F.col("freq").between(*search)).groupBy(*key).agg(F.max_by("freq", F.struct("power", (-F.col("freq")).alias("f"))).alias("peak"))
+    return peak.agg(F.percentile("peak", 0.5).alias("median"), F.percentile("peak", 0.25).alias("q25"), F.percentile("peak", 0.75).alias("q75"), F.count("*").alias("n_tracks"))
 
 
-def periodogram(tracks: DataFrame, points: int = 64, key: Sequence[str] = KEY, fps: float = FPS) -> DataFrame:
-    """Mean power of both velocity components under a Hann window, on a common grid of ``points // 2 + 1`` frequencies.
+def periodogram(tracks: DataFrame, key: Sequence[str] = KEY, fps: float = FPS, min_points: int = 256, step: float = 0.25) -> DataFrame:
+    """(key, freq, power): power of both velocity components under a Hann window, on the common grid ``step`` .. fps / 2.
 
-    Tracks of at least 16 velocities count. A task holds one track at a time; averages are native.
+    A track's powers sum to 1 before they are interpolated to the grid, so that tracks weigh equally. Tracks of fewer
+    than ``min_points`` points are left out. A task holds one track at a time.
     """
     key = list(key)
-    grid = np.linspace(0, fps / 2, points // 2 + 1)
+    grid = np.arange(1, int(round(fps / 2 / step)) + 1) * step
 
     def spectrum(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) < 16:
-            return pd.DataFrame({"freq": [], "power": []})
-        g = g.sort_values("idx")
-        hann = np.hanning(len(g))
-        power = sum(np.abs(np.fft.rfft((g[c] - g[c].mean()) * hann)) ** 2 for c in ("vx", "vy")) / (hann**2).sum()
-        return pd.DataFrame({"freq": grid, "power": np.interp(grid, np.fft.rfftfreq(len(g), 1 / fps), power)})
+        v = g.sort_values("idx")[["vx", "vy"]].to_numpy(float)
+        at = grid if len(v) + 1 >= min_points else grid[:0]
+        power = at
+        if len(at):
+            power = (np.abs(np.fft.rfft((v - v.mean(0)) * np.hanning(len(v))[:, None], axis=0)) ** 2).sum(1)
+            power = np.interp(at, np.fft.rfftfreq(len(v), 1 / fps), power / max(power.sum(), 1e-12))
+        return pd.DataFrame({**{c: pd.Series([g[c].iloc[0]] * len(at), dtype=object) for c in key}, "freq": at, "power": power})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tracks.select(*key).schema)
+    return velocities(tracks, key, 1.0, 1.0).groupBy(*key).applyInPandas(spectrum, f"{kinds}, freq double, power double")
+
+
+def mean_spectrum(spectra: DataFrame) -> DataFrame:
+    """Mean power of all tracks at each frequency."""
+    return spectra.groupBy("freq").agg(F.avg("power").alias("power"), F.count("*").alias("n_tracks"))
+
 
-    each = velocities(tracks, key).groupBy(*key).applyInPandas(spectrum, "freq double, power double")
-    return each.groupBy("freq").agg(F.avg("power").alias("power"), F.count("*").alias("n_tracks"))
+def band_power(mean: DataFrame, low: float = 5.0, high: float = 20.0, search: tuple[float, float] = (2.0, 24.0)) -> DataFrame:
+    """Share of the mean spectrum's power within a band, and the frequency of its largest power in a search range (the lower on ties)."""
+    inside, searched = F.col("freq").between(low, high), F.col("freq").between(*search)
+    best = F.max_by(F.when(searched, F.col("freq")), F.when(searched, F.struct("power", (-F.col("freq")).alias("f"))))
+    return mean.agg((F.sum(F.when(inside, F.col("power")).otherwise(0.0)) / F.sum("power")).alias("band_share"), best.alias("peak_freq"))
 
 
 def lag_one(tracks: DataFrame, key: Sequence[str] = KEY, min_points: int = 50, fps: float = FPS) -> DataFrame:
@@ -106,20 +130,21 @@ def _moments(tracks: DataFrame, lags: int, key: Sequence[str], pooled: bool) ->
     prods = {f"c{k}": F.col("x") * F.lead("x", k).over(w) + F.col("y") * F.lead("y", k).over(w) for k in range(1, lags + 1)}
     v = v.withColumns({"c0": F.col("x") * F.col("x") + F.col("y") * F.col("y")} | prods)
     by = [] if pooled else list(key)
-    return v.groupBy(*by).agg(F.count("*").alias("n"), F.first("mx").alias("mx"), F.first("my").alias("my"), *[(F.sum(f"c{k}") / F.sum("c0")).alias(f"r{k}") for k in range(1, lags + 1)], (F.sum("c0") / (2 * F.count("*"))).alias("var"))
+    return v.groupBy(*by).agg(F.count("*").alias("n"), F.first("mx").alias("mx"), F.first("my").alias("my"), *[(F.sum(f"c{k}") / F.sum("c0")).alias(f"r{k}") for k in range(1, lags + 1)], F.var_pop("vx").alias("var_x"), F.var_pop("vy").alias("var_y"))
 
 
 def fit_ou(tracks: DataFrame, key: Sequence[str] = KEY, pooled: bool = False, min_points: int = 10) -> DataFrame:
-    """Mean, variance and lag-1 coefficient (clipped to 0 .. 0.999) of velocity, per track or over all tracks."""
+    """Mean and variance of each velocity component and their joint lag-1 coefficient (clipped to +-0.995), per track or over all tracks."""
     m = _moments(tracks, 1, key, pooled).filter(F.col("n") >= min_points - 1)
-    return m.withColumn("phi", F.greatest(F.lit(0.0), F.least(F.lit(0.999), F.coalesce("r1", F.lit(0.0))))).drop("r1")
+    return m.withColumn("phi", F.greatest(F.lit(-0.995), F.least(F.lit(0.995), F.coalesce("r1", F.lit(0.0))))).drop("r1")
 
 
 def fit_ar2(tracks: DataFrame, key: Sequence[str] = KEY, min_points: int = 10) -> DataFrame:
-    """AR(2) by Yule-Walker; a fit that is not stationary falls back to AR(1)."""
-    m = _moments(tracks, 2, key, False).filter((F.col("n") >= min_points - 1) & F.col("r1").isNotNull())
-    d = 1 - F.col("r1") * F.col("r1")
-    p1, p2 = F.col("r1") * (1 - F.col("r2")) / d, (F.col("r2") - F.col("r1") * F.col("r1")) / d
-    ok = (d > 1e-9) & (F.abs(p2) < 1) & (p1 + p2 < 1) & (p2 - p1 < 1)
-    clip = F.greatest(F.lit(-0.999), F.least(F.lit(0.999), F.col("r1")))
-    return m.select(*key, "n", "var", F.coalesce(F.when(ok, p1), clip).alias("phi1"), F.coalesce(F.when(ok, p2), F.lit(0.0)).alias("phi2"))
+    """AR(2) by Yule-Walker; a fit that is not well inside the stationary region falls back to AR(1), still series to 0."""
+    m = _moments(tracks, 2, key, False).filter(F.col("n") >= min_points - 1)
+    r1, r2 = F.coalesce("r1", F.lit(0.0)), F.coalesce("r2", F.lit(0.0))
+    d = 1 - r1 * r1
+    p1, p2 = r1 * (1 - r2) / d, (r2 - r1 * r1) / d
+    ok = (d >= 1e-9) & (F.abs(p2) < 0.999) & (p1 + p2 < 0.999) & (p2 - p1 < 0.999)
+    clip = F.greatest(F.lit(-0.995), F.least(F.lit(0.995), r1))
+    return m.select(*key, "n", "var_x", "var_y", F.coalesce(F.when(ok, p1), clip).alias("phi1"), F.coalesce(F.when(ok, p2), F.lit(0.0)).alias("phi2"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import FPS, MIN_LENGTH, PX_PER_UM, STATE_WINDOW, distance, ratio, state_code
+from ..functions.special import column_of, correlation_p
 from .kinematics import KEY, ordered
 
 
@@ -109,9 +110,10 @@ def temporal_aggregate(windows: DataFrame) -> DataFrame:
 
 
 def linear_trends(windows: DataFrame, x: str = "t_mid_s", columns: Sequence[str] = ("pct_progressive", "pct_non_progressive", "pct_immotile")) -> DataFrame:
-    """Slope, intercept and R2 of each column over time."""
+    """Slope, intercept, R2 and the slope's two-sided p of each column over time."""
     long = windows.select(F.col(x).alias("x"), F.explode(F.create_map(*[v for c in columns for v in (F.lit(c), F.col(c))])).alias("series", "y"))
-    return long.groupBy("series").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))
+    fits = long.groupBy("series").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.regr_count("y", "x").alias("_n"))
+    return fits.withColumn("p", column_of(correlation_p, F.sqrt("r2"), "_n")).drop("_n")
 
 
 def wide_heatmap(windows: DataFrame, windows_shown: Sequence[int] | None = None, value: str = "pct_progressive") -> DataFrame:

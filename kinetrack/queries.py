@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import fixtures
 from .functions import scalar
 from .operators import agreement, association, episodes, features, kinematics, laws, models, order, report, serial, signal, states, summary
-from .oracles import STATE, compose, kinematics as kinematics_sql, ranks
+from .oracles import CTES, STATE, compose, kinematics as kinematics_sql, ranks
 from .plans import battery
 from .sources import files
 
@@ -49,6 +49,14 @@ def L(*columns: str) -> str:  # noqa: N802
     return ", ".join(f'CAST({c.rsplit(" AS ", 1)[0]} AS BIGINT) AS {c.rsplit(" AS ", 1)[-1]}' for c in columns)
 
 
+def r_p(r: str, n: str) -> str:
+    """Two-sided p of a correlation of n pairs: Student's t has a finite series for whole degrees of freedom."""
+    a = f"abs({r})"
+    odd = f"asin({a}) + {a} * coalesce(list_sum(list_transform(range(1, CAST(floor(({n} - 3) / 2) + 1 AS BIGINT)), lambda j: exp(lgamma(j) + lgamma(1.5) - lgamma(j + 0.5)) * power(1 - {r} * {r}, j - 0.5))), 0)"
+    even = f"{a} * coalesce(list_sum(list_transform(range(0, CAST(floor(({n} - 2) / 2) AS BIGINT)), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * power(1 - {r} * {r}, j))), 0)"
+    return f"CASE WHEN {n} < 3 THEN 1 WHEN {a} >= 1 THEN 0 WHEN {n} % 2 = 1 THEN 1 - 2 / pi() * ({odd}) ELSE 1 - ({even}) END"
+
+
 Q = [f'"{m}"' for m in METRICS]
 tracks, clinical, pred = fixtures.tracks, fixtures.clinical, fixtures.pred_tracks
 
@@ -95,9 +103,12 @@ query("P10_trails", f"SELECT * FROM (SELECT video, track_id, {L('frame')}, count
 query("P11_band_fractions", f"SELECT video, {r('avg(CASE WHEN \"VCL\" > 50 THEN 1.0 ELSE 0 END) AS vigorous', 'avg(CASE WHEN \"VCL\" BETWEEN 5 AND 25 THEN 1.0 ELSE 0 END) AS intermediate')} FROM kept GROUP BY video")(
     lambda s, d: kept(s, d).groupBy("video").agg(F.avg((F.col("VCL") > 50).cast("double")).alias("vigorous"), F.avg(F.col("VCL").between(5, 25).cast("double")).alias("intermediate"))
 )
-CONFIGS = [("base", 5.0, 25.0, 0.5), ("v_imm_low", 4.0, 25.0, 0.5), ("v_imm_high", 6.0, 25.0, 0.5), ("v_prog_low", 5.0, 20.0, 0.5), ("v_prog_high", 5.0, 30.0, 0.5), ("s_low", 5.0, 25.0, 0.4), ("s_high", 5.0, 25.0, 0.6)]
-query("P12_threshold_configs", f"SELECT config, CASE WHEN \"VCL\" <= v_imm THEN 'immotile' WHEN \"VCL\" >= v_prog AND \"STR\" >= s_prog THEN 'progressive' ELSE 'non_progressive' END AS motility, count(*) AS n FROM metrics, (VALUES {', '.join(map(str, CONFIGS))}) c(config, v_imm, v_prog, s_prog) GROUP BY 1, 2")(
-    lambda s, d: agreement.class_sweep(kinematics.track_metrics(tracks(s, d)), s.createDataFrame(CONFIGS, "config string, v_imm double, v_prog double, s_prog double"))
+DESIGNS = battery.DESIGNS
+query("P12_threshold_configs", f"SELECT config, CAST(CASE WHEN vcl <= v_imm THEN 2 WHEN vcl >= v_prog AND straightness >= s_prog THEN 0 ELSE 1 END AS BIGINT) AS state, count(*) AS n FROM kin, (VALUES {', '.join(map(str, DESIGNS))}) c(config, v_imm, v_prog, s_prog) GROUP BY 1, 2")(
+    lambda s, d: agreement.state_sweep(states.frame_kinematics(tracks(s, d)), s.createDataFrame(DESIGNS, "config string, v_imm double, v_prog double, s_prog double")).groupBy("config", "state").agg(F.count("*").alias("n"))
+)
+query("P12_class_configs", f"SELECT config, CASE WHEN \"VCL\" <= v_imm THEN 'immotile' WHEN \"VCL\" >= v_prog AND \"STR\" >= s_prog THEN 'progressive' ELSE 'non_progressive' END AS motility, count(*) AS n FROM metrics, (VALUES {', '.join(map(str, DESIGNS))}) c(config, v_imm, v_prog, s_prog) GROUP BY 1, 2")(
+    lambda s, d: agreement.class_sweep(kinematics.track_metrics(tracks(s, d)), s.createDataFrame(DESIGNS, "config string, v_imm double, v_prog double, s_prog double"))
 )
 query("P13_short_dwells", f"SELECT state, {r(*[f'avg(CASE WHEN run < {9 * k} THEN 1.0 ELSE 0 END) AS below_{k}w' for k in (1, 2, 3)])} FROM eps9 GROUP BY state".replace("SELECT state", "SELECT CAST(state AS BIGINT) AS state"))(lambda s, d: episodes.restricted_fractions(eps9(s, d), 9))
 
@@ -119,10 +130,11 @@ def compared(s: SparkSession, d: str) -> DataFrame:
     return agreement.compared(clinical(s, d), summaries(s, d).select("video", *[f"{c}_pct" for c in scalar.CLASSES]))
 
 
-AGREE = r("avg(abs(predicted - truth)) AS mae", "sqrt(avg(power(predicted - truth, 2))) AS rmse", "avg(predicted - truth) AS bias", "CASE WHEN count(*) < 3 THEN 0 ELSE corr(truth, predicted) END AS r")
-query("A09_agreement", f"SELECT category, {AGREE}, count(*) AS n FROM long GROUP BY category", LONG)(lambda s, d: agreement.agreement(compared(s, d)))
+AGREE_RAW = "avg(abs(predicted - truth)) AS mae, sqrt(avg(power(predicted - truth, 2))) AS rmse, avg(predicted - truth) AS bias, CASE WHEN count(*) < 3 THEN 0 ELSE corr(truth, predicted) END AS r"
+AGREE_P = r("mae", "rmse", "bias", "r", f"{r_p('r', 'n')} AS p")
+query("A09_agreement", f"SELECT category, {AGREE_P}, n FROM (SELECT category, {AGREE_RAW}, count(*) AS n FROM long GROUP BY category)", LONG)(lambda s, d: agreement.agreement(compared(s, d)))
 RUNS = LONG | {"runs": "SELECT *, 'all' AS experiment FROM long UNION ALL SELECT *, 'even' FROM long WHERE CAST(video AS INT) % 2 = 0"}
-query("A10_experiments", f"SELECT experiment, category, {AGREE}, count(*) AS n FROM runs GROUP BY ALL", RUNS)(
+query("A10_experiments", f"SELECT experiment, category, {AGREE_P}, n FROM (SELECT experiment, category, {AGREE_RAW}, count(*) AS n FROM runs GROUP BY experiment, category)", RUNS)(
     lambda s, d: agreement.agreement(compared(s, d).withColumn("experiment", F.explode(F.when(F.col("video").cast("int") % 2 == 0, F.array(F.lit("all"), F.lit("even"))).otherwise(F.array(F.lit("all"))))), ["experiment", "category"])
 )
 BA = [f"avg(predicted - truth) {x} AS {n}" for x, n in (("", "bias"), ("- 1.96 * stddev_pop(predicted - truth)", "low"), ("+ 1.96 * stddev_pop(predicted - truth)", "high"))]
@@ -159,8 +171,18 @@ query("J10_grid_class_mix", "SELECT combo, sum(n)::BIGINT AS n, sum(p)::BIGINT A
 )
 IOU = "greatest(0, least(a.cx, b.cx) + 8 - (greatest(a.cx, b.cx) - 8)) * greatest(0, least(a.cy, b.cy) + 8 - (greatest(a.cy, b.cy) - 8))"
 query("J07_iou_candidates", f"SELECT a.video, CAST(a.frame AS BIGINT) AS frame, a.track_id AS gt, b.track_id AS pred, {r(f'{IOU} / (512 - {IOU}) AS iou')} FROM tracks a JOIN pred_tracks b ON a.video = b.video AND a.frame = b.frame WHERE round({IOU} / (512 - {IOU}), 9) >= 0.5", digits=9)(lambda s, d: association.candidates(tracks(s, d), pred(s, d)))
-query("J07_greedy_matches")(lambda s, d: association.greedy_matches(association.candidates(tracks(s, d), pred(s, d))))
-query("A41_tracking_quality")(lambda s, d: association.tracking_quality(tracks(s, d), pred(s, d)))
+GREEDY = {
+    "gc": f"SELECT a.video, CAST(a.frame AS BIGINT) AS frame, a.track_id AS gt, b.track_id AS pred, round({IOU} / (512 - {IOU}), 9) AS iou FROM tracks a JOIN pred_tracks b ON a.video = b.video AND a.frame = b.frame WHERE round({IOU} / (512 - {IOU}), 9) >= 0.5",
+    "gl": "SELECT video, frame, list_reduce(list([{gt: gt, pred: pred, iou: iou}] ORDER BY gt, iou DESC, pred), lambda a, x: CASE WHEN len(list_filter(a, lambda m: m.gt = x[1].gt OR m.pred = x[1].pred)) > 0 THEN a ELSE list_concat(a, x) END) AS m FROM gc GROUP BY video, frame",
+    "gm": "SELECT video, frame, u.gt AS gt, u.pred AS pred, u.iou AS iou FROM (SELECT video, frame, unnest(m) AS u FROM gl)",
+}
+query("J07_greedy_matches", "SELECT video, frame, gt, pred, iou + 0.0 AS iou FROM gm", GREEDY, digits=9)(lambda s, d: association.greedy_matches(association.candidates(tracks(s, d), pred(s, d))))
+GREEDY |= {
+    "gh": "SELECT video, gt, count(*) AS hit, sum(sw) AS sw FROM (SELECT video, gt, CASE WHEN pred <> lag(pred) OVER (PARTITION BY video, gt ORDER BY frame) THEN 1 ELSE 0 END AS sw FROM gm) GROUP BY video, gt",
+    "gs": "SELECT t.video, t.track_id AS gt, count(p.frame) AS n FROM tracks t LEFT JOIN (SELECT DISTINCT video, frame FROM pred_tracks) p ON p.video = t.video AND p.frame = t.frame GROUP BY t.video, t.track_id",
+    "gf": "SELECT video, avg(CASE WHEN n < 25 THEN 1.0 ELSE 0 END) AS fragmentation FROM (SELECT video, track_id, count(*) AS n FROM pred_tracks GROUP BY video, track_id) GROUP BY video",
+}
+query("A41_tracking_quality", f"SELECT s.video, count(*) AS n_gt, {r('avg(CASE WHEN n > 0 AND coalesce(hit, 0) >= 0.5 * n THEN 1.0 ELSE 0 END) AS coverage', 'coalesce(sum(sw), 0) / count(*) AS id_switches', 'any_value(fragmentation) AS fragmentation')} FROM gs s LEFT JOIN gh h ON h.video = s.video AND h.gt = s.gt LEFT JOIN gf f ON f.video = s.video GROUP BY s.video", GREEDY)(lambda s, d: association.tracking_quality(tracks(s, d), pred(s, d)))
 
 # ---- states
 query("W12_frame_states", f"SELECT {', '.join(K)}, {L('frame', 'idx', 'state')} FROM states")(frame_states)
@@ -190,30 +212,42 @@ def windows(s: SparkSession, d: str) -> DataFrame:
 PCT = ["pct_progressive", "pct_non_progressive", "pct_immotile"]
 query("W15_temporal_windows", f"SELECT video, {L('\"window\"', 'n_active', 'n_progressive', 'n_non_progressive', 'n_immotile')}, {r('t_start_s', 't_mid_s', 't_end_s', *PCT)} FROM twin", WINDOWS)(windows)
 query("A13_temporal_aggregate", f"SELECT {L('\"window\"')}, {r('any_value(t_mid_s) AS t_mid_s', 'avg(n_active) AS n_active_mean', *[f'{f}({c}) AS {c}_{n}' for c in PCT for f, n in (('avg', 'mean'), ('stddev_samp', 'std'))])}, count(DISTINCT video) AS n_videos FROM twin GROUP BY \"window\"", WINDOWS)(lambda s, d: states.temporal_aggregate(windows(s, d)))
-TREND = " UNION ALL ".join(f"SELECT '{c}' AS series, {r(f'regr_slope({c}, t_mid_s) AS slope', f'regr_intercept({c}, t_mid_s) AS intercept', f'regr_r2({c}, t_mid_s) AS r2')} FROM twin" for c in PCT)
+TREND = " UNION ALL ".join(f"SELECT '{c}' AS series, {r('slope', 'intercept', 'r2', r_p('sqrt(r2)', 'n') + ' AS p')} FROM (SELECT regr_slope({c}, t_mid_s) AS slope, regr_intercept({c}, t_mid_s) AS intercept, regr_r2({c}, t_mid_s) AS r2, count(*) AS n FROM twin)" for c in PCT)
 query("A14_trends", TREND, WINDOWS)(lambda s, d: states.linear_trends(windows(s, d)))
-query("A37_video_by_window", f"SELECT video, {r('max(pct_progressive) FILTER (\"window\" = 1) AS \"1\"', 'max(pct_progressive) FILTER (\"window\" = 2) AS \"2\"', 'max(pct_progressive) FILTER (\"window\" = 3) AS \"3\"')} FROM twin GROUP BY video", WINDOWS)(lambda s, d: states.wide_heatmap(windows(s, d)))
+query("A37_video_by_window", "SELECT video, round(COLUMNS(* EXCLUDE (video)), 6) + 0.0 FROM (PIVOT (SELECT video, \"window\", pct_progressive FROM twin) ON \"window\" USING max(pct_progressive) GROUP BY video)", WINDOWS)(lambda s, d: states.wide_heatmap(windows(s, d)))
 
 # ---- transitions and episodes
 query("A15_transition_counts", f"SELECT {L('f AS \"from\"', 't AS \"to\"', 'n')} FROM counts")(lambda s, d: episodes.transition_counts(frame_states(s, d)))
 query("A15_transition_counts_by_video", f"SELECT v.video, {L('a.f AS \"from\"', 'b.t AS \"to\"', 'count(m.f) AS n')} FROM (SELECT DISTINCT video FROM states) v, (VALUES (0), (1), (2)) a(f), (VALUES (0), (1), (2)) b(t) LEFT JOIN moves m ON m.video = v.video AND m.f = a.f AND m.t = b.t GROUP BY v.video, a.f, b.t")(lambda s, d: episodes.transition_counts(frame_states(s, d), ["video"]))
 query("A16_transition_probabilities", f"SELECT {L('f AS \"from\"', 't AS \"to\"', 'n')}, {r('p')} FROM probs")(lambda s, d: episodes.transition_probabilities(episodes.transition_counts(frame_states(s, d))))
 query("A17_persistence", f"SELECT {L('f AS state')}, {r('max(p) FILTER (f = t) AS p_stay', 'CASE WHEN max(p) FILTER (f = t) < 1 THEN 1 / (1 - max(p) FILTER (f = t)) END AS sojourn_frames', 'CASE WHEN max(p) FILTER (f = t) < 1 THEN 1 / (1 - max(p) FILTER (f = t)) END / 50 AS sojourn_s')}, {L('CASE WHEN max(p) FILTER (f <> t) > 0 THEN arg_max(t, p) FILTER (f <> t) END AS next_state')} FROM probs GROUP BY f")(lambda s, d: episodes.persistence(episodes.transition_probabilities(episodes.transition_counts(frame_states(s, d)))))
-query("A18_stationary")(lambda s, d: episodes.stationary(episodes.transition_probabilities(episodes.transition_counts(frame_states(s, d)))))
+P3 = "SELECT {by} " + ", ".join(f"max(p) FILTER (f = {i} AND t = {j}) AS p{i}{j}" for i in range(3) for j in range(3)) + " FROM {source}"
+TREES = {"w": ", ".join(f"p{j}{i} * p{k}{i} + p{j}{i} * p{k}{j} + p{k}{i} * p{j}{k} AS w{i}" for i, j, k in ((0, 1, 2), (1, 0, 2), (2, 0, 1)))}
+query("A18_stationary", f"SELECT {L('state')}, {r('CASE WHEN w0 + w1 + w2 > 0 THEN CASE state WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END / (w0 + w1 + w2) END AS pi')} FROM (SELECT {TREES['w']} FROM p3), (VALUES (0), (1), (2)) x(state)", {"p3": P3.format(by="", source="probs")})(lambda s, d: episodes.stationary(episodes.transition_probabilities(episodes.transition_counts(frame_states(s, d)))))
 
 
 def two_cohorts(s: SparkSession, d: str) -> DataFrame:
     return summary.union_all([states.frame_states(t(s, d).withColumn("cohort", F.lit(n)), key=("cohort", *K)) for n, t in (("gt", tracks), ("auto", pred))])
 
 
-query("A19_cohort_matrices")(lambda s, d: episodes.transition_probabilities(episodes.transition_counts(two_cohorts(s, d), ["cohort"], ("cohort", *K)), ["cohort"]))
+PRED = {"psteps": CTES["steps"].replace("FROM tracks", "FROM pred_tracks"), "pkin": kinematics_sql(25, "psteps"), "pstates": f"SELECT video, track_id, frame, idx, {STATE} AS state FROM pkin"}
+BOTH = PRED | {"cohorts": "SELECT 'gt' AS cohort, * FROM states UNION ALL SELECT 'auto', * FROM pstates", "bmoves": "SELECT cohort, state AS f, lead(state) OVER (PARTITION BY cohort, video, track_id ORDER BY idx) AS t FROM cohorts"}
+BOTH |= {"bcounts": "SELECT c.cohort, a.f, b.t, (SELECT count(*) FROM bmoves m WHERE m.cohort = c.cohort AND m.f = a.f AND m.t = b.t) AS n FROM (SELECT DISTINCT cohort FROM cohorts) c, (VALUES (0), (1), (2)) a(f), (VALUES (0), (1), (2)) b(t)", "bprobs": "SELECT *, CASE WHEN sum(n) OVER (PARTITION BY cohort, f) > 0 THEN n / sum(n) OVER (PARTITION BY cohort, f) ELSE 0 END AS p FROM bcounts"}
+query("A19_cohort_matrices", f"SELECT cohort, {L('f AS \"from\"', 't AS \"to\"', 'n')}, {r('p')} FROM bprobs", BOTH)(lambda s, d: episodes.transition_probabilities(episodes.transition_counts(two_cohorts(s, d), ["cohort"], ("cohort", *K)), ["cohort"]))
+query("A19_cohort_stationary", f"SELECT cohort, {L('state')}, {r('CASE WHEN w0 + w1 + w2 > 0 THEN CASE state WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END / (w0 + w1 + w2) END AS pi')} FROM (SELECT cohort, {TREES['w']} FROM p3), (VALUES (0), (1), (2)) x(state)", BOTH | {"p3": P3.format(by="cohort,", source="bprobs GROUP BY cohort")})(lambda s, d: episodes.stationary(episodes.transition_probabilities(episodes.transition_counts(two_cohorts(s, d), ["cohort"], ("cohort", *K)), ["cohort"]), ["cohort"]))
 query("A44_switch_rate", f"SELECT video, {r('sum(switches) / (sum(n) / 50) AS switch_rate')}, {L('sum(switches) AS switches')} FROM rates GROUP BY video")(lambda s, d: episodes.switch_rate(frame_states(s, d, 9), ["video"]))
 query("W16_episodes", f"SELECT {', '.join(K)}, {L('ep_idx', 'state', 'run', 'n_eps')}, is_first, is_last, censored FROM eps9")(eps9)
 query("W17_censored_runs", f"SELECT {L('state')}, censored, count(*) AS n, {L('sum(run) AS frames')} FROM eps9 GROUP BY state, censored")(lambda s, d: eps9(s, d).groupBy("state", "censored").agg(F.count("*").alias("n"), F.sum("run").alias("frames")))
 query("W18_dwell_seconds", f"SELECT {L('state')}, {r('run / 50 AS seconds')}, n FROM hist")(lambda s, d: episodes.dwell_histogram(eps9(s, d)).select("state", (F.col("run") / 50).alias("seconds"), "n"))
 query("W25_interior_runs", f"SELECT {L('state', 'run')}, count(*) AS n FROM eps9 WHERE NOT censored GROUP BY state, run")(lambda s, d: episodes.dwell_histogram(eps9(s, d).filter("not censored")))
-query("W19_flicker_merge")(lambda s, d: episodes.merge_flickers(eps9(s, d), 3))
-query("W20_hysteresis_states")(lambda s, d: episodes.hysteresis_states(states.frame_kinematics(tracks(s, d)), 0.1))
+FLICK = {
+    "flists": "SELECT video, track_id, list([{ep_idx: CAST(ep_idx AS BIGINT), state: state, run: CAST(run AS BIGINT)}] ORDER BY ep_idx) AS eps FROM eps9 GROUP BY video, track_id",
+    "fmerged": "SELECT video, track_id, list_reduce(eps, lambda a, x: CASE WHEN len(a) >= 2 AND a[-1].run <= 3 AND a[-2].state = x[1].state AND a[-1].state <> x[1].state THEN list_concat(a[:len(a) - 2], [{ep_idx: a[-2].ep_idx, state: a[-2].state, run: a[-2].run + a[-1].run + x[1].run}]) ELSE list_concat(a, x) END) AS eps FROM flists",
+}
+query("W19_flicker_merge", f"SELECT video, track_id, {L('k - 1 AS ep_idx', 'eps[k].state AS state', 'eps[k].run AS run')} FROM (SELECT *, unnest(range(1, len(eps) + 1)) AS k FROM fmerged)", FLICK)(lambda s, d: episodes.merge_flickers(eps9(s, d), 3))
+NEXT = "CASE a.st[-1] WHEN 2 THEN CASE WHEN x.v <= 5.5 THEN 2 WHEN x.v >= 27.5 AND x.s >= 0.55 THEN 0 ELSE 1 END WHEN 0 THEN CASE WHEN x.v <= 4.5 THEN 2 WHEN x.v < 22.5 OR x.s < 0.45 THEN 1 ELSE 0 END ELSE CASE WHEN x.v <= 4.5 THEN 2 WHEN x.v >= 27.5 AND x.s >= 0.55 THEN 0 ELSE 1 END END"
+HYST = {"hlists": f"SELECT video, track_id, list({{v: vcl, s: straightness, st: [CAST({STATE} AS INT)]}} ORDER BY idx) AS h, list(frame ORDER BY idx) AS f FROM kin GROUP BY video, track_id", "hstates": f"SELECT video, track_id, f, list_reduce(h, lambda a, x: {{v: x.v, s: x.s, st: list_append(a.st, CAST({NEXT} AS INT))}}).st AS st FROM hlists"}
+query("W20_hysteresis_states", f"SELECT video, track_id, {L('f[k] AS frame', 'k - 1 AS idx', 'st[k] AS state')} FROM (SELECT *, unnest(range(1, len(f) + 1)) AS k FROM hstates)", HYST)(lambda s, d: episodes.hysteresis_states(states.frame_kinematics(tracks(s, d)), 0.1))
 GEO = {
     "mom": "SELECT state, sum(n) AS n, sum(n * run) / sum(n) AS mean, sum(n * run * run) / sum(n) AS sq, max(run) AS top FROM hist GROUP BY state",
     "ks": "SELECT m.state, max(abs((SELECT sum(n) FROM hist h WHERE h.state = m.state AND h.run <= k) / m.n - (1 - power(greatest(1e-6, 1 - 1 / mean), k)))) AS ks FROM (SELECT *, unnest(range((SELECT min(run) FROM hist), top + 1)) AS k FROM mom) m GROUP BY m.state",
@@ -222,14 +256,39 @@ GEO = {
 query("A20_geometric_test", f"SELECT {L('m.state AS state', 'n AS n_episodes')}, {r('mean', 'mean / 50 AS mean_s', 'sqrt(greatest(0, sq - mean * mean)) / mean AS cv', '(SELECT coalesce(sum(h.n), 0) FROM hist h WHERE h.state = m.state AND h.run > 3 * mean) / n AS emp_tail', 'power(greatest(1e-6, 1 - 1 / mean), floor(3 * mean)) AS geo_tail', '(SELECT coalesce(sum(h.n), 0) FROM hist h WHERE h.state = m.state AND h.run > 3 * mean) / n / power(greatest(1e-6, 1 - 1 / mean), floor(3 * mean)) AS tail_excess', 'ks')} FROM mom m JOIN ks0 ON m.state = ks0.state", GEO)(lambda s, d: episodes.geometric_test(episodes.dwell_histogram(eps9(s, d))))
 query("A21_pooled_cv", f"SELECT {L('state')}, {r('stddev_pop(run) / avg(run) AS pooled_cv')}, count(*) AS n FROM eps9 GROUP BY state")(lambda s, d: episodes.pooled_cv(eps9(s, d)))
 query("A21_within_cv", f"SELECT {L('state')}, count(*) AS n_tracks, {r('quantile_cont(cv, 0.5) AS median_cv', 'quantile_cont(cv, 0.25) AS q25', 'quantile_cont(cv, 0.75) AS q75')} FROM (SELECT state, stddev_pop(run) / avg(run) AS cv FROM eps9 GROUP BY video, track_id, state HAVING count(*) >= 3) GROUP BY state")(lambda s, d: episodes.within_cv(eps9(s, d), 3))
-ICC = {"per": "SELECT video, track_id, count(*) AS n, avg(resid) AS m, var_pop(resid) AS v FROM resid GROUP BY ALL HAVING count(*) >= 3", "tot": "SELECT count(*) AS k, sum(n) AS nn, sum(n * n) AS n2, sum(n * m * m) - sum(n) * power(sum(n * m) / sum(n), 2) AS ssb, sum(n * v) AS ssw FROM per"}
-query("A22_icc", f"SELECT {r('(ssb / (k - 1) - ssw / (nn - k)) / (ssb / (k - 1) + ((nn - n2 / nn) / (k - 1) - 1) * ssw / (nn - k)) AS icc', 'ssb / (ssb + ssw) AS eta2')}, {L('k AS n_groups', 'nn AS n')} FROM tot", ICC)(lambda s, d: episodes.anova_icc(resid(s, d), "resid", K))
+ICC = {"resid3": "SELECT e.*, ln(run / 50) - m AS resid FROM eps9 e JOIN (SELECT state, avg(ln(run / 50)) AS m FROM eps9 GROUP BY state) USING (state) WHERE n_eps >= 3", "per": "SELECT video, track_id, count(*) AS n, avg(resid) AS m, var_pop(resid) AS v FROM resid3 GROUP BY ALL HAVING count(*) >= 3", "tot": "SELECT count(*) AS k, sum(n) AS nn, sum(n * n) AS n2, sum(n * m * m) - sum(n) * power(sum(n * m) / sum(n), 2) AS ssb, sum(n * v) AS ssw FROM per"}
+query("A22_icc", f"SELECT {r('(ssb / (k - 1) - ssw / (nn - k)) / (ssb / (k - 1) + ((nn - n2 / nn) / (k - 1) - 1) * ssw / (nn - k)) AS icc', 'ssb / (ssb + ssw) AS eta2')}, {L('k AS n_groups', 'nn AS n')} FROM tot", ICC)(lambda s, d: episodes.anova_icc(serial.residuals(eps9(s, d), 3), "resid", K))
+RICC = {
+    "rres": ranks("SELECT video, track_id, state, resid AS x, 0 AS y FROM resid"),
+    "rper": "SELECT video, track_id, state, count(*) AS n, avg(rk) AS m, var_pop(rk) AS v FROM (SELECT *, rx / count(*) OVER () AS rk FROM rres) GROUP BY ALL HAVING count(*) >= 2",
+    "rtot": "SELECT p.state, count(*) AS k, sum(n) AS nn, sum(n * n) AS n2, sum(n * power(m - g, 2)) AS ssb, sum(n * v) AS ssw FROM rper p JOIN (SELECT state, sum(n * m) / sum(n) AS g FROM rper GROUP BY state) USING (state) GROUP BY p.state",
+    "ricc": "SELECT *, (ssb / (k - 1) - ssw / (nn - k)) / (ssb / (k - 1) + ((nn - n2 / nn) / (k - 1) - 1) * ssw / (nn - k)) AS icc, ssb / (ssb + ssw) AS eta2 FROM rtot WHERE k > 1 AND nn > k",
+}
+query("A22_rank_icc", f"SELECT {L('state', 'k AS n_groups', 'nn AS n')}, {r('icc', 'eta2')} FROM ricc", RICC)(lambda s, d: episodes.rank_icc(resid(s, d)).filter("icc is not null"))
+query("A22_rank_icc_pooled", f"SELECT {r('sum(icc * nn) / sum(nn) AS icc')}, {L('sum(nn) AS n')} FROM ricc WHERE k >= 5", RICC)(lambda s, d: episodes.pooled_icc(episodes.rank_icc(resid(s, d))))
+TRUNC = {
+    "plens": "SELECT len, sum(c) OVER (ORDER BY len) AS cum FROM (SELECT len, count(*) AS c FROM (SELECT count(*) AS len FROM pred_tracks GROUP BY video, track_id) GROUP BY len)",
+    "tsize": "SELECT video, track_id, n, CAST(('0x' || substr(md5(video || '|' || track_id || '|length|0'), 1, 8)) AS BIGINT) AS u, CAST(('0x' || substr(md5(video || '|' || track_id || '|start|0'), 1, 8)) AS BIGINT) AS w, (SELECT max(cum) FROM plens WHERE len <= n) AS top FROM (SELECT video, track_id, count(*) AS n FROM tracks GROUP BY ALL)",
+    "tpick": "SELECT video, track_id, w % (n - len + 1) AS start, len FROM (SELECT *, CASE WHEN top IS NULL THEN n ELSE (SELECT min(p.len) FROM plens p WHERE p.cum > u % top) END AS len FROM tsize) WHERE len >= 10",
+    "tseg": "SELECT t.* EXCLUDE (i) FROM (SELECT *, row_number() OVER (PARTITION BY video, track_id ORDER BY frame) - 1 AS i FROM tracks) t JOIN tpick USING (video, track_id) WHERE i >= start AND i < start + len",
+    "tsteps": CTES["steps"].replace("FROM tracks", "FROM tseg"), "tkin": kinematics_sql(9, "tsteps"), "tstates": f"SELECT video, track_id, frame, idx, {STATE} AS state FROM tkin",
+    "teps": CTES["eps9"].replace("FROM states9", "FROM tstates"),
+}
+query("J13_truncated_tracks", f"SELECT video, track_id, {L('frame')}, {r('cx', 'cy')} FROM tseg", TRUNC)(lambda s, d: episodes.truncated(tracks(s, d), pred(s, d)).select(*K, "frame", "cx", "cy"))
+query("J13_truncated_dwells", f"SELECT {L('state')}, count(*) AS n, {r('avg(run) / 50 AS mean_s', 'stddev_pop(run) / avg(run) AS cv')} FROM teps GROUP BY state", TRUNC)(
+    lambda s, d: episodes.episodes(states.frame_states(episodes.truncated(tracks(s, d), pred(s, d)), 9)).groupBy("state").agg(F.count("*").alias("n"), (F.avg("run") / 50).alias("mean_s"), (F.stddev_pop("run") / F.avg("run")).alias("cv"))
+)
 query("A23_eta_squared", f"SELECT {r('sum(n * power(m - g, 2)) / sum(n * power(m - g, 2) + n * v) AS eta2')} FROM (SELECT count(*) AS n, avg(vcl) AS m, var_pop(vcl) AS v FROM kin GROUP BY video, track_id), (SELECT avg(vcl) AS g FROM kin)")(lambda s, d: episodes.anova_icc(states.frame_kinematics(tracks(s, d)), "vcl", K, min_n=1).select("eta2"))
 query("A30_occupancy", f"SELECT {L('state')}, {r('count(*) / sum(count(*)) OVER () AS share')} FROM states GROUP BY state")(lambda s, d: frame_states(s, d).groupBy("state").agg(F.count("*").alias("n")).select("state", agreement.share(F.col("n")).alias("share")))
 query("A31_quantiles", f"SELECT {r(*[f'quantile_cont(vcl, {p}) AS q{int(p * 100)}' for p in (0.05, 0.25, 0.5, 0.75, 0.95)])} FROM kin")(lambda s, d: states.frame_kinematics(tracks(s, d)).agg(*[F.percentile("vcl", p).alias(f"q{int(p * 100)}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
+W27_STEPS = "SELECT *, sqrt(power(cx - lag(cx) OVER t, 2) + power(cy - lag(cy) OVER t, 2)) AS step FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY video, track_id ORDER BY frame) - 1) / 25) AS BIGINT) AS block FROM tracks) WINDOW t AS (PARTITION BY video, track_id, block ORDER BY frame)"
+FIVE = (0.05, 0.25, 0.5, 0.75, 0.95)
+query("A31_block_quantiles", f"SELECT {r(*[f'quantile_cont({c}, {p}) AS {c}_q{int(p * 100)}' for c in ('vcl', 'lin') for p in FIVE])} FROM bkin", {"b25": W27_STEPS, "bkin": "SELECT sum(step) / 1.422 / 24 * 50 AS vcl, CASE WHEN sum(step) > 0 THEN sqrt(power(arg_max(cx, frame) - arg_min(cx, frame), 2) + power(arg_max(cy, frame) - arg_min(cy, frame), 2)) / sum(step) ELSE 0 END AS lin FROM b25 GROUP BY video, track_id, block HAVING count(*) = 25"})(lambda s, d: signal.block_kinematics(tracks(s, d)).agg(*[F.percentile(c, p).alias(f"{c}_q{int(p * 100)}") for c in ("vcl", "lin") for p in FIVE]))
+query("A31_crossing_intervals", f"SELECT {r(*[f'quantile_cont(gap, {p}) AS q{int(p * 100)}' for p in FIVE])} FROM (SELECT (idx - lag(idx) OVER (PARTITION BY video, track_id ORDER BY idx)) / 50 AS gap FROM (SELECT *, CASE WHEN (sp >= 25) <> (lag(sp) OVER (PARTITION BY video, track_id ORDER BY idx) >= 25) THEN 1 ELSE 0 END AS c FROM (SELECT video, track_id, idx, sqrt(vx * vx + vy * vy) AS sp FROM vel)) WHERE c = 1)")(lambda s, d: signal.crossing_gaps(signal.velocities(tracks(s, d)).withColumn("speed", scalar.distance(F.col("vx"), F.col("vy"))), "speed", 25.0).agg(*[F.percentile("gap", p).alias(f"q{int(p * 100)}") for p in FIVE]))
 query("A38_survival", f"SELECT {L('state', 'run')}, {r('1 - sum(n) OVER (PARTITION BY state ORDER BY run) / sum(n) OVER (PARTITION BY state) AS survival')} FROM hist")(lambda s, d: episodes.survival(eps9(s, d)))
 query("A39_track_lengths", f"SELECT {r(*[f'quantile_cont(n, {p}) AS q{int(p * 100)}' for p in (0.05, 0.5, 0.95)], 'avg(n) AS mean')}, count(*) AS n_tracks FROM (SELECT count(*) AS n FROM tracks GROUP BY video, track_id)")(lambda s, d: tracks(s, d).groupBy(*K).agg(F.count("*").alias("n")).agg(*[F.percentile("n", p).alias(f"q{int(p * 100)}") for p in (0.05, 0.5, 0.95)], F.avg("n").alias("mean"), F.count("*").alias("n_tracks")))
-query("A39_ks_dwell_length", f"SELECT {r('max(abs(a - b)) AS ks')} FROM (SELECT sum(na) OVER (ORDER BY x) / sum(na) OVER () AS a, sum(nb) OVER (ORDER BY x) / sum(nb) OVER () AS b FROM (SELECT x, sum(na) AS na, sum(nb) AS nb FROM (SELECT run AS x, 1 AS na, 0 AS nb FROM eps9 UNION ALL SELECT count(*), 0, 1 FROM tracks GROUP BY video, track_id) GROUP BY x))")(lambda s, d: episodes.two_sample_ks(eps9(s, d).select("run"), tracks(s, d).groupBy(*K).agg(F.count("*").alias("run")), "run"))
+KSP = "CASE WHEN ks * sqrt(tn * tm / (tn + tm)) < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: power(-1, k - 1) * exp(-2 * k * k * ks * ks * tn * tm / (tn + tm)))))) END AS p"
+query("A39_ks_dwell_length", f"SELECT {r('ks', KSP)} FROM (SELECT max(abs(a - b)) AS ks, any_value(tn) AS tn, any_value(tm) AS tm FROM (SELECT sum(na) OVER () AS tn, sum(nb) OVER () AS tm, sum(na) OVER (ORDER BY x) / sum(na) OVER () AS a, sum(nb) OVER (ORDER BY x) / sum(nb) OVER () AS b FROM (SELECT x, sum(na) AS na, sum(nb) AS nb FROM (SELECT run AS x, 1 AS na, 0 AS nb FROM eps9 UNION ALL SELECT count(*), 0, 1 FROM tracks GROUP BY video, track_id) GROUP BY x)))")(lambda s, d: episodes.two_sample_ks(eps9(s, d).select("run"), tracks(s, d).groupBy(*K).agg(F.count("*").alias("run")), "run"))
 query("A40_boundary_fractions", f"SELECT count(*) AS n, {r('avg(CASE WHEN censored AND NOT (is_first AND is_last) THEN 1.0 ELSE 0 END) AS one_boundary', 'avg(CASE WHEN is_first AND is_last THEN 1.0 ELSE 0 END) AS whole_track', 'avg(CASE WHEN censored THEN 0 ELSE 1.0 END) AS interior')} FROM eps9")(lambda s, d: episodes.boundary_fractions(eps9(s, d)))
 FANO = {
     "ends": "SELECT video, track_id, is_last, sum(run) OVER (PARTITION BY video, track_id ORDER BY ep_idx) AS e, sum(run) OVER (PARTITION BY video, track_id) AS total FROM eps9",
@@ -261,8 +320,20 @@ LAWS = {"sums": "SELECT state, sum(n) AS n, sum(n * run / 50) AS sx, sum(n * ln(
 query("M01_closed_laws", f"SELECT {L('state', 'n')}, 'exponential' AS law, {r('sx / n AS a', 'CAST(NULL AS DOUBLE) AS b', '2 + 2 * n * (ln(sx / n) + 1) AS aic')} FROM sums UNION ALL SELECT {L('state', 'n')}, 'lognormal', {r('sl / n AS a', 'sqrt(v) AS b', '4 + 2 * (n * (0.5 * ln(2 * pi() * v) + 0.5) + sl) AS aic')} FROM va", LAWS)(lambda s, d: laws.closed_laws(episodes.dwell_histogram(eps9(s, d))))
 query("M01_dwell_laws")(lambda s, d: laws.dwell_laws(episodes.dwell_histogram(eps9(s, d))))
 query("M02_censored_exponential", f"SELECT {L('state', 'events')}, {r('seconds', 'events / seconds AS rate', '2 - 2 * (events * ln(events / seconds) - events) AS aic')} FROM (SELECT state, count(*) FILTER (NOT censored) AS events, sum(run) / 50 AS seconds FROM eps9 GROUP BY state)")(lambda s, d: laws.censored_exponential(episodes.dwell_histogram(eps9(s, d), censoring=True)))
-query("M03_hill_exponent", f"SELECT {L('state')}, {r('xmin')}, count(*) AS n_tail, {r('CASE WHEN count(*) >= 50 AND sum(ln(run / 50 / xmin)) > 0 THEN 1 + count(*) / sum(ln(run / 50 / xmin)) END AS alpha')} FROM eps9 JOIN (SELECT state, quantile_cont(run / 50, 0.8) AS xmin FROM eps9 GROUP BY state) USING (state) WHERE run / 50 >= xmin GROUP BY state, xmin")(lambda s, d: laws.hill_exponent(eps9(s, d)))
-query("M04_laws_by_window")(lambda s, d: summary.union_all([laws.closed_laws(episodes.dwell_histogram(episodes.episodes(frame_states(s, d, w)))).withColumn("state_window", F.lit(w)) for w in (13, 25, 51)]))
+query("M02_censored_laws")(lambda s, d: laws.censored_laws(episodes.dwell_histogram(eps9(s, d), censoring=True)))
+query("M10_frailty")(lambda s, d: models.frailty(eps9(s, d), max_iter=60, tol=1e-4))
+query("M03_hill_exponent", f"SELECT {L('state')}, {r('xmin')}, count(*) AS n_tail, {r('CASE WHEN count(*) >= 50 AND sum(ln(run / 50 / xmin)) > 0 THEN 1 + count(*) / sum(ln(run / 50 / xmin)) END AS alpha')} FROM eps9 JOIN (SELECT state, quantile_cont(run / 50, 0.5) AS xmin FROM eps9 GROUP BY state) USING (state) WHERE run / 50 >= xmin GROUP BY state, xmin")(lambda s, d: laws.hill_exponent(eps9(s, d)))
+M4_WINDOWS = (9, 13, 25, 51)
+M4 = {}
+for _w in M4_WINDOWS:
+    M4 |= {f"m4kin{_w}": kinematics_sql(_w), f"m4states{_w}": f"SELECT video, track_id, frame, idx, {STATE} AS state FROM m4kin{_w}", f"m4eps{_w}": CTES["eps9"].replace("FROM states9", f"FROM m4states{_w}")}
+M4["sums"] = " UNION ALL ".join(f"SELECT {w} AS state_window, state, count(*) AS n, sum(run / 50) AS sx, sum(ln(run / 50)) AS sl, sum(power(ln(run / 50), 2)) AS sl2 FROM m4eps{w} GROUP BY state" for w in M4_WINDOWS)
+M4["va"] = LAWS["va"]
+query("M04_closed_laws_by_window", f"SELECT {L('state_window', 'state', 'n')}, 'exponential' AS law, {r('sx / n AS a', 'CAST(NULL AS DOUBLE) AS b', '2 + 2 * n * (ln(sx / n) + 1) AS aic')} FROM sums UNION ALL SELECT {L('state_window', 'state', 'n')}, 'lognormal', {r('sl / n AS a', 'CASE WHEN v > 1e-12 THEN sqrt(v) ELSE 0 END AS b', 'CASE WHEN v > 1e-12 THEN 4 + 2 * (n * (0.5 * ln(2 * pi() * v) + 0.5) + sl) END AS aic')} FROM va", M4)(
+    lambda s, d: summary.union_all([laws.closed_laws(episodes.dwell_histogram(episodes.episodes(frame_states(s, d, w)))).withColumn("state_window", F.lit(w)) for w in M4_WINDOWS])
+)
+query("M04_laws_by_window")(lambda s, d: laws.dwell_laws(episodes.dwell_histogram(summary.union_all([episodes.episodes(frame_states(s, d, w)).withColumn("state_window", F.lit(w)) for w in M4_WINDOWS]), ["state_window", "state"]), ["state_window", "state"]))
+query("M04_restricted_laws")(lambda s, d: laws.dwell_laws(episodes.dwell_histogram(eps9(s, d).filter("run >= 9"))))
 
 # ---- serial memory
 query("W21_residuals", f"SELECT {', '.join(K)}, {L('ep_idx', 'state')}, {r('resid')} FROM resid")(lambda s, d: resid(s, d).select(*K, "ep_idx", "state", "resid"))
@@ -272,31 +343,68 @@ query("W24_spearman_by_lag", f"SELECT {L('lag')}, {r('CASE WHEN count(*) >= 3 TH
 CELL = {"res6": "SELECT e.*, ln(run / 50) - m AS resid FROM eps9 e JOIN (SELECT state, avg(ln(run / 50)) AS m FROM eps9 GROUP BY state) USING (state) WHERE n_eps >= 5", "p6": "SELECT video, track_id, x, y FROM (SELECT video, track_id, resid AS x, lead(resid) OVER (PARTITION BY video, track_id ORDER BY ep_idx) AS y FROM res6) WHERE y IS NOT NULL", "rk6": ranks("SELECT * FROM p6", "video, track_id"), "rho6": "SELECT CASE WHEN count(*) >= 3 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho FROM rk6 GROUP BY video, track_id"}
 query("M12_per_cell_memory", f"SELECT {r('tanh(avg(atanh(greatest(-0.999, least(0.999, rho))))) AS mean_rho')}, count(*) AS n_tracks FROM rho6 WHERE rho IS NOT NULL", CELL)(lambda s, d: serial.per_cell_memory(eps9(s, d), 5))
 query("M11_permutation_null")(lambda s, d: serial.permutation_null(resid(s, d)))
-query("M13_bootstrap")(lambda s, d: serial.bootstrap_rho(serial.lag_pairs(resid(s, d), 1)))
+def lag_counts(s: SparkSession, d: str, t=tracks, perms: int = 3) -> DataFrame:
+    """Counts of successive residuals by video, observed and permuted."""
+    return serial.pair_counts(serial.residuals(episodes.episodes(states.frame_states(t(s, d), 9))), perms, 1)
+
+
+query("M13_bootstrap")(lambda s, d: serial.interval(serial.bootstrap_deltas(lag_counts(s, d), 100)))
+query("M13_cohort_difference")(lambda s, d: serial.cohort_difference(serial.bootstrap_deltas(lag_counts(s, d), 100), serial.bootstrap_deltas(lag_counts(s, d, pred), 100, seed=1)))
+query("M13_leave_one_out_range")(lambda s, d: serial.deltas(serial.leave_one_out(lag_counts(s, d), ["perm"]), ["left_out"]).agg(F.min("delta").alias("low"), F.max("delta").alias("high"), F.count("*").alias("n_videos")))
 LOO = {"cp": "SELECT l.video AS left_out, p.video, x, y FROM pairs p, (SELECT DISTINCT video FROM pairs WHERE lag = 1) l WHERE lag = 1 AND p.video <> l.video", "rkl": ranks("SELECT * FROM cp", "left_out")}
-query("M13_leave_one_out", f"SELECT left_out, {r('CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho')}, count(*) AS n FROM rkl GROUP BY left_out", LOO)(lambda s, d: serial.leave_one_out(serial.lag_pairs(resid(s, d), 1)))
-query("M14_wild_bootstrap")(lambda s, d: serial.wild_bootstrap_t(serial.lag_pairs(resid(s, d), 1).groupBy("video").agg(F.avg(F.col("x") * F.col("y")).alias("delta"))))
+query("M13_leave_one_out", f"SELECT left_out, {r('CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho')}, count(*) AS n FROM rkl GROUP BY left_out", LOO)(lambda s, d: serial.leave_one_out(serial.pair_counts(resid(s, d))))
+query("M14_wild_bootstrap")(lambda s, d: serial.wild_bootstrap_t(serial.permutation_null(resid(s, d), 50, 1, by=["video"], min_pairs=30)))
 query("M15_scc_profile")(lambda s, d: summary.union_all([serial.scc_profile(x).withColumn("variant", F.lit(n)) for n, x in (("raw", resid(s, d)), ("trait", serial.trait_residuals(eps9(s, d))))]))
-query("M16_design_sweep")(lambda s, d: summary.union_all([serial.spearman(serial.lag_pairs(serial.residuals(episodes.episodes(episodes.hysteresis_states(states.frame_kinematics(tracks(s, d), 9), m))), 1)).withColumn("margin", F.lit(m)) for m in (0.05, 0.1, 0.2)]))
+query("M15_scc_intervals")(lambda s, d: serial.scc_intervals(resid(s, d), 3, perms=2, reps=40))
+query("M16_design_sweep")(lambda s, d: battery.design_sweep(tracks(s, d), 10, 40))
 
 # ---- features and statistics
 query("A24_gini", f"SELECT video, {r('CASE WHEN sum(x) > 0 THEN sum((2 * k - n - 1) * x) / (n * sum(x)) ELSE 0 END AS gini')} FROM (SELECT video, round(rate, 9) AS x, row_number() OVER (PARTITION BY video ORDER BY rate) AS k, count(*) OVER (PARTITION BY video) AS n FROM rates) GROUP BY video, n")(lambda s, d: features.gini(features.cell_rates(frame_states(s, d, 9)).withColumn("rate", F.round("rate", 9)), "rate", ["video"]))
 query("A25_cell_rates", f"SELECT {', '.join(K)}, {L('switches', 'n', 'first_state')}, {r('rate')} FROM rates")(lambda s, d: features.cell_rates(frame_states(s, d, 9)))
-query("A25_rate_features")(lambda s, d: features.rate_features(features.cell_rates(frame_states(s, d, 9))))
+RATEF = {"rgini": "SELECT video, CASE WHEN sum(x) > 0 THEN sum((2 * k - n - 1) * x) / (n * sum(x)) ELSE 0 END AS g FROM (SELECT video, round(rate, 9) AS x, row_number() OVER (PARTITION BY video ORDER BY rate) AS k, count(*) OVER (PARTITION BY video) AS n FROM rates) GROUP BY video, n", "rsum": "SELECT video, count(*) AS n, avg(rate) AS m, stddev_pop(rate) AS sd, avg(CASE WHEN switches = 0 THEN 1.0 ELSE 0 END) AS st FROM rates GROUP BY video"}
+query("A25_rate_features", f"SELECT video, {L('n AS n_cells')}, {r('m AS mean_rate', 'sd AS sd_rate', 'st AS stayer_frac', 'CASE WHEN m > 0 THEN sd / m END AS cv_rate', 'g AS gini_rate')} FROM rsum JOIN rgini USING (video)", RATEF)(lambda s, d: features.rate_features(features.cell_rates(frame_states(s, d, 9))))
 query("A26_stayer_features", f"SELECT a.*, frac_prog, frac_nonprog, frac_immotile FROM (SELECT video, count(*) AS n_cells, {r('avg(CASE WHEN switches = 0 THEN 1.0 ELSE 0 END) AS stayer_frac', *[f'avg(CASE WHEN switches = 0 AND first_state = {k} THEN 1.0 ELSE 0 END) AS stable_{n}_frac' for k, n in enumerate(features.SHORT)])} FROM rates GROUP BY video) a JOIN (SELECT video, {r(*[f'avg(CASE WHEN state = {k} THEN 1.0 ELSE 0 END) AS frac_{n}' for k, n in enumerate(features.SHORT)])} FROM states9 GROUP BY video) b USING (video)")(lambda s, d: features.stayer_features(frame_states(s, d, 9)))
-query("A27_participant_features")(lambda s, d: features.participant_features(kinematics.track_metrics(tracks(s, d)), frame_states(s, d, 9)))
+SHORT = features.SHORT
+PART = {
+    "casa": "SELECT video, count(*) AS n_tracks, " + ", ".join(f'{f}("{m}") AS "{m}_{n}"' for m in METRICS for f, n in (("avg", "mean"), ("stddev_samp", "sd"))) + " FROM metrics GROUP BY video",
+    "pcomp": "SELECT video, count(*) AS n_frames, " + ", ".join(f"avg(CASE WHEN state = {k} THEN 1.0 ELSE 0 END) AS frac_{n}" for k, n in enumerate(SHORT)) + " FROM states9 GROUP BY video",
+    "pmoves": "SELECT video, f, t, count(*) AS n FROM (SELECT video, state AS f, lead(state) OVER (PARTITION BY video, track_id ORDER BY idx) AS t FROM states9) WHERE t IS NOT NULL GROUP BY ALL",
+    "pprob": "SELECT v.video, a.f, b.t, coalesce(m.n / sum(m.n) OVER (PARTITION BY v.video, a.f), 0) AS p FROM (SELECT DISTINCT video FROM states9) v CROSS JOIN (VALUES (0), (1), (2)) a(f) CROSS JOIN (VALUES (0), (1), (2)) b(t) LEFT JOIN pmoves m ON m.video = v.video AND m.f = a.f AND m.t = b.t",
+    "pstay": "SELECT video, " + ", ".join([f"max(p) FILTER (f = {k} AND t = {k}) AS stay_{n}" for k, n in enumerate(SHORT)] + [f"max(p) FILTER (f = {a} AND t = {b}) - max(p) FILTER (f = {b} AND t = {a}) AS asym_{SHORT[a]}_{SHORT[b]}" for a, b in ((0, 1), (1, 2), (0, 2))]) + " FROM pprob GROUP BY video",
+    "pdwell": "SELECT video, " + ", ".join(f"CASE WHEN count(*) FILTER (state = {k}) >= 10 THEN {e} END AS {x}_{n}" for k, n in enumerate(SHORT) for x, e in (("dwell_mean", f"avg(run) FILTER (state = {k}) / 50"), ("dwell_cv", f"stddev_pop(run) FILTER (state = {k}) / avg(run) FILTER (state = {k})"))) + " FROM eps9 GROUP BY video",
+}
+PARTS = [f'"{m}_{n}"' for m in METRICS for n in ("mean", "sd")] + [f"frac_{n}" for n in SHORT] + [f"stay_{n}" for n in SHORT] + [f"asym_{SHORT[a]}_{SHORT[b]}" for a, b in ((0, 1), (1, 2), (0, 2))] + [f"{x}_{n}" for n in SHORT for x in ("dwell_mean", "dwell_cv")]
+query("A27_participant_features", f"SELECT video, {L('n_tracks', 'n_frames')}, {r(*PARTS)} FROM casa JOIN pcomp USING (video) JOIN pstay USING (video) JOIN pdwell USING (video)", PART)(lambda s, d: features.participant_features(kinematics.track_metrics(tracks(s, d)), frame_states(s, d, 9)))
 QS = [f'quantile_cont("{m}", {p}) AS "{m}_{n}"' for m in ("VCL", "ALH", "BCF", "LIN") for p, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))] + [f'quantile_cont("{m}", 0.75) - quantile_cont("{m}", 0.25) AS "{m}_iqr"' for m in ("VCL", "ALH", "BCF", "LIN", "PWR", "TAC")]
 QS += ['quantile_cont("PWR", 0.9) AS "PWR_p90"', 'quantile_cont("TAC", 0.5) AS "TAC_med"', 'quantile_cont("VAR_V", 0.5) AS "VAR_V_med"', 'avg(CASE WHEN "VCL" > 50 THEN 1.0 ELSE 0 END) AS vigorous_frac', 'avg(CASE WHEN "VCL" BETWEEN 5 AND 25 THEN 1.0 ELSE 0 END) AS intermediate_frac', "ln(count(*)) AS log_ntracks", 'quantile_cont("DUR", 0.5) AS "DUR_med"']
 QS += [f"100 * count(*) FILTER (motility = '{m}') / count(*) AS {n}_pct" for m, n in (("progressive", "prog"), ("non_progressive", "nonprog"), ("immotile", "immot"))]
 query("A28_sample_features", f"SELECT video, {r(*QS)}, count(*) AS n_tracks FROM features GROUP BY video HAVING count(*) >= 3")(lambda s, d: features.sample_features(kinematics.track_features(tracks(s, d)), min_tracks=3))
-query("M18_partial_spearman")(lambda s, d: features.partial_spearman(kept(s, d), "VCL", "STR", "ALH"))
-query("M19_split_half")(lambda s, d: serial.spearman(features.split_half(features.cell_rates(frame_states(s, d, 9)))))
+PSP = {
+    "prk": "SELECT *, rank() OVER (ORDER BY \"VCL\") + (count(*) OVER (PARTITION BY \"VCL\") - 1) / 2 AS a, rank() OVER (ORDER BY \"STR\") + (count(*) OVER (PARTITION BY \"STR\") - 1) / 2 AS b, rank() OVER (ORDER BY \"ALH\") + (count(*) OVER (PARTITION BY \"ALH\") - 1) / 2 AS c FROM kept",
+    "pfit": "SELECT regr_slope(a, c) AS sa, regr_intercept(a, c) AS ia, regr_slope(b, c) AS sb, regr_intercept(b, c) AS ib FROM prk",
+    "pleft": ranks("SELECT a - ia - sa * c AS x, b - ib - sb * c AS y FROM prk, pfit"),
+}
+query("M18_partial_spearman", f"SELECT {r('rho', r_p('rho', 'n') + ' AS p')}, n FROM (SELECT corr(rx, ry) AS rho, count(*) AS n FROM pleft)", PSP)(lambda s, d: features.partial_spearman(kept(s, d), "VCL", "STR", "ALH"))
+query("M18_two_controls")(lambda s, d: features.partial_spearman(kept(s, d), "VCL", "STR", "ALH", "BCF"))
+HALF = {
+    "hr": "SELECT *, row_number() OVER (PARTITION BY video ORDER BY md5(video || '|' || track_id || '|0'), video, track_id) % 2 AS half FROM rates",
+    "hg": "SELECT video, half, CASE WHEN sum(x) > 0 THEN sum((2 * k - n - 1) * x) / (n * sum(x)) ELSE 0 END AS g FROM (SELECT video, half, round(rate, 9) AS x, row_number() OVER (PARTITION BY video, half ORDER BY rate) AS k, count(*) OVER (PARTITION BY video, half) AS n FROM hr) GROUP BY video, half, n",
+    "hs": "SELECT video, half, CASE WHEN avg(rate) > 0 THEN stddev_pop(rate) / avg(rate) END AS cv, avg(CASE WHEN switches = 0 THEN 1.0 ELSE 0 END) AS st, avg(rate) AS m FROM hr GROUP BY video, half",
+    "hl": "SELECT video, half, feature, v FROM hs JOIN hg USING (video, half), LATERAL (VALUES ('cv_rate', cv), ('stayer_frac', st), ('gini_rate', g)) x(feature, v)",
+    "hp": "SELECT video, feature, max(v) FILTER (half = 0) AS x, max(v) FILTER (half = 1) AS y FROM hl GROUP BY video, feature HAVING max(v) FILTER (half = 0) IS NOT NULL AND max(v) FILTER (half = 1) IS NOT NULL",
+    "hk": ranks("SELECT * FROM hp", "feature"),
+    "hm": ranks("SELECT max(m) FILTER (half = 0) AS x, max(m) FILTER (half = 1) AS y FROM hs GROUP BY video HAVING count(*) = 2"),
+}
+query("M19_split_half", f"SELECT {r('CASE WHEN count(*) >= 3 THEN corr(rx, ry) END AS rho')}, count(*) AS n FROM hm", HALF)(lambda s, d: serial.spearman(features.split_half(features.cell_rates(frame_states(s, d, 9)))))
+query("M19_split_half_features", f"SELECT feature, {r('CASE WHEN count(*) >= 3 THEN corr(rx, ry) END AS rho')}, count(*) AS n FROM hk GROUP BY feature", HALF)(lambda s, d: serial.spearman(features.split_half_features(features.cell_rates(frame_states(s, d, 9))), ["feature"]))
 query("M24_multiplicity", f"SELECT video, {r('p', 'holm', 'bh')} FROM (SELECT video, p, max(least(1, (m - k + 1) * p)) OVER (ORDER BY p, video) AS holm, min(least(1, m * p / k)) OVER (ORDER BY p DESC, video DESC) AS bh FROM (SELECT video, dfi / 100 + CAST(video AS INT) / 10000 AS p, row_number() OVER (ORDER BY dfi / 100 + CAST(video AS INT) / 10000) AS k, count(*) OVER () AS m FROM clinical))")(
     lambda s, d: features.benjamini_hochberg(features.holm(clinical(s, d).select("video", (F.col("dfi") / 100 + F.col("video").cast("int") / 10000).alias("p"))))
 )
 UNI = {"uv": f"SELECT feature, x, y FROM (SELECT video, dfi AS y, {', '.join(f'avg(\"{m}\") AS \"{m}\"' for m in METRICS)} FROM kept JOIN clinical USING (video) GROUP BY video, dfi), LATERAL (VALUES {', '.join(f'(\'{m}\', \"{m}\")' for m in METRICS)}) v(feature, x)", "ruv": ranks("SELECT * FROM uv", "feature")}
 query("M27_univariate", f"SELECT feature, {r('corr(rx, ry) AS rho')}, count(*) AS n FROM ruv GROUP BY feature", UNI)(lambda s, d: features.univariate_spearman(kept(s, d).groupBy("video").agg(*[F.avg(m).alias(m) for m in METRICS]).join(clinical(s, d), "video"), METRICS, "dfi"))
-query("M28_wilcoxon", f"SELECT {r('sum(CASE WHEN dd > 0 THEN rx ELSE 0 END) AS w_plus', 'sum(CASE WHEN dd < 0 THEN rx ELSE 0 END) AS w_minus')}, count(*) AS n FROM wr", LONG | {"wd": "SELECT predicted - truth AS dd, abs(predicted - truth) AS x, 0 AS y FROM long WHERE category = 'progressive' AND abs(predicted - truth) > 1e-12", "wr": ranks("SELECT * FROM wd")})(lambda s, d: features.wilcoxon(compared(s, d).filter("category = 'progressive'"), "predicted", "truth"))
+WZ = "(n * (n + 1) / 4 - least(wp, wm)) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)"
+WP = f"1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda k: power(-1, k) * exp((2 * k + 1) * ln({WZ} / sqrt(2)) - lgamma(k + 1)) / (2 * k + 1))) AS p"
+query("M28_wilcoxon", f"SELECT {r('wp AS w_plus', 'wm AS w_minus', WP)}, n FROM (SELECT sum(CASE WHEN dd > 0 THEN rx ELSE 0 END) AS wp, sum(CASE WHEN dd < 0 THEN rx ELSE 0 END) AS wm, count(*) AS n, (SELECT coalesce(sum(t * t * t - t), 0) FROM (SELECT count(*) AS t FROM wr GROUP BY round(x, 9))) AS ties FROM wr)", LONG | {"wd": "SELECT predicted - truth AS dd, abs(predicted - truth) AS x, 0 AS y FROM long WHERE category = 'progressive' AND abs(predicted - truth) > 1e-12", "wr": ranks("SELECT * FROM wd")})(lambda s, d: features.wilcoxon(compared(s, d).filter("category = 'progressive'"), "predicted", "truth"))
 query("M29_correlation", f"SELECT {r('corr(\"VCL\", \"STR\") AS r')}, count(*) AS n FROM kept")(lambda s, d: agreement.correlation(kept(s, d), "VCL", "STR"))
 query("M30_recalibration", f"SELECT {', '.join(K)}, {L('n_frames')}, duration_s, {r(*Q)}, 'new' AS calibration FROM metrics UNION ALL SELECT {', '.join(K)}, {L('n_frames')}, duration_s, {r(*Q)}, 'old' FROM metrics_old")(lambda s, d: agreement.recalibrated(tracks(s, d), [("new", 1.422, 50), ("old", 1.0, 30)]))
 STATS = {"cm": "SELECT 'gt' AS cohort, count(*) AS n, avg(conf) AS conf FROM tracks UNION ALL SELECT 'auto', count(*), avg(conf) FROM pred_tracks"}
@@ -310,17 +418,26 @@ W27 = {"b25": "SELECT *, sqrt(power(cx - lag(cx) OVER t, 2) + power(cy - lag(cy)
 query("W27_block_kinematics", f"SELECT video, track_id, block, {r('sum(step) / 1.422 / 24 * 50 AS vcl', 'CASE WHEN sum(step) > 0 THEN sqrt(power(arg_max(cx, frame) - arg_min(cx, frame), 2) + power(arg_max(cy, frame) - arg_min(cy, frame), 2)) / sum(step) ELSE 0 END AS lin')} FROM b25 GROUP BY ALL HAVING count(*) = 25", W27)(lambda s, d: signal.block_kinematics(tracks(s, d)))
 ACF = {"mid": "SELECT video, track_id, idx, vx - avg(vx) OVER (PARTITION BY video, track_id) AS x, vy - avg(vy) OVER (PARTITION BY video, track_id) AS y FROM vel", "z": "SELECT video, track_id, sum(x * x + y * y) AS z FROM mid GROUP BY ALL HAVING sum(x * x + y * y) > 0 AND count(*) >= 2", "prod": "SELECT a.video, a.track_id, b.idx - a.idx AS lag, sum(a.x * b.x + a.y * b.y) AS p FROM mid a JOIN mid b ON a.video = b.video AND a.track_id = b.track_id AND b.idx - a.idx BETWEEN 0 AND 20 GROUP BY ALL"}
 query("W28_velocity_acf", f"SELECT {L('lag')}, {r('avg(p / z) AS acf')}, count(*) AS n_tracks FROM prod JOIN z USING (video, track_id) GROUP BY lag", ACF)(lambda s, d: signal.acf(signal.velocities(tracks(s, d)), ["vx", "vy"], 20))
-query("W28_acf_distance")(lambda s, d: signal.acf_distance(signal.acf(signal.velocities(tracks(s, d)), ["vx", "vy"], 20), signal.acf(signal.velocities(pred(s, d)), ["vx", "vy"], 20)))
+def acf_sql(vel: str, tag: str) -> dict[str, str]:
+    part = "PARTITION BY video, track_id"
+    return {f"{tag}mid": f"SELECT video, track_id, idx, vx - avg(vx) OVER ({part}) AS x, vy - avg(vy) OVER ({part}) AS y FROM {vel}", f"{tag}z": f"SELECT video, track_id, sum(x * x + y * y) AS z FROM {tag}mid GROUP BY ALL HAVING sum(x * x + y * y) > 0 AND count(*) >= 2", f"{tag}prod": f"SELECT a.video, a.track_id, b.idx - a.idx AS lag, sum(a.x * b.x + a.y * b.y) AS p FROM {tag}mid a JOIN {tag}mid b ON a.video = b.video AND a.track_id = b.track_id AND b.idx BETWEEN a.idx AND a.idx + 20 GROUP BY ALL", f"{tag}acf": f"SELECT lag, avg(p / z) AS acf FROM {tag}prod JOIN {tag}z USING (video, track_id) GROUP BY lag"}
+
+
+query("W28_acf_distance", f"SELECT {r('avg(abs(a.acf - b.acf)) AS mad')} FROM ggacf a JOIN paacf b ON a.lag = b.lag", {"pvel": CTES["vel"].replace("FROM tracks", "FROM pred_tracks")} | acf_sql("vel", "gg") | acf_sql("pvel", "pa"))(lambda s, d: signal.acf_distance(signal.acf(signal.velocities(tracks(s, d)), ["vx", "vy"], 20), signal.acf(signal.velocities(pred(s, d)), ["vx", "vy"], 20)))
 CROSS = {"sp": "SELECT video, track_id, idx, sqrt(vx * vx + vy * vy) AS sp FROM vel", "cr": "SELECT *, CASE WHEN (sp >= 25) <> (lag(sp) OVER (PARTITION BY video, track_id ORDER BY idx) >= 25) THEN 1 ELSE 0 END AS c FROM sp", "gaps": "SELECT (idx - lag(idx) OVER (PARTITION BY video, track_id ORDER BY idx)) / 50 AS gap FROM cr WHERE c = 1"}
 query("W29_crossings", f"SELECT {L('(SELECT sum(c) FROM cr) AS crossings')}, {r('(SELECT sum(c) / (count(*) / 50) FROM cr) AS rate', 'avg(gap) AS mean_gap', 'stddev_pop(gap) / avg(gap) AS cv_gap')} FROM gaps", CROSS)(lambda s, d: signal.crossings(signal.velocities(tracks(s, d)).withColumn("speed", scalar.distance(F.col("vx"), F.col("vy"))), "speed", 25.0))
-query("W30_periodogram")(lambda s, d: signal.periodogram(tracks(s, d)))
+query("W30_periodogram")(lambda s, d: signal.mean_spectrum(signal.periodogram(tracks(s, d), min_points=32)))
+query("W30_band_power")(lambda s, d: signal.band_power(signal.mean_spectrum(signal.periodogram(tracks(s, d), min_points=32))))
+query("W30_track_peaks")(lambda s, d: signal.track_peaks(signal.periodogram(tracks(s, d), min_points=32)))
 W31 = {"pq": "SELECT video, track_id, vx * lead(vx) OVER t + vy * lead(vy) OVER t AS p, vx * vx + vy * vy AS q FROM vel WINDOW t AS (PARTITION BY video, track_id ORDER BY idx)", "aa": "SELECT sum(p) / sum(q) AS a FROM pq GROUP BY video, track_id HAVING count(*) >= 49 AND sum(q) > 0", "am": "SELECT quantile_cont(a, 0.5) AS a, count(*) AS n FROM aa"}
 query("W31_relaxation", f"SELECT {r('a', 'CASE WHEN a > 0 AND a < 1 THEN -1 / ln(a) / 50 END AS tau_s')}, n AS n_tracks FROM am", W31)(lambda s, d: signal.lag_one(tracks(s, d)))
-AR = {"cv": "SELECT *, vx - avg(vx) OVER (PARTITION BY video, track_id) AS x, vy - avg(vy) OVER (PARTITION BY video, track_id) AS y, avg(vx) OVER (PARTITION BY video, track_id) AS mx, avg(vy) OVER (PARTITION BY video, track_id) AS my FROM vel", "lg": "SELECT *, x * x + y * y AS c0, x * lead(x) OVER t + y * lead(y) OVER t AS c1, x * lead(x, 2) OVER t + y * lead(y, 2) OVER t AS c2 FROM cv WINDOW t AS (PARTITION BY video, track_id ORDER BY idx)", "ar": "SELECT video, track_id, count(*) AS n, any_value(mx) AS mx, any_value(my) AS my, sum(c0) / (2 * count(*)) AS var, sum(c1) / sum(c0) AS r1, sum(c2) / sum(c0) AS r2 FROM lg GROUP BY ALL HAVING count(*) >= 9"}
-query("W32_ou_fit", f"SELECT {', '.join(K)}, n, {r('mx', 'my', 'var', 'greatest(0, least(0.999, coalesce(r1, 0))) AS phi')} FROM ar", AR)(lambda s, d: signal.fit_ou(tracks(s, d)))
-query("W32_ou_pooled")(lambda s, d: signal.fit_ou(tracks(s, d), pooled=True))
-OK = "1 - r1 * r1 > 1e-9 AND abs((r2 - r1 * r1) / (1 - r1 * r1)) < 1 AND r1 * (1 - r2) / (1 - r1 * r1) + (r2 - r1 * r1) / (1 - r1 * r1) < 1 AND (r2 - r1 * r1) / (1 - r1 * r1) - r1 * (1 - r2) / (1 - r1 * r1) < 1"
-query("W33_ar2_fit", f"SELECT {', '.join(K)}, n, {r('var', f'CASE WHEN {OK} THEN r1 * (1 - r2) / (1 - r1 * r1) ELSE greatest(-0.999, least(0.999, r1)) END AS phi1', f'CASE WHEN {OK} THEN (r2 - r1 * r1) / (1 - r1 * r1) ELSE 0 END AS phi2')} FROM ar WHERE r1 IS NOT NULL", AR)(lambda s, d: signal.fit_ar2(tracks(s, d)))
+AR = {"cv": "SELECT *, vx - avg(vx) OVER (PARTITION BY video, track_id) AS x, vy - avg(vy) OVER (PARTITION BY video, track_id) AS y, avg(vx) OVER (PARTITION BY video, track_id) AS mx, avg(vy) OVER (PARTITION BY video, track_id) AS my FROM vel", "lg": "SELECT *, x * x + y * y AS c0, x * lead(x) OVER t + y * lead(y) OVER t AS c1, x * lead(x, 2) OVER t + y * lead(y, 2) OVER t AS c2 FROM cv WINDOW t AS (PARTITION BY video, track_id ORDER BY idx)", "ar": "SELECT video, track_id, count(*) AS n, any_value(mx) AS mx, any_value(my) AS my, var_pop(vx) AS var_x, var_pop(vy) AS var_y, sum(c1) / sum(c0) AS r1, sum(c2) / sum(c0) AS r2 FROM lg GROUP BY ALL HAVING count(*) >= 9"}
+query("W32_ou_fit", f"SELECT {', '.join(K)}, n, {r('mx', 'my', 'var_x', 'var_y', 'greatest(-0.995, least(0.995, coalesce(r1, 0))) AS phi')} FROM ar", AR)(lambda s, d: signal.fit_ou(tracks(s, d)))
+POOL = {"pm": "SELECT avg(vx) AS mx, avg(vy) AS my, var_pop(vx) AS var_x, var_pop(vy) AS var_y, count(*) AS n FROM vel", "pc": "SELECT video, track_id, idx, vx - mx AS x, vy - my AS y FROM vel, pm", "pr": "SELECT sum(c1) / sum(c0) AS r1 FROM (SELECT x * x + y * y AS c0, x * lead(x) OVER t + y * lead(y) OVER t AS c1 FROM pc WINDOW t AS (PARTITION BY video, track_id ORDER BY idx))"}
+query("W32_ou_pooled", f"SELECT n, {r('mx', 'my', 'var_x', 'var_y', 'greatest(-0.995, least(0.995, coalesce(r1, 0))) AS phi')} FROM pm, pr", POOL)(lambda s, d: signal.fit_ou(tracks(s, d), pooled=True))
+PHI1, PHI2 = "r1 * (1 - r2) / (1 - r1 * r1)", "(r2 - r1 * r1) / (1 - r1 * r1)"
+OK = f"1 - r1 * r1 >= 1e-9 AND abs({PHI2}) < 0.999 AND {PHI1} + {PHI2} < 0.999 AND {PHI2} - {PHI1} < 0.999"
+query("W33_ar2_fit", f"SELECT {', '.join(K)}, n, {r('var_x', 'var_y', f'CASE WHEN {OK} THEN {PHI1} ELSE greatest(-0.995, least(0.995, r1)) END AS phi1', f'CASE WHEN {OK} THEN {PHI2} ELSE 0 END AS phi2')} FROM (SELECT * EXCLUDE (r1, r2), coalesce(r1, 0) AS r1, coalesce(r2, 0) AS r2 FROM ar)", AR)(lambda s, d: signal.fit_ar2(tracks(s, d)))
 
 # ---- reports
 HEAT = {"pts": 'SELECT t.*, k."VCL" AS v, max(cx) OVER () AS mx, max(cy) OVER () AS my FROM tracks t JOIN kept k USING (video, track_id)'}
@@ -330,10 +447,18 @@ query("A33_histogram", "SELECT CAST(least(29, floor((\"VCL\" - lo) / (hi - lo) *
 query("A34_box_stats", f"SELECT motility, {r('q1', 'med AS median', 'q3', 'min(\"VCL\") FILTER (\"VCL\" BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low', 'max(\"VCL\") FILTER (\"VCL\" BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high')}, count(*) AS n FROM kept JOIN (SELECT motility, quantile_cont(\"VCL\", 0.25) AS q1, quantile_cont(\"VCL\", 0.5) AS med, quantile_cont(\"VCL\", 0.75) AS q3 FROM kept GROUP BY motility) USING (motility) GROUP BY motility, q1, med, q3")(lambda s, d: report.box_stats(kept(s, d), "VCL", "motility"))
 query("A35_cross_tab", f"SELECT video, motility, n, {r('share')}, max(share) OVER (PARTITION BY video) > 0.5 AS dominated FROM (SELECT video, motility, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY video) AS share FROM kept GROUP BY video, motility)")(lambda s, d: report.cross_tab(kept(s, d), "video", "motility"))
 CHI = {"xt": "SELECT video, motility, count(*) AS n FROM kept GROUP BY ALL"}
-query("A35_chi_square", f"SELECT {r('sum(n) * (sum(n * n / (rr * kk)) - 1) AS chi2')}, {L('(count(DISTINCT video) - 1) * (count(DISTINCT motility) - 1) AS dof')} FROM (SELECT *, sum(n) OVER (PARTITION BY video) AS rr, sum(n) OVER (PARTITION BY motility) AS kk FROM xt)", CHI)(lambda s, d: report.chi_square(kept(s, d), "video", "motility"))
+query("A35_chi_square", f"SELECT {r('chi2', 'list_sum(list_transform(range(0, CAST(dof / 2 AS BIGINT)), lambda i: exp(i * ln(chi2 / 2) - chi2 / 2 - lgamma(i + 1)))) AS p')}, {L('dof')} FROM (SELECT sum(n) * (sum(n * n / (rr * kk)) - 1) AS chi2, (count(DISTINCT video) - 1) * (count(DISTINCT motility) - 1) AS dof FROM (SELECT *, sum(n) OVER (PARTITION BY video) AS rr, sum(n) OVER (PARTITION BY motility) AS kk FROM xt))", CHI)(lambda s, d: report.chi_square(kept(s, d), "video", "motility"))
 AGR = {"emb": "SELECT label AS a, CAST(vec_id % 7 AS BIGINT) AS b, count(*) AS n FROM embeddings GROUP BY ALL", "ta": "SELECT sum(n) AS t FROM emb", "ea": "SELECT sum(x * (x - 1) / 2) AS p, -sum(x / t * ln(x / t)) AS h FROM (SELECT sum(n) AS x FROM emb GROUP BY a), ta", "eb": "SELECT sum(x * (x - 1) / 2) AS p, -sum(x / t * ln(x / t)) AS h FROM (SELECT sum(n) AS x FROM emb GROUP BY b), ta", "eab": "SELECT sum(n * (n - 1) / 2) AS p, -sum(n / t * ln(n / t)) AS h FROM emb, ta"}
 query("A36_partition_agreement", f"SELECT {r('(ea.h + eb.h - eab.h) / ((ea.h + eb.h) / 2) AS nmi', '(eab.p - ea.p * eb.p / (t * (t - 1) / 2)) / ((ea.p + eb.p) / 2 - ea.p * eb.p / (t * (t - 1) / 2)) AS ari')} FROM ea, eb, eab, ta", AGR)(lambda s, d: report.partition_agreement(fixtures.table(s, d, "embeddings").select("label", (F.col("vec_id") % 7).alias("b")), "label", "b"))
-query("M32_video_context")(lambda s, d: report.video_context(summaries(s, d), summary.fastest(kept(s, d))))
+query("M32_video_context")(lambda s, d: report.video_context(summaries(s, d), summary.fastest(kept(s, d)), episodes.transition_counts(frame_states(s, d), ["video"]), summary.compliance(summaries(s, d))))
+query("T05_display_rows", f"SELECT {', '.join(K)}, {r('\"VCL\"')} FROM kept ORDER BY video, track_id LIMIT 200")(lambda s, d: report.display_rows(kept(s, d), *K).select(*K, "VCL"))
+RUN_SQL = "SELECT 'gt' AS experiment, video, CASE WHEN max(n_kept) > 0 THEN 'ok' ELSE 'no_tracks' END AS status FROM (SELECT DISTINCT video FROM tracks) LEFT JOIN (SELECT video, count(*) AS n_kept FROM kept GROUP BY video) USING (video) GROUP BY video UNION ALL SELECT 'auto', video, CASE WHEN CAST(video AS INT) % 3 = 0 THEN 'skip' WHEN CAST(video AS INT) % 3 = 1 THEN 'error' ELSE 'ok' END FROM (SELECT DISTINCT video FROM pred_tracks)"
+query("A42_status_table", f"SELECT experiment, {', '.join(f'count(*) FILTER (status = \'{x}\') AS {x}' for x in ('ok', 'skip', 'error', 'no_tracks'))} FROM runs GROUP BY experiment", {"runs": RUN_SQL})(
+    lambda s, d: report.status_table(tracks(s, d).select("video").distinct().join(kept(s, d).groupBy("video").agg(F.count("*").alias("n")), "video", "left").select(F.lit("gt").alias("experiment"), "video", F.when(F.col("n") > 0, "ok").otherwise("no_tracks").alias("status")).union(pred(s, d).select("video").distinct().select(F.lit("auto"), "video", F.when(F.expr("cast(video as int) % 3 = 0"), "skip").when(F.expr("cast(video as int) % 3 = 1"), "error").otherwise("ok"))))
+)
+query("M17_memory_shares", f"SELECT {L('a.o AS \"order\"')}, {r('CASE WHEN a.ll - b.ll <> 0 THEN (a.ll - b.ll - (a.ll - c.ll)) / (a.ll - b.ll) END AS share')} FROM ll a JOIN ll b ON b.o = 0 JOIN ll c ON c.o = a.o - 1 WHERE a.o >= 1", CTX)(
+    lambda s, d: (lambda t: t.alias("a").join(t.alias("b"), F.expr("b.order = 0")).join(t.alias("c"), F.expr("c.order = a.order - 1")).filter("a.order >= 1").select(F.col("a.order").alias("order"), order.memory_share(F.expr("a.ll_per_token - b.ll_per_token"), F.expr("a.ll_per_token - c.ll_per_token"), F.lit(0.0)).alias("share")))(order.order_test(frame_states(s, d)))
+)
 
 # ---- sources over derived tables
 query("S05_annotation_tracks", f"SELECT video, CAST(dense_rank() OVER (PARTITION BY video ORDER BY f0, k0) AS BIGINT) AS track_id, {L('frame')}, {r('nx * 640 AS cx', 'ny * 480 AS cy')} FROM (SELECT *, first(frame) OVER (PARTITION BY video, fid ORDER BY frame, pos) AS f0, first(pos) OVER (PARTITION BY video, fid ORDER BY frame, pos) AS k0 FROM (SELECT video, frame, 'c' || track_id AS fid, row_number() OVER (PARTITION BY video, frame ORDER BY track_id) - 1 AS pos, round(cx / 640, 9) AS nx, round(cy / 480, 9) AS ny FROM tracks))")(
@@ -344,13 +469,42 @@ query("S04_source_preference", "SELECT video, source, count(*) AS n FROM (SELECT
 query("S10_decimal_commas", f"SELECT video, {r('dfi')} FROM clinical")(lambda s, d: clinical(s, d).select("video", files.decimal_comma(F.concat(F.lit(" "), F.regexp_replace(F.col("dfi").cast("string"), r"\.", ","))).alias("dfi")))
 query("S12_preferred_percentages", f"SELECT video, {r(*[f'adjusted_{c}_pct AS {c}_pct' for c in scalar.CLASSES])} FROM summary")(lambda s, d: files.preferred_percentages(summaries(s, d)))
 query("S16_pending_work", "SELECT DISTINCT video, e AS experiment FROM tracks, (VALUES ('a'), ('b')) x(e) WHERE NOT (e = 'a' AND CAST(video AS INT) % 2 = 0)")(lambda s, d: files.pending(tracks(s, d).select("video").distinct().withColumn("experiment", F.explode(F.array(F.lit("a"), F.lit("b")))), tracks(s, d).select("video", F.lit("a").alias("experiment")).distinct().filter("cast(video as int) % 2 = 0")))
-query("S17_label_lines")(lambda s, d: files.label_lines(fixtures.detections(s, d), 640, 480))
+LAB = ", ".join(f"floor(greatest(0, least(1, {e})) * 1e6 + 0.500001) / 1e6" for e in ("(x1 + x2) / 2 / 640", "(y1 + y2) / 2 / 480", "(x2 - x1) / 640", "(y2 - y1) / 480"))
+query("S17_label_lines", f"SELECT video, {L('frame')}, string_agg(line, chr(10) ORDER BY line) AS labels FROM (SELECT video, frame, printf('%d %.6f %.6f %.6f %.6f', 0, {LAB}) AS line FROM detections) GROUP BY video, frame")(lambda s, d: files.label_lines(fixtures.detections(s, d), 640, 480))
+
+
+def written(s: SparkSession, d: str) -> DataFrame:
+    """Tracks written by video as Parquet, JSON and CSV, and read back."""
+    t, root = tracks(s, d), files.scratch(s)
+    out = []
+    for form in ("parquet", "json", "csv"):
+        files.write_table(t, f"{root}/{form}", form, ["video"])
+        back = s.read.schema(t.schema).option("header", True).format(form).load(f"{root}/{form}")
+        out.append(back.select(F.lit(form).alias("form"), F.col("video").cast("string").alias("video"), "track_id", "frame", "cx"))
+    return summary.union_all(out)
+
+
+query("S15_written_tables", f"SELECT form, video, count(*) AS n, {L('sum(track_id) AS ids', 'sum(frame) AS frames')}, {r('avg(cx) AS cx')} FROM tracks, (VALUES ('parquet'), ('json'), ('csv')) f(form) GROUP BY form, video")(lambda s, d: written(s, d).groupBy("form", "video").agg(F.count("*").alias("n"), F.sum("track_id").alias("ids"), F.sum("frame").alias("frames"), F.avg("cx").alias("cx")))
+query("S06_json_annotations", f"SELECT video, {L('frame')}, {r('x1 AS x', 'y1 AS y', 'x2 - x1 AS w', 'y2 - y1 AS h')} FROM detections")(
+    lambda s, d: files.parse_json_annotations(
+        fixtures.detections(s, d).groupBy("video", "frame", F.col("cls").alias("k")).agg(F.collect_list(F.struct("frame", F.col("x1").alias("x"), F.col("y1").alias("bbox_y"), (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("bbox_h"))).alias("b"))
+        .select("video", F.when(F.col("k") == 0, F.to_json("b")).otherwise(F.to_json(F.struct(F.array(F.struct(F.col("frame").alias("frame_id"), F.col("b").alias("objects"))).alias("frames")))).alias("value"))
+    )
+)
+query("S07_aliased_columns", f"SELECT {r('CAST(frame AS DOUBLE) AS frame', 'x1 AS x', 'y1 AS y', 'x2 - x1 AS w', '0.0 AS h')} FROM detections")(lambda s, d: files.by_alias(fixtures.detections(s, d).select(F.col("frame").alias("frame_idx"), F.col("x1").alias("LEFT"), F.col("y1").alias(" top"), (F.col("x2") - F.col("x1")).alias("bbox_w"))))
+query("S09_trimmed_headers", f"SELECT video, {r('dfi AS share')} FROM clinical")(lambda s, d: files.trimmed(clinical(s, d).select(F.col("video").alias(" video "), F.col("dfi").alias("dfi ")), {"dfi": "share"}, "video"))
+query("S11_picked_column", f"SELECT video, {r('gt_immotile AS value')} FROM clinical")(lambda s, d: clinical(s, d).select("video", F.col(files.pick_column(clinical(s, d), "IMMOT")).alias("value")))
+query("S13_experiments", "SELECT DISTINCT CASE WHEN CAST(video AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END AS experiment FROM summary")(lambda s, d: files.experiments(summaries(s, d).withColumn("experiment", F.when(F.expr("cast(video as int) % 2 = 0"), "even").otherwise("odd"))))
+WANTED = [("experiment", "a"), ("experiment", "zz"), ("video", "1"), ("video", "2"), ("video", "99")]
+NAMED = lambda s: s.createDataFrame([("a",), ("b",)], "experiment string")
+query("J12_work_list", "SELECT 'a' AS experiment, video FROM (SELECT DISTINCT video FROM tracks) WHERE video IN ('1', '2')")(lambda s, d: files.work_list(NAMED(s), tracks(s, d), s.createDataFrame(WANTED, "kind string, name string"))[0])
+query("J12_unknown_names", "SELECT * FROM (VALUES ('experiment', 'zz'), ('video', '99')) x(kind, name) WHERE name NOT IN (SELECT DISTINCT video FROM tracks)")(lambda s, d: files.work_list(NAMED(s), tracks(s, d), s.createDataFrame(WANTED, "kind string, name string"))[1])
 query("S18_validation", "SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT video, track_id FROM tracks)) AS n_tracks, count(DISTINCT frame) AS n_frames FROM tracks")(lambda s, d: files.validated(tracks(s, d)))
 query("S19_label_census", f"SELECT split, {L('cls')}, n, {r('n / sum(n) OVER (PARTITION BY split) AS share')} FROM (SELECT CASE video WHEN '1' THEN 'val' WHEN '2' THEN 'test' ELSE 'train' END AS split, cls, count(*) AS n FROM detections GROUP BY 1, 2)")(lambda s, d: files.label_census(fixtures.detections(s, d), {"1": "val", "2": "test"}))
 query("S20_frame_split", f"SELECT video, {L('frame')}, CASE WHEN row_number() OVER (PARTITION BY video ORDER BY md5(video || '|' || frame || '|0'), frame) <= greatest(1, floor(count(*) OVER (PARTITION BY video) * 0.2)) THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT video, frame FROM tracks)")(lambda s, d: files.frame_split(tracks(s, d)))
 
-query("M31_cohort_battery")(lambda s, d: battery.cohort_battery(tracks(s, d), 9))
-query("E01_batch_agreement", f"SELECT category, {AGREE}, count(*) AS n FROM long GROUP BY category", LONG)(lambda s, d: battery.batch_agreement(tracks(s, d), fixtures.detections(s, d), clinical(s, d)))
+query("M31_cohort_battery")(lambda s, d: battery.two_cohort_battery({"gt": tracks(s, d), "auto": pred(s, d)}, 9, blocks=(9, 13)))
+query("E01_batch_agreement", f"SELECT category, {AGREE_P}, n FROM (SELECT category, {AGREE_RAW}, count(*) AS n FROM long GROUP BY category)", LONG)(lambda s, d: battery.batch_agreement(tracks(s, d), fixtures.detections(s, d), clinical(s, d)))
 
 
 # ---- models
@@ -363,10 +517,12 @@ query("M08_hidden_markov")(lambda s, d: models.hidden_markov(states.modal_blocks
 query("M09_concentration")(lambda s, d: models.concentration(frame_states(s, d, 9)))
 query("M20_ridge_loo")(lambda s, d: models.ridge_loo(by_video(s, d), FEATURES, "dfi"))
 query("M20_ridge_kfold")(lambda s, d: models.ridge_kfold(kept(s, d), ["LIN", "ALH", "BCF"], "VCL", order.fold_of()))
+query("M20_nested_loo")(lambda s, d: models.prediction_errors(models.nested_loo(by_video(s, d), ["VCL", "LIN"], ["ALH", "BCF"], "dfi")))
 query("M21_mean_predictor", f"SELECT {r('avg(abs(dfi - (t - dfi) / (n - 1))) AS mae')}, any_value(n) AS n FROM (SELECT dfi, sum(dfi) OVER () AS t, count(*) OVER () AS n FROM clinical)")(
     lambda s, d: clinical(s, d).crossJoin(clinical(s, d).agg(F.sum("dfi").alias("t"), F.count("*").alias("n"))).agg(F.avg(F.abs(F.col("dfi") - (F.col("t") - F.col("dfi")) / (F.col("n") - 1))).alias("mae"), F.first("n").alias("n"))
 )
 query("M22_permutation_test")(lambda s, d: models.permutation_test(by_video(s, d), FEATURES, "dfi", "video"))
 query("M23_bca_interval")(lambda s, d: models.bca_interval(by_video(s, d), "VCL", "video"))
-query("M25_forest")(lambda s, d: models.forest_regression(kept(s, d), ["LIN", "ALH", "BCF"], "VCL", order.fold_of(folds=2), trees=10))
+query("M25_forest")(lambda s, d: models.forest_regression(kept(s, d), ["LIN", "ALH", "BCF"], "VCL", order.fold_of(folds=2), trees=400))
 query("M26_mixture_bic")(lambda s, d: models.mixture_bic(kept(s, d), FEATURES))
+query("M26_mixture_stability")(lambda s, d: models.mixture_stability(kept(s, d), FEATURES, K, 3))

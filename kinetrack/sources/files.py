@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -134,23 +136,67 @@ def experiments(summaries: DataFrame) -> DataFrame:
     return summaries.select("experiment").distinct()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``; only a local session may leave it unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="kinetrack-")
+    return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to a new table in the shared folder and read back: what several later steps read is computed once, and a lost executor costs the reading of a file."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, form: str = "parquet", by: Sequence[str] = ()) -> None:
     """A table as Parquet, JSON or CSV, partitioned by columns; only the partitions at hand are replaced."""
     w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
     (w.partitionBy(*by) if by else w).format(form).save(path)
 
 
+def read_motility(spark: SparkSession, path: str) -> DataFrame:
+    """The ``<video>_motility.csv`` files of a folder as one table, tagged with their video."""
+    raw = spark.read.option("header", True).option("inferSchema", True).option("pathGlobFilter", "*_motility.csv").csv(path)
+    return raw.withColumn("video", F.regexp_replace(F.col("_metadata.file_name"), r"_motility\.csv$", ""))
+
+
+def work_list(experiments: DataFrame, videos: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(experiment, video) for all known experiments and videos, or the wanted ones of them; and the wanted names that are unknown.
+
+    ``wanted`` has (kind, name), kind being ``experiment`` or ``video``; a kind without a wanted name is taken whole.
+    The two lists are small names tables; their product is the work to do.
+    """
+    known = {"experiment": experiments.select("experiment").distinct(), "video": videos.select("video").distinct()}
+    if wanted is None:
+        none = experiments.sparkSession.createDataFrame([], "kind string, name string")
+        return known["experiment"].crossJoin(known["video"]), none
+    sides, unknown = [], None
+    for kind, table in known.items():
+        asked = wanted.filter(F.col("kind") == kind).select(F.col("name").alias(kind)).distinct()
+        any_ = asked.limit(1).select(F.lit(True).alias("_any"))
+        marked = table.join(asked.withColumn("_asked", F.lit(True)), kind, "left").join(any_, how="left")
+        sides.append(marked.filter("_asked or _any is null").select(kind))
+        odd = asked.join(table, kind, "left_anti").select(F.lit(kind).alias("kind"), F.col(kind).alias("name"))
+        unknown = odd if unknown is None else unknown.union(odd)
+    return sides[0].crossJoin(sides[1]), unknown
+
+
 def pending(work: DataFrame, done: DataFrame, keys: Sequence[str] = ("experiment", "video")) -> DataFrame:
     """Work that has no output yet."""
     return work.join(done, list(keys), "left_anti")
 
 
 def label_lines(boxes: DataFrame, width: float, height: float, cls: int = 0) -> DataFrame:
-    """``cls cx cy w h`` lines, normalised and clamped, per frame."""
+    """``cls cx cy w h`` lines, normalised, clamped and rounded to 6 decimals (halves up), per frame."""
     from ..functions.scalar import normalise
 
     parts = normalise(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], width, height)
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", F.lit(cls), *parts)
+    line = F.format_string("%d %.6f %.6f %.6f %.6f", F.lit(cls), *[F.floor(x * 1e6 + 0.500001) / 1e6 for x in parts])
     return boxes.groupBy("video", "frame").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("labels"))
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetrack.operators import models
+from kinetrack.operators.order import fold_of
 
 
 @pytest.fixture(scope="module")
@@ -33,14 +34,43 @@ def test_ridge_leave_one_out(table):
         assert abs(r.mae_mean - np.mean(np.abs(y - (y.sum() - y) / (len(y) - 1)))) < 1e-9
 
 
-def test_ridge_folds(table):
-    df, z, y = table
+def test_ridge_folds(spark, table):
+    df, _, y = table
+    x = np.array([(r.a, r.b) for r in sorted(df.collect())])
     fold = np.arange(40) % 4
-    one = np.column_stack([z, np.ones(40)])
     for r in models.ridge_kfold(df, ["a", "b"], "y", F.col("f"), 1.0).collect():
         t = fold != r.fold
-        w = np.linalg.solve(one[t].T @ one[t] + np.diag([1, 1, 1e-9]), one[t].T @ y[t])
-        assert abs(r.mae - np.abs(y[~t] - one[~t] @ w).mean()) < 1e-6
+        z = (x - x[t].mean(0)) / x[t].std(0)
+        w = np.linalg.solve(z[t].T @ z[t] + np.eye(2), z[t].T @ (y[t] - y[t].mean()))
+        assert abs(r.mae - np.abs(y[~t] - y[t].mean() - z[~t] @ w).mean()) < 1e-6
+
+
+def test_nested_leave_one_out(spark, table):
+    """Every held-out row against fits that leave out one row at a time, inside and outside."""
+    df, _, y = table
+    x = np.array([(r.a, r.b) for r in sorted(df.collect())])
+    small, alphas = df.filter("id < 'r12'"), (0.1, 10.0)
+    got = {(r.id, r.design): r.predicted for r in models.nested_loo(small, ["a"], ["b"], "y", "id", alphas).collect()}
+    x, y = x[:12], y[:12]
+
+    def fit(z, t, alpha):
+        return np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T @ t)
+
+    for j in range(12):
+        keep = [i for i in range(12) if i != j]
+        slope, base = np.polyfit(x[keep, 0], x[keep, 1], 1)
+        for design, full in (("A", x[:, :1]), ("B", x[:, 1:]), ("C", x), ("Bperp", (x[:, 1] - base - slope * x[:, 0])[:, None])):
+            z, t = (full - full[keep].mean(0)) / full[keep].std(0), y - y[keep].mean()
+            inner = []
+            for alpha in alphas:
+                # the shortcut keeps the training rows' scale and mean
+                inv = np.linalg.inv(z[keep].T @ z[keep] + alpha * np.eye(z.shape[1]))
+                inner.append(np.mean([abs((t[i] - z[i] @ fit(z[keep], t[keep], alpha)) / (1 - z[i] @ inv @ z[i])) for i in keep]))
+            w = fit(z[keep], t[keep], alphas[int(np.argmin(inner))])
+            assert got[f"r{j:02d}", design] == pytest.approx(z[j] @ w + y[keep].mean(), abs=1e-8)
+    errors = {r.design: r for r in models.prediction_errors(models.nested_loo(df, ["a"], ["b"], "y", "id")).collect()}
+    assert errors["C"].mae < errors["A"].mae < errors["A"].mae_mean and errors["C"].n == 40
+    assert models.nested_loo(df.limit(2), ["a"], ["b"], "y", "id").count() == 0
 
 
 def test_permutation_and_interval(table):
@@ -56,6 +86,7 @@ def test_permutation_and_interval(table):
 def test_mixture_and_forest(table):
     df, z, _ = table
     rows = {r.k: r for r in models.mixture_bic(df, ["a", "b"], (1, 2)).collect()}
+    assert [r.best for r in rows.values()] == [True, False]
     cov = z.T @ z / len(z)
     assert abs(rows[1].log_likelihood + 0.5 * len(z) * (2 * math.log(2 * math.pi) + math.log(np.linalg.det(cov)) + 2)) < 1e-3
     assert rows[1].bic < rows[2].bic  # one cloud
@@ -79,5 +110,53 @@ def test_concentration_and_hmm(spark):
         base, c = counts[s].sum(0) / counts[s].sum(), counts[s][counts[s].sum(1) > 0]
         ll = lambda a: sum(math.lgamma(a) - math.lgamma(a + r.sum()) + sum(math.lgamma(a * p + x) - math.lgamma(a * p) for p, x in zip(base, r)) for r in c)  # noqa: B023, E731
         assert ll(got[s]) >= max(ll(a) for a in np.geomspace(0.5, 200, 400)) - 1e-3
-    h = [r.ll_per_token for r in models.hidden_markov(df, 2, 5).orderBy("iteration").collect()]
-    assert all(b >= a - 1e-9 for a, b in zip(h, h[1:])) and h[-1] > -1.1
+    fold = {r.track_id: r.f for r in df.select("track_id", fold_of(("video", "track_id")).alias("f")).distinct().collect()}
+    got = {r.hidden: r for r in models.hidden_markov(df, (1, 2), restarts=2, iterations=12).collect()}
+    ll = n = 0
+    for f in range(5):  # one hidden state: symbols drawn on their own
+        p = np.bincount([x for t, q in seqs.items() if fold[t] != f for x in q], minlength=3) + 1e-9
+        told = [x for t, q in seqs.items() if fold[t] == f for x in q]
+        ll, n = ll + np.log(p / p.sum())[told].sum(), n + len(told)
+    assert got[1].n_tokens == got[2].n_tokens == n and abs(got[1].heldout_ll_per_token - ll / n) < 1e-6
+    assert got[2].train_ll_per_token > got[1].train_ll_per_token and (got[1].n_params, got[2].n_params) == (2, 7) and models.markov_parameters(2) == 18
+
+
+def test_frailty(spark):
+    """The estimate beats its neighbours in the marginal likelihood, which is integrated anew on a fine grid."""
+    rng = np.random.default_rng(4)
+    rows, cells = [], []
+    for t in range(60):
+        b, cell = rng.normal(0, 0.5), []
+        for k in range(rng.integers(1, 9)):
+            run, cut = max(1, int(round(50 * math.exp(-1 + b + rng.normal(0, 0.7))))), bool(rng.random() < 0.2)
+            rows.append(("v", t, k, 0, run, cut))
+            cell.append((math.log(run / 50), cut))
+        cells.append(cell)
+    eps = spark.createDataFrame(rows, "video string, track_id long, ep_idx int, state int, run long, censored boolean")
+    r = models.frailty(eps).first()
+    assert r.n_tracks == 60 and r.n_episodes == len(rows) and abs(r.icc - r.tau_between**2 / (r.tau_between**2 + r.sigma_within**2)) < 1e-12
+    grid = np.linspace(-5, 5, 801)
+
+    def likelihood(mu, sigma, tau):
+        total = 0.0
+        for cell in cells:
+            f = np.exp(-0.5 * grid**2) / math.sqrt(2 * math.pi)
+            for y, cut in cell:
+                z = (y - mu - tau * grid) / sigma
+                f = f * (np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in z]) if cut else np.exp(-0.5 * z * z) / sigma / math.sqrt(2 * math.pi))
+            total += math.log(f.sum() * (grid[1] - grid[0]))
+        return total
+
+    best = likelihood(r.mu, r.sigma_within, r.tau_between)
+    for a, b, c in ((0.02, 0, 0), (-0.02, 0, 0), (0, 0.02, 0), (0, -0.02, 0), (0, 0, 0.03), (0, 0, -0.03)):
+        assert best > likelihood(r.mu + a, r.sigma_within + b, r.tau_between + c)
+    x = np.array([-8.0, -2.0, -0.1, 0.0, 0.5, 3.0, 9.0])
+    assert np.allclose(models.log_survival(x), [math.log(0.5 * math.erfc(v / math.sqrt(2))) for v in x], atol=1e-6)
+
+
+def test_mixture_stability(spark):
+    rng = np.random.default_rng(5)
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate(np.concatenate([rng.normal(m, 0.3, (60, 2)) for m in (0, 4)]))]
+    df = spark.createDataFrame(points, "id long, a double, b double")
+    assert all(r.ari > 0.95 for r in models.mixture_stability(df, ["a", "b"], ["id"], 2, 2).collect())
+    assert [r.k for r in models.mixture_bic(df, ["a", "b"], (1, 2, 3)).filter("best").collect()] == [2]

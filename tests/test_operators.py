@@ -157,22 +157,16 @@ def test_episodes(spark, seqs):
 
 
 def test_flicker_merge(spark, seqs):
-    def naive(eps, thr):
-        eps, changed = list(eps), True
-        while changed:
-            changed = False
-            for j in range(1, len(eps) - 1):
-                if eps[j][1] <= thr and eps[j - 1][0] == eps[j + 1][0] != eps[j][0]:
-                    eps[j - 1 : j + 2] = [(eps[j - 1][0], sum(e[1] for e in eps[j - 1 : j + 2]))]
-                    changed = True
-                    break
-        return eps
+    def settled(eps, thr):
+        """The leftmost short run between two of one state joins them; then the same for what that gives."""
+        at = next((k for k, (head, mid, tail) in enumerate(zip(eps, eps[1:], eps[2:])) if head[0] == tail[0] and mid[1] <= thr), None)
+        return eps if at is None else settled([*eps[:at], (eps[at][0], sum(n for _, n in eps[at : at + 3])), *eps[at + 3 :]], thr)
 
     for thr in (1, 2, 8):
         got = {}
         for r in sorted(episodes.merge_flickers(episodes.episodes(sequences(spark, seqs)), thr).collect(), key=lambda r: (r.track_id, r.ep_idx)):
             got.setdefault(r.track_id, []).append((r.state, r.run))
-        assert got == {t: naive(runs_of(s), thr) for t, s in seqs.items()}
+        assert got == {t: settled(runs_of(s), thr) for t, s in seqs.items()}
 
 
 def test_hysteresis(spark):
@@ -275,15 +269,38 @@ def test_spearman_with_ties_and_weights(spark):
 
 def test_permutation_and_bootstrap(spark, seqs):
     resid = serial.residuals(episodes.episodes(sequences(spark, seqs)))
-    shuffled = serial.permuted(resid, 1).drop("rep")
-    null = serial.permutation_null(shuffled, 20).first()
-    assert abs(null.delta) < 0.15 and 0 <= null.p <= 1
+    tracks = {}
+    for r in sorted(resid.collect(), key=lambda r: (r.track_id, r.ep_idx)):
+        tracks.setdefault((r.video, r.track_id), []).append(round(r.resid, 9))
+    counts = serial.pair_counts(resid, 6, 2)
+    got = {}
+    for r in counts.collect():
+        got.setdefault((r.perm, r.lag), {})[r.video, r.x, r.y] = r.c
+    want = {lag: pd.Series([(t[0], x, y) for t, v in tracks.items() for x, y in zip(v, v[lag:])]).value_counts().to_dict() for lag in (1, 2)}
+    assert {lag: got[0, lag] for lag in (1, 2)} == want
+    assert set(got) == {(p, lag) for p in range(7) for lag in (1, 2)} and len({str(sorted(got[p, 1].items())) for p in range(7)}) == 7
+    for p in range(1, 7):  # an order of the same values: as many pairs
+        assert sum(got[p, 1].values()) == sum(want[1].values()) and {x for _, x, _ in got[p, 1]} <= {x for v in tracks.values() for x in v}
+    assert sorted(counts.collect()) == sorted(serial.pair_counts(resid.repartition(7), 6, 2).collect())
+    pairs = [(x, y) for (_, x, y), c in want[1].items() for _ in range(c)]
+    null = serial.permutation_null(resid, 20).first()
+    assert abs(null.observed - np.corrcoef(rank([x for x, _ in pairs]), rank([y for _, y in pairs]))[0, 1]) < 1e-9
+    assert null.n == len(pairs) and 0 <= null.p <= 1 and abs(null.delta - (null.observed - null.null_mean)) < 1e-12
     draws = serial.resampled_videos(resid, 30).groupBy("rep").agg(F.sum("m").alias("m")).collect()
     assert len(draws) == 30 and {r.m for r in draws} == {4}
-    b = serial.bootstrap_rho(serial.lag_pairs(resid, 1), 20).first()
+    b = serial.interval(serial.bootstrap_deltas(serial.pair_counts(resid, 2), 20)).first()
     assert b.low <= b.median <= b.high and b.n_reps == 20
+    one = serial.bootstrap_deltas(serial.pair_counts(resid, 2), 10)
+    same = serial.cohort_difference(one, one).first()
+    assert same.low == same.high == 0 and same.p_positive == 1
+    loo = {r.left_out: r.rho for r in serial.leave_one_out(serial.pair_counts(resid)).collect()}
+    for video, rho in loo.items():
+        rest = [(x, y) for (v, x, y), c in want[1].items() if v != video for _ in range(c)]
+        assert abs(rho - np.corrcoef(rank([x for x, _ in rest]), rank([y for _, y in rest]))[0, 1]) < 1e-9
     t = serial.wild_bootstrap_t(spark.createDataFrame([(f"v{k}", 1.0 + k / 100) for k in range(12)], "video string, delta double"), 200).first()
-    assert t.p < 0.02
+    assert t.p == pytest.approx(1 / 201, abs=0.02) and t.low < t.mean < t.high and abs(t.t - t.mean / t.se) < 1e-9
+    profile = {r.lag: r for r in serial.scc_profile(resid, 2, perms=5).collect()}
+    assert all(profile[k].n == sum(want[k].values()) for k in profile)
 
 
 def test_greedy_matches(spark):
