@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import FPS
 from ..functions.special import column_of, correlation_p, normal_p
+from ..sources.files import stored
 from .episodes import episodes, transition_counts, transition_probabilities
 from .kinematics import KEY
 from .serial import average_ranks, hashed
@@ -86,7 +87,7 @@ def partial_spearman(df: DataFrame, x: str, y: str, *controls: str) -> DataFrame
     smallest norm).
     """
     names = [x, y, *controls]
-    ranked = average_ranks(df.select(*dict.fromkeys(names)).dropna(), {c: f"_r_{c}" for c in dict.fromkeys(names)})
+    ranked = stored(average_ranks(stored(df.select(*dict.fromkeys(names)).dropna()), {c: f"_r_{c}" for c in dict.fromkeys(names)}))
     one = [F.lit(1.0), *[F.col(f"_r_{c}") for c in controls]]
     cells = {f"g{i}_{j}": F.sum(a * b) for i, a in enumerate(one) for j, b in enumerate([*one, F.col(f"_r_{x}"), F.col(f"_r_{y}")])}
     sums = ranked.agg(*[c.alias(k) for k, c in cells.items()]).first()

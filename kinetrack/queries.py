@@ -315,7 +315,9 @@ CTX |= {
 query("M05_context_counts", f"SELECT ctx, {L('nxt AS next', 't AS n')} FROM ca WHERE o = 2", CTX)(lambda s, d: order.context_counts(frame_states(s, d), 2))
 query("M06_order_test", f"SELECT {L('o AS \"order\"', 'n AS n_tokens')}, {r('ll AS ll_per_token')} FROM ll", CTX)(lambda s, d: order.order_test(frame_states(s, d)))
 query("M06_order_gains", f"SELECT {L('a.o AS \"order\"')}, {r('a.ll - b.ll AS gain', 'exp(b.ll - a.ll) AS perplexity_ratio')} FROM ll a JOIN ll b ON a.o = b.o + 1", CTX)(lambda s, d: order.order_gains(order.order_test(frame_states(s, d))))
-query("M07_block_order_test")(lambda s, d: order.order_test(states.modal_blocks(frame_states(s, d), 9), index="block"))
+MODAL9 = "SELECT video, track_id, block, CAST(state AS BIGINT) AS state FROM (SELECT *, row_number() OVER (PARTITION BY video, track_id, block ORDER BY n DESC, state) AS k FROM (SELECT video, track_id, block, state, count(*) AS n FROM (SELECT *, CAST(floor(idx / 9) AS BIGINT) AS block, floor(count(*) OVER (PARTITION BY video, track_id) / 9) AS blocks FROM states) WHERE blocks >= 2 AND block < blocks GROUP BY ALL)) WHERE k = 1"
+MODAL = CTX | {"mblocks": MODAL9, "tok": CTX["tok"].replace("FROM states", "FROM mblocks").replace("ORDER BY idx", "ORDER BY block")}
+query("M07_block_order_test", f"SELECT {L('o AS \"order\"', 'n AS n_tokens')}, {r('ll AS ll_per_token')} FROM ll", MODAL)(lambda s, d: order.order_test(states.modal_blocks(frame_states(s, d), 9), index="block"))
 LAWS = {"sums": "SELECT state, sum(n) AS n, sum(n * run / 50) AS sx, sum(n * ln(run / 50)) AS sl, sum(n * power(ln(run / 50), 2)) AS sl2 FROM hist GROUP BY state", "va": "SELECT *, sl2 / n - power(sl / n, 2) AS v FROM sums"}
 query("M01_closed_laws", f"SELECT {L('state', 'n')}, 'exponential' AS law, {r('sx / n AS a', 'CAST(NULL AS DOUBLE) AS b', '2 + 2 * n * (ln(sx / n) + 1) AS aic')} FROM sums UNION ALL SELECT {L('state', 'n')}, 'lognormal', {r('sl / n AS a', 'sqrt(v) AS b', '4 + 2 * (n * (0.5 * ln(2 * pi() * v) + 0.5) + sl) AS aic')} FROM va", LAWS)(lambda s, d: laws.closed_laws(episodes.dwell_histogram(eps9(s, d))))
 query("M01_dwell_laws")(lambda s, d: laws.dwell_laws(episodes.dwell_histogram(eps9(s, d))))
