@@ -29,7 +29,8 @@ def iou(a: str, b: str) -> Column:
 def candidates(truth: DataFrame, predicted: DataFrame, min_iou: float = 0.5, cell: float = 64.0) -> DataFrame:
     """Pairs of boxes of one frame with enough overlap. Boxes meet by grid cell, so a crowded frame is no cross product.
 
-    A box enters every cell that it touches; a pair that shares several cells counts once.
+    A box enters every cell that it touches; a pair counts in the cell that holds its overlap's upper left corner, so
+    that nothing has to be made distinct afterwards.
     """
     box = lambda df, name: boxed(df).select("video", "frame", F.col("track_id").alias(name), F.struct("x1", "y1", "x2", "y2").alias(f"{name}_box"))
 
@@ -38,8 +39,10 @@ def candidates(truth: DataFrame, predicted: DataFrame, min_iou: float = 0.5, cel
         span = lambda lo, hi: F.sequence(F.floor(F.col(f"{name}_box.{lo}") / cell), F.floor(F.col(f"{name}_box.{hi}") / cell))
         return b.withColumn("gx", F.explode(span("x1", "x2"))).withColumn("gy", F.explode(span("y1", "y2")))
 
-    both = gridded(truth, "gt").join(gridded(predicted, "pred"), ["video", "frame", "gx", "gy"]).withColumn("iou", F.round(iou("gt_box", "pred_box"), 9))
-    return both.filter(F.col("iou") >= min_iou).groupBy("video", "frame", "gt", "pred").agg(F.first("iou").alias("iou"))
+    both = gridded(truth, "gt").join(gridded(predicted, "pred"), ["video", "frame", "gx", "gy"])
+    corner = lambda side: F.floor(F.greatest(f"gt_box.{side}", f"pred_box.{side}") / cell)
+    here = both.filter((F.col("gx") == corner("x1")) & (F.col("gy") == corner("y1"))).withColumn("iou", F.round(iou("gt_box", "pred_box"), 9))
+    return here.filter(F.col("iou") >= min_iou).select("video", "frame", "gt", "pred", "iou")
 
 
 def greedy_matches(pairs: DataFrame) -> DataFrame:
