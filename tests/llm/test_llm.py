@@ -608,3 +608,29 @@ def test_rows_without_ids_and_shared_ids(spark):
     assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.archive_history(pages).collect()) == [(0, "response", None), (0, "response", None), (4, "revisit", 5), (5, "response", None), (5, "response", None)]
     vectors = spark.createDataFrame([(None, [1.0, 2.0], 1), (7, [1.0, 2.0], 1), (8, [2.0, 4.0], 1)], "vec_id long, embedding array<double>, label int")
     assert sorted((r.vec_id or 0, r.n_links) for r in covertree.near_vectors(vectors).collect()) == [(0, 0), (7, 1), (8, 1)]
+
+
+def test_extra_columns_with_inner_names(spark, sf_dir):
+    """Input columns named like the operators' own intermediate ones, repeated rows and very long urls change no result."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("page_id < 60")
+    long = [(900, "http://example.com/en/" + "7" * 50_000, "x" * 3000), (901, "ftp://A.NET/de/8?" + "q" * 20_000, None), (902, None, "y"), (903, "no scheme", "x" * 3000), (902, None, "y")]
+    pages = pages.select("page_id", "url", "html").union(spark.createDataFrame(long, "page_id long, url string, html string"))
+    names = ["host", "path", "rule", "verdict", "best", "payload", "payload_digest", "refers_to", "n", "stamp", "place", "archive", "url_key", "copies", "data"]
+    odd = pages.withColumns({c: F.lit("x") for c in names})
+    plain, clash = (sorted(map(tuple, urlfilter.judge_urls(p, queries.RULES).collect()), key=str) for p in (pages, odd))
+    assert plain == clash and len(plain) == pages.count()
+    told = {r[0]: r[3:] for r in plain}
+    assert told[900] == ("example.com/en/7", "allow") and told[901] == ("net/de/", "allow") and told[902] == told[903] == (None, "allow")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    plain, clash = (sorted(map(tuple, warc.archive_history(p).select(*columns).collect()), key=str) for p in (pages, odd))
+    assert plain == clash and [r[3:] for r in plain if r[0] in (900, 903)] == [("revisit", 903), ("response", None)]
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    odd = vectors.withColumns({c: F.lit(1) for c in ("rep", "key", "v", "sound", "cell", "chunk", "n", "n_links", "component_id", "kept", "pivot", "a", "b")})
+    plain, clash = (sorted(map(tuple, covertree.near_vectors(p).collect()), key=str) for p in (vectors, odd))
+    assert plain == clash
+    texts = [(1, "one two three four five six seven"), (2, "one two three four five six seven"), (3, "p" * 450), (4, "q" + "p" * 450), (5, None), (6, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    odd = df.withColumns({c: F.lit("x") for c in ("row", "runs", "first", "last", "rep", "digest", "sketch", "keys", "hot_keys", "curve", "ids", "id", "kept", "anchor", "salt", "word", "bits", "media", "v", "score")})
+    path = queries.tokenizer("byte_bpe_50k.json")
+    for f in (jaccard.jaccard_groups, suffix_dedup.remove_repeats, lambda d: packing.pack(d, path), lambda d: mpeg.measure_media(mpeg.encode_media(d)), lambda d: bpe.digests(d, queries.tokenizer("word_bpe_49k.json"))):
+        assert sorted(map(str, f(df).drop("sequence_id", "offset").collect())) == sorted(map(str, f(odd).drop("sequence_id", "offset").collect()))
