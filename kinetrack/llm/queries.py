@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, jaccard, langid, mpeg, packing, suffix_dedup, token_counts, urlfilter, warc
+from . import bpe, covertree, fim, jaccard, langid, mpeg, packing, suffix_dedup, token_counts, urlfilter, warc
 from .common import save
 
 END_OF_TEXT = 50256
@@ -73,12 +73,33 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_history(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = fim.fill_in_middle(table(spark, sf_dir, "documents"), rate=100, spm_rate=50, seed=7)
+    return told.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_embedding_near_dedup, op2_bpe_codec, op3_mpeg_audio, op4_token_counts, op5_language_id, op6_jaccard_join, op7_curve_packing, op8_suffix_dedup, op9_url_filter, op10_warc_index)
+    for f in (
+        op1_embedding_near_dedup, op2_bpe_codec, op3_mpeg_audio, op4_token_counts, op5_language_id, op6_jaccard_join, op7_curve_packing, op8_suffix_dedup, op9_url_filter, op10_warc_index,
+        op12_fill_in_middle,
+    )
 }
 
 ORACLES: dict[str, str] = {
+    "op12_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, len(string_split(text, chr(10))) - CASE WHEN text = '' OR right(text, 1) = chr(10) THEN 1 ELSE 0 END AS n,
+             CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+k AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT *, CASE WHEN a = 0 THEN 0 WHEN a = n THEN length(text) ELSE length(array_to_string(lines[1:a], chr(10))) + 1 END AS i,
+             CASE WHEN b = 0 THEN 0 WHEN b = n THEN length(text) ELSE length(array_to_string(lines[1:b], chr(10))) + 1 END AS j FROM k),
+p AS (SELECT *, substr(text, 1, i) AS prefix, substr(text, i + 1, j - i) AS middle, substr(text, j + 1) AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(i AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(j - i AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p""",
     "op9_url_filter": r"""
 WITH p AS (
   SELECT page_id,
