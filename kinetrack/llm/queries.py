@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, fim, jaccard, langid, mpeg, packing, suffix_dedup, token_counts, urlfilter, warc
+from . import bestfit, bpe, covertree, fim, jaccard, langid, mpeg, packing, suffix_dedup, token_counts, urlfilter, warc
 from .common import save
 
 END_OF_TEXT = 50256
@@ -78,11 +78,16 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = bestfit.pack_whole(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), size=2048)
+    return packed.select("doc_id", "piece", "start", "length", bestfit.ids_crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_bpe_codec, op3_mpeg_audio, op4_token_counts, op5_language_id, op6_jaccard_join, op7_curve_packing, op8_suffix_dedup, op9_url_filter, op10_warc_index,
-        op12_fill_in_middle,
+        op12_fill_in_middle, op13_best_fit_packing,
     )
 }
 
