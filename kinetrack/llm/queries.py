@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, bpe, covertree, fim, jaccard, langid, mpeg, packing, suffix_dedup, token_counts, urlfilter, warc
+from . import bestfit, bpe, covertree, fim, jaccard, langid, mpeg, packing, resampling, suffix_dedup, token_counts, urlfilter, warc
 from .common import save
 
 END_OF_TEXT = 50256
@@ -73,6 +73,11 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_history(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, buckets=10_000, orders=2, seed=7)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = fim.fill_in_middle(table(spark, sf_dir, "documents"), rate=100, spm_rate=50, seed=7)
     return told.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
@@ -87,7 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_bpe_codec, op3_mpeg_audio, op4_token_counts, op5_language_id, op6_jaccard_join, op7_curve_packing, op8_suffix_dedup, op9_url_filter, op10_warc_index,
-        op12_fill_in_middle, op13_best_fit_packing,
+        op11_importance_resampling, op12_fill_in_middle, op13_best_fit_packing,
     )
 }
 
