@@ -9,6 +9,7 @@ length and its number among pieces of that length, so no group of pieces is ever
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -31,23 +32,36 @@ PIECES = "doc_id long, piece int, start long, length int, ids binary, part int,
 class WordIds:
     """Ids of texts (16-bit little-endian) by a word-level BPE tokenizers file, as that library gives them.
 
-    Texts are normalised and cut into words once; the library's model merges each distinct word of a worker once.
+    No word reaches over a space, so texts are normalised, cut at spaces, and each distinct run of a worker is cut into
+    words and merged by the library's model once. Texts that may hold special tokens, or characters that Python's
+    Unicode tables lack, are cut into words as a whole.
     """
 
     def __init__(self, path: str):
         self.codec = BpeCodec(path)
         self.model, self.symbols, self.cache = self.codec.library.model, byte_symbols(), WordCache()
 
-    def word(self, word: str) -> bytes:
-        special = self.codec.special.get(word)
-        ids = [special] if special is not None else [t.id for t in self.model.tokenize("".join(map(self.symbols.__getitem__, word.encode())))]
-        return np.array(ids, "<u2").tobytes()
+    def runs(self, text: str) -> list[str]:
+        codec = self.codec
+        if "<|" in text or not text.isascii() and codec.foreign(text):
+            return codec.words(text)
+        return codec.lowered(text).replace("\n", " ").split(" ")
+
+    def word_ids(self, word: str) -> bytes:
+        plain = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
+        return array("H", [t.id for t in self.model.tokenize(plain)]).tobytes()
+
+    def run_ids(self, run: str, known: dict[str, bytes]) -> bytes:
+        if (special := self.codec.special.get(run)) is not None:
+            return array("H", [special]).tobytes()
+        words = self.codec.split.findall(run)
+        return b"".join([known[w] if w in known else self.word_ids(w) for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.codec.words(t) for t in texts]
+        cut = [self.runs(t) for t in texts]
         known = self.cache.room()
-        for w in self.cache.missing(set(chain.from_iterable(cut))):
-            self.cache.put(w, self.word(w))
+        for run in sorted(self.cache.missing(set(chain.from_iterable(cut))), key=len):  # words before runs that hold them
+            self.cache.put(run, self.run_ids(run, known))
         return [b"".join(map(known.__getitem__, c)) for c in cut]
 
 
