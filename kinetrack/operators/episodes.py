@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import FPS, MIN_LENGTH
 from ..functions.special import column_of, kolmogorov_p
 from .kinematics import KEY, ordered
+from .ranks import exact_quantiles
 from .serial import average_ranks, hashed
 
 
@@ -95,7 +96,7 @@ def pooled_cv(eps: DataFrame, by: Sequence[str] = ("state",)) -> DataFrame:
 def within_cv(eps: DataFrame, min_eps: int = 5, key: Sequence[str] = KEY) -> DataFrame:
     """Median and quartiles over tracks of the CV of at least ``min_eps`` dwells in a state."""
     per = eps.groupBy(*key, "state").agg(F.count("*").alias("n"), (F.stddev_pop("run") / F.avg("run")).alias("cv")).filter(F.col("n") >= min_eps)
-    return per.groupBy("state").agg(F.count("*").alias("n_tracks"), *[F.percentile("cv", q).alias(a) for q, a in ((0.5, "median_cv"), (0.25, "q25"), (0.75, "q75"))])
+    return exact_quantiles(per, {"cv": {"median_cv": 0.5, "q25": 0.25, "q75": 0.75}}, ["state"], "n_tracks")
 
 
 def anova_icc(df: DataFrame, value: str, group: Sequence[str], by: Sequence[str] = (), min_n: int = 3) -> DataFrame:
@@ -181,7 +182,8 @@ def fano(eps: DataFrame, seconds: Sequence[float] = (0.5, 1, 2, 4, 8), key: Sequ
     per_win = inside.groupBy(*key, "T", "n_win", "win").agg(F.sum("one").alias("c"))
     per = per_win.groupBy(*key, "T", "n_win").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("s2")).filter("s > 0")
     f = (F.col("s2") - F.col("s") * F.col("s") / F.col("n_win")) / (F.col("n_win") - 1) / (F.col("s") / F.col("n_win"))
-    return per.withColumn("fano", f).groupBy("T").agg(F.when(F.count("*") >= min_tracks, F.percentile("fano", 0.5)).alias("fano"), F.count("*").alias("n_tracks"))
+    median = exact_quantiles(per.withColumn("fano", f), {"fano": {"fano": 0.5}}, ["T"], "n_tracks")
+    return median.select("T", F.when(F.col("n_tracks") >= min_tracks, F.col("fano")).alias("fano"), "n_tracks")
 
 
 def switch_rate(states: DataFrame, by: Sequence[str] = (), key: Sequence[str] = KEY, fps: float = FPS, order: str = "idx") -> DataFrame:

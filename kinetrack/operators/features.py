@@ -13,6 +13,7 @@ from ..functions.special import column_of, correlation_p, normal_p
 from ..sources.files import stored
 from .episodes import episodes, transition_counts, transition_probabilities
 from .kinematics import KEY
+from .ranks import exact_quantiles
 from .serial import average_ranks, hashed
 
 SHORT = ("prog", "nonprog", "immotile")
@@ -66,18 +67,19 @@ def participant_features(metrics: DataFrame, states: DataFrame, video: str = "vi
     return casa.join(comp, video).join(move, video).join(dwell, video)
 
 
-def quantiles(column: str, points: Sequence[float], names: Sequence[str]) -> list[Column]:
-    return [F.percentile(column, q).alias(f"{column}_{n}") for q, n in zip(points, names, strict=True)]
-
-
 def sample_features(features: DataFrame, by: str = "video", min_tracks: int = 1) -> DataFrame:
     """Class mix (set A) and the kinematic distribution (set B, 24 columns) of each sample."""
-    iqr = lambda c: (F.percentile(c, 0.75) - F.percentile(c, 0.25)).alias(f"{c}_iqr")
+    three, spread = {"p10": 0.1, "p50": 0.5, "p90": 0.9}, {"_q1": 0.25, "_q3": 0.75}
+    points = {m: three | spread for m in ("VCL", "ALH", "BCF", "LIN")} | {"PWR": {"p90": 0.9} | spread, "TAC": {"med": 0.5} | spread, "VAR_V": {"med": 0.5}, "DUR": {"med": 0.5}}
+    wanted = {m: {f"{m}_{n}": p for n, p in told.items()} for m, told in points.items()}
     pct = [(100.0 * F.count_if(F.col("motility") == m) / F.count("*")).alias(f"{n}_pct") for m, n in (("progressive", "prog"), ("non_progressive", "nonprog"), ("immotile", "immot"))]
-    quant = [x for m in ("VCL", "ALH", "BCF", "LIN") for x in (*quantiles(m, (0.1, 0.5, 0.9), ("p10", "p50", "p90")), iqr(m))]
-    rest = [F.percentile("PWR", 0.9).alias("PWR_p90"), iqr("PWR"), F.percentile("TAC", 0.5).alias("TAC_med"), iqr("TAC"), F.percentile("VAR_V", 0.5).alias("VAR_V_med")]
     bands = [F.avg((F.col("VCL") > 50).cast("double")).alias("vigorous_frac"), F.avg(F.col("VCL").between(5, 25).cast("double")).alias("intermediate_frac"), F.log(F.count("*")).alias("log_ntracks")]
-    return features.groupBy(by).agg(*pct, *quant, *rest, *bands, F.percentile("DUR", 0.5).alias("DUR_med"), F.count("*").alias("n_tracks")).filter(F.col("n_tracks") >= min_tracks)
+    mix = features.groupBy(by).agg(*pct, *bands, F.count("*").alias("n_tracks")).filter(F.col("n_tracks") >= min_tracks)
+    told = exact_quantiles(features, wanted, [by])
+    columns = [c for m in points for c in (*[x for x in wanted[m] if not x.endswith(("_q1", "_q3"))], *([f"{m}_iqr"] if "_q1" in points[m] else []))]
+    for m in (m for m in points if "_q1" in points[m]):
+        told = told.withColumn(f"{m}_iqr", F.col(f"{m}__q3") - F.col(f"{m}__q1"))
+    return mix.join(told.select(F.col(by).alias("_by"), *columns), F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, *controls: str) -> DataFrame:
@@ -137,7 +139,7 @@ def univariate_spearman(df: DataFrame, features: Sequence[str], target: str) ->
     from .serial import spearman
 
     long = df.select(F.col(target).cast("double").alias("y"), F.explode(F.create_map(*[v for c in features for v in (F.lit(c), F.col(c).cast("double"))])).alias("feature", "x"))
-    return spearman(long.filter("x is not null and y is not null"), ["feature"])
+    return spearman(long.filter("x is not null and y is not null"), ["feature"], few=True)
 
 
 def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:

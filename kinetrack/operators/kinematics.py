@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import FPS, MIN_LENGTH, PX_PER_UM, distance, half_even, motility, px_to_um, ratio
+from .ranks import exact_quantiles
 
 KEY = ("video", "track_id")
 METRICS = ["VCL", "VSL", "VAP", "LIN", "STR", "WOB", "ALH", "BCF"]
@@ -82,6 +83,13 @@ def long_enough(tracks: DataFrame, n: int = MIN_LENGTH, key: Sequence[str] = KEY
     return tracks.withColumn("_n", F.count("*").over(Window.partitionBy(*key))).filter(F.col("_n") >= n).drop("_n")
 
 
+def track_lengths(tracks: DataFrame, points: Sequence[float] = (0.05, 0.5, 0.95), key: Sequence[str] = KEY) -> DataFrame:
+    """Quantiles and mean of the tracks' numbers of points."""
+    lengths = tracks.groupBy(*key).agg(F.count("*").alias("n"))
+    told = exact_quantiles(lengths, {"n": {f"q{int(p * 100)}": p for p in points}})
+    return told.crossJoin(lengths.agg(F.avg("n").alias("mean"), F.count("*").alias("n_tracks")))
+
+
 def mean_confidence(tracks: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """A1."""
     return tracks.groupBy(*key).agg(F.avg("conf").alias("mean_conf"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import FPS
 from ..functions.special import gamma_tail
+from .ranks import exact_quantiles
 
 
 def closed_laws(histogram: DataFrame, by: Sequence[str] = ("state",), fps: float = FPS, min_n: int = 1) -> DataFrame:
@@ -201,7 +202,7 @@ def censored_laws(histogram: DataFrame, by: Sequence[str] = ("state",), fps: flo
 
 def hill_exponent(eps: DataFrame, by: Sequence[str] = ("state",), quantile: float = 0.5, fps: float = FPS, min_n: int = 50) -> DataFrame:
     """M3: Hill tail exponent above a quantile of the dwells; null below ``min_n`` tail dwells."""
-    cut = eps.groupBy(*by).agg(F.percentile(F.col("run") / fps, quantile).alias("xmin"))
+    cut = exact_quantiles(eps.select(*by, (F.col("run") / fps).alias("x")), {"x": {"xmin": quantile}}, by)
     tail = eps.join(cut, list(by)).withColumn("x", F.col("run") / fps).filter("x >= xmin")
     s = tail.groupBy(*by, "xmin").agg(F.count("*").alias("n_tail"), F.sum(F.log(F.col("x") / F.col("xmin"))).alias("s"))
     return s.select(*by, "xmin", "n_tail", F.when((F.col("n_tail") >= min_n) & (F.col("s") > 0), 1 + F.col("n_tail") / F.col("s")).alias("alpha"))

@@ -7,6 +7,7 @@ the place of each order statistic, 16 bits a pass, with a histogram of at most 6
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from itertools import accumulate
 
@@ -87,7 +88,8 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Mapping[str, float]], by
 
     No group's values are gathered: each pass counts 16 more of the ordered bits of the values that can still be one
     of the order statistics asked for, until a group has at most ``small`` of them or all 64 bits are told. Nulls
-    count for nothing, NaN stands above all numbers; a group without values is left out, and so is an empty table's.
+    count for nothing, NaN stands above all numbers; a group without values is left out. Without ``by`` there is always
+    one row, of nulls where there is no value.
     ``count`` names a column for the number of values of the first column.
     """
     by, g = list(by), [*by, "_c"]
@@ -102,32 +104,35 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Mapping[str, float]], by
     sides = F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_k")
     targets = at.select(*g, sides).distinct().select(*g, "_k", F.col("_k").alias("_left"), F.lit(0).cast("long").alias("_prefix"))
 
+    def leading(shift: int) -> Column:
+        return F.shiftright("_bits", shift) if shift < 64 else F.lit(0).cast("long")
+
+    def held(targets: DataFrame, shift: int) -> DataFrame:
+        """Values that share all but their last ``shift`` bits with some target."""
+        rows = data.withColumn("_prefix", leading(shift))
+        return rows if shift == 64 else rows.alias("a").join(targets.select(*g, "_prefix").distinct().alias("b"), _same("a", "b", [*g, "_prefix"]), "left_semi")
+
     def next_digit(targets: DataFrame, shift: int) -> DataFrame:
         """Targets with 16 more bits in their prefix, and how many values share it."""
-        if shift == 48:
-            digits = data.groupBy(*g, F.shiftright("_bits", 48).alias("_d")).agg(F.count("*").alias("_m")).withColumn("_prefix", F.lit(0).cast("long"))
-        else:
-            open_ = targets.select(*g, "_prefix").distinct()
-            held = data.withColumn("_prefix", F.shiftright("_bits", shift + 16)).alias("a").join(open_.alias("b"), _same("a", "b", [*g, "_prefix"]), "left_semi")
-            digits = held.groupBy(*g, "_prefix", F.shiftright("_bits", shift).bitwiseAND(F.lit(0xFFFF)).alias("_d")).agg(F.count("*").alias("_m"))
+        digit = leading(48) if shift == 48 else leading(shift).bitwiseAND(F.lit(0xFFFF))
+        digits = held(targets, shift + 16).groupBy(*g, "_prefix", digit.alias("_d")).agg(F.count("*").alias("_m"))
         w = F.sum("_m").over(Window.partitionBy(*g, "_prefix").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1))
         told = digits.withColumn("_before", F.coalesce(w, F.lit(0)))
-        found = targets.alias("a").join(told.alias("b"), _same("a", "b", [*g, "_prefix"]) & (F.col("_left") >= F.col("_before")) & (F.col("_left") < F.col("_before") + F.col("_m")))
+        found = targets.drop("_m").alias("a").join(told.alias("b"), _same("a", "b", [*g, "_prefix"]) & (F.col("_left") >= F.col("_before")) & (F.col("_left") < F.col("_before") + F.col("_m")))
         prefix = F.col("_d") if shift == 48 else F.shiftleft(F.col("a._prefix"), 16).bitwiseOR(F.col("_d"))
         return stored(found.select(*[F.col(f"a.{c}").alias(c) for c in g], "_k", (F.col("_left") - F.col("_before")).alias("_left"), prefix.alias("_prefix"), "_m"))
 
-    for shift in (48, 32, 16, 0):
+    shift, most = 64, sizes.agg(F.max("_n")).first()[0] or 0
+    while shift and most > small:
+        shift -= 16
         targets = next_digit(targets, shift)
-        if shift == 0 or (targets.agg(F.max("_m")).first()[0] or 0) <= small:
-            break
+        most = targets.agg(F.max("_m")).first()[0] or 0
     if shift:
-        open_ = targets.select(*g, "_prefix").distinct()
-        held = data.withColumn("_prefix", F.shiftright("_bits", shift)).alias("a").join(open_.alias("b"), _same("a", "b", [*g, "_prefix"]), "left_semi")
         w = Window.partitionBy(*g, "_prefix").orderBy("_bits")
-        rest = held.groupBy(*g, "_prefix", "_bits").agg(F.count("*").alias("_m")).withColumn("_upto", F.sum("_m").over(w))
+        rest = held(targets, shift).groupBy(*g, "_prefix", "_bits").agg(F.count("*").alias("_m")).withColumn("_upto", F.sum("_m").over(w))
         found = targets.drop("_m").alias("a").join(rest.alias("b"), _same("a", "b", [*g, "_prefix"]) & (F.col("_left") < F.col("_upto")) & (F.col("_left") >= F.col("_upto") - F.col("_m")))
         targets = found.select(*[F.col(f"a.{c}").alias(c) for c in g], "_k", F.col("_bits").alias("_prefix"))
-    values = stored(targets.select(*g, "_k", value_of("_prefix").alias("_value")))
+    values = stored(targets.select(*g, "_k", F.coalesce(value_of("_prefix"), F.lit(math.nan)).alias("_value")))
     low, high = (values.select(*[F.col(c).alias(f"{s}{c}") for c in g], F.col("_k").alias(f"{s}k"), F.col("_value").alias(f"{s}value")) for s in "lh")
     match = lambda s, k: _all([F.col(c).eqNullSafe(F.col(f"{s}{c}")) for c in g]) & (F.col(f"{s}k") == k)
     both = at.join(low, match("l", F.floor("_at"))).join(high, match("h", F.ceil("_at")))

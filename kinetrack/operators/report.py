@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import CLASSES
 from ..functions.special import chi2_p, column_of
+from .ranks import exact_quantiles
 
 
 def heat_map(points: DataFrame, value: str, cells: int = 20, x: str = "cx", y: str = "cy") -> DataFrame:
@@ -20,19 +21,23 @@ def heat_map(points: DataFrame, value: str, cells: int = 20, x: str = "cx", y: s
 
 def histogram(df: DataFrame, value: str, bins: int = 30, top_quantile: float | None = None) -> DataFrame:
     """Equal-width bins between the extremes (or up to a quantile, larger values left out); the last bin is closed."""
-    hi = F.percentile(value, top_quantile) if top_quantile else F.max(value)
-    ends = df.agg(F.min(value).cast("double").alias("lo"), hi.cast("double").alias("hi"))
+    ends = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
+    if top_quantile:
+        ends = ends.select("lo").crossJoin(exact_quantiles(df, {value: {"hi": top_quantile}}))
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0).cast("int")
     return df.crossJoin(F.broadcast(ends)).filter(F.col(value) <= F.col("hi")).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
-    """Quartiles and whiskers (the farthest values within 1.5 interquartile ranges)."""
-    q = df.groupBy(by).agg(*[F.percentile(value, p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
-    j = df.join(F.broadcast(q), by)
+    """Quartiles and whiskers (the farthest values within 1.5 interquartile ranges).
+
+    Whiskers are looked up among distinct values with their counts, so a hot group is no larger than its distinct values.
+    """
+    q = exact_quantiles(df, {value: {"q1": 0.25, "median": 0.5, "q3": 0.75}}, [by])
+    values = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
     iqr = F.col("q3") - F.col("q1")
     inside = F.when(F.col(value).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr), F.col(value))
-    return j.groupBy(by, "q1", "median", "q3").agg(F.min(inside).alias("low"), F.max(inside).alias("high"), F.count(value).alias("n"))
+    return values.join(q, by).groupBy(by, "q1", "median", "q3").agg(F.min(inside).alias("low"), F.max(inside).alias("high"), F.sum("_n").alias("n"))
 
 
 def cross_tab(df: DataFrame, row: str, column: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import FPS
 from ..sources.files import stored
 from .kinematics import KEY
+from .ranks import distinct_ranks
 
 
 def hashed(*parts: Column | str) -> Column:
@@ -41,25 +42,29 @@ def lag_pairs(resid: DataFrame, lags: int = 5, key: Sequence[str] = KEY, by: Seq
     return later.select(*by, *key, "x", F.posexplode("ys").alias("k", "y")).filter("y is not null").select(*by, *key, "x", (F.col("k") + 1).alias("lag"), "y")
 
 
-def average_ranks(df: DataFrame, names: dict[str, str], by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, names: dict[str, str], by: Sequence[str] = (), weight: Column | None = None, few: bool | None = None) -> DataFrame:
     """Adds average ranks ``{column: name}`` within ``by``, through one table of distinct values and their counts.
 
     Ties collapse before anything is ordered. Values are rounded to 9 decimals, so that equal residuals tie in every
-    engine. ``weight``: how many times a row stands.
+    engine. ``weight``: how many times a row stands. ``few``: few, large groups (the default without ``by``) are ordered
+    by range partitions; otherwise each group is ordered in one task.
     """
     one = F.lit(1) if weight is None else weight
     values = F.array(*[F.struct(F.lit(c).alias("c"), F.round(c, 9).alias("v")) for c in names])
     h = df.select(*by, one.alias("_w"), F.explode(values).alias("_x")).groupBy(*by, "_x.c", "_x.v").agg(F.sum("_w").alias("_n"))
-    r = h.withColumn("_r", F.sum("_n").over(Window.partitionBy(*by, "c").orderBy("v")) - (F.col("_n") - 1) / 2)
+    if few or (few is None and not by):
+        r = stored(distinct_ranks(h, [*by, "c"], "v", "_n", "_r"))
+    else:
+        r = h.withColumn("_r", F.sum("_n").over(Window.partitionBy(*by, "c").orderBy("v")) - (F.col("_n") - 1) / 2)
     out = df
     for c, to in names.items():
         out = out.withColumn("_v", F.round(c, 9)).join(r.filter(F.col("c") == c).select(*by, F.col("v").alias("_v"), F.col("_r").alias(to)), [*by, "_v"]).drop("_v")
     return out
 
 
-def spearman(pairs: DataFrame, by: Sequence[str] = (), x: str = "x", y: str = "y", min_n: int = 3) -> DataFrame:
-    """Correlation of average ranks in each group."""
-    ranked = average_ranks(pairs, {x: "_rx", y: "_ry"}, by)
+def spearman(pairs: DataFrame, by: Sequence[str] = (), x: str = "x", y: str = "y", min_n: int = 3, few: bool | None = None) -> DataFrame:
+    """Correlation of average ranks in each group; ``few`` as in ``average_ranks``."""
+    ranked = average_ranks(pairs, {x: "_rx", y: "_ry"}, by, few=few)
     return ranked.groupBy(*by).agg(F.when(F.count("*") >= min_n, F.corr("_rx", "_ry")).alias("rho"), F.count("*").alias("n"))
 
 

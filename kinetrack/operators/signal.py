@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import FPS, PX_PER_UM, distance, px_to_um, ratio
 from .kinematics import KEY, ordered
+from .ranks import exact_quantiles
 
 
 def velocities(tracks: DataFrame, key: Sequence[str] = KEY, ppm: float = PX_PER_UM, fps: float = FPS) -> DataFrame:
@@ -114,7 +115,7 @@ def lag_one(tracks: DataFrame, key: Sequence[str] = KEY, min_points: int = 50, f
     w = Window.partitionBy(*key).orderBy("idx")
     v = velocities(tracks, key).withColumns({"p": F.col("vx") * F.lead("vx").over(w) + F.col("vy") * F.lead("vy").over(w), "q": F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")})
     a = v.groupBy(*key).agg(F.count("*").alias("n"), (F.sum("p") / F.sum("q")).alias("a")).filter((F.col("n") >= min_points - 1) & F.col("a").isNotNull())
-    med = a.agg(F.percentile("a", 0.5).alias("a"), F.count("*").alias("n_tracks"))
+    med = exact_quantiles(a, {"a": {"a": 0.5}}, count="n_tracks")
     return med.select("a", "n_tracks", F.when((F.col("a") > 0) & (F.col("a") < 1), -1 / F.log("a") / fps).alias("tau_s"))
 
 

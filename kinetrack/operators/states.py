@@ -120,3 +120,9 @@ def wide_heatmap(windows: DataFrame, windows_shown: Sequence[int] | None = None,
     """Video by window matrix; all windows of the data where none are named, as many as the longest video has."""
     shown = sorted(r["window"] for r in windows.select("window").distinct().collect()) if windows_shown is None else list(windows_shown)
     return windows.groupBy("video").pivot("window", shown).agg(F.first(value))
+
+
+def heatmap_cells(wide: DataFrame, value: str = "pct_progressive") -> DataFrame:
+    """The cells of a video by window matrix as rows (video, window, value), empty cells null."""
+    shown = [c for c in wide.columns if c != "video"]
+    return wide.unpivot("video", shown, "window", value).withColumn("window", F.col("window").cast("long"))

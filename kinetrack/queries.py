@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import fixtures
 from .functions import scalar
 from .operators import agreement, association, episodes, features, kinematics, laws, models, order, report, serial, signal, states, summary
+from .operators.ranks import exact_quantiles
 from .oracles import CTES, STATE, compose, kinematics as kinematics_sql, ranks
 from .plans import battery
 from .sources import files
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 METRICS = kinematics.METRICS
 K = list(kinematics.KEY)
+FIVE = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
 def plain(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -214,7 +216,7 @@ query("W15_temporal_windows", f"SELECT video, {L('\"window\"', 'n_active', 'n_pr
 query("A13_temporal_aggregate", f"SELECT {L('\"window\"')}, {r('any_value(t_mid_s) AS t_mid_s', 'avg(n_active) AS n_active_mean', *[f'{f}({c}) AS {c}_{n}' for c in PCT for f, n in (('avg', 'mean'), ('stddev_samp', 'std'))])}, count(DISTINCT video) AS n_videos FROM twin GROUP BY \"window\"", WINDOWS)(lambda s, d: states.temporal_aggregate(windows(s, d)))
 TREND = " UNION ALL ".join(f"SELECT '{c}' AS series, {r('slope', 'intercept', 'r2', r_p('sqrt(r2)', 'n') + ' AS p')} FROM (SELECT regr_slope({c}, t_mid_s) AS slope, regr_intercept({c}, t_mid_s) AS intercept, regr_r2({c}, t_mid_s) AS r2, count(*) AS n FROM twin)" for c in PCT)
 query("A14_trends", TREND, WINDOWS)(lambda s, d: states.linear_trends(windows(s, d)))
-query("A37_video_by_window", "SELECT video, round(COLUMNS(* EXCLUDE (video)), 6) + 0.0 FROM (PIVOT (SELECT video, \"window\", pct_progressive FROM twin) ON \"window\" USING max(pct_progressive) GROUP BY video)", WINDOWS)(lambda s, d: states.wide_heatmap(windows(s, d)))
+query("A37_video_by_window", f"SELECT v.video, {L('w.\"window\" AS \"window\"')}, {r('t.pct_progressive AS pct_progressive')} FROM (SELECT DISTINCT video FROM twin) v CROSS JOIN (SELECT DISTINCT \"window\" FROM twin) w LEFT JOIN twin t ON t.video = v.video AND t.\"window\" = w.\"window\"", WINDOWS)(lambda s, d: states.heatmap_cells(states.wide_heatmap(windows(s, d))))
 
 # ---- transitions and episodes
 query("A15_transition_counts", f"SELECT {L('f AS \"from\"', 't AS \"to\"', 'n')} FROM counts")(lambda s, d: episodes.transition_counts(frame_states(s, d)))
@@ -280,13 +282,13 @@ query("J13_truncated_dwells", f"SELECT {L('state')}, count(*) AS n, {r('avg(run)
 )
 query("A23_eta_squared", f"SELECT {r('sum(n * power(m - g, 2)) / sum(n * power(m - g, 2) + n * v) AS eta2')} FROM (SELECT count(*) AS n, avg(vcl) AS m, var_pop(vcl) AS v FROM kin GROUP BY video, track_id), (SELECT avg(vcl) AS g FROM kin)")(lambda s, d: episodes.anova_icc(states.frame_kinematics(tracks(s, d)), "vcl", K, min_n=1).select("eta2"))
 query("A30_occupancy", f"SELECT {L('state')}, {r('count(*) / sum(count(*)) OVER () AS share')} FROM states GROUP BY state")(lambda s, d: frame_states(s, d).groupBy("state").agg(F.count("*").alias("n")).select("state", agreement.share(F.col("n")).alias("share")))
-query("A31_quantiles", f"SELECT {r(*[f'quantile_cont(vcl, {p}) AS q{int(p * 100)}' for p in (0.05, 0.25, 0.5, 0.75, 0.95)])} FROM kin")(lambda s, d: states.frame_kinematics(tracks(s, d)).agg(*[F.percentile("vcl", p).alias(f"q{int(p * 100)}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
+query("A31_quantiles", f"SELECT {r(*[f'quantile_cont(vcl, {p}) AS q{int(p * 100)}' for p in (0.05, 0.25, 0.5, 0.75, 0.95)])} FROM kin")(lambda s, d: exact_quantiles(states.frame_kinematics(tracks(s, d)), {"vcl": {f"q{int(p * 100)}": p for p in FIVE}}))
 W27_STEPS = "SELECT *, sqrt(power(cx - lag(cx) OVER t, 2) + power(cy - lag(cy) OVER t, 2)) AS step FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY video, track_id ORDER BY frame) - 1) / 25) AS BIGINT) AS block FROM tracks) WINDOW t AS (PARTITION BY video, track_id, block ORDER BY frame)"
-FIVE = (0.05, 0.25, 0.5, 0.75, 0.95)
-query("A31_block_quantiles", f"SELECT {r(*[f'quantile_cont({c}, {p}) AS {c}_q{int(p * 100)}' for c in ('vcl', 'lin') for p in FIVE])} FROM bkin", {"b25": W27_STEPS, "bkin": "SELECT sum(step) / 1.422 / 24 * 50 AS vcl, CASE WHEN sum(step) > 0 THEN sqrt(power(arg_max(cx, frame) - arg_min(cx, frame), 2) + power(arg_max(cy, frame) - arg_min(cy, frame), 2)) / sum(step) ELSE 0 END AS lin FROM b25 GROUP BY video, track_id, block HAVING count(*) = 25"})(lambda s, d: signal.block_kinematics(tracks(s, d)).agg(*[F.percentile(c, p).alias(f"{c}_q{int(p * 100)}") for c in ("vcl", "lin") for p in FIVE]))
-query("A31_crossing_intervals", f"SELECT {r(*[f'quantile_cont(gap, {p}) AS q{int(p * 100)}' for p in FIVE])} FROM (SELECT (idx - lag(idx) OVER (PARTITION BY video, track_id ORDER BY idx)) / 50 AS gap FROM (SELECT *, CASE WHEN (sp >= 25) <> (lag(sp) OVER (PARTITION BY video, track_id ORDER BY idx) >= 25) THEN 1 ELSE 0 END AS c FROM (SELECT video, track_id, idx, sqrt(vx * vx + vy * vy) AS sp FROM vel)) WHERE c = 1)")(lambda s, d: signal.crossing_gaps(signal.velocities(tracks(s, d)).withColumn("speed", scalar.distance(F.col("vx"), F.col("vy"))), "speed", 25.0).agg(*[F.percentile("gap", p).alias(f"q{int(p * 100)}") for p in FIVE]))
+
+query("A31_block_quantiles", f"SELECT {r(*[f'quantile_cont({c}, {p}) AS {c}_q{int(p * 100)}' for c in ('vcl', 'lin') for p in FIVE])} FROM bkin", {"b25": W27_STEPS, "bkin": "SELECT sum(step) / 1.422 / 24 * 50 AS vcl, CASE WHEN sum(step) > 0 THEN sqrt(power(arg_max(cx, frame) - arg_min(cx, frame), 2) + power(arg_max(cy, frame) - arg_min(cy, frame), 2)) / sum(step) ELSE 0 END AS lin FROM b25 GROUP BY video, track_id, block HAVING count(*) = 25"})(lambda s, d: exact_quantiles(signal.block_kinematics(tracks(s, d)), {c: {f"{c}_q{int(p * 100)}": p for p in FIVE} for c in ("vcl", "lin")}))
+query("A31_crossing_intervals", f"SELECT {r(*[f'quantile_cont(gap, {p}) AS q{int(p * 100)}' for p in FIVE])} FROM (SELECT (idx - lag(idx) OVER (PARTITION BY video, track_id ORDER BY idx)) / 50 AS gap FROM (SELECT *, CASE WHEN (sp >= 25) <> (lag(sp) OVER (PARTITION BY video, track_id ORDER BY idx) >= 25) THEN 1 ELSE 0 END AS c FROM (SELECT video, track_id, idx, sqrt(vx * vx + vy * vy) AS sp FROM vel)) WHERE c = 1)")(lambda s, d: exact_quantiles(signal.crossing_gaps(signal.velocities(tracks(s, d)).withColumn("speed", scalar.distance(F.col("vx"), F.col("vy"))), "speed", 25.0), {"gap": {f"q{int(p * 100)}": p for p in FIVE}}))
 query("A38_survival", f"SELECT {L('state', 'run')}, {r('1 - sum(n) OVER (PARTITION BY state ORDER BY run) / sum(n) OVER (PARTITION BY state) AS survival')} FROM hist")(lambda s, d: episodes.survival(eps9(s, d)))
-query("A39_track_lengths", f"SELECT {r(*[f'quantile_cont(n, {p}) AS q{int(p * 100)}' for p in (0.05, 0.5, 0.95)], 'avg(n) AS mean')}, count(*) AS n_tracks FROM (SELECT count(*) AS n FROM tracks GROUP BY video, track_id)")(lambda s, d: tracks(s, d).groupBy(*K).agg(F.count("*").alias("n")).agg(*[F.percentile("n", p).alias(f"q{int(p * 100)}") for p in (0.05, 0.5, 0.95)], F.avg("n").alias("mean"), F.count("*").alias("n_tracks")))
+query("A39_track_lengths", f"SELECT {r(*[f'quantile_cont(n, {p}) AS q{int(p * 100)}' for p in (0.05, 0.5, 0.95)], 'avg(n) AS mean')}, count(*) AS n_tracks FROM (SELECT count(*) AS n FROM tracks GROUP BY video, track_id)")(lambda s, d: kinematics.track_lengths(tracks(s, d)))
 KSP = "CASE WHEN ks * sqrt(tn * tm / (tn + tm)) < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: power(-1, k - 1) * exp(-2 * k * k * ks * ks * tn * tm / (tn + tm)))))) END AS p"
 query("A39_ks_dwell_length", f"SELECT {r('ks', KSP)} FROM (SELECT max(abs(a - b)) AS ks, any_value(tn) AS tn, any_value(tm) AS tm FROM (SELECT sum(na) OVER () AS tn, sum(nb) OVER () AS tm, sum(na) OVER (ORDER BY x) / sum(na) OVER () AS a, sum(nb) OVER (ORDER BY x) / sum(nb) OVER () AS b FROM (SELECT x, sum(na) AS na, sum(nb) AS nb FROM (SELECT run AS x, 1 AS na, 0 AS nb FROM eps9 UNION ALL SELECT count(*), 0, 1 FROM tracks GROUP BY video, track_id) GROUP BY x)))")(lambda s, d: episodes.two_sample_ks(eps9(s, d).select("run"), tracks(s, d).groupBy(*K).agg(F.count("*").alias("run")), "run"))
 query("A40_boundary_fractions", f"SELECT count(*) AS n, {r('avg(CASE WHEN censored AND NOT (is_first AND is_last) THEN 1.0 ELSE 0 END) AS one_boundary', 'avg(CASE WHEN is_first AND is_last THEN 1.0 ELSE 0 END) AS whole_track', 'avg(CASE WHEN censored THEN 0 ELSE 1.0 END) AS interior')} FROM eps9")(lambda s, d: episodes.boundary_fractions(eps9(s, d)))
@@ -341,7 +343,7 @@ query("M04_restricted_laws")(lambda s, d: laws.dwell_laws(episodes.dwell_histogr
 query("W21_residuals", f"SELECT {', '.join(K)}, {L('ep_idx', 'state')}, {r('resid')} FROM resid")(lambda s, d: resid(s, d).select(*K, "ep_idx", "state", "resid"))
 query("W22_trait_residuals", f"SELECT {', '.join(K)}, {L('ep_idx', 'state')}, {r('resid')} FROM trait")(lambda s, d: serial.trait_residuals(eps9(s, d)).select(*K, "ep_idx", "state", "resid"))
 query("W23_lag_pairs", f"SELECT {', '.join(K)}, {L('lag')}, {r('x', 'y')} FROM pairs")(lambda s, d: serial.lag_pairs(resid(s, d)))
-query("W24_spearman_by_lag", f"SELECT {L('lag')}, {r('CASE WHEN count(*) >= 3 THEN corr(rx, ry) END AS rho')}, count(*) AS n FROM ranked GROUP BY lag", {"ranked": ranks("SELECT * FROM pairs", "lag")})(lambda s, d: serial.spearman(serial.lag_pairs(resid(s, d)), ["lag"]))
+query("W24_spearman_by_lag", f"SELECT {L('lag')}, {r('CASE WHEN count(*) >= 3 THEN corr(rx, ry) END AS rho')}, count(*) AS n FROM ranked GROUP BY lag", {"ranked": ranks("SELECT * FROM pairs", "lag")})(lambda s, d: serial.spearman(serial.lag_pairs(resid(s, d)), ["lag"], few=True))
 CELL = {"res6": "SELECT e.*, ln(run / 50) - m AS resid FROM eps9 e JOIN (SELECT state, avg(ln(run / 50)) AS m FROM eps9 GROUP BY state) USING (state) WHERE n_eps >= 5", "p6": "SELECT video, track_id, x, y FROM (SELECT video, track_id, resid AS x, lead(resid) OVER (PARTITION BY video, track_id ORDER BY ep_idx) AS y FROM res6) WHERE y IS NOT NULL", "rk6": ranks("SELECT * FROM p6", "video, track_id"), "rho6": "SELECT CASE WHEN count(*) >= 3 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho FROM rk6 GROUP BY video, track_id"}
 query("M12_per_cell_memory", f"SELECT {r('tanh(avg(atanh(greatest(-0.999, least(0.999, rho))))) AS mean_rho')}, count(*) AS n_tracks FROM rho6 WHERE rho IS NOT NULL", CELL)(lambda s, d: serial.per_cell_memory(eps9(s, d), 5))
 query("M11_permutation_null")(lambda s, d: serial.permutation_null(resid(s, d)))
