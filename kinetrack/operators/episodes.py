@@ -12,6 +12,7 @@ from ..functions.scalar import FPS, MIN_LENGTH
 from ..functions.special import column_of, kolmogorov_p
 from .kinematics import KEY, ordered
 from .ranks import exact_quantiles
+from .scans import composed_maps, stack_merge
 from .serial import average_ranks, hashed
 
 
@@ -204,39 +205,27 @@ def embedded_chain(eps: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 def merge_flickers(eps: DataFrame, threshold: int, key: Sequence[str] = KEY) -> DataFrame:
     """Drop episodes of at most ``threshold`` frames between two of one state, leftmost first, until none is left.
 
-    A fold per track: (key, ep_idx, state, run). Only whole tracks are gathered, and a track is bounded by its video.
+    The leftmost candidate is settled before anything to its right, so one pass with a stack is enough: (key, ep_idx,
+    state, run), linear in the episodes.
     """
-    item = eps.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("ep_idx", "state", "run"))).alias("eps"))
-
-    # the leftmost candidate is settled before anything to its right, so that one pass with a stack is enough
-    def fold(kept: Column, x: Column) -> Column:
-        n = F.size(kept)
-        mid, head = F.element_at(kept, -1), F.element_at(kept, F.when(n >= 2, -2).otherwise(-1))
-        joins = (n >= 2) & (mid["run"] <= threshold) & (head["state"] == x["state"]) & (mid["state"] != x["state"])
-        merged = F.struct(head["ep_idx"].alias("ep_idx"), head["state"].alias("state"), (head["run"] + mid["run"] + x["run"]).alias("run"))
-        return F.when(joins, F.concat(F.slice(kept, 1, F.greatest(n - 2, F.lit(0))), F.array(merged))).otherwise(F.concat(kept, F.array(x)))
-
-    folded = F.aggregate("eps", F.expr("cast(array() as array<struct<ep_idx:bigint,state:int,run:bigint>>)"), fold)
-    return item.select(*key, F.posexplode(folded).alias("ep_idx", "e")).select(*key, "ep_idx", F.col("e.state").alias("state"), F.col("e.run").alias("run"))
+    return stack_merge(eps, threshold, key)
 
 
 def hysteresis_states(kinematics: DataFrame, margin: float, key: Sequence[str] = KEY, v_imm: float = 5.0, v_prog: float = 25.0, s_prog: float = 0.5) -> DataFrame:
-    """Schmitt-trigger states from windowed VCL and STR: strict to enter, loose to leave; a fold per track."""
+    """Schmitt-trigger states from windowed VCL and STR: strict to enter, loose to leave.
+
+    Each frame is a map of the state before it to its own state; the maps of a track are composed by a prefix scan.
+    """
     lo_i, hi_i, lo_p, hi_p, lo_s, hi_s = (x * (1 + s * margin) for x in (v_imm, v_prog, s_prog) for s in (-1, 1))
-    first = F.when(F.col("vcl") <= v_imm, 2).when((F.col("vcl") >= v_prog) & (F.col("straightness") >= s_prog), 0).otherwise(1)
-    seq = kinematics.withColumn("plain", first).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("idx", F.col("vcl").alias("v"), F.col("straightness").alias("s"), "plain", "frame"))).alias("seq"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        st, fast = F.element_at(acc, -1), (x["v"] >= hi_p) & (x["s"] >= hi_s)
-        from_imm = F.when(x["v"] > hi_i, F.when(fast, 0).otherwise(1)).otherwise(2)
-        from_prog = F.when(x["v"] <= lo_i, 2).when((x["v"] < lo_p) | (x["s"] < lo_s), 1).otherwise(0)
-        from_np = F.when(x["v"] <= lo_i, 2).when(fast, 0).otherwise(1)
-        nxt = F.when(F.size(acc) == 0, x["plain"]).when(st == 2, from_imm).when(st == 0, from_prog).otherwise(from_np)
-        return F.concat(acc, F.array(nxt.cast("int")))
-
-    states = F.aggregate("seq", F.expr("cast(array() as array<int>)"), fold)
-    out = seq.select(*key, F.explode(F.arrays_zip(F.col("seq"), states.alias("st"))).alias("z"))
-    return out.select(*key, F.col("z.seq.frame").alias("frame"), F.col("z.seq.idx").alias("idx"), F.col("z.st").alias("state"))
+    v, s = F.col("vcl"), F.col("straightness")
+    plain = F.when(v <= v_imm, 2).when((v >= v_prog) & (s >= s_prog), 0).otherwise(1)
+    fast = (v >= hi_p) & (s >= hi_s)
+    from_imm = F.when(v > hi_i, F.when(fast, 0).otherwise(1)).otherwise(2)
+    from_prog = F.when(v <= lo_i, 2).when((v < lo_p) | (s < lo_s), 1).otherwise(0)
+    from_np = F.when(v <= lo_i, 2).when(fast, 0).otherwise(1)
+    start = F.col("idx") == 0  # whatever came before, a track begins in its plain state
+    maps = kinematics.select(*key, F.col("idx").cast("long").alias("idx"), "frame", *[F.when(start, plain).otherwise(c).cast("long").alias(m) for c, m in ((from_prog, "m0"), (from_np, "m1"), (from_imm, "m2"))])
+    return composed_maps(maps, key).select(*key, "frame", "idx", F.col("m0").cast("int").alias("state"))
 
 
 def matrix_of(rows: Sequence, n: int = 3) -> np.ndarray:
