@@ -8,8 +8,8 @@ length and its number among pieces of that length, so no group of pieces is ever
 
 from __future__ import annotations
 
+import json
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bpe import BpeCodec
 from .common import save, slices
 from .configurations import Configuration, solve
-from .tokens import WordCache, byte_symbols, texts_of
+from .tokens import WordCache, texts_of
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, nth long"
 
@@ -32,14 +32,33 @@ PIECES = "doc_id long, piece int, start long, length int, ids binary, part int,
 class WordIds:
     """Ids of texts (16-bit little-endian) by a word-level BPE tokenizers file, as that library gives them.
 
-    No word reaches over a space, so texts are normalised, cut at spaces, and each distinct run of a worker is cut into
-    words and merged by the library's model once. Texts that may hold special tokens, or characters that Python's
-    Unicode tables lack, are cut into words as a whole.
+    No word reaches over a space, so texts are normalised and cut at spaces, and the ids of each distinct run are made
+    once a worker. Texts that may hold special tokens, or characters that Python's Unicode tables lack, are cut into
+    words as a whole. New runs are merged together by tiktoken: the file's ids are in the order of merges, and END,
+    which no lower-cased word holds, stands for the end of a word. Files of another kind are refused.
     """
 
+    END = "A"
+
     def __init__(self, path: str):
-        self.codec = BpeCodec(path)
-        self.model, self.symbols, self.cache = self.codec.library.model, byte_symbols(), WordCache()
+        import tiktoken
+
+        self.codec = codec = BpeCodec(path)
+        self.cache, suffix, end = WordCache(), codec.suffix, self.END.encode()
+        with open(path, encoding="utf-8") as f:
+            pairs = json.load(f)["model"]["merges"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in pairs]
+        if not suffix or [codec.vocab[a + b] for a, b in pairs] != list(range(512, 512 + len(pairs))):
+            raise ValueError(f"{path}: only word ends and ids in the order of merges are known")
+        raw = {}
+        for token, i in codec.vocab.items():
+            if token not in codec.special:
+                whole = token.endswith(suffix) and token != suffix
+                raw[bytes(map(codec.byte_of.__getitem__, token.removesuffix(suffix) if whole else token)) + end * whole] = i
+        if sorted(raw.values()) != list(range(512 + len(pairs))):
+            raise ValueError(f"{path}: two tokens stand for the same bytes")
+        self.fast = tiktoken.Encoding(path, pat_str=rf"[^{self.END}\s]+{self.END}|\n", mergeable_ranks=raw, special_tokens={})
+        self.line = raw[b"\n"]
 
     def runs(self, text: str) -> list[str]:
         codec = self.codec
@@ -47,21 +66,22 @@ class WordIds:
             return codec.words(text)
         return codec.lowered(text).replace("\n", " ").split(" ")
 
-    def word_ids(self, word: str) -> bytes:
-        plain = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
-        return array("H", [t.id for t in self.model.tokenize(plain)]).tobytes()
-
-    def run_ids(self, run: str, known: dict[str, bytes]) -> bytes:
-        if (special := self.codec.special.get(run)) is not None:
-            return array("H", [special]).tobytes()
-        words = self.codec.split.findall(run)
-        return b"".join([known[w] if w in known else self.word_ids(w) for w in words])
+    def merged(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs without a line break: their words are marked and merged in one go, a line a run."""
+        ids = self.fast.encode_to_numpy(self.codec.split.sub(rf"\g<0>{self.END}", "\n".join(runs)), disallowed_special=()).astype("<u2")
+        ends = np.flatnonzero(ids == self.line)
+        whole, at = ids.tobytes(), 2 * np.array([-1, *ends.tolist(), len(ids)])
+        return [whole[a + 2 : b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.runs(t) for t in texts]
-        known = self.cache.room()
-        for run in sorted(self.cache.missing(set(chain.from_iterable(cut))), key=len):  # words before runs that hold them
-            self.cache.put(run, self.run_ids(run, known))
+        known, special = self.cache.room(), self.codec.special
+        missing = self.cache.missing(set(chain.from_iterable(cut)))
+        for run in special.keys() & set(missing):
+            self.cache.put(run, np.array([special[run]], "<u2").tobytes())
+        missing = [run for run in missing if run not in special]
+        for run, ids in zip(missing, self.merged(missing) if missing else (), strict=True):
+            self.cache.put(run, ids)
         return [b"".join(map(known.__getitem__, c)) for c in cut]
 
 

@@ -121,11 +121,23 @@ def test_word_ids_match_library(sf_dir, spark):
     texts += ["", " \n", "It's ΣΑΣ Éa é <|endoftext|>x's  \x1c y\u0085z 1234 \U0001f600!?", "<|EndOfText|> <|startoftext|>", "a" * 5000, "'s'S 'LL d'x", "é ﷺ ẞ İ", "  x　y"]
     rng = random.Random(2)
     texts += ["".join(rng.choice("ab'sS<|>endoftxΣé́ 1\n\U0001f600ſK") for _ in range(rng.randrange(60))) for _ in range(2000)]
+    texts += ["".join(rng.choice("ab") for _ in range(rng.randrange(40))) + " " + "".join(rng.choice("aeionst") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    texts += ["x\ty\x0bz\x0cw", "\x00\x01 \x7f\x85", "AAA aAa A", "\r\n\r", "a b c"]
     ids = bestfit.WordIds(queries.tokenizer("word_bpe_49k.json")).encode(texts)
     for text, got, want in zip(texts, ids, library_ids(texts), strict=True):
         assert np.frombuffer(got, "<u2").tolist() == want, text
 
 
+def test_word_ids_of_every_character():
+    """All code points, alone and within words, also those that Python's Unicode tables do not know yet."""
+    encoder = bestfit.WordIds(queries.tokenizer("word_bpe_49k.json"))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 8192):
+        texts = [" ".join(f"a{chr(c)}B {chr(c)}" for c in points[k : k + 16]) for k in range(at, min(at + 8192, len(points)), 16)]
+        for text, got, want in zip(texts, encoder.encode(texts), library_ids(texts), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == want, text
+
+
 def check_packing(rows, docs, size):
     """Every id of every document once, sequences gapless and within ``size``, only long documents cut."""
     texts = [t or "" for _, t in docs]
