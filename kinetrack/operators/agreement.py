@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.scalar import CLASSES, state_code
 from ..functions.special import column_of, correlation_p
@@ -37,23 +40,61 @@ def bland_altman(long: DataFrame, by: Sequence[str] = ("category",)) -> DataFram
     return out.select(*by, "bias", "sd", (F.col("bias") - 1.96 * F.col("sd")).alias("low"), (F.col("bias") + 1.96 * F.col("sd")).alias("high"))
 
 
-def threshold_grid(spark: SparkSession, vcl: Sequence[int], straightness: Sequence[float], immotile: Sequence[int]) -> DataFrame:
-    """All threshold combinations, numbered in nested order; bounded by the given lists."""
-    rows = [(k, float(v), float(s), float(i)) for k, (v, s, i) in enumerate((v, s, i) for v in vcl for s in straightness for i in immotile)]
-    return spark.createDataFrame(rows, "combo int, vcl_prog double, str_prog double, vcl_imm double")
+def _place(value: Column, cuts: Sequence[float], closed: bool) -> Column:
+    """How many of the sorted ``cuts`` lie at or below ``value`` (below it, unless ``closed``)."""
+    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: (c <= value) if closed else (c < value)))
 
 
-def threshold_sweep(metrics: DataFrame, clinical: DataFrame, grid: DataFrame) -> DataFrame:
-    """For each combination the mean over videos of the summed absolute error of the three percentages.
+def class_cells(metrics: DataFrame, vcl: Sequence[float], straightness: Sequence[float], immotile: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, ``cells``): counts of tracks in the cells between thresholds, flat over (VCL cut, STR cut, immotile cut).
 
-    A video's tracks are first reduced to counts of equal (VCL, STR), whatever their number; the grid, whose size the
-    caller fixes, is broadcast to them.
+    A track falls in one cell: how many of the VCL cuts and STR cuts it reaches, and how many immotile cuts lie below
+    it. Its number of rows does not depend on the number of combinations; a group's table is as large as the grid.
     """
-    counts = metrics.groupBy("video", "VCL", "STR").agg(F.count("*").alias("n"))
-    both = counts.crossJoin(F.broadcast(grid))
-    imm = F.col("VCL") <= F.col("vcl_imm")
-    prog = ~imm & (F.col("VCL") >= F.col("vcl_prog")) & (F.col("STR") >= F.col("str_prog"))
-    mix = both.groupBy("combo", "vcl_prog", "str_prog", "vcl_imm", "video").agg(F.sum("n").alias("n"), F.sum(F.when(prog, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(imm, F.col("n")).otherwise(0)).alias("i"))
+    sizes = [len(vcl) + 1, len(straightness) + 1, len(immotile) + 1]
+    a, b, c = _place(F.col("VCL"), vcl, True), _place(F.col("STR"), straightness, True), _place(F.col("VCL"), immotile, False)
+    cell = ((a * sizes[1] + b) * sizes[2] + c).cast("int")
+    counts = metrics.groupBy(*by, cell.alias("_cell")).agg(F.count("*").alias("_n"))
+    return counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_cell", "_n"))).alias("cells"))
+
+
+def class_mix(metrics: DataFrame, vcl: Sequence[float], straightness: Sequence[float], immotile: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, combo, vcl_prog, str_prog, vcl_imm, n, p, i): tracks, progressive and immotile ones under each combination.
+
+    Sums over the upper corner of a cumulative table tell all combinations of a group at once; combinations are
+    numbered in nested order.
+    """
+    by, axes = list(by), [sorted(map(float, x)) for x in (vcl, straightness, immotile)]
+    sizes = [len(x) + 1 for x in axes]
+    order = [[axis.index(float(x)) for x in given] for axis, given in zip(axes, (vcl, straightness, immotile), strict=True)]
+    combos = [(float(v), float(s), float(i)) for v in vcl for s in straightness for i in immotile]
+    keys = metrics.select(*by).schema.fields
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                table = np.zeros(sizes, np.int64)
+                cells = dict(batch.column(len(by))[row].as_py())
+                table.reshape(-1)[list(cells)] = list(cells.values())
+                above = table[::-1, ::-1, ::-1].cumsum(0).cumsum(1).cumsum(2)[::-1, ::-1, ::-1]  # at or beyond each corner
+                p = above[1:, 1:, 1:][np.ix_(*order)].reshape(-1)
+                i = (above[0, 0, 0] - above[0, 0, 1:])[order[2]]
+                i = np.broadcast_to(i, (len(vcl), len(straightness), len(immotile))).reshape(-1)
+                n = len(combos)
+                held = [pa.array(batch.column(k).slice(row, 1).to_pylist() * n, batch.schema.field(k).type) for k in range(len(by))]
+                columns = [pa.array(np.arange(n, dtype=np.int32)), *[pa.array(x, pa.float64()) for x in zip(*combos, strict=True)], pa.array(np.full(n, int(above[0, 0, 0]))), pa.array(p), pa.array(np.ascontiguousarray(i))]
+                yield pa.RecordBatch.from_arrays([*held, *columns], [*by, *MIX])
+
+    told = [StructField(c, IntegerType() if c == "combo" else LongType() if c in ("n", "p", "i") else DoubleType()) for c in MIX]
+    return class_cells(metrics, *axes, by).mapInArrow(sums, StructType([*keys, *told]))
+
+
+MIX = ["combo", "vcl_prog", "str_prog", "vcl_imm", "n", "p", "i"]
+
+
+def threshold_sweep(metrics: DataFrame, clinical: DataFrame, vcl: Sequence[float], straightness: Sequence[float], immotile: Sequence[float]) -> DataFrame:
+    """For each combination the mean over videos of the summed absolute error of the three percentages."""
+    mix = class_mix(metrics, vcl, straightness, immotile, ["video"])
     pct = {"progressive": 100.0 * F.col("p") / F.col("n"), "immotile": 100.0 * F.col("i") / F.col("n"), "non_progressive": 100.0 * (F.col("n") - F.col("p") - F.col("i")) / F.col("n")}
     error = sum((F.abs(x - F.col(f"gt_{c}")) for c, x in pct.items()), F.lit(0.0))
     return mix.join(clinical, "video").groupBy("combo", "vcl_prog", "str_prog", "vcl_imm").agg(F.avg(error).alias("total_mae"), F.count("*").alias("n_videos"))

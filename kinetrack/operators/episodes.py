@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import FPS, MIN_LENGTH
 from ..functions.special import column_of, kolmogorov_p
+from ..sources.files import stored
 from .kinematics import KEY, ordered
 from .ranks import exact_quantiles
 from .scans import composed_maps, stack_merge
-from .serial import average_ranks, hashed
+from .serial import average_ranks, hashed, spearman
 
 
 def episodes(states: DataFrame, key: Sequence[str] = KEY, order: str = "idx") -> DataFrame:
@@ -118,6 +119,14 @@ def rank_icc(resid: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return anova_icc(ranked, "_rank", key, ["state"], min_n=2)
 
 
+def state_pairs(resid: DataFrame, key: Sequence[str] = KEY, min_dwells: int = 2, min_tracks: int = 8) -> DataFrame:
+    """(a, b, n, rho): Spearman over tracks of the mean dwell ranks in each two states, for tracks with enough dwells in both."""
+    per = average_ranks(resid, {"resid": "_rank"}).groupBy(*key, "state").agg(F.avg("_rank").alias("mean"), F.count("*").alias("_n")).filter(F.col("_n") >= min_dwells)
+    per = stored(per.select(*key, "state", "mean"))
+    pairs = per.select(*key, F.col("state").alias("a"), F.col("mean").alias("x")).join(per.select(*key, F.col("state").alias("b"), F.col("mean").alias("y")), list(key)).filter("a < b")
+    return spearman(pairs, ["a", "b"], min_n=min_tracks, few=True).filter(F.col("n") >= min_tracks).select("a", "b", "n", "rho")
+
+
 def pooled_icc(per_state: DataFrame, min_groups: int = 5) -> DataFrame:
     """ICCs of the states that have ``min_groups`` tracks, weighted by their dwells."""
     return per_state.filter(F.col("n_groups") >= min_groups).agg((F.sum(F.col("icc") * F.col("n")) / F.sum("n")).alias("icc"), F.sum("n").alias("n"))

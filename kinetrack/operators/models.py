@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import FPS
+from ..sources.files import stored
 from .kinematics import KEY
+from .ranks import hash_number, numbered, permuted
 from .serial import hashed
 
 
@@ -41,26 +43,32 @@ def _linear(x: Sequence[Column], beta: np.ndarray) -> Column:
 
 
 def ridge_loo(df: DataFrame, features: Sequence[str], target: str, alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0)) -> DataFrame:
-    """Leave-one-out MAE of ridge regression for each alpha by the hat matrix, beside the mean predictor's.
+    """Leave-one-out MAE of ridge regression for each alpha, beside the mean predictor's.
 
-    Two passes whatever the number of alphas: one for X'X and X'y, one for the residuals, each row's own leverage
-    being an expression of its features.
+    Features are scaled by the training rows alone: each row downdates the table of sums by itself (rank one), so one
+    pass for the sums and one over the rows do for all alphas.
     """
     data = df.select(*features, target).dropna()
-    x, _ = _standardised(data, features)
-    mean = data.agg(F.avg(target)).first()[0]
-    y = F.col(target) - (mean if mean is not None else 0.0)
-    groups = _gram(data, x, y)
-    _, g, h, n, _ = groups[0]
+    x, _ = _standardised(data, features)  # keeps the sums well conditioned; each fit scales anew
+    p, spark, schema = len(features), df.sparkSession, "alpha double, mae double, mae_mean double, n long"
+    (_, g, h, n, _), *_ = _gram(data, [*x, F.lit(1.0)], F.col(target))
     if n < 3:
-        return df.sparkSession.createDataFrame([], "alpha double, mae double, mae_mean double, n long")
-    errors = {}
-    for k, alpha in enumerate(alphas):
-        inv = np.linalg.inv(g + alpha * np.eye(len(g)))
-        leverage = sum((x[i] * x[j] * float(inv[i, j]) for i in range(len(g)) for j in range(len(g))), F.lit(1.0 / n))
-        errors[k] = F.avg(F.abs((y - _linear(x, inv @ h)) / (1 - leverage)))
-    row = data.agg(*[e.alias(f"e{k}") for k, e in errors.items()], F.avg(F.abs(y) * n / (n - 1)).alias("base")).first()
-    return df.sparkSession.createDataFrame([(float(a), row[f"e{k}"], row["base"], n) for k, a in enumerate(alphas)], "alpha double, mae double, mae_mean double, n long")
+        return spark.createDataFrame([], schema)
+
+    def errors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = f.to_numpy(float)
+            out = np.empty((len(rows), len(alphas)))
+            for k, row in enumerate(rows):
+                z, y = np.append(row[:p], 1.0), row[p]
+                for j, alpha in enumerate(alphas):
+                    (m, sd), w, base = _train_fit(g - np.outer(z, z), h - z * y, p, alpha)
+                    out[k, j] = abs(y - base - (row[:p] - m) / sd @ w)
+            yield pd.DataFrame(out, columns=[f"e{j}" for j in range(len(alphas))]).assign(base=np.abs(rows[:, p] - h[p] / n) * n / (n - 1))
+
+    told = data.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], F.col(target).cast("double").alias("y")).mapInPandas(errors, ", ".join(f"e{j} double" for j in range(len(alphas))) + ", base double")
+    row = told.agg(*[F.avg(f"e{j}").alias(f"e{j}") for j in range(len(alphas))], F.avg("base").alias("base")).first()
+    return spark.createDataFrame([(float(a), row[f"e{j}"], row["base"], n) for j, a in enumerate(alphas)], schema)
 
 
 def ridge_kfold(df: DataFrame, features: Sequence[str], target: str, fold: Column, alpha: float = 1.0) -> DataFrame:
@@ -92,51 +100,79 @@ def _train_fit(g: np.ndarray, h: np.ndarray, p: int, alpha: float) -> tuple[tupl
     return (m, sd), w, base
 
 
-#: Participants that the nested test takes: their design matrix goes to every task.
-MAX_UNITS = 5000
+#: Participants of one block of the nested test; every block of held-out ones meets every block of training ones.
+BLOCK = 512
+DESIGNS = ("A", "B", "C", "Bperp")
+
+
+def _design(g: np.ndarray, design: str, pa: int, pb: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """From the training rows' sums over (1, a, b, y): the map of a row (1, a, b) to principal coordinates, their eigenvalues and loads, and the target's mean."""
+    q, n = 1 + pa + pb, g[0, 0]
+    take = {"A": np.eye(q)[1 : 1 + pa], "B": np.eye(q)[1 + pa :], "C": np.eye(q)[1:]}.get(design)
+    if take is None:  # b freed from (1, a) on the training rows
+        base = slice(0, 1 + pa)
+        take = np.eye(q)[1 + pa :]
+        take[:, base] -= np.linalg.lstsq(g[base, base], g[base, 1 + pa : q], rcond=None)[0].T
+    means = take @ g[:q, 0] / n
+    take = take - np.outer(means, np.eye(q)[0])
+    spread = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", take, g[:q, :q], take) / n, 0))
+    take /= np.where(spread > 1e-10, spread, 1.0)[:, None]
+    values, vectors = np.linalg.eigh(take @ g[:q, :q] @ take.T)
+    to = vectors.T @ take
+    mean = g[0, q] / n
+    return to, np.maximum(values, 0), to @ (g[:q, q] - mean * g[:q, 0]), mean
 
 
 def nested_loo(df: DataFrame, a: Sequence[str], b: Sequence[str], target: str, key: str = "video", alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0, 1000.0)) -> DataFrame:
     """(key, design, y, predicted): each participant predicted by ridge regression on all others.
 
     Designs: A, B, C (both) and Bperp (B freed from [1, A] on the training rows). Scaling and the choice of alpha (by
-    the training rows' own leave-one-out error, with the hat matrix) see no held-out row. The participants' table, of
-    at most ``MAX_UNITS`` rows (else an error), is sent to the tasks; participants held out are spread over them.
+    the training rows' own leave-one-out error, with the hat matrix) see no held-out row. The driver holds one table
+    of sums; every held-out row is a rank-one downdate of it, and the eigenvalues serve all alphas. Errors of the
+    training rows need all of them for each held-out one: blocks of rows meet in tasks, and only sums leave those.
     """
-    data = df.select(key, *a, *b, F.col(target).alias("_y")).dropna().orderBy(key)
-    rows = data.limit(MAX_UNITS + 1).toPandas()
-    if len(rows) > MAX_UNITS:
-        raise ValueError(f"more than {MAX_UNITS} participants")
-    fa, fb, y = rows[list(a)].to_numpy(float), rows[list(b)].to_numpy(float), rows["_y"].to_numpy(float)
-
-    def predicted(design: str, j: int) -> float:
-        train = np.delete(np.arange(len(y)), j)
-        x = {"A": fa, "B": fb}.get(design, np.hstack([fa, fb]))
-        if design == "Bperp":
-            base = np.hstack([np.ones((len(y), 1)), fa])
-            x = fb - base @ np.linalg.lstsq(base[train], fb[train], rcond=None)[0]
-        scale = x[train].std(0)
-        x = (x - x[train].mean(0)) / np.where(scale == 0, 1.0, scale)
-        mean = y[train].mean()
-        u, s, vt = np.linalg.svd(x[train], full_matrices=False)
-        shrink = s[:, None] ** 2 / (s[:, None] ** 2 + np.array(alphas))
-        part = u.T @ (y[train] - mean)
-        fitted, leverage = u @ (shrink * part[:, None]), (u**2) @ shrink
-        errors = np.abs((y[train, None] - mean - fitted) / np.clip(1 - leverage, 1e-8, None)).mean(0)
-        best = alphas[int(errors.argmin())]
-        return float(x[j] @ (vt.T @ (s / (s**2 + best) * part)) + mean)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    a, b = list(a), list(b)
+    data = df.select(key, *a, *b, F.col(target).cast("double").alias("_y")).dropna()
+    x, _ = _standardised(data, [*a, *b])  # keeps the sums well conditioned; each fit scales anew
+    pa, pb, alpha, spark = len(a), len(b), np.array(alphas, float), df.sparkSession
+    rows = stored(data.select(F.monotonically_increasing_id().alias("_i"), key, F.array(F.lit(1.0), *x, F.col("_y")).alias("_z")))
+    z = [F.get("_z", k) for k in range(2 + pa + pb)]
+    (_, g, h, n, _), *_ = _gram(rows, z, F.lit(1.0))
+    kind = dict(data.dtypes)[key]
+    if n < 3:
+        return spark.createDataFrame([], f"{key} {kind}, design string, y double, predicted double")
+
+    def block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"_i": f["id"].repeat(4), "design": ["A", "B", "C", "Bperp"] * len(f), "predicted": [predicted(d, int(i)) for i in f["id"] for d in ("A", "B", "C", "Bperp")]})
+            for at in range(0, len(f), BLOCK):
+                part = f.iloc[at : at + BLOCK]
+                yield pd.DataFrame({"i": [part["_i"].to_numpy(np.int64).tobytes()], "z": [np.stack(part["_z"].to_list()).astype(float).tobytes()]})
 
-    spark = df.sparkSession
-    schema = f"_i long, {key} {dict(data.dtypes)[key]}, y double"
-    if len(rows) < 3:
-        return spark.createDataFrame([], f"{key} {dict(data.dtypes)[key]}, design string, y double, predicted double")
-    names = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(zip(rows[key].tolist(), y.tolist(), strict=True))], schema)
-    told = spark.range(len(rows)).mapInPandas(run, "_i long, design string, predicted double")
-    return told.join(names, "_i").select(key, "design", "y", "predicted")
+    blocks = stored(rows.select("_i", "_z").mapInPandas(block, "i binary, z binary"))
+
+    def errors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for held_i, held_z, i, z in zip(f["hi"], f["hz"], f["i"], f["z"], strict=True):
+                names, others = np.frombuffer(held_i, np.int64), np.frombuffer(i, np.int64)
+                held, train = (np.frombuffer(v, float).reshape(-1, 2 + pa + pb) for v in (held_z, z))
+                out = []
+                for name, row in zip(names, held, strict=True):
+                    sums = g - np.outer(row, row)
+                    keep = others != name
+                    for d in DESIGNS:
+                        to, values, loads, mean = _design(sums, d, pa, pb)
+                        shrink = 1 / (values[:, None] + alpha)
+                        t = train[keep, :-1] @ to.T
+                        error = np.abs((train[keep, -1, None] - mean - t @ (loads[:, None] * shrink)) / np.clip(1 - t**2 @ shrink, 1e-8, None)).sum(0)
+                        own = to @ row[:-1] @ (loads[:, None] * shrink) + mean if held_i == i else None
+                        out.append((int(name), d, error.tolist(), None if own is None else own.tolist()))
+                yield pd.DataFrame(out, columns=["_i", "design", "error", "own"])
+
+    pairs = blocks.select(F.col("i").alias("hi"), F.col("z").alias("hz")).crossJoin(blocks)
+    told = pairs.mapInPandas(errors, "_i long, design string, error array<double>, own array<double>")
+    summed = told.groupBy("_i", "design").agg(F.array(*[F.sum(F.get("error", k)) for k in range(len(alphas))]).alias("error"), F.max("own").alias("own"))
+    best = F.array_position("error", F.array_min("error")).cast("int") - 1
+    return summed.join(rows.select("_i", key, F.element_at("_z", -1).alias("y")), "_i").select(key, "design", "y", F.get("own", best).alias("predicted"))
 
 
 def prediction_errors(predictions: DataFrame) -> DataFrame:
@@ -147,7 +183,11 @@ def prediction_errors(predictions: DataFrame) -> DataFrame:
 
 
 def permutation_test(df: DataFrame, features: Sequence[str], target: str, key: str, reps: int = 200, alpha: float = 1.0, seed: int = 0) -> DataFrame:
-    """Ridge fit (explained share of y'y) against fits to permuted targets; X'X is shared, X'y comes per replicate."""
+    """Ridge fit (explained share of y'y) against fits to permuted targets; X'X is shared, X'y comes per replicate.
+
+    Rows are numbered once; a replicate's permutation is a keyed bijection of those numbers, so nothing is sorted and
+    no replicate is gathered.
+    """
     data = df.select(key, *features, target).dropna()
     x, _ = _standardised(data, features)
     mean = data.agg(F.avg(target)).first()[0] or 0.0
@@ -155,13 +195,11 @@ def permutation_test(df: DataFrame, features: Sequence[str], target: str, key: s
     (_, g, h, _, yy), *_ = _gram(data, x, y)
     inv = np.linalg.inv(g + alpha * np.eye(len(g)))
     fit = lambda v: float(v @ inv @ v) / yy if yy else 0.0
-    reps_ = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
-    rows = data.select(key, *[c.alias(f"_x{i}") for i, c in enumerate(x)], y.alias("_y"), reps_)
-    place = F.row_number().over(Window.partitionBy("rep").orderBy(key))
-    drawn = F.row_number().over(Window.partitionBy("rep").orderBy(hashed("rep", key, F.lit(seed)), key))
-    left = rows.select("rep", place.alias("_i"), *[f"_x{i}" for i in range(len(x))])
-    right = rows.select("rep", drawn.alias("_i"), "_y")
-    stats = left.join(right, ["rep", "_i"]).groupBy("rep").agg(*[F.sum(F.col(f"_x{i}") * F.col("_y")).alias(f"h{i}") for i in range(len(x))])
+    rows = stored(numbered(data.select(key, *[c.alias(f"_x{i}") for i, c in enumerate(x)], y.alias("_y")), [key], "_i").withColumn("_i", F.col("_i") - 1))
+    n = rows.count()
+    each = rows.drop("_y").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    left = each.withColumn("_j", permuted(F.col("_i"), n, F.col("rep"), F.lit(seed)))
+    stats = left.join(rows.select(F.col("_i").alias("_j"), "_y"), "_j").groupBy("rep").agg(*[F.sum(F.col(f"_x{i}") * F.col("_y")).alias(f"h{i}") for i in range(len(x))])
     null = [fit(np.array([r[f"h{i}"] for i in range(len(x))])) for r in stats.collect()]
     seen = fit(h)
     p = (1 + sum(v >= seen - 1e-12 for v in null)) / (1 + len(null))
@@ -177,6 +215,18 @@ def normal_quantile(p: float) -> float:
     return (lo + hi) / 2
 
 
+def bootstrap_means(df: DataFrame, value: str, key: str, reps: int = 500, seed: int = 0) -> DataFrame:
+    """(rep, m): means of bootstrap samples. Slot s of a sample takes the row whose number the MD5 of (rep, s) names.
+
+    Slots are drawn without the rows; how often a row is drawn is counted before its value is joined.
+    """
+    rows = stored(numbered(df.select(key, F.col(value).cast("double").alias("_v")).dropna(), [key], "_i").select((F.col("_i") - 1).alias("_i"), "_v"))
+    n = rows.count()
+    slots = df.sparkSession.range(n).select("id", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    times = slots.select("rep", (hash_number(F.col("rep"), F.col("id"), F.lit(seed)) % max(n, 1)).alias("_i")).groupBy("rep", "_i").agg(F.count("*").alias("_w"))
+    return times.join(rows, "_i").groupBy("rep").agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("m"))
+
+
 def bca_interval(df: DataFrame, value: str, key: str, reps: int = 500, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Bias-corrected and accelerated bootstrap interval of a mean; jackknife values by subtraction."""
     data = df.select(key, F.col(value).cast("double").alias("v")).dropna()
@@ -189,10 +239,7 @@ def bca_interval(df: DataFrame, value: str, key: str, reps: int = 500, level: fl
     d = F.lit(mean) - leave  # the jackknife values' mean is the mean itself
     a = data.agg(F.sum(d * d * d).alias("c"), F.sum(d * d).alias("q")).first()
     accel = a["c"] / (6 * a["q"] ** 1.5) if a["q"] else 0.0
-    numbered = data.withColumn("i", F.row_number().over(Window.orderBy(key)) - 1)
-    pick = F.conv(F.substring(hashed("rep", "i", F.lit(seed)), 1, 8), 16, 10).cast("long") % n
-    draws = numbered.select("i", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).select("rep", pick.alias("i"))
-    means = np.sort([r["m"] for r in draws.join(numbered, "i").groupBy("rep").agg(F.avg("v").alias("m")).collect()])
+    means = np.sort([r["m"] for r in bootstrap_means(data, "v", key, reps, seed).collect()])
     share = min(max(float((means < mean).mean()), 1 / (reps + 1)), reps / (reps + 1))
     z0 = normal_quantile(share)
 
@@ -246,7 +293,6 @@ def mixture_stability(df: DataFrame, features: Sequence[str], key: Sequence[str]
     A bootstrap weighs each row by a Poisson(1) draw from the hash of its key; rows of weight w enter w times.
     """
     from .report import partition_agreement
-    from .serial import hashed
 
     z = _scaled(df, features, key).cache()
     out = None
@@ -284,35 +330,68 @@ def _mixture(z: DataFrame, features: Sequence[str], k: int, seed: int, iteration
     return GaussianMixture(k=k, seed=seed, maxIter=iterations).fit(_vectors(z, features))
 
 
-def concentration(states: DataFrame, key: Sequence[str] = KEY, index: str = "idx", points: int = 60) -> DataFrame:
-    """M9: Dirichlet-multinomial concentration of each state's outgoing transitions over tracks, around the pooled row.
+def tail_counts(states: DataFrame, key: Sequence[str] = KEY, index: str = "idx") -> DataFrame:
+    """M9: (state, to, j, tracks): how many tracks move more than ``j`` times from a state to each state; to -1: anywhere.
 
-    Equal count vectors collapse first; each task sums the log-likelihood of its vectors on a grid of
-    concentrations, and the best grid point of the total is refined on a finer grid in a second pass.
+    Tracks collapse to counts of counts first, so what is summed up is bounded by the moves of the longest track.
     """
     w = Window.partitionBy(*key).orderBy(index)
     moves = states.select(*key, "state", F.lead("state").over(w).alias("to")).filter("to is not null")
-    vectors = moves.groupBy(*key, "state").agg(*[F.count_if(F.col("to") == k).alias(f"c{k}") for k in range(3)]).groupBy("state", "c0", "c1", "c2").agg(F.count("*").alias("m"))
-    pooled = {r["state"]: np.array([r["c0"], r["c1"], r["c2"]], float) for r in vectors.groupBy("state").agg(*[F.sum(F.col(f"c{k}") * F.col("m")).alias(f"c{k}") for k in range(3)]).collect()}
-    base = {s: c / c.sum() for s, c in pooled.items()}
-
-    def best(grids: dict[int, np.ndarray]) -> dict[int, tuple[int, float]]:
-        def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            lg = np.vectorize(math.lgamma)
-            for f in frames:
-                for s, part in f.groupby("state"):
-                    c, m = part[["c0", "c1", "c2"]].to_numpy(float), part["m"].to_numpy()
-                    total = [float((m * (math.lgamma(a) - lg(a + c.sum(1)) + sum(lg(a * p + c[:, k]) - math.lgamma(a * p) for k, p in enumerate(base[s]) if p > 0))).sum()) for a in grids[s]]
-                    yield pd.DataFrame({"state": s, "i": range(len(total)), "ll": total})
-
-        summed = vectors.mapInPandas(score, "state int, i int, ll double").groupBy("state", "i").agg(F.sum("ll").alias("ll"))
-        return {r["state"]: (r["i"], r["ll"]) for r in summed.groupBy("state").agg(F.max_by("i", "ll").alias("i"), F.max("ll").alias("ll")).collect()}
-
-    grids = {s: np.logspace(-2, 4, points) for s in base}
-    first = best(grids)
-    finer = {s: np.geomspace(grids[s][max(0, i - 1)], grids[s][min(points - 1, i + 1)], points) for s, (i, _) in first.items()}
-    second = best(finer)
-    return states.sparkSession.createDataFrame([(int(s), float(finer[s][i]), ll) for s, (i, ll) in second.items()], "state int, concentration double, log_likelihood double")
+    each = moves.select(*key, "state", F.explode(F.array("to", F.lit(-1))).alias("to")).groupBy(*key, "state", "to").agg(F.count("*").alias("c"))
+    many = each.groupBy("state", "to", "c").agg(F.count("*").alias("m"))
+    beyond = F.sum("m").over(Window.partitionBy("state", "to").orderBy(F.col("c").desc()))
+    above = many.withColumns({"tracks": beyond, "_low": F.coalesce(F.lag("c").over(Window.partitionBy("state", "to").orderBy("c")), F.lit(0))})
+    return above.select("state", "to", F.explode(F.sequence(F.col("_low"), F.col("c") - 1)).alias("j"), "tracks")
+
+
+# Bounds of the concentration, fewest tracks, and what is added to each pooled count.
+CONCENTRATION_BOUNDS, FEWEST_TRACKS, POOLED_PRIOR = (0.05, 1e5), 5, 0.5
+
+
+def concentration(states: DataFrame, key: Sequence[str] = KEY, index: str = "idx", symbols: int = 3) -> DataFrame:
+    """M9: Dirichlet-multinomial concentration of each state's outgoing moves over tracks, around the pooled row.
+
+    The log-likelihood is a sum over tail counts (how many tracks make more than j moves), so the driver sees one table
+    whose size is the longest track's moves. Safeguarded Newton steps on the log scale find the root of the slope
+    beside the best point of a coarse grid; infinite below the fewest tracks.
+    """
+    tails: dict[int, dict[int, np.ndarray]] = {}
+    for r in tail_counts(states, key, index).orderBy("state", "to", "j").collect():
+        tails.setdefault(r["state"], {}).setdefault(r["to"], []).append(r["tracks"])
+    rows, (low, high) = [], np.log(CONCENTRATION_BOUNDS)
+    for s, told in sorted(tails.items()):
+        u = [np.array(told.get(k, []), float) for k in range(symbols)]
+        t = np.array(told[-1], float)
+        m = np.array([x.sum() + POOLED_PRIOR for x in u])
+        m /= m.sum()
+        if t[0] < FEWEST_TRACKS:
+            rows.append((int(s), math.inf, None, int(t[0])))
+            continue
+
+        def value(x: float) -> tuple[float, float, float]:
+            """Log-likelihood, and its first two derivatives by the log of the concentration."""
+            k, ll, g, h = math.exp(x), 0.0, 0.0, 0.0  # noqa: B023
+            for c, p, sign in ((t, 1.0, -1.0), *((x, p, 1.0) for x, p in zip(u, m, strict=True))):  # noqa: B023
+                at = k * p + np.arange(len(c))
+                ll += sign * float((c * np.log(at)).sum())
+                g += sign * float((c * k * p / at).sum())
+                h += sign * float((c * k * p * np.arange(len(c)) / at**2).sum())
+            return ll, g, h
+
+        grid = np.linspace(low, high, 61)
+        best = int(np.argmax([value(x)[0] for x in grid]))
+        lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
+        x = grid[best]
+        for _ in range(100):
+            _, g, h = value(x)
+            lo, hi = (x, hi) if g > 0 else (lo, x)
+            step = x - g / h if h < 0 else lo
+            nxt = step if lo < step < hi else (lo + hi) / 2
+            if abs(nxt - x) < 1e-12:
+                break
+            x = nxt
+        rows.append((int(s), math.exp(x), value(x)[0], int(t[0])))
+    return states.sparkSession.createDataFrame(rows, "state int, concentration double, log_likelihood double, tracks long")
 
 
 def hidden_markov(sequences: DataFrame, hidden: Sequence[int] = (2, 3, 4, 5), folds: int = 5, restarts: int = 3, iterations: int = 20, key: Sequence[str] = KEY, index: str = "idx", symbols: int = 3) -> DataFrame:

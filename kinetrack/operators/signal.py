@@ -38,17 +38,44 @@ def block_kinematics(tracks: DataFrame, window: int = 25, key: Sequence[str] = K
     return s.select(*key, "block", (F.col("path") / ppm / (window - 1) * fps).alias("vcl"), ratio(net, F.col("path")).alias("lin"))
 
 
-def acf(series: DataFrame, columns: Sequence[str], max_lag: int = 50, key: Sequence[str] = KEY, min_points: int = 2) -> DataFrame:
+#: Points of a track whose lagged products one transform makes.
+ACF_BLOCK = 4096
+
+
+def lag_products(block: np.ndarray, tail: np.ndarray, max_lag: int) -> np.ndarray:
+    """Sums over the rows t of ``block`` of the products of rows t and t + k, k = 0 .. max_lag, where ``tail`` follows the block.
+
+    By padded transforms: the cost does not grow with the number of lags.
+    """
+    whole = np.concatenate([block, tail])
+    size = 1 << int(np.ceil(np.log2(len(block) + len(whole))))
+    product = (np.fft.rfft(block, size, axis=0).conj() * np.fft.rfft(whole, size, axis=0)).sum(1)
+    return np.fft.irfft(product, size)[: min(max_lag, len(whole) - 1) + 1]
+
+
+def acf(series: DataFrame, columns: Sequence[str], max_lag: int = 50, key: Sequence[str] = KEY, min_points: int = 2, block: int = ACF_BLOCK) -> DataFrame:
     """Autocorrelation to ``max_lag`` of each track's centred (vector) series, averaged over tracks.
 
-    The lagged products come from window functions over one sort, not from a self-join.
+    Tracks are cut into blocks; the first ``max_lag`` points of a block are also sent to the one before it, and the lag
+    sums of a track's blocks add up, so a track may span tasks and lag 100 costs what lag 20 costs.
     """
-    whole, w = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("idx")
-    mid = series.withColumn("_n", F.count("*").over(whole)).filter(F.col("_n") >= min_points).withColumns({c: F.col(c) - F.avg(c).over(whole) for c in columns})
-    dot = lambda k: sum((F.col(c) * (F.lead(c, k).over(w) if k else F.col(c)) for c in columns), F.lit(0.0))
-    prods = mid.select(*key, *[dot(k).alias(f"_{k}") for k in range(max_lag + 1)]).groupBy(*key).agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in range(max_lag + 1)]).filter("_0 > 0")
-    long = prods.select(F.posexplode(F.array(*[F.col(f"_{k}") / F.col("_0") for k in range(max_lag + 1)])).alias("lag", "r")).filter("r is not null")
-    return long.groupBy("lag").agg(F.avg("r").alias("acf"), F.count("*").alias("n_tracks"))
+    key, block = list(key), max(block, max_lag)
+    whole = Window.partitionBy(*key)
+    mid = series.withColumn("_n", F.count("*").over(whole)).filter(F.col("_n") >= min_points).select(*key, "idx", *[(F.col(c) - F.avg(c).over(whole)).alias(f"_v{i}") for i, c in enumerate(columns)])
+    at, values = F.floor(F.col("idx") / block), [f"_v{i}" for i in range(len(columns))]
+    early = (F.col("idx") % block < max_lag) & (at > 0)
+    told = mid.select(*key, "idx", *values, F.explode(F.when(early, F.array(at, at - 1)).otherwise(F.array(at))).alias("_block"))
+
+    def products(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("idx")
+        v, inside = g[values].to_numpy(float), (g["idx"] // block == g["_block"]).to_numpy()
+        p = lag_products(v[inside], v[~inside], max_lag)
+        return pd.DataFrame({**{c: pd.Series([g[c].iloc[0]] * len(p), dtype=object) for c in key}, "lag": np.arange(len(p)), "_p": p})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in series.select(*key).schema)
+    sums = told.groupBy(*key, "_block").applyInPandas(products, f"{kinds}, lag int, _p double").groupBy(*key, "lag").agg(F.sum("_p").alias("_p"))
+    own = F.max(F.when(F.col("lag") == 0, F.col("_p"))).over(Window.partitionBy(*key))
+    return sums.withColumn("_z", own).filter("_z > 1e-12").groupBy("lag").agg(F.avg(F.col("_p") / F.col("_z")).alias("acf"), F.count("*").alias("n_tracks"))
 
 
 def acf_distance(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -70,32 +97,46 @@ def crossing_gaps(series: DataFrame, column: str, threshold: float, key: Sequenc
     return at.withColumn("gap", F.when(F.col("c") == 1, (F.col("idx") - before) / fps))
 
 
+def track_spectra(series: DataFrame, columns: Sequence[str], key: Sequence[str] = KEY, fps: float = FPS, min_points: int = 256) -> DataFrame:
+    """(key, bin, freq, power): power of a track's (vector) series under a Hann window at the track's own frequencies.
+
+    A track's powers sum to 1, so that tracks weigh equally; tracks with fewer than ``min_points`` values are left out.
+    A task holds one track at a time.
+    """
+    key, columns = list(key), list(columns)
+
+    def spectrum(g: pd.DataFrame) -> pd.DataFrame:
+        v = g.sort_values("idx")[columns].to_numpy(float)
+        power = (np.abs(np.fft.rfft((v - v.mean(0)) * np.hanning(len(v))[:, None], axis=0)) ** 2).sum(1)
+        n = len(power)
+        return pd.DataFrame({**{c: pd.Series([g[c].iloc[0]] * n, dtype=object) for c in key}, "bin": np.arange(n), "freq": np.fft.rfftfreq(len(v), 1 / fps), "power": power / max(power.sum(), 1e-12)})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in series.select(*key).schema)
+    long = series.withColumn("_n", F.count("*").over(Window.partitionBy(*key))).filter(F.col("_n") >= min_points).drop("_n")
+    return long.groupBy(*key).applyInPandas(spectrum, f"{kinds}, bin int, freq double, power double")
+
+
 def track_peaks(spectra: DataFrame, key: Sequence[str] = KEY, search: tuple[float, float] = (2.0, 24.0)) -> DataFrame:
-    """Median and quartiles over tracks of the frequency of largest power in a search range."""
+    """Median and quartiles over tracks of the frequency, of the track's own, with the largest power in a search range (the lower on ties)."""
     peak = spectra.filter(F.col("freq").between(*search)).groupBy(*key).agg(F.max_by("freq", F.struct("power", (-F.col("freq")).alias("f"))).alias("peak"))
-    return peak.agg(F.percentile("peak", 0.5).alias("median"), F.percentile("peak", 0.25).alias("q25"), F.percentile("peak", 0.75).alias("q75"), F.count("*").alias("n_tracks"))
+    return exact_quantiles(peak, {"peak": {"median": 0.5, "q25": 0.25, "q75": 0.75}}, count="n_tracks")
 
 
-def periodogram(tracks: DataFrame, key: Sequence[str] = KEY, fps: float = FPS, min_points: int = 256, step: float = 0.25) -> DataFrame:
-    """(key, freq, power): power of both velocity components under a Hann window, on the common grid ``step`` .. fps / 2.
+def on_grid(spectra: DataFrame, step: float = 0.25, top: float = FPS / 2, key: Sequence[str] = KEY) -> DataFrame:
+    """(key, freq, power) on the common grid ``step`` .. ``top``, linearly between a track's own frequencies; beyond the last one its power."""
+    w = Window.partitionBy(*key).orderBy("bin")
+    n = int(round(top / step))
+    at = spectra.withColumns({"_f": F.lead("freq").over(w), "_p": F.lead("power").over(w)})
+    first = F.greatest(F.lit(1), F.ceil(F.col("freq") / step - 1e-9)).cast("int")
+    last = F.least(F.lit(n), F.when(F.col("_f").isNull(), n).otherwise(F.ceil(F.col("_f") / step - 1e-9) - 1)).cast("int")
+    points = at.filter(first <= last).withColumn("_k", F.explode(F.sequence(first, last))).withColumn("_at", F.col("_k") * step)
+    power = F.coalesce(F.col("power") + (F.col("_p") - F.col("power")) * (F.col("_at") - F.col("freq")) / (F.col("_f") - F.col("freq")), F.col("power"))
+    return points.select(*key, F.col("_at").alias("freq"), power.alias("power"))
 
-    A track's powers sum to 1 before they are interpolated to the grid, so that tracks weigh equally. Tracks of fewer
-    than ``min_points`` points are left out. A task holds one track at a time.
-    """
-    key = list(key)
-    grid = np.arange(1, int(round(fps / 2 / step)) + 1) * step
 
-    def spectrum(g: pd.DataFrame) -> pd.DataFrame:
-        v = g.sort_values("idx")[["vx", "vy"]].to_numpy(float)
-        at = grid if len(v) + 1 >= min_points else grid[:0]
-        power = at
-        if len(at):
-            power = (np.abs(np.fft.rfft((v - v.mean(0)) * np.hanning(len(v))[:, None], axis=0)) ** 2).sum(1)
-            power = np.interp(at, np.fft.rfftfreq(len(v), 1 / fps), power / max(power.sum(), 1e-12))
-        return pd.DataFrame({**{c: pd.Series([g[c].iloc[0]] * len(at), dtype=object) for c in key}, "freq": at, "power": power})
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tracks.select(*key).schema)
-    return velocities(tracks, key, 1.0, 1.0).groupBy(*key).applyInPandas(spectrum, f"{kinds}, freq double, power double")
+def periodogram(tracks: DataFrame, key: Sequence[str] = KEY, fps: float = FPS, min_points: int = 256, step: float = 0.25) -> DataFrame:
+    """Power of both velocity components on the common grid, for tracks of ``min_points`` points."""
+    return on_grid(track_spectra(velocities(tracks, key, 1.0, 1.0), ["vx", "vy"], key, fps, min_points - 1), step, fps / 2, key)
 
 
 def mean_spectrum(spectra: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ GRID = {
 
 
 def sweep(s: SparkSession, d: str) -> DataFrame:
-    return agreement.threshold_sweep(kept(s, d), clinical(s, d), agreement.threshold_grid(s, VCLS, STRS, IMMS))
+    return agreement.threshold_sweep(kept(s, d), clinical(s, d), VCLS, STRS, IMMS)
 
 
 query("A12_threshold_sweep", f"SELECT combo, {r('vcl_prog', 'str_prog', 'vcl_imm', 'total_mae')}, n_videos FROM sweep", GRID)(sweep)
@@ -169,7 +169,7 @@ query("J02_speed_on_points", f"SELECT t.video, count(*) AS n, {r('avg(\"VCL\") A
 query("J03_clinical_join", f"SELECT video, category, {r('truth', 'predicted')} FROM long", LONG)(compared)
 query("J04_features_with_targets", f"SELECT v.video, {r('VCL AS vcl', 'dfi')} FROM (SELECT video, avg(\"VCL\") AS VCL FROM kept GROUP BY video) v LEFT JOIN clinical USING (video)")(lambda s, d: kept(s, d).groupBy("video").agg(F.avg("VCL").alias("vcl")).join(clinical(s, d).select("video", "dfi"), "video", "left"))
 query("J10_grid_class_mix", "SELECT combo, sum(n)::BIGINT AS n, sum(p)::BIGINT AS p, sum(i)::BIGINT AS i FROM mix GROUP BY combo", GRID)(
-    lambda s, d: kept(s, d).groupBy("VCL", "STR").agg(F.count("*").alias("n")).crossJoin(F.broadcast(agreement.threshold_grid(s, VCLS, STRS, IMMS))).groupBy("combo").agg(F.sum("n").alias("n"), F.sum(F.when((F.col("VCL") > F.col("vcl_imm")) & (F.col("VCL") >= F.col("vcl_prog")) & (F.col("STR") >= F.col("str_prog")), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("VCL") <= F.col("vcl_imm"), F.col("n")).otherwise(0)).alias("i"))
+    lambda s, d: agreement.class_mix(kept(s, d), VCLS, STRS, IMMS).select("combo", "n", "p", "i")
 )
 IOU = "greatest(0, least(a.cx, b.cx) + 8 - (greatest(a.cx, b.cx) - 8)) * greatest(0, least(a.cy, b.cy) + 8 - (greatest(a.cy, b.cy) - 8))"
 query("J07_iou_candidates", f"SELECT a.video, CAST(a.frame AS BIGINT) AS frame, a.track_id AS gt, b.track_id AS pred, {r(f'{IOU} / (512 - {IOU}) AS iou')} FROM tracks a JOIN pred_tracks b ON a.video = b.video AND a.frame = b.frame WHERE round({IOU} / (512 - {IOU}), 9) >= 0.5", digits=9)(lambda s, d: association.candidates(tracks(s, d), pred(s, d)))
@@ -299,9 +299,12 @@ FANO = {
 }
 query("A43_fano", f"SELECT {r('CAST(t AS DOUBLE) AS \"T\"', 'CASE WHEN count(*) >= 10 THEN quantile_cont(f, 0.5) END AS fano')}, count(*) AS n_tracks FROM (SELECT t, var_samp(c) / avg(c) AS f FROM cnt GROUP BY video, track_id, t HAVING sum(c) > 0) GROUP BY t", FANO)(lambda s, d: episodes.fano(eps9(s, d), (0.2, 0.3), min_tracks=10))
 query("W34_embedded_chain", f"SELECT {L('1 AS \"order\"', 'a', 'b', '-1 AS c', 'count(*) AS n')} FROM (SELECT state AS a, lead(state) OVER (PARTITION BY video, track_id ORDER BY ep_idx) AS b FROM eps9) WHERE b IS NOT NULL GROUP BY a, b UNION ALL SELECT {L('2 AS "order"', 'a', 'b', 'c', 'count(*) AS n')} FROM (SELECT state AS a, lead(state) OVER t AS b, lead(state, 2) OVER t AS c FROM eps9 WINDOW t AS (PARTITION BY video, track_id ORDER BY ep_idx)) WHERE c IS NOT NULL GROUP BY a, b, c")(lambda s, d: episodes.embedded_chain(eps9(s, d)))
-query("J11_state_pairs", f"SELECT count(*) AS n, {r('corr(a, b) AS r')} FROM (SELECT avg(ln(run / 50)) FILTER (state = 0) AS a, avg(ln(run / 50)) FILTER (state = 1) AS b FROM eps9 GROUP BY video, track_id) WHERE a IS NOT NULL AND b IS NOT NULL")(
-    lambda s, d: eps9(s, d).groupBy(*K).agg(*[F.avg(F.when(F.col("state") == k, F.log(F.col("run") / 50))).alias(n) for k, n in ((0, "a"), (1, "b"))]).filter("a is not null and b is not null").agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"))
-)
+JPAIR = {
+    "jres": ranks("SELECT video, track_id, state, resid AS x, 0 AS y FROM resid"),
+    "jper": "SELECT video, track_id, state, avg(rx) AS m FROM jres GROUP BY ALL HAVING count(*) >= 2",
+    "jrk": ranks("SELECT p.state AS a, q.state AS b, p.m AS x, q.m AS y FROM jper p JOIN jper q ON p.video = q.video AND p.track_id = q.track_id AND p.state < q.state", "a, b"),
+}
+query("J11_state_pairs", f"SELECT {L('a', 'b')}, count(*) AS n, {r('corr(rx, ry) AS rho')} FROM jrk GROUP BY a, b HAVING count(*) >= 8", JPAIR)(lambda s, d: episodes.state_pairs(resid(s, d)))
 
 # ---- order, laws
 FOLD = "CAST(('0x' || substr(md5(video || '|' || track_id || '|0'), 1, 8)) AS BIGINT) % 5"
@@ -422,17 +425,55 @@ W27 = {"b25": "SELECT *, sqrt(power(cx - lag(cx) OVER t, 2) + power(cy - lag(cy)
 query("W27_block_kinematics", f"SELECT video, track_id, block, {r('sum(step) / 1.422 / 24 * 50 AS vcl', 'CASE WHEN sum(step) > 0 THEN sqrt(power(arg_max(cx, frame) - arg_min(cx, frame), 2) + power(arg_max(cy, frame) - arg_min(cy, frame), 2)) / sum(step) ELSE 0 END AS lin')} FROM b25 GROUP BY ALL HAVING count(*) = 25", W27)(lambda s, d: signal.block_kinematics(tracks(s, d)))
 ACF = {"mid": "SELECT video, track_id, idx, vx - avg(vx) OVER (PARTITION BY video, track_id) AS x, vy - avg(vy) OVER (PARTITION BY video, track_id) AS y FROM vel", "z": "SELECT video, track_id, sum(x * x + y * y) AS z FROM mid GROUP BY ALL HAVING sum(x * x + y * y) > 0 AND count(*) >= 2", "prod": "SELECT a.video, a.track_id, b.idx - a.idx AS lag, sum(a.x * b.x + a.y * b.y) AS p FROM mid a JOIN mid b ON a.video = b.video AND a.track_id = b.track_id AND b.idx - a.idx BETWEEN 0 AND 20 GROUP BY ALL"}
 query("W28_velocity_acf", f"SELECT {L('lag')}, {r('avg(p / z) AS acf')}, count(*) AS n_tracks FROM prod JOIN z USING (video, track_id) GROUP BY lag", ACF)(lambda s, d: signal.acf(signal.velocities(tracks(s, d)), ["vx", "vy"], 20))
-def acf_sql(vel: str, tag: str) -> dict[str, str]:
+
+
+def acf_sql(series: str, tag: str, columns: tuple[str, ...] = ("vx", "vy"), lags: int = 20) -> dict[str, str]:
     part = "PARTITION BY video, track_id"
-    return {f"{tag}mid": f"SELECT video, track_id, idx, vx - avg(vx) OVER ({part}) AS x, vy - avg(vy) OVER ({part}) AS y FROM {vel}", f"{tag}z": f"SELECT video, track_id, sum(x * x + y * y) AS z FROM {tag}mid GROUP BY ALL HAVING sum(x * x + y * y) > 0 AND count(*) >= 2", f"{tag}prod": f"SELECT a.video, a.track_id, b.idx - a.idx AS lag, sum(a.x * b.x + a.y * b.y) AS p FROM {tag}mid a JOIN {tag}mid b ON a.video = b.video AND a.track_id = b.track_id AND b.idx BETWEEN a.idx AND a.idx + 20 GROUP BY ALL", f"{tag}acf": f"SELECT lag, avg(p / z) AS acf FROM {tag}prod JOIN {tag}z USING (video, track_id) GROUP BY lag"}
+    mid, own, lagged = ", ".join(f"{c} - avg({c}) OVER ({part}) AS {c}" for c in columns), " + ".join(f"{c} * {c}" for c in columns), " + ".join(f"a.{c} * b.{c}" for c in columns)
+    return {
+        f"{tag}mid": f"SELECT video, track_id, idx, {mid} FROM {series}",
+        f"{tag}z": f"SELECT video, track_id, sum({own}) AS z FROM {tag}mid GROUP BY ALL HAVING sum({own}) > 1e-12 AND count(*) >= 2",
+        f"{tag}prod": f"SELECT a.video, a.track_id, b.idx - a.idx AS lag, sum({lagged}) AS p FROM {tag}mid a JOIN {tag}mid b ON a.video = b.video AND a.track_id = b.track_id AND b.idx BETWEEN a.idx AND a.idx + {lags} GROUP BY ALL",
+        f"{tag}acf": f"SELECT lag, avg(p / z) AS acf, count(*) AS n_tracks FROM {tag}prod JOIN {tag}z USING (video, track_id) GROUP BY lag",
+    }
 
 
 query("W28_acf_distance", f"SELECT {r('avg(abs(a.acf - b.acf)) AS mad')} FROM ggacf a JOIN paacf b ON a.lag = b.lag", {"pvel": CTES["vel"].replace("FROM tracks", "FROM pred_tracks")} | acf_sql("vel", "gg") | acf_sql("pvel", "pa"))(lambda s, d: signal.acf_distance(signal.acf(signal.velocities(tracks(s, d)), ["vx", "vy"], 20), signal.acf(signal.velocities(pred(s, d)), ["vx", "vy"], 20)))
 CROSS = {"sp": "SELECT video, track_id, idx, sqrt(vx * vx + vy * vy) AS sp FROM vel", "cr": "SELECT *, CASE WHEN (sp >= 25) <> (lag(sp) OVER (PARTITION BY video, track_id ORDER BY idx) >= 25) THEN 1 ELSE 0 END AS c FROM sp", "gaps": "SELECT (idx - lag(idx) OVER (PARTITION BY video, track_id ORDER BY idx)) / 50 AS gap FROM cr WHERE c = 1"}
 query("W29_crossings", f"SELECT {L('(SELECT sum(c) FROM cr) AS crossings')}, {r('(SELECT sum(c) / (count(*) / 50) FROM cr) AS rate', 'avg(gap) AS mean_gap', 'stddev_pop(gap) / avg(gap) AS cv_gap')} FROM gaps", CROSS)(lambda s, d: signal.crossings(signal.velocities(tracks(s, d)).withColumn("speed", scalar.distance(F.col("vx"), F.col("vy"))), "speed", 25.0))
-query("W30_periodogram")(lambda s, d: signal.mean_spectrum(signal.periodogram(tracks(s, d), min_points=32)))
-query("W30_band_power")(lambda s, d: signal.band_power(signal.mean_spectrum(signal.periodogram(tracks(s, d), min_points=32))))
-query("W30_track_peaks")(lambda s, d: signal.track_peaks(signal.periodogram(tracks(s, d), min_points=32)))
+
+def spectra_sql(columns: tuple[str, ...], source: str, pre: str, step: float, top: float, least: int) -> dict[str, str]:
+    """Own-frequency spectra as a join of each track with sines, and the same on a grid."""
+    centred = ", ".join(f"({c} - avg({c}) OVER t) * (0.5 - 0.5 * cos(2 * pi() * (row_number() OVER o - 1) / (count(*) OVER t - 1))) AS {c}" for c in columns)
+    power = " + ".join(f"power(sum({c} * cos(2 * pi() * k * i / n)), 2) + power(sum({c} * sin(2 * pi() * k * i / n)), 2)" for c in columns)
+    return {
+        f"{pre}h": f"SELECT video, track_id, row_number() OVER o - 1 AS i, count(*) OVER t AS n, {centred} FROM {source} WINDOW t AS (PARTITION BY video, track_id), o AS (PARTITION BY video, track_id ORDER BY idx)",
+        f"{pre}k": f"SELECT video, track_id, n, k, {power} AS p FROM (SELECT *, unnest(range(CAST(floor(n / 2) AS BIGINT) + 1)) AS k FROM {pre}h WHERE n >= {least}) GROUP BY video, track_id, n, k",
+        f"{pre}s": f"SELECT video, track_id, n, k, k * 50 / n AS freq, p / greatest(sum(p) OVER (PARTITION BY video, track_id), 1e-12) AS power FROM {pre}k",
+        f"{pre}g": f"SELECT g * {step} AS freq, avg(coalesce(a.power + (b.power - a.power) * (g * {step} * a.n / 50 - a.k), a.power)) AS power, count(*) AS n_tracks FROM {pre}s a LEFT JOIN {pre}s b ON a.video = b.video AND a.track_id = b.track_id AND b.k = a.k + 1, (SELECT unnest(range(1, {int(round(top / step)) + 1})) AS g) WHERE a.k = least(floor(g * {step} * a.n / 50 + 1e-9), floor(a.n / 2)) GROUP BY g",
+    }
+
+
+def peaks_sql(pre: str, low: float, high: float) -> str:
+    return f"SELECT {r(*[f'quantile_cont(freq, {p}) AS {n}' for p, n in ((0.5, 'median'), (0.25, 'q25'), (0.75, 'q75'))])}, count(*) AS n_tracks FROM (SELECT freq FROM {pre}s WHERE freq BETWEEN {low} AND {high} QUALIFY row_number() OVER (PARTITION BY video, track_id ORDER BY round(power, 12) DESC, freq) = 1)"
+
+
+SPEC = spectra_sql(("vx", "vy"), "vel", "sp", 0.25, 25.0, 31)
+WV = {"wv": "SELECT video, track_id, idx - 23 AS idx, w AS wvcl FROM (SELECT *, avg(sqrt(vx * vx + vy * vy)) OVER t AS w, count(*) OVER t AS c FROM vel WINDOW t AS (PARTITION BY video, track_id ORDER BY idx ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) WHERE c = 24"}
+WSPEC = WV | spectra_sql(("wvcl",), "wv", "ws", 0.05, 10.0, 32)
+
+
+def wvcl_spectra(s: SparkSession, d: str) -> DataFrame:
+    return signal.track_spectra(signal.sliding_vcl(tracks(s, d)), ["wvcl"], min_points=32)
+
+
+query("W30_track_spectra", f"SELECT video, track_id, {L('k AS bin')}, {r('freq', 'power')} FROM sps", SPEC)(lambda s, d: signal.track_spectra(signal.velocities(tracks(s, d)), ["vx", "vy"], min_points=31))
+query("W30_wvcl_spectrum", f"SELECT {r('freq', 'power')}, n_tracks FROM wsg", WSPEC)(lambda s, d: signal.mean_spectrum(signal.on_grid(wvcl_spectra(s, d), 0.05, 10.0)))
+query("W30_wvcl_peaks", peaks_sql("ws", 0.1, 2.0), WSPEC)(lambda s, d: signal.track_peaks(wvcl_spectra(s, d), search=(0.1, 2.0)))
+query("W28_wvcl_acf", f"SELECT {L('lag')}, {r('acf')}, n_tracks FROM wvacf", WV | acf_sql("wv", "wv", ("wvcl",), 100))(lambda s, d: signal.acf(signal.sliding_vcl(tracks(s, d)), ["wvcl"], 100))
+query("W30_periodogram", f"SELECT {r('freq', 'power')}, n_tracks FROM spg", SPEC)(lambda s, d: signal.mean_spectrum(signal.periodogram(tracks(s, d), min_points=32)))
+query("W30_band_power", f"SELECT {r('sum(CASE WHEN freq BETWEEN 5 AND 20 THEN power ELSE 0 END) / sum(power) AS band_share', 'arg_max(freq, power) FILTER (freq BETWEEN 2 AND 24) AS peak_freq')} FROM spg", SPEC)(lambda s, d: signal.band_power(signal.mean_spectrum(signal.periodogram(tracks(s, d), min_points=32))))
+query("W30_track_peaks", peaks_sql("sp", 2.0, 24.0), SPEC)(lambda s, d: signal.track_peaks(signal.track_spectra(signal.velocities(tracks(s, d)), ["vx", "vy"], min_points=31)))
 W31 = {"pq": "SELECT video, track_id, vx * lead(vx) OVER t + vy * lead(vy) OVER t AS p, vx * vx + vy * vy AS q FROM vel WINDOW t AS (PARTITION BY video, track_id ORDER BY idx)", "aa": "SELECT sum(p) / sum(q) AS a FROM pq GROUP BY video, track_id HAVING count(*) >= 49 AND sum(q) > 0", "am": "SELECT quantile_cont(a, 0.5) AS a, count(*) AS n FROM aa"}
 query("W31_relaxation", f"SELECT {r('a', 'CASE WHEN a > 0 AND a < 1 THEN -1 / ln(a) / 50 END AS tau_s')}, n AS n_tracks FROM am", W31)(lambda s, d: signal.lag_one(tracks(s, d)))
 AR = {"cv": "SELECT *, vx - avg(vx) OVER (PARTITION BY video, track_id) AS x, vy - avg(vy) OVER (PARTITION BY video, track_id) AS y, avg(vx) OVER (PARTITION BY video, track_id) AS mx, avg(vy) OVER (PARTITION BY video, track_id) AS my FROM vel", "lg": "SELECT *, x * x + y * y AS c0, x * lead(x) OVER t + y * lead(y) OVER t AS c1, x * lead(x, 2) OVER t + y * lead(y, 2) OVER t AS c2 FROM cv WINDOW t AS (PARTITION BY video, track_id ORDER BY idx)", "ar": "SELECT video, track_id, count(*) AS n, any_value(mx) AS mx, any_value(my) AS my, var_pop(vx) AS var_x, var_pop(vy) AS var_y, sum(c1) / sum(c0) AS r1, sum(c2) / sum(c0) AS r2 FROM lg GROUP BY ALL HAVING count(*) >= 9"}
@@ -518,6 +559,11 @@ def by_video(s: SparkSession, d: str) -> DataFrame:
 
 FEATURES = ["VCL", "LIN", "ALH"]
 query("M08_hidden_markov")(lambda s, d: models.hidden_markov(states.modal_blocks(frame_states(s, d), 9), index="block"))
+TAILS = {
+    "tmoves": "SELECT video, track_id, state, lead(state) OVER (PARTITION BY video, track_id ORDER BY idx) AS nxt FROM states9",
+    "teach": "SELECT video, track_id, state, t.k AS nxt, count(*) AS c FROM tmoves, LATERAL (SELECT unnest([nxt, -1]) AS k) t WHERE nxt IS NOT NULL GROUP BY video, track_id, state, t.k",
+}
+query("M09_tail_counts", f"SELECT {L('state', 'nxt AS \"to\"', 'j', 'count(*) AS tracks')} FROM (SELECT *, unnest(range(c)) AS j FROM teach) GROUP BY state, nxt, j", TAILS)(lambda s, d: models.tail_counts(frame_states(s, d, 9)))
 query("M09_concentration")(lambda s, d: models.concentration(frame_states(s, d, 9)))
 query("M20_ridge_loo")(lambda s, d: models.ridge_loo(by_video(s, d), FEATURES, "dfi"))
 query("M20_ridge_kfold")(lambda s, d: models.ridge_kfold(kept(s, d), ["LIN", "ALH", "BCF"], "VCL", order.fold_of()))
@@ -525,8 +571,55 @@ query("M20_nested_loo")(lambda s, d: models.prediction_errors(models.nested_loo(
 query("M21_mean_predictor", f"SELECT {r('avg(abs(dfi - (t - dfi) / (n - 1))) AS mae')}, any_value(n) AS n FROM (SELECT dfi, sum(dfi) OVER () AS t, count(*) OVER () AS n FROM clinical)")(
     lambda s, d: clinical(s, d).crossJoin(clinical(s, d).agg(F.sum("dfi").alias("t"), F.count("*").alias("n"))).agg(F.avg(F.abs(F.col("dfi") - (F.col("t") - F.col("dfi")) / (F.col("n") - 1))).alias("mae"), F.first("n").alias("n"))
 )
-query("M22_permutation_test")(lambda s, d: models.permutation_test(by_video(s, d), FEATURES, "dfi", "video"))
-query("M23_bca_interval")(lambda s, d: models.bca_interval(by_video(s, d), "VCL", "video"))
+BYV = {
+    "bv": "SELECT v.*, dfi FROM (SELECT video, avg(\"VCL\") AS \"VCL\", avg(\"LIN\") AS \"LIN\", avg(\"ALH\") AS \"ALH\" FROM kept GROUP BY video) v JOIN clinical USING (video)",
+    "bz": "SELECT video, (\"VCL\" - avg(\"VCL\") OVER ()) / stddev_pop(\"VCL\") OVER () AS x0, (\"LIN\" - avg(\"LIN\") OVER ()) / stddev_pop(\"LIN\") OVER () AS x1, (\"ALH\" - avg(\"ALH\") OVER ()) / stddev_pop(\"ALH\") OVER () AS x2, dfi - avg(dfi) OVER () AS y, row_number() OVER (ORDER BY video) - 1 AS i, count(*) OVER () AS n FROM bv",
+    "bg": "SELECT sum(x0 * x0) + 1 AS m00, sum(x0 * x1) AS m01, sum(x0 * x2) AS m02, sum(x1 * x1) + 1 AS m11, sum(x1 * x2) AS m12, sum(x2 * x2) + 1 AS m22, sum(y * y) AS yy FROM bz",
+}
+
+
+def md5_number(*parts: str) -> str:
+    return f"CAST(('0x' || substr(md5({' || \'|\' || '.join(parts)}), 1, 8)) AS BIGINT)"
+
+
+#: The explained share v' (X'X + I)^-1 v / y'y of three features, by cofactors.
+SHARE = (
+    "((m11 * m22 - m12 * m12) * h0 * h0 + (m00 * m22 - m02 * m02) * h1 * h1 + (m00 * m11 - m01 * m01) * h2 * h2 + 2 * ((m02 * m12 - m01 * m22) * h0 * h1 + (m01 * m12 - m02 * m11) * h0 * h2 + (m01 * m02 - m00 * m12) * h1 * h2))"
+    " / (m00 * (m11 * m22 - m12 * m12) + m01 * (m02 * m12 - m01 * m22) + m02 * (m01 * m12 - m02 * m11)) / yy"
+)
+_other = f"(({md5_number('rep', '0', 'k')} % n - a + n) % n)"
+PERMS = BYV | {
+    "bp": f"SELECT rep, x0, x1, x2, list_reduce(list_prepend(i, range(1, 25)), lambda a, k: CASE WHEN {md5_number('rep', '0', 'k', f'greatest(a, {_other})')} % 2 = 1 THEN {_other} ELSE a END) AS j FROM bz, (SELECT unnest(range(1, 201)) AS rep)",
+    "bh": "SELECT rep, sum(p.x0 * z.y) AS h0, sum(p.x1 * z.y) AS h1, sum(p.x2 * z.y) AS h2 FROM bp p JOIN bz z ON z.i = p.j GROUP BY rep",
+    "bn": f"SELECT {SHARE} AS v FROM bh, bg",
+    "bs": f"SELECT {SHARE} AS seen FROM (SELECT sum(x0 * y) AS h0, sum(x1 * y) AS h1, sum(x2 * y) AS h2 FROM bz), bg",
+}
+query("M22_permutation_test", f"SELECT {r('any_value(seen) AS r2', 'avg(v) AS null_mean', '(1 + count(*) FILTER (v >= seen - 1e-12)) / (1 + count(*)) AS p')}, count(*) AS reps FROM bn, bs", PERMS)(lambda s, d: models.permutation_test(by_video(s, d), FEATURES, "dfi", "video"))
+_cdf = "(0.5 + sign({x}) * exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), lambda j: exp((2 * j + 1) * ln(abs({x}) + 1e-300) - lgamma(2 * j + 2) + j * ln(2) + lgamma(j + 1)))))"
+
+
+def normal_quantile_sql(p: str) -> str:
+    """Bisection between -9 and 9, 80 steps."""
+    mid = "((a.lo + a.hi) / 2)"
+    step = f"CASE WHEN {_cdf.format(x=mid)} < {p} THEN {{lo: {mid}, hi: a.hi}} ELSE {{lo: a.lo, hi: {mid}}} END"
+    return f"list_transform([list_reduce(list_transform(range(0, 81), lambda k: {{lo: CAST(-9 AS DOUBLE), hi: CAST(9 AS DOUBLE)}}), lambda a, x: {step})], lambda u: (u.lo + u.hi) / 2)[1]"
+
+
+def _bca_end(q: float) -> str:
+    z = f"(z0 + {models.normal_quantile(q)!r})"
+    place = f"({_cdf.format(x=f'(z0 + {z} / (1 - accel * {z}))')} * (reps - 1))"
+    return f"means[CAST(floor({place}) AS BIGINT) + 1] + ({place} - floor({place})) * (means[least(CAST(floor({place}) AS BIGINT) + 2, reps)] - means[CAST(floor({place}) AS BIGINT) + 1])"
+
+
+BOOT = BYV | {
+    "br": "SELECT row_number() OVER (ORDER BY video) - 1 AS i, \"VCL\" AS v, count(*) OVER () AS n FROM bv",
+    "bm": f"SELECT rep, avg(v) AS m FROM (SELECT rep, {md5_number('rep', 'i', '0')} % n AS j FROM br, (SELECT unnest(range(1, 501)) AS rep)) d JOIN br ON br.i = d.j GROUP BY rep",
+    "bj": "SELECT any_value(m) AS mean, sum(power(m - l, 3)) / (6 * power(sum(power(m - l, 2)), 1.5)) AS accel FROM (SELECT avg(v) OVER () AS m, (sum(v) OVER () - v) / (n - 1) AS l FROM br)",
+    "bq": "SELECT any_value(mean) AS mean, any_value(accel) AS accel, list_sort(list(m)) AS means, count(*) AS reps, least(greatest(avg(CASE WHEN m < mean THEN 1.0 ELSE 0 END), 1 / (count(*) + 1)), count(*) / (count(*) + 1)) AS s FROM bm, bj",
+    "bz0": f"SELECT *, {normal_quantile_sql('s')} AS z0 FROM bq",
+}
+query("M23_bootstrap_means", f"SELECT {L('rep')}, {r('m')} FROM bm", BOOT, digits=4)(lambda s, d: models.bootstrap_means(by_video(s, d), "VCL", "video"))
+query("M23_bca_interval", f"SELECT {r('mean', f'{_bca_end(0.025)} AS low', f'{_bca_end(0.975)} AS high')}, reps FROM bz0", BOOT)(lambda s, d: models.bca_interval(by_video(s, d), "VCL", "video"))
 query("M25_forest")(lambda s, d: models.forest_regression(kept(s, d), ["LIN", "ALH", "BCF"], "VCL", order.fold_of(folds=2), trees=400))
 query("M26_mixture_bic")(lambda s, d: models.mixture_bic(kept(s, d), FEATURES))
 query("M26_mixture_stability")(lambda s, d: models.mixture_stability(kept(s, d), FEATURES, K, 3))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrack.operators import models
+from kinetrack.operators import models, ranks
 from kinetrack.operators.order import fold_of
 
 
@@ -20,18 +20,19 @@ def table(spark):
 
 
 def test_ridge_leave_one_out(table):
-    df, z, y = table
-    yc = y - y.mean()
+    """Each row against a fit to the others, on features scaled by the others."""
+    df, _, y = table
+    x = np.array([(r.a, r.b) for r in sorted(df.collect())])
     for r in models.ridge_loo(df, ["a", "b"], "y", (0.5, 20.0)).collect():
-        one = np.column_stack([np.ones(len(y)), z])
-        pen = np.diag([0, r.alpha, r.alpha])
         errors = []
         for i in range(len(y)):
             keep = np.arange(len(y)) != i
-            w = np.linalg.solve(one[keep].T @ one[keep] + pen, one[keep].T @ yc[keep])
-            errors.append(abs(yc[i] - one[i] @ w))
+            m, sd = x[keep].mean(0), x[keep].std(0)
+            z, t = (x[keep] - m) / sd, y[keep] - y[keep].mean()
+            errors.append(abs(y[i] - y[keep].mean() - (x[i] - m) / sd @ np.linalg.solve(z.T @ z + r.alpha * np.eye(2), z.T @ t)))
         assert abs(r.mae - np.mean(errors)) < 1e-9
         assert abs(r.mae_mean - np.mean(np.abs(y - (y.sum() - y) / (len(y) - 1)))) < 1e-9
+    assert models.ridge_loo(df.limit(2), ["a", "b"], "y").count() == 0
 
 
 def test_ridge_folds(spark, table):
@@ -83,6 +84,38 @@ def test_permutation_and_interval(table):
     assert abs(models.normal_quantile(0.975) - 1.959964) < 1e-5
 
 
+def test_permutation_is_a_bijection(spark):
+    """Every key gives another order of all places, whatever their number, and places go everywhere about equally often."""
+    for n in (1, 2, 3, 20, 97):
+        told = spark.range(n).select("id", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("rep")).select("rep", "id", ranks.permuted(F.col("id"), n, F.col("rep"), F.lit(0)).alias("to")).collect()
+        orders = {}
+        for r in sorted(told):
+            orders.setdefault(r.rep, []).append(r.to)
+        assert all(sorted(o) == list(range(n)) for o in orders.values())
+        assert n < 20 or len(set(map(tuple, orders.values()))) == 40
+    many = spark.range(6).select("id", F.explode(F.sequence(F.lit(1), F.lit(3000))).alias("rep")).select("id", ranks.permuted(F.col("id"), 6, F.col("rep"), F.lit(0)).alias("to"))
+    table = np.zeros((6, 6))
+    for r in many.groupBy("id", "to").count().collect():
+        table[r.id, r.to] = r["count"]
+    assert np.abs(table - 500).max() < 120  # about five standard deviations
+
+
+def test_bootstrap_means(spark, table):
+    df, _, y = table
+    means = [r.m for r in models.bootstrap_means(df, "y", "id", 400).collect()]
+    assert len(means) == 400 and abs(np.mean(means) - y.mean()) < 4 * y.std() / math.sqrt(40 * 400) and abs(np.std(means) / (y.std() / math.sqrt(40)) - 1) < 0.15
+    assert models.bootstrap_means(df.limit(0), "y", "id", 5).count() == 0
+
+
+def test_nested_blocks(spark, table, monkeypatch):
+    """Blocks of rows change nothing."""
+    df, _, _ = table
+    whole = {(r.id, r.design): r.predicted for r in models.nested_loo(df, ["a"], ["b"], "y", "id").collect()}
+    monkeypatch.setattr(models, "BLOCK", 3)
+    parts = {(r.id, r.design): r.predicted for r in models.nested_loo(df.repartition(5), ["a"], ["b"], "y", "id").collect()}
+    assert len(whole) == 160 and all(parts[k] == pytest.approx(v, abs=1e-9) for k, v in whole.items())
+
+
 def test_mixture_and_forest(table):
     df, z, _ = table
     rows = {r.k: r for r in models.mixture_bic(df, ["a", "b"], (1, 2)).collect()}
@@ -107,9 +140,14 @@ def test_concentration_and_hmm(spark):
     got = {r.state: r.concentration for r in models.concentration(df).collect()}
     counts = {s: np.array([[sum(a == s and b == k for a, b in zip(q, q[1:])) for k in range(3)] for q in seqs.values()]) for s in range(3)}
     for s in range(3):
-        base, c = counts[s].sum(0) / counts[s].sum(), counts[s][counts[s].sum(1) > 0]
+        base, c = (counts[s].sum(0) + 0.5) / (counts[s].sum() + 1.5), counts[s][counts[s].sum(1) > 0]
         ll = lambda a: sum(math.lgamma(a) - math.lgamma(a + r.sum()) + sum(math.lgamma(a * p + x) - math.lgamma(a * p) for p, x in zip(base, r)) for r in c)  # noqa: B023, E731
-        assert ll(got[s]) >= max(ll(a) for a in np.geomspace(0.5, 200, 400)) - 1e-3
+        assert ll(got[s]) >= max(ll(a) for a in np.geomspace(0.05, 1e5, 900)) - 1e-6
+        for to in range(3):
+            tails = [r.tracks for r in sorted(models.tail_counts(df).filter(f"state = {s} and to = {to}").collect(), key=lambda r: r.j)]
+            assert tails == [int((c[:, to] > j).sum()) for j in range(c[:, to].max())]
+    few = {r.state: r.concentration for r in models.concentration(df.filter("track_id < 4")).collect()}
+    assert set(few.values()) == {math.inf}
     fold = {r.track_id: r.f for r in df.select("track_id", fold_of(("video", "track_id")).alias("f")).distinct().collect()}
     got = {r.hidden: r for r in models.hidden_markov(df, (1, 2), restarts=2, iterations=12).collect()}
     ll = n = 0

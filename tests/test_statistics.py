@@ -80,13 +80,52 @@ def test_spectra(spark):
     mean = np.mean(want, 0)
     band = signal.band_power(signal.mean_spectrum(each)).first()
     assert band.band_share == pytest.approx(mean[19:80].sum() / mean.sum()) and band.peak_freq == pytest.approx((8 + int(mean[7:96].argmax())) / 4)
-    assert signal.track_peaks(each).first().n_tracks == 2
+    own = signal.track_spectra(signal.velocities(spark.createDataFrame(rows, TRACK), ppm=1.0, fps=1.0), ["vx", "vy"], min_points=31)
+    peaks = []
+    for n in (63, 100):  # at the track's own frequencies, not on the grid
+        bins = sorted((r.freq, r.power) for r in own.collect() if r.track_id == (0 if n == 63 else 1))
+        assert [f for f, _ in bins] == pytest.approx(np.fft.rfftfreq(n, 0.02)) and sum(p for _, p in bins) == pytest.approx(1)
+        peaks.append(max((p, f) for f, p in bins if 2 <= f <= 24)[1])
+    told = signal.track_peaks(own).first()
+    assert told.n_tracks == 2 and told.median == pytest.approx(np.median(peaks)) and told.q25 == pytest.approx(np.quantile(peaks, 0.25))
     for r in signal.fit_ou(spark.createDataFrame(rows, TRACK)).collect():
         v = np.diff(np.array([(x, y) for _, t, _, x, y, _ in rows if t == r.track_id]), axis=0) / 1.422 * 50
         c = v - v.mean(0)
         assert (r.mx, r.my, r.var_x, r.var_y) == pytest.approx((*v.mean(0), *v.var(0))) and r.phi == pytest.approx((c[1:] * c[:-1]).sum() / (c * c).sum())
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_autocorrelation_in_blocks(spark, block):
+    """Lag sums of blocks add up to those of the whole track; lags beyond a track count for nothing."""
+    rng = np.random.default_rng(block)
+    tracks = {t: np.cumsum(rng.normal(size=(n, 2)), 0) for t, n in enumerate((1, 2, 5, 30, 61, 14))}
+    df = spark.createDataFrame([("v", t, k, float(x), float(y)) for t, v in tracks.items() for k, (x, y) in enumerate(v)], "video string, track_id long, idx int, vx double, vy double").repartition(3)
+    got = {r.lag: r for r in signal.acf(df, ["vx", "vy"], 6, block=block).collect()}
+    for lag in range(7):
+        values = []
+        for v in tracks.values():
+            c = v - v.mean(0)
+            if len(v) > max(lag, 1):
+                values.append((c[lag:] * c[: len(c) - lag]).sum() / (c * c).sum())
+        assert got[lag].acf == pytest.approx(np.mean(values), abs=1e-9) and got[lag].n_tracks == len(values)
+
+
+def test_class_mix_like_a_product(spark):
+    """The cumulative table against every combination on every track; values on the cuts, repeated and unsorted cuts."""
+    rng = np.random.default_rng(4)
+    rows = [(f"v{k % 3}", float(rng.integers(0, 12)), float(rng.integers(0, 5)) / 4) for k in range(200)]
+    df = spark.createDataFrame(rows, "video string, VCL double, STR double")
+    vcl, straightness, immotile = [6, 3, 9], [0.5, 0.25, 0.5], [2, 5]
+    for by in ([], ["video"]):
+        got = {(*[r[c] for c in by], r.combo): (r.vcl_prog, r.str_prog, r.vcl_imm, r.n, r.p, r.i) for r in agreement.class_mix(df, vcl, straightness, immotile, by).collect()}
+        want = {}
+        for g in {tuple([r[0]] if by else []) for r in rows}:
+            for k, (v, s, i) in enumerate((v, s, i) for v in vcl for s in straightness for i in immotile):
+                held = [r for r in rows if not by or r[0] == g[0]]
+                want[(*g, k)] = (v, s, i, len(held), sum(x > i and x >= v and y >= s for _, x, y in held), sum(x <= i for _, x, y in held))
+        assert got == want
+
+
 def test_coverage_counts_shared_frames(spark):
     """A truth track seen in 10 frames, 6 of which the predictions lack altogether: 2 matches of 4 are half."""
     gt = [("v", 1, k, 10.0, 10.0, 1.0) for k in range(10)] + [("v", 2, k, 90.0, 90.0, 1.0) for k in range(20, 23)]
