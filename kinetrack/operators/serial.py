@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import FPS
 from ..sources.files import stored
 from .kinematics import KEY
-from .ranks import distinct_ranks
+from .ranks import distinct_ranks, hash_number, numbered
 
 
 def hashed(*parts: Column | str) -> Column:
@@ -76,65 +76,75 @@ def per_cell_memory(eps: DataFrame, min_eps: int = 6, key: Sequence[str] = KEY)
     return rho.agg(F.tanh(F.avg(z)).alias("mean_rho"), F.count("*").alias("n_tracks"))
 
 
-#: Permutations whose pairs a task counts before it hands them on; bounds its memory.
-PAIRS_HELD = 1 << 20
+#: Episodes that a task shuffles and counts at a time (whole tracks); bounds its memory.
+EPISODES_HELD = 1 << 16
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Random 64-bit numbers from counters (the finaliser of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def pair_counts(resid: DataFrame, perms: int = 0, lags: int = 1, key: Sequence[str] = KEY, by: Sequence[str] = ("video",), seed: int = 0) -> DataFrame:
     """(by, perm, lag, x, y, c): how often residuals y stand ``lag`` episodes behind x; perm 0 is the observed order.
 
-    Perms 1 .. ``perms`` put each track's episodes in new random orders, drawn from a hash of track, perm and seed.
-    Tracks are dealt to tasks whole and sorted; a task shuffles an array per track and counts equal pairs before any
-    row leaves it. Values are rounded to 9 decimals, so that equal residuals tie. The counts are written once.
+    Perms 1 .. ``perms`` put each track's episodes in new random orders: by counter-based random keys of track, seed,
+    perm and place, the same wherever the track lies. Tracks are dealt to tasks whole and sorted; a task shuffles some
+    thousand tracks at once and counts equal pairs before any row leaves it. Values are rounded to 9 decimals, so that
+    equal residuals tie. The counts are written once.
     """
     key, by = list(key), list(by)
-    rows = resid.select(*key, *[c for c in by if c not in key], "ep_idx", F.round("resid", 9).alias("resid"))
-    dealt = rows.repartition(*key).sortWithinPartitions(*key, "ep_idx")
-    kinds = [(f.name, f.dataType.simpleString()) for f in rows.select(*by).schema]
-    at = [rows.columns.index(c) for c in by]
+    rows = resid.select(*by, *[c for c in key if c not in by], "ep_idx", F.xxhash64(*key, F.lit(seed)).alias("_t"), F.round("resid", 9).alias("_v"))
+    dealt = rows.repartition(*key).sortWithinPartitions("_t", *key, "ep_idx").select(*by, F.xxhash64(*key).alias("_k"), "_t", "_v")
+    kinds = [(f.name, f.dataType.simpleString()) for f in dealt.select(*by).schema]
     names = [*by, "perm", "lag", "x", "y", "c"]
 
+    def counted(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        k, t, v = (table.column(c).to_numpy() for c in ("_k", "_t", "_v"))
+        start = np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])])
+        track = np.cumsum(start) - 1
+        place = (np.arange(len(v)) - np.flatnonzero(start)[track]).astype(np.uint64)
+        values, codes = np.unique(v, return_inverse=True)
+        units = table.select(by).to_pandas() if by else pd.DataFrame(index=range(len(v)))
+        unit = units.groupby(by, sort=False, dropna=False).ngroup().to_numpy() if by else np.zeros(len(v), np.int64)
+        first = np.unique(unit, return_index=True)[1]
+        d = len(values)
+        for perm in range(perms + 1):
+            seen = codes
+            if perm:
+                keys = _mixed(_mixed(t.view(np.uint64) + np.uint64(perm * 0x9E3779B97F4A7C15 % 2**64)) + place)
+                seen = codes[np.lexsort((keys, track))]
+            for lag in range(1, lags + 1):
+                inside = np.flatnonzero(track[:-lag] == track[lag:]) if len(v) > lag else []
+                if not len(inside):
+                    continue
+                cell, c = np.unique((unit[inside] * d + seen[inside]) * d + seen[inside + lag], return_counts=True)
+                at = first[cell // (d * d)]
+                held = [table.column(b).take(pa.array(at)).combine_chunks() for b in by]
+                held = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in held]
+                n = len(cell)
+                yield pa.RecordBatch.from_arrays([*held, pa.array(np.full(n, perm, np.int32)), pa.array(np.full(n, lag, np.int32)), pa.array(values[cell // d % d]), pa.array(values[cell % d]), pa.array(c)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, int] = {}
-        types = None
-
-        def out() -> pa.RecordBatch:
-            cols = list(zip(*[(*unit, perm, lag, x, y, c) for (unit, perm, lag, x, y), c in held.items()], strict=True))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-
-        def count(track: tuple, unit: tuple, values: list[float]) -> None:
-            v = np.array(values)
-            code = int.from_bytes(blake2b(repr((track, seed)).encode(), digest_size=8).digest(), "big")
-            rng = np.random.default_rng(code)
-            for perm in range(perms + 1):
-                order = v if not perm else rng.permutation(v)
-                for lag in range(1, min(lags, len(v) - 1) + 1):
-                    for x, y in zip(order[:-lag].tolist(), order[lag:].tolist(), strict=True):
-                        k = (unit, perm, lag, x, y)
-                        held[k] = held.get(k, 0) + 1
-
-        last, unit, values = None, (), []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            types = types or [*[batch.schema.field(i).type for i in at], pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
-            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for k in range(batch.num_rows):
-                track = tuple(c[k] for c in cols[: len(key)])
-                if track != last:
-                    if values:
-                        count(last, unit, values)
-                    last, unit, values = track, tuple(cols[i][k] for i in at), []
-                values.append(cols[-1][k])
-            if len(held) > PAIRS_HELD:
-                yield out()
-        if values:
-            count(last, unit, values)
-        if held:
-            yield out()
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= EPISODES_HELD:
+                table = pa.Table.from_batches(held)
+                k = table.column("_k").to_numpy()
+                whole = np.flatnonzero(k != k[-1])  # the last track may go on
+                cut = int(whole[-1]) + 1 if len(whole) else 0
+                if cut:
+                    yield from counted(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+        table = pa.Table.from_batches(held) if held else None
+        if table is not None and table.num_rows:
+            yield from counted(table)
 
     schema = ", ".join([*[f"{n} {t}" for n, t in kinds], "perm int", "lag int", "x double", "y double", "c long"])
-    counted = dealt.mapInArrow(run, schema)
-    return stored(counted.groupBy(*by, "perm", "lag", "x", "y").agg(F.sum("c").alias("c")))
+    return stored(dealt.mapInArrow(run, schema).groupBy(*by, "perm", "lag", "x", "y").agg(F.sum("c").alias("c")))
 
 
 def deltas(rho: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -153,12 +163,11 @@ def permutation_null(resid: DataFrame, reps: int = 50, lag: int = 1, key: Sequen
 
 
 def resampled_videos(videos: DataFrame, reps: int, seed: int = 0) -> DataFrame:
-    """Multiplicity of each video in each bootstrap replicate: as many hashed draws as there are videos, with replacement."""
-    numbered = videos.select("video").distinct().withColumn("i", F.row_number().over(Window.orderBy("video")) - 1)
-    n = numbered.agg(F.count("*").alias("n"))
-    draws = numbered.select(F.col("i").alias("draw")).crossJoin(n).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    pick = F.conv(F.substring(hashed("rep", "draw", F.lit(seed)), 1, 8), 16, 10).cast("long") % F.col("n")
-    return draws.select("rep", pick.alias("i")).groupBy("rep", "i").agg(F.count("*").alias("m")).join(numbered, "i").select("rep", "video", "m")
+    """(rep, slot, video): bootstrap replicates of as many hashed draws as there are videos, with replacement."""
+    names = stored(numbered(videos.select("video").distinct(), ["video"], "_i").select("video", (F.col("_i") - 1).alias("_i")))
+    n = names.count()
+    slots = videos.sparkSession.range(n).select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    return slots.withColumn("_i", hash_number(F.col("rep"), F.col("slot"), F.lit(seed)) % max(n, 1)).join(names, "_i").select("rep", "slot", "video")
 
 
 def weighted_spearman(pairs: DataFrame, by: Sequence[str], weight: str, min_n: int = 3) -> DataFrame:
@@ -171,15 +180,19 @@ def weighted_spearman(pairs: DataFrame, by: Sequence[str], weight: str, min_n: i
     return s.select(*by, F.when((n >= min_n) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("rho"), "n")
 
 
-def bootstrap_deltas(counts: DataFrame, reps: int = 200, by: Sequence[str] = (), seed: int = 0, min_pairs: int = 3) -> DataFrame:
-    """(by, rep, delta) over resampled videos, from ``pair_counts`` by (video and ``by``) with the permuted orders in it.
+def bootstrap_deltas(counts: DataFrame, reps: int = 200, by: Sequence[str] = (), seed: int = 0, min_pairs: int = 3, orders: int = 3) -> DataFrame:
+    """(by, rep, delta) over resampled videos, from ``pair_counts`` by (video and ``by``) with permuted orders in it.
 
-    A replicate weighs each video's counts; the permuted orders are drawn once, not anew for each replicate.
+    Each replicate draws ``orders`` permuted orders of its own for each of its videos (twice drawn, twice shuffled) out
+    of those in ``counts``: with many of them replicates hardly ever share a shuffle.
     """
-    videos = resampled_videos(counts, reps, seed)
-    drawn = counts.join(videos, "video").withColumn("w", F.col("c") * F.col("m"))
-    pooled = stored(drawn.groupBy(*by, "rep", "perm", "x", "y").agg(F.sum("w").alias("w")))
-    return deltas(weighted_spearman(pooled, [*by, "rep", "perm"], "w", min_pairs), [*by, "rep"]).select(*by, "rep", "delta").filter("delta is not null")
+    pool = counts.agg(F.max("perm")).first()[0] or 0
+    drawn = resampled_videos(counts, reps, seed)
+    again = drawn.withColumn("_q", F.explode(F.sequence(F.lit(1), F.lit(orders))))
+    fresh = again.withColumn("perm", (hash_number(F.col("rep"), F.col("slot"), F.col("_q"), F.lit(seed)) % max(pool, 1) + 1).cast("int"))
+    draws = drawn.select("rep", "video", F.lit(0).alias("_q"), F.lit(0).alias("perm")).union(fresh.select("rep", "video", "_q", "perm")).groupBy("rep", "video", "_q", "perm").agg(F.count("*").alias("m"))
+    weighed = counts.join(draws, ["video", "perm"]).groupBy(*by, "rep", F.col("_q").alias("perm"), "x", "y").agg(F.sum(F.col("c") * F.col("m")).alias("w"))
+    return deltas(weighted_spearman(stored(weighed), [*by, "rep", "perm"], "w", min_pairs), [*by, "rep"]).select(*by, "rep", "delta").filter("delta is not null")
 
 
 def interval(replicates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -224,7 +237,7 @@ def scc_profile(resid: DataFrame, lags: int = 5, key: Sequence[str] = KEY, perms
     return deltas(weighted_spearman(counts, ["lag", "perm"], "c", 30), ["lag"])
 
 
-def scc_intervals(resid: DataFrame, lags: int = 5, key: Sequence[str] = KEY, perms: int = 3, reps: int = 50, seed: int = 0) -> DataFrame:
-    """95 % interval over resampled videos of each lag's difference."""
+def scc_intervals(resid: DataFrame, lags: int = 5, key: Sequence[str] = KEY, perms: int = 60, reps: int = 100, seed: int = 0) -> DataFrame:
+    """95 % interval over resampled videos of each lag's difference, with permuted orders drawn out of ``perms``."""
     counts = pair_counts(resid, perms, lags, key, ["video"], seed)
     return interval(bootstrap_deltas(counts, reps, ["lag"], seed, 30), ["lag"])

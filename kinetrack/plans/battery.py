@@ -78,7 +78,7 @@ def design_sweep(tracks: DataFrame, perms: int = 20, reps: int = 50, key: Sequen
     counts = serial.pair_counts(resid, perms, 1, ["config", *key], ["config", "video"])
     pooled = counts.groupBy("config", "perm", "x", "y").agg(F.sum("c").alias("c"))
     seen = serial.deltas(serial.weighted_spearman(pooled, ["config", "perm"], "c", 30), ["config"])
-    spread = serial.interval(serial.bootstrap_deltas(counts.filter("perm <= 3"), reps, ["config"], min_pairs=30), ["config"])
+    spread = serial.interval(serial.bootstrap_deltas(counts, reps, ["config"], min_pairs=30), ["config"])
     return seen.join(eps.groupBy("config").agg(F.count("*").alias("n_episodes")), "config").join(spread.select("config", "low", "high"), "config", "left")
 
 

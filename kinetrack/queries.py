@@ -350,19 +350,19 @@ query("W24_spearman_by_lag", f"SELECT {L('lag')}, {r('CASE WHEN count(*) >= 3 TH
 CELL = {"res6": "SELECT e.*, ln(run / 50) - m AS resid FROM eps9 e JOIN (SELECT state, avg(ln(run / 50)) AS m FROM eps9 GROUP BY state) USING (state) WHERE n_eps >= 5", "p6": "SELECT video, track_id, x, y FROM (SELECT video, track_id, resid AS x, lead(resid) OVER (PARTITION BY video, track_id ORDER BY ep_idx) AS y FROM res6) WHERE y IS NOT NULL", "rk6": ranks("SELECT * FROM p6", "video, track_id"), "rho6": "SELECT CASE WHEN count(*) >= 3 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho FROM rk6 GROUP BY video, track_id"}
 query("M12_per_cell_memory", f"SELECT {r('tanh(avg(atanh(greatest(-0.999, least(0.999, rho))))) AS mean_rho')}, count(*) AS n_tracks FROM rho6 WHERE rho IS NOT NULL", CELL)(lambda s, d: serial.per_cell_memory(eps9(s, d), 5))
 query("M11_permutation_null")(lambda s, d: serial.permutation_null(resid(s, d)))
-def lag_counts(s: SparkSession, d: str, t=tracks, perms: int = 3) -> DataFrame:
+def lag_counts(s: SparkSession, d: str, t=tracks, perms: int = 30) -> DataFrame:
     """Counts of successive residuals by video, observed and permuted."""
     return serial.pair_counts(serial.residuals(episodes.episodes(states.frame_states(t(s, d), 9))), perms, 1)
 
 
 query("M13_bootstrap")(lambda s, d: serial.interval(serial.bootstrap_deltas(lag_counts(s, d), 100)))
 query("M13_cohort_difference")(lambda s, d: serial.cohort_difference(serial.bootstrap_deltas(lag_counts(s, d), 100), serial.bootstrap_deltas(lag_counts(s, d, pred), 100, seed=1)))
-query("M13_leave_one_out_range")(lambda s, d: serial.deltas(serial.leave_one_out(lag_counts(s, d), ["perm"]), ["left_out"]).agg(F.min("delta").alias("low"), F.max("delta").alias("high"), F.count("*").alias("n_videos")))
+query("M13_leave_one_out_range")(lambda s, d: serial.deltas(serial.leave_one_out(lag_counts(s, d, perms=3), ["perm"]), ["left_out"]).agg(F.min("delta").alias("low"), F.max("delta").alias("high"), F.count("*").alias("n_videos")))
 LOO = {"cp": "SELECT l.video AS left_out, p.video, x, y FROM pairs p, (SELECT DISTINCT video FROM pairs WHERE lag = 1) l WHERE lag = 1 AND p.video <> l.video", "rkl": ranks("SELECT * FROM cp", "left_out")}
 query("M13_leave_one_out", f"SELECT left_out, {r('CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho')}, count(*) AS n FROM rkl GROUP BY left_out", LOO)(lambda s, d: serial.leave_one_out(serial.pair_counts(resid(s, d))))
 query("M14_wild_bootstrap")(lambda s, d: serial.wild_bootstrap_t(serial.permutation_null(resid(s, d), 50, 1, by=["video"], min_pairs=30)))
 query("M15_scc_profile")(lambda s, d: summary.union_all([serial.scc_profile(x).withColumn("variant", F.lit(n)) for n, x in (("raw", resid(s, d)), ("trait", serial.trait_residuals(eps9(s, d))))]))
-query("M15_scc_intervals")(lambda s, d: serial.scc_intervals(resid(s, d), 3, perms=2, reps=40))
+query("M15_scc_intervals")(lambda s, d: serial.scc_intervals(resid(s, d), 5, perms=30, reps=100))
 query("M16_design_sweep")(lambda s, d: battery.design_sweep(tracks(s, d), 10, 40))
 
 # ---- features and statistics

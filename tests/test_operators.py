@@ -286,11 +286,11 @@ def test_permutation_and_bootstrap(spark, seqs):
     null = serial.permutation_null(resid, 20).first()
     assert abs(null.observed - np.corrcoef(rank([x for x, _ in pairs]), rank([y for _, y in pairs]))[0, 1]) < 1e-9
     assert null.n == len(pairs) and 0 <= null.p <= 1 and abs(null.delta - (null.observed - null.null_mean)) < 1e-12
-    draws = serial.resampled_videos(resid, 30).groupBy("rep").agg(F.sum("m").alias("m")).collect()
-    assert len(draws) == 30 and {r.m for r in draws} == {4}
-    b = serial.interval(serial.bootstrap_deltas(serial.pair_counts(resid, 2), 20)).first()
+    draws = serial.resampled_videos(resid, 30).groupBy("rep").agg(F.count("*").alias("m"), F.count_distinct("slot").alias("s")).collect()
+    assert len(draws) == 30 and {(r.m, r.s) for r in draws} == {(4, 4)}
+    b = serial.interval(serial.bootstrap_deltas(serial.pair_counts(resid, 8), 20)).first()
     assert b.low <= b.median <= b.high and b.n_reps == 20
-    one = serial.bootstrap_deltas(serial.pair_counts(resid, 2), 10)
+    one = serial.bootstrap_deltas(serial.pair_counts(resid, 8), 10)
     same = serial.cohort_difference(one, one).first()
     assert same.low == same.high == 0 and same.p_positive == 1
     loo = {r.left_out: r.rho for r in serial.leave_one_out(serial.pair_counts(resid)).collect()}
@@ -303,6 +303,44 @@ def test_permutation_and_bootstrap(spark, seqs):
     assert all(profile[k].n == sum(want[k].values()) for k in profile)
 
 
+def test_pair_counts_in_blocks(spark, seqs, monkeypatch):
+    """Blocks of a few episodes give the same orders and counts; shuffles differ between tracks, perms and seeds."""
+    resid = serial.residuals(episodes.episodes(sequences(spark, seqs)))
+    whole = sorted(serial.pair_counts(resid, 3, 2).collect())
+    monkeypatch.setattr(serial, "EPISODES_HELD", 9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        assert sorted(serial.pair_counts(resid, 3, 2).collect()) == whole
+        assert sorted(serial.pair_counts(resid, 3, 2, seed=1).collect()) != whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert serial.pair_counts(resid.limit(0), 3, 2).count() == 0
+
+
+def chains(rng, n, phi=0.35, length=16):
+    out = np.zeros((n, length))
+    out[:, 0] = rng.normal(size=n)
+    for k in range(1, length):
+        out[:, k] = phi * out[:, k - 1] + np.sqrt(1 - phi**2) * rng.normal(size=n)
+    return out.round(2)
+
+
+def test_interval_covers_known_correlation(spark):
+    """Bootstrap intervals of the memory of simulated chains hold its true value about as often as they say."""
+    rng = np.random.default_rng(12)
+    spearman = lambda v: np.corrcoef(rank(v[:, :-1].ravel().tolist()), rank(v[:, 1:].ravel().tolist()))[0, 1]
+    small = chains(rng, 800)
+    truth = spearman(small) - np.mean([spearman(rng.permuted(small, axis=1)) for _ in range(3)])
+    inside = 0
+    for seed in range(5):
+        rows = [(f"{k % 24:02d}", k, i, float(x)) for k, v in enumerate(chains(rng, 96)) for i, x in enumerate(v)]
+        counts = serial.pair_counts(spark.createDataFrame(rows, "video string, track_id long, ep_idx int, resid double"), 20, 1, seed=seed)
+        told = serial.interval(serial.bootstrap_deltas(counts, 60, seed=seed)).first()
+        inside += told.low <= truth <= told.high
+        assert 0.05 < told.high - told.low < 0.3
+    assert inside >= 4
+
+
 def test_greedy_matches(spark):
     rng = np.random.default_rng(9)
     gt = [("v", t, f, float(x), float(y), 1.0) for f in range(6) for t, (x, y) in enumerate(rng.uniform(-40, 40, (25, 2)))]
