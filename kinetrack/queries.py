@@ -530,6 +530,27 @@ def written(s: SparkSession, d: str) -> DataFrame:
 
 
 query("S15_written_tables", f"SELECT form, video, count(*) AS n, {L('sum(track_id) AS ids', 'sum(frame) AS frames')}, {r('avg(cx) AS cx')} FROM tracks, (VALUES ('parquet'), ('json'), ('csv')) f(form) GROUP BY form, video")(lambda s, d: written(s, d).groupBy("form", "video").agg(F.count("*").alias("n"), F.sum("track_id").alias("ids"), F.sum("frame").alias("frames"), F.avg("cx").alias("cx")))
+def track_folder(s: SparkSession, d: str) -> str:
+    """A folder of track files: plain ones, and a second tracker's."""
+    root = files.scratch(s)
+    both = summary.union_all([tracks(s, d).withColumn("tracker", F.lit("plain")), pred(s, d).withColumn("tracker", F.lit("bytetrack"))])
+    files.write_tracks(both, root)
+    return root
+
+
+def motility_folder(s: SparkSession, d: str) -> str:
+    root = files.scratch(s)
+    files.write_motility(kept(s, d), root)
+    return root
+
+
+FILED = {"filed": "SELECT *, 'plain' AS tracker FROM tracks UNION ALL SELECT *, 'bytetrack' FROM pred_tracks"}
+query("S01_track_files", f"SELECT video, tracker, track_id, {L('frame')}, {r('cx', 'cy', 'conf')} FROM filed", FILED)(lambda s, d: files.read_tracks(s, track_folder(s, d)).select("video", "tracker", "track_id", "frame", "cx", "cy", "conf"))
+query("S02_file_names", "SELECT DISTINCT video, tracker, video || CASE tracker WHEN 'plain' THEN '' ELSE '_' || tracker END || '_tracks.csv' AS file FROM filed", FILED)(
+    lambda s, d: s.read.text(track_folder(s, d)).select(F.col("_metadata.file_name").alias("file")).distinct().select(*[c.alias(n) for c, n in zip(files.name_parts(F.col("file")), ("video", "tracker"), strict=True)], "file")
+)
+query("S03_plain_files", "SELECT video, count(*) AS n, count(DISTINCT track_id) AS n_tracks FROM tracks GROUP BY video")(lambda s, d: files.read_tracks(s, track_folder(s, d), plain_only=True).groupBy("video").agg(F.count("*").alias("n"), F.count_distinct("track_id").alias("n_tracks")))
+query("S14_motility_files", f"SELECT video, track_id, {L('n_frames')}, duration_s, {r(*Q)}, motility FROM kept")(lambda s, d: files.read_motility(s, motility_folder(s, d)).select("video", "track_id", "n_frames", "duration_s", *METRICS, "motility"))
 query("S06_json_annotations", f"SELECT video, {L('frame')}, {r('x1 AS x', 'y1 AS y', 'x2 - x1 AS w', 'y2 - y1 AS h')} FROM detections")(
     lambda s, d: files.parse_json_annotations(
         fixtures.detections(s, d).groupBy("video", "frame", F.col("cls").alias("k")).agg(F.collect_list(F.struct("frame", F.col("x1").alias("x"), F.col("y1").alias("bbox_y"), (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("bbox_h"))).alias("b"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -159,10 +160,64 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", by: Sequence[st
     (w.partitionBy(*by) if by else w).format(form).save(path)
 
 
-def read_motility(spark: SparkSession, path: str) -> DataFrame:
-    """The ``<video>_motility.csv`` files of a folder as one table, tagged with their video."""
-    raw = spark.read.option("header", True).option("inferSchema", True).option("pathGlobFilter", "*_motility.csv").csv(path)
-    return raw.withColumn("video", F.regexp_replace(F.col("_metadata.file_name"), r"_motility\.csv$", ""))
+def write_named(df: DataFrame, path: str, name: Column, columns: Sequence[str | Column], order: Sequence[str] = (), form: str = "csv") -> None:
+    """One file of each ``name`` in the folder ``path``: ``columns`` of its rows in ``order``; a file of that name is replaced, others stay.
+
+    Spark's own committer writes an attempt folder beside the target (which readers skip), one task a name; only when
+    all of it is there are the files renamed, by the folder's Hadoop file system, so a lost task or job leaves no part
+    of a file. The driver handles names, never rows. Rows whose name is null are refused.
+    """
+    spark = df.sparkSession
+    attempt = f"{path.rstrip('/')}/_attempt-{uuid.uuid4().hex}"
+    named = df.select(F.when(name.isNull(), F.raise_error(F.lit("a row without a file name"))).otherwise(name).alias("_name"), *columns)
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(attempt)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        named.repartition("_name").sortWithinPartitions("_name", *order).write.partitionBy("_name").option("header", True).format(form).save(attempt)
+        for folder in fs.listStatus(at):
+            if folder.isDirectory():
+                parts = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+                if len(parts) != 1:
+                    raise RuntimeError(f"{folder.getPath().getName()}: {len(parts)} parts")
+                to = jvm.org.apache.hadoop.fs.Path(path, unquote(folder.getPath().getName().removeprefix("_name=")))
+                fs.delete(to, False)
+                if not fs.rename(parts[0], to):
+                    raise RuntimeError(f"{to} could not be written")
+    finally:
+        fs.delete(at, True)
+
+
+def track_file(video: Column, tracker: Column) -> Column:
+    """Name of a track file; ``plain`` ones have no suffix."""
+    return F.concat(video, F.when(tracker == "plain", "").otherwise(F.concat(F.lit("_"), tracker)), F.lit("_tracks.csv"))
+
+
+def write_tracks(tracks: DataFrame, path: str) -> None:
+    """(video, tracker, track columns) as one file of each video and tracker."""
+    fields = [f.split()[0] for f in TRACKS.split(", ")]
+    have = [F.col(c) if c in tracks.columns else F.lit(None).cast("double").alias(c) for c in fields]
+    write_named(tracks, path, track_file(F.col("video"), F.col("tracker")), have, ["track_id", "frame"])
+
+
+MOTILITY = "track_id long, n_frames long, duration_s double, VCL double, VSL double, VAP double, LIN double, STR double, WOB double, ALH double, BCF double, motility string"
+
+
+def write_motility(metrics: DataFrame, path: str) -> None:
+    """The metrics of each video's tracks as ``<video>_motility.csv``."""
+    fields = [f.split()[0] for f in MOTILITY.split(", ")]
+    write_named(metrics, path, F.concat("video", F.lit("_motility.csv")), fields, ["track_id"])
+
+
+def read_motility(spark: SparkSession, path: str, schema: str = MOTILITY) -> DataFrame:
+    """The ``<video>_motility.csv`` files of a folder as one table, tagged with their video.
+
+    Columns are found by the header; those of ``schema`` get its types without a pass over the files, others stay text.
+    """
+    raw = spark.read.option("header", True).option("pathGlobFilter", "*_motility.csv").csv(path)
+    kinds = dict(f.split() for f in schema.split(", "))
+    told = [F.col(f"`{c}`").try_cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in raw.columns]
+    return raw.select(*told, F.regexp_replace(F.col("_metadata.file_name"), r"_motility\.csv$", "").alias("video"))
 
 
 def work_list(experiments: DataFrame, videos: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

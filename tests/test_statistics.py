@@ -190,6 +190,26 @@ def test_motility_files_and_work_list(spark, tmp_path):
     assert sorted(map(tuple, work.collect())) == [("x", "b"), ("y", "b")] and list(map(tuple, unknown.collect())) == [("video", "no")]
 
 
+def test_named_files(spark, tmp_path):
+    """One file a name with its rows in order; names are kept as they are, a second write replaces its own files alone."""
+    rows = [("a b=1%", 2, 1), ("a b=1%", 1, 2), ("c", 5, 3), ("ü/x".replace("/", "-"), 1, 4)]
+    df = spark.createDataFrame(rows, "video string, track_id long, frame int").repartition(3)
+    path = str(tmp_path / "out")
+    files.write_named(df, path, F.concat("video", F.lit("_t.csv")), ["track_id", "frame"], ["track_id"])
+    held = lambda: {p.name: p.read_text() for p in (tmp_path / "out").glob("*.csv")}
+    assert held() == {"a b=1%_t.csv": "track_id,frame\n1,2\n2,1\n", "c_t.csv": "track_id,frame\n5,3\n", "ü-x_t.csv": "track_id,frame\n1,4\n"}
+    files.write_named(df.filter("video = 'c'").withColumn("frame", F.lit(9)), path, F.concat("video", F.lit("_t.csv")), ["track_id", "frame"])
+    assert held()["c_t.csv"] == "track_id,frame\n5,9\n" and len(held()) == 3
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_attempt")]
+    with pytest.raises(Exception, match="without a file name"):
+        files.write_named(df, path, F.lit(None).cast("string"), ["frame"])
+    assert len(held()) == 3 and not [p for p in (tmp_path / "out").iterdir() if p.is_dir()]
+    files.write_named(df.limit(0), path, F.col("video"), ["frame"])
+    tracks = spark.createDataFrame([("12", "plain", 1, 0, 1.5, 2.5), ("12", "ocsort", 1, 0, 1.5, 2.5)], "video string, tracker string, track_id long, frame int, cx double, cy double")
+    files.write_tracks(tracks, str(tmp_path / "tracks"))
+    assert sorted((r.video, r.tracker, r.cx, r.x1) for r in files.read_tracks(spark, str(tmp_path / "tracks")).collect()) == [("12", "ocsort", 1.5, None), ("12", "plain", 1.5, None)]
+
+
 def test_video_context(spark, sf_dir):
     rows = queries.QUERIES["M32_video_context"](spark, sf_dir).collect()
     moves = {}
