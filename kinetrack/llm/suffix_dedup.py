@@ -1,8 +1,9 @@
-"""Removal of long repeated byte strings by sparse distributed prefix doubling.
+"""Removal of long repeated byte strings by fingerprints at growing lengths, in place of prefix doubling.
 
-A position's rank at length l is the fingerprint of the l bytes that start there; the rank at a greater length
-comes from the ranks of its two parts (prefix fingerprints add up), and Spark groups positions by rank. Positions
-whose rank is unique drop out; the rest go on at a greater length until the threshold is reached:
+No rank is made in Spark from a sorted pair of shorter ranks: that would sort a row for every byte. The fingerprint of
+the l bytes that start at a position, computed in tasks from the raw bytes, stands for its rank at length l, and Spark
+groups positions by it. Positions whose fingerprint is unique drop out; the rest go on at a greater length until the
+threshold is reached:
 
 1. length 64, at anchors only. In each threshold-long string the 64 bytes of smallest hash are its anchor
    (leftmost on ties), so equal strings have equal anchors at equal offsets. Consecutive starts that share an

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from hashlib import sha1
+from itertools import pairwise
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -173,13 +174,15 @@ def capture_runs(archives: DataFrame) -> DataFrame:
 def merge_runs(captures: DataFrame) -> DataFrame:
     """The capture history: all runs merged by URL key, timestamp and page; ``place`` numbers a partition's captures in order.
 
+    The runs are those that ``capture_runs`` sorted: ranges deal out their pieces, and each piece is merged as it is.
+
     Ranges also cut by timestamp and page, so one URL with a third of all captures spreads over tasks. Their number
     grows with the captures, so that a task merges about ``RANGE_ROWS`` of them, which carry no payloads.
     """
     names = [f.name for f in captures.schema]
     order = ["url_key", "stamp", "page_id"]
     ranges = max(partitions(captures.sparkSession), -(-captures.count() // RANGE_ROWS))
-    dealt = captures.repartitionByRange(ranges, *order).sortWithinPartitions("archive", *order)
+    dealt = captures.repartitionByRange(ranges, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
@@ -189,6 +192,9 @@ def merge_runs(captures: DataFrame) -> DataFrame:
         runs: dict[str, list[tuple]] = {}
         for k, (key, stamp, page, archive) in enumerate(zip(*cols, strict=True)):
             runs.setdefault(archive, []).append((key, stamp, page is not None, page, k))
+        for run_ in runs.values():  # pieces of a run come in its order, unless the shuffle has mixed them
+            if any(b < a for a, b in pairwise(run_)):
+                run_.sort()
         at = [row[-1] for row in LoserTree(runs.values())]
         base = TaskContext.get().partitionId() << 40
         merged = table.take(at).append_column("place", pa.array(range(base, base + len(at)), pa.int64()))
@@ -198,12 +204,14 @@ def merge_runs(captures: DataFrame) -> DataFrame:
     return dealt.select(*names).mapInArrow(run, schema + ", place long")
 
 
-def archive_history(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", stamp: str = EPOCH) -> DataFrame:
+def archive_history(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", stamp: str = EPOCH, stamp_col: str | None = None) -> DataFrame:
     """Write pages as WARC, read the archives back, and return their merged capture history, one row per page.
 
+    ``stamp_col`` names a column of capture times (``2024-01-01T00:00:00Z``, which sort as text); without it, and where
+    it is null, all captures have the time ``stamp``. Captures of one URL follow each other by time, then by page.
     Null html is an empty payload, a null url an empty target. Payloads under 1,000 bytes are always responses. Page
     ids are expected to be unique; repeated rows give repeated captures, and a page without an id is a response.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.lit(stamp).alias("stamp"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), (F.coalesce(F.col(stamp_col).cast("string"), F.lit(stamp)) if stamp_col else F.lit(stamp)).alias("stamp"))
     archives = save(write_archives(rows), "archives")
     return merge_runs(save(capture_runs(archives), "runs"))

@@ -534,6 +534,20 @@ def test_warc(spark, sf_dir):
     assert warc.archive_history(df.limit(0)).count() == 0
 
 
+def test_warc_stamps(spark):
+    """Captures of two URLs at mixed times, with ties, repeated rows and null times, come in order of URL key, time and page."""
+    rng = random.Random(3)
+    urls = ["http://b.example.com/x", "http://a.example.org/?q=1"]
+    times = ["2024-03-01T10:00:00Z", "2023-12-31T23:59:59Z", "2024-03-01T09:59:59Z", None]
+    rows = [(k, urls[rng.randrange(2)], f"<p>{rng.randrange(5)}" * rng.choice((1, 400)), rng.choice(times), "x") for k in range(300)]
+    rows += [rows[0], rows[0], (None, urls[0], "none", times[0], "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, taken string, stamp string").repartition(5)
+    got = sorted(warc.archive_history(df, stamp_col="taken").collect(), key=lambda r: r.place)
+    want = sorted((warc.url_key(u), t or warc.EPOCH, k is not None, k or 0) for k, u, _, t, _ in rows)
+    assert [(r.url_key, r.stamp, r.page_id is not None, r.page_id or 0) for r in got] == want
+    assert {r.stamp for r in warc.archive_history(df).collect()} == {warc.EPOCH}
+
+
 def test_loser_tree():
     rng = random.Random(6)
     for k in range(0, 12):
