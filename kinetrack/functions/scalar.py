@@ -83,3 +83,8 @@ def half_even(x: Column | str, digits: int) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def pearson(x: Column | str, y: Column | str) -> Column:
+    """Aggregate: Pearson's r; null where either does not vary (``corr`` divides by zero there)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

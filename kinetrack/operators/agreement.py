@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from ..functions.scalar import CLASSES, state_code
+from ..functions.scalar import CLASSES, pearson, state_code
 from ..functions.special import column_of, correlation_p
 from .kinematics import KEY, track_metrics
 
@@ -28,7 +28,7 @@ def agreement(long: DataFrame, by: Sequence[str] = ("category",)) -> DataFrame:
     e = F.col("predicted") - F.col("truth")
     out = long.groupBy(*by).agg(
         F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"),
-        F.when(F.count("*") < 3, 0.0).otherwise(F.corr("truth", "predicted")).alias("r"), F.count("*").alias("n"),
+        F.when(F.count("*") < 3, 0.0).otherwise(pearson("truth", "predicted")).alias("r"), F.count("*").alias("n"),
     )
     return out.withColumn("p", column_of(correlation_p, "r", "n"))
 
@@ -134,8 +134,30 @@ def recalibrated(tracks: DataFrame, calibrations: Sequence[tuple[str, float, flo
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """M29."""
-    return df.agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
+    """Pearson's r of two columns."""
+    return df.agg(pearson(x, y).alias("r"), F.count("*").alias("n"))
+
+
+def dissociation(variants: DataFrame, quality: Sequence[str], errors: Sequence[str], min_n: int = 3) -> DataFrame:
+    """(quality, error, r, n): Pearson's r over variants, one row each, of every quality with every error.
+
+    Variants in which either is null do not count; r is null below ``min_n`` variants, or where either does not vary.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(q).alias("quality"), F.lit(e).alias("error"), F.col(q).cast("double").alias("x"), F.col(e).cast("double").alias("y")) for q in quality for e in errors]))
+    long = variants.select(pairs.alias("p")).select("p.*").filter("x is not null and y is not null")
+    varies = (F.max("x") > F.min("x")) & (F.max("y") > F.min("y"))
+    return long.groupBy("quality", "error").agg(F.when((F.count("*") >= min_n) & varies, pearson("x", "y")).alias("r"), F.count("*").alias("n"))
+
+
+def tracker_fidelity(quality: DataFrame, dynamics: DataFrame, truth: str, by: str = "variant") -> DataFrame:
+    """Of each variant but ``truth`` its association quality beside its dynamical errors: |g2 - true g2| and |CV / true CV - 1|.
+
+    ``quality`` has (by, coverage, id_switches), ``dynamics`` (by, g2, dwell_cv) with a row of the truth.
+    """
+    real = dynamics.filter(F.col(by) == truth).select(F.col("g2").alias("_g2"), F.col("dwell_cv").alias("_cv"))
+    told = dynamics.filter(F.col(by) != truth).crossJoin(real)
+    wrong = told.select(by, "g2", "dwell_cv", F.abs(F.col("g2") - F.col("_g2")).alias("g2_error"), F.when(F.col("_cv") != 0, F.abs(F.col("dwell_cv") / F.col("_cv") - 1)).alias("cv_error"))
+    return quality.join(wrong, by)
 
 
 def share(count: Column, *by: str) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import FPS
+from ..functions.scalar import FPS, pearson
 from ..functions.special import column_of, correlation_p, normal_p
 from ..sources.files import stored
 from .episodes import episodes, transition_counts, transition_probabilities
@@ -99,7 +99,7 @@ def partial_spearman(df: DataFrame, x: str, y: str, *controls: str) -> DataFrame
     rest = lambda c, k: F.col(f"_r_{c}") - sum((b * float(w) for b, w in zip(one, beta[:, k], strict=True)), F.lit(0.0))
     left = ranked.select(rest(x, 0).alias("x"), rest(y, 1).alias("y"))
     again = average_ranks(left, {"x": "_a", "y": "_b"})
-    out = again.agg(F.corr("_a", "_b").alias("rho"), F.count("*").alias("n"))
+    out = again.agg(pearson("_a", "_b").alias("rho"), F.count("*").alias("n"))
     return out.withColumn("p", column_of(correlation_p, "rho", "n"))
 
 

@@ -250,20 +250,32 @@ def bca_interval(df: DataFrame, value: str, key: str, reps: int = 500, level: fl
     return df.sparkSession.createDataFrame([(mean, end((1 - level) / 2), end((1 + level) / 2), len(means))], schema)
 
 
-def forest_regression(df: DataFrame, features: Sequence[str], target: str, fold: Column, trees: int = 50, seed: int = 1) -> DataFrame:
-    """Random-forest regression with median imputation, MAE of each fold's held-out rows."""
+def forest_regression(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str] = KEY, folds: int = 5, repeats: int = 20, trees: int = 400, leaf: int = 5, seed: int = 0) -> DataFrame:
+    """(repeat, mae, n, folds): random-forest regression with median imputation, predictions of all held-out rows pooled over the folds of each repeat.
+
+    Folds are hashed anew for each repeat. The rows are cached while this runs, since every fold's fit reads them again.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(target).cast("double").alias("label"), fold.alias("fold")).filter("label is not null").cache()  # read again by every fold's fit
-    pipe = Pipeline(stages=[Imputer(strategy="median", inputCols=list(features), outputCols=[f"{c}_" for c in features]), VectorAssembler(inputCols=[f"{c}_" for c in features], outputCol="features"), RandomForestRegressor(numTrees=trees, maxDepth=4, seed=seed)])
-    out = None
-    for f in sorted(r["fold"] for r in data.select("fold").distinct().collect()):
-        scored = pipe.fit(data.filter(F.col("fold") != f)).transform(data.filter(F.col("fold") == f))
-        part = scored.groupBy("fold").agg(F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("mae"), F.count("*").alias("n"))
-        out = part if out is None else out.union(part)
-    return out
+    from .order import fold_of
+
+    data = df.select(*key, *[F.col(c).cast("double").alias(c) for c in features], F.col(target).cast("double").alias("label")).filter("label is not null").cache()
+    forest = RandomForestRegressor(numTrees=trees, maxDepth=4, minInstancesPerNode=leaf, seed=seed)
+    pipe = Pipeline(stages=[Imputer(strategy="median", inputCols=list(features), outputCols=[f"{c}_" for c in features]), VectorAssembler(inputCols=[f"{c}_" for c in features], outputCol="features"), forest])
+    try:
+        out = []
+        for repeat in range(repeats):
+            parts = data.withColumn("fold", fold_of(key, folds, seed + repeat))
+            for f in sorted(r["fold"] for r in parts.select("fold").distinct().collect()):
+                scored = pipe.fit(parts.filter(F.col("fold") != f)).transform(parts.filter(F.col("fold") == f))
+                r = scored.agg(F.sum(F.abs(F.col("prediction") - F.col("label"))).alias("e"), F.count("*").alias("n")).first()
+                out.append((repeat, f, r["e"], r["n"]))
+    finally:
+        data.unpersist()
+    told = df.sparkSession.createDataFrame(out, "repeat int, fold int, e double, n long")
+    return told.groupBy("repeat").agg((F.sum("e") / F.sum("n")).alias("mae"), F.sum("n").alias("n"), F.count("*").alias("folds"))
 
 
 def mixture_bic(df: DataFrame, features: Sequence[str], ks: Sequence[int] = tuple(range(1, 11)), seeds: Sequence[int] = (1, 2), iterations: int = 30) -> DataFrame:
@@ -394,6 +406,15 @@ def concentration(states: DataFrame, key: Sequence[str] = KEY, index: str = "idx
     return states.sparkSession.createDataFrame(rows, "state int, concentration double, log_likelihood double, tracks long")
 
 
+def markov_and_hmm(sequences: DataFrame, orders: Sequence[int] = (0, 1, 2, 3), hidden: Sequence[int] = (2, 3, 4, 5), key: Sequence[str] = KEY, index: str = "idx", **options) -> DataFrame:
+    """M8: (model, size, ll_per_token, n_tokens): Markov chains and hidden Markov models held out on the same folds of the same sequences."""
+    from .order import order_test
+
+    chains = order_test(sequences, orders, key=key, index=index).select(F.lit("markov").alias("model"), F.col("order").cast("int").alias("size"), "ll_per_token", "n_tokens")
+    models = hidden_markov(sequences, hidden, key=key, index=index, **options).select(F.lit("hmm"), "hidden", "heldout_ll_per_token", "n_tokens")
+    return chains.union(models)
+
+
 def hidden_markov(sequences: DataFrame, hidden: Sequence[int] = (2, 3, 4, 5), folds: int = 5, restarts: int = 3, iterations: int = 20, key: Sequence[str] = KEY, index: str = "idx", symbols: int = 3) -> DataFrame:
     """M8: held-out log-likelihood per token of discrete HMMs by Baum-Welch, for each number of hidden states.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import FPS
+from ..functions.scalar import FPS, pearson
 from ..sources.files import stored
 from .kinematics import KEY
 from .ranks import distinct_ranks, hash_number, numbered
@@ -65,7 +65,7 @@ def average_ranks(df: DataFrame, names: dict[str, str], by: Sequence[str] = (),
 def spearman(pairs: DataFrame, by: Sequence[str] = (), x: str = "x", y: str = "y", min_n: int = 3, few: bool | None = None) -> DataFrame:
     """Correlation of average ranks in each group; ``few`` as in ``average_ranks``."""
     ranked = average_ranks(pairs, {x: "_rx", y: "_ry"}, by, few=few)
-    return ranked.groupBy(*by).agg(F.when(F.count("*") >= min_n, F.corr("_rx", "_ry")).alias("rho"), F.count("*").alias("n"))
+    return ranked.groupBy(*by).agg(F.when(F.count("*") >= min_n, pearson("_rx", "_ry")).alias("rho"), F.count("*").alias("n"))
 
 
 def per_cell_memory(eps: DataFrame, min_eps: int = 6, key: Sequence[str] = KEY) -> DataFrame:

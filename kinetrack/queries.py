@@ -321,8 +321,8 @@ query("M05_context_counts", f"SELECT ctx, {L('nxt AS next', 't AS n')} FROM ca W
 query("M06_order_test", f"SELECT {L('o AS \"order\"', 'n AS n_tokens')}, {r('ll AS ll_per_token')} FROM ll", CTX)(lambda s, d: order.order_test(frame_states(s, d)))
 query("M06_order_gains", f"SELECT {L('a.o AS \"order\"')}, {r('a.ll - b.ll AS gain', 'exp(b.ll - a.ll) AS perplexity_ratio')} FROM ll a JOIN ll b ON a.o = b.o + 1", CTX)(lambda s, d: order.order_gains(order.order_test(frame_states(s, d))))
 MODAL9 = "SELECT video, track_id, block, CAST(state AS BIGINT) AS state FROM (SELECT *, row_number() OVER (PARTITION BY video, track_id, block ORDER BY n DESC, state) AS k FROM (SELECT video, track_id, block, state, count(*) AS n FROM (SELECT *, CAST(floor(idx / 9) AS BIGINT) AS block, floor(count(*) OVER (PARTITION BY video, track_id) / 9) AS blocks FROM states) WHERE blocks >= 2 AND block < blocks GROUP BY ALL)) WHERE k = 1"
-MODAL = CTX | {"mblocks": MODAL9, "tok": CTX["tok"].replace("FROM states", "FROM mblocks").replace("ORDER BY idx", "ORDER BY block")}
-query("M07_block_order_test", f"SELECT {L('o AS \"order\"', 'n AS n_tokens')}, {r('ll AS ll_per_token')} FROM ll", MODAL)(lambda s, d: order.order_test(states.modal_blocks(frame_states(s, d), 9), index="block"))
+MODAL = CTX | BLOCKS | {"tok": CTX["tok"].replace("FROM states", "FROM bstates").replace("ORDER BY idx", "ORDER BY block")}
+query("M07_block_order_test", f"SELECT {L('o AS \"order\"', 'n AS n_tokens')}, {r('ll AS ll_per_token')} FROM ll", MODAL)(lambda s, d: order.order_test(states.block_states(tracks(s, d), 9), index="block"))
 LAWS = {"sums": "SELECT state, sum(n) AS n, sum(n * run / 50) AS sx, sum(n * ln(run / 50)) AS sl, sum(n * power(ln(run / 50), 2)) AS sl2 FROM hist GROUP BY state", "va": "SELECT *, sl2 / n - power(sl / n, 2) AS v FROM sums"}
 query("M01_closed_laws", f"SELECT {L('state', 'n')}, 'exponential' AS law, {r('sx / n AS a', 'CAST(NULL AS DOUBLE) AS b', '2 + 2 * n * (ln(sx / n) + 1) AS aic')} FROM sums UNION ALL SELECT {L('state', 'n')}, 'lognormal', {r('sl / n AS a', 'sqrt(v) AS b', '4 + 2 * (n * (0.5 * ln(2 * pi() * v) + 0.5) + sl) AS aic')} FROM va", LAWS)(lambda s, d: laws.closed_laws(episodes.dwell_histogram(eps9(s, d))))
 query("M01_dwell_laws")(lambda s, d: laws.dwell_laws(episodes.dwell_histogram(eps9(s, d))))
@@ -412,7 +412,33 @@ query("M27_univariate", f"SELECT feature, {r('corr(rx, ry) AS rho')}, count(*) A
 WZ = "(n * (n + 1) / 4 - least(wp, wm)) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)"
 WP = f"1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda k: power(-1, k) * exp((2 * k + 1) * ln({WZ} / sqrt(2)) - lgamma(k + 1)) / (2 * k + 1))) AS p"
 query("M28_wilcoxon", f"SELECT {r('wp AS w_plus', 'wm AS w_minus', WP)}, n FROM (SELECT sum(CASE WHEN dd > 0 THEN rx ELSE 0 END) AS wp, sum(CASE WHEN dd < 0 THEN rx ELSE 0 END) AS wm, count(*) AS n, (SELECT coalesce(sum(t * t * t - t), 0) FROM (SELECT count(*) AS t FROM wr GROUP BY round(x, 9))) AS ties FROM wr)", LONG | {"wd": "SELECT predicted - truth AS dd, abs(predicted - truth) AS x, 0 AS y FROM long WHERE category = 'progressive' AND abs(predicted - truth) > 1e-12", "wr": ranks("SELECT * FROM wd")})(lambda s, d: features.wilcoxon(compared(s, d).filter("category = 'progressive'"), "predicted", "truth"))
+#: Trackers worse than the truth: name, every how many boxes one is missed, which tracks change their name, from which frame on.
+VARIANTS = [("misses_10", 10, 4, 30), ("misses_5", 5, 4, 30), ("misses_3", 3, 4, 20), ("switches_2", 10, 2, 15), ("switches_3", 7, 3, 10)]
+
+
+def variants(s: SparkSession, d: str) -> DataFrame:
+    """Tracks as each variant sees them; the truth is a variant of its own."""
+    t = tracks(s, d).withColumn("variant", F.lit("truth"))
+    changed = lambda m, f: F.when((F.col("track_id") % m == 1) & (F.col("frame") >= f), F.col("track_id") + 1_000_000).otherwise(F.col("track_id"))
+    return summary.union_all([t, *[t.filter((F.col("track_id") * 31 + F.col("frame")) % k != 0).withColumns({"track_id": changed(m, f), "variant": F.lit(name)}) for name, k, m, f in VARIANTS]])
+
+
+def fidelity(s: SparkSession, d: str) -> DataFrame:
+    told = files.stored(variants(s, d))
+    within = lambda df: df.withColumn("video", F.concat_ws(":", "variant", "video"))
+    seen = within(told.filter("variant <> 'truth'"))
+    truth = told.filter("variant = 'truth'").drop("variant").crossJoin(F.broadcast(s.createDataFrame([(v[0],) for v in VARIANTS], "variant string")))
+    quality = association.tracking_quality(within(truth).drop("variant"), seen.drop("variant")).groupBy(F.substring_index("video", ":", 1).alias("variant")).agg(F.avg("coverage").alias("coverage"), F.avg("id_switches").alias("id_switches"))
+    key = ["variant", *K]
+    at = files.stored(states.frame_states(told, 9, key=key))
+    cv = episodes.episodes(at, key).groupBy("variant").agg((F.stddev_pop("run") / F.avg("run")).alias("dwell_cv"))
+    gains = summary.union_all([order.order_gains(order.order_test(at.filter(F.col("variant") == v), (1, 2), key=key)).filter("order = 2").select(F.lit(v).alias("variant"), F.col("gain").alias("g2")) for v in ("truth", *[x[0] for x in VARIANTS])])
+    return agreement.tracker_fidelity(quality, gains.join(cv, "variant"), "truth")
+
+
 query("M29_correlation", f"SELECT {r('corr(\"VCL\", \"STR\") AS r')}, count(*) AS n FROM kept")(lambda s, d: agreement.correlation(kept(s, d), "VCL", "STR"))
+query("M29_tracker_fidelity")(fidelity)
+query("M29_dissociation")(lambda s, d: agreement.dissociation(fidelity(s, d), ["coverage", "id_switches"], ["g2_error", "cv_error"]))
 query("M30_recalibration", f"SELECT {', '.join(K)}, {L('n_frames')}, duration_s, {r(*Q)}, 'new' AS calibration FROM metrics UNION ALL SELECT {', '.join(K)}, {L('n_frames')}, duration_s, {r(*Q)}, 'old' FROM metrics_old")(lambda s, d: agreement.recalibrated(tracks(s, d), [("new", 1.422, 50), ("old", 1.0, 30)]))
 STATS = {"cm": "SELECT 'gt' AS cohort, count(*) AS n, avg(conf) AS conf FROM tracks UNION ALL SELECT 'auto', count(*), avg(conf) FROM pred_tracks"}
 query("J14_cohort_comparison", f"SELECT metric, {r('a', 'b', 'a / b AS ratio', 'a - b AS difference')} FROM (SELECT 'n' AS metric, max(n) FILTER (cohort = 'auto')::DOUBLE AS a, max(n) FILTER (cohort = 'gt')::DOUBLE AS b FROM cm UNION ALL SELECT 'conf', max(conf) FILTER (cohort = 'auto'), max(conf) FILTER (cohort = 'gt') FROM cm)", STATS)(
@@ -495,7 +521,11 @@ CHI = {"xt": "SELECT video, motility, count(*) AS n FROM kept GROUP BY ALL"}
 query("A35_chi_square", f"SELECT {r('chi2', 'list_sum(list_transform(range(0, CAST(dof / 2 AS BIGINT)), lambda i: exp(i * ln(chi2 / 2) - chi2 / 2 - lgamma(i + 1)))) AS p')}, {L('dof')} FROM (SELECT sum(n) * (sum(n * n / (rr * kk)) - 1) AS chi2, (count(DISTINCT video) - 1) * (count(DISTINCT motility) - 1) AS dof FROM (SELECT *, sum(n) OVER (PARTITION BY video) AS rr, sum(n) OVER (PARTITION BY motility) AS kk FROM xt))", CHI)(lambda s, d: report.chi_square(kept(s, d), "video", "motility"))
 AGR = {"emb": "SELECT label AS a, CAST(vec_id % 7 AS BIGINT) AS b, count(*) AS n FROM embeddings GROUP BY ALL", "ta": "SELECT sum(n) AS t FROM emb", "ea": "SELECT sum(x * (x - 1) / 2) AS p, -sum(x / t * ln(x / t)) AS h FROM (SELECT sum(n) AS x FROM emb GROUP BY a), ta", "eb": "SELECT sum(x * (x - 1) / 2) AS p, -sum(x / t * ln(x / t)) AS h FROM (SELECT sum(n) AS x FROM emb GROUP BY b), ta", "eab": "SELECT sum(n * (n - 1) / 2) AS p, -sum(n / t * ln(n / t)) AS h FROM emb, ta"}
 query("A36_partition_agreement", f"SELECT {r('(ea.h + eb.h - eab.h) / ((ea.h + eb.h) / 2) AS nmi', '(eab.p - ea.p * eb.p / (t * (t - 1) / 2)) / ((ea.p + eb.p) / 2 - ea.p * eb.p / (t * (t - 1) / 2)) AS ari')} FROM ea, eb, eab, ta", AGR)(lambda s, d: report.partition_agreement(fixtures.table(s, d, "embeddings").select("label", (F.col("vec_id") % 7).alias("b")), "label", "b"))
-query("M32_video_context")(lambda s, d: report.video_context(summaries(s, d), summary.fastest(kept(s, d)), episodes.transition_counts(frame_states(s, d), ["video"]), summary.compliance(summaries(s, d))))
+CONTEXT = {
+    "vtop": "SELECT video, '[' || string_agg('{\"track_id\":' || track_id || ',\"VCL\":' || \"VCL\" || '}', ',' ORDER BY rank) || ']' AS fastest FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY \"VCL\" DESC, track_id) AS rank FROM kept WHERE motility = 'progressive') WHERE rank <= 5 GROUP BY video",
+    "vmat": "SELECT video, '[' || string_agg(CAST(n AS VARCHAR), ',' ORDER BY f, t) || ']' AS transitions FROM (SELECT v.video, a.f, b.t, count(m.f) AS n FROM (SELECT DISTINCT video FROM states) v, (VALUES (0), (1), (2)) a(f), (VALUES (0), (1), (2)) b(t) LEFT JOIN moves m ON m.video = v.video AND m.f = a.f AND m.t = b.t GROUP BY ALL) GROUP BY video",
+}
+query("M32_video_context", "SELECT video, 'total_tracks: ' || CAST(total_tracks AS BIGINT) || ', progressive: ' || CAST(progressive AS BIGINT) || ', non_progressive: ' || CAST(non_progressive AS BIGINT) || ', immotile: ' || CAST(immotile AS BIGINT) AS line, fastest, transitions, progressive_pct + non_progressive_pct >= 42 AS meets_total, progressive_pct >= 30 AS meets_progressive FROM summary LEFT JOIN vtop USING (video) LEFT JOIN vmat USING (video)", CONTEXT)(lambda s, d: report.video_context(summaries(s, d), summary.fastest(kept(s, d)), episodes.transition_counts(frame_states(s, d), ["video"]), summary.compliance(summaries(s, d))))
 query("T05_display_rows", f"SELECT {', '.join(K)}, {r('\"VCL\"')} FROM kept ORDER BY video, track_id LIMIT 200")(lambda s, d: report.display_rows(kept(s, d), *K).select(*K, "VCL"))
 RUN_SQL = "SELECT 'gt' AS experiment, video, CASE WHEN max(n_kept) > 0 THEN 'ok' ELSE 'no_tracks' END AS status FROM (SELECT DISTINCT video FROM tracks) LEFT JOIN (SELECT video, count(*) AS n_kept FROM kept GROUP BY video) USING (video) GROUP BY video UNION ALL SELECT 'auto', video, CASE WHEN CAST(video AS INT) % 3 = 0 THEN 'skip' WHEN CAST(video AS INT) % 3 = 1 THEN 'error' ELSE 'ok' END FROM (SELECT DISTINCT video FROM pred_tracks)"
 query("A42_status_table", f"SELECT experiment, {', '.join(f'count(*) FILTER (status = \'{x}\') AS {x}' for x in ('ok', 'skip', 'error', 'no_tracks'))} FROM runs GROUP BY experiment", {"runs": RUN_SQL})(
@@ -579,7 +609,9 @@ def by_video(s: SparkSession, d: str) -> DataFrame:
 
 
 FEATURES = ["VCL", "LIN", "ALH"]
-query("M08_hidden_markov")(lambda s, d: models.hidden_markov(states.modal_blocks(frame_states(s, d), 9), index="block"))
+query("M07_modal_order_test", f"SELECT {L('o AS \"order\"', 'n AS n_tokens')}, {r('ll AS ll_per_token')} FROM ll", CTX | {"mblocks": MODAL9, "tok": CTX["tok"].replace("FROM states", "FROM mblocks").replace("ORDER BY idx", "ORDER BY block")})(lambda s, d: order.order_test(states.modal_blocks(frame_states(s, d), 9), index="block"))
+query("M08_hidden_markov")(lambda s, d: models.hidden_markov(states.block_states(tracks(s, d), 9), index="block"))
+query("M08_markov_and_hmm")(lambda s, d: models.markov_and_hmm(states.block_states(tracks(s, d), 9), index="block"))
 TAILS = {
     "tmoves": "SELECT video, track_id, state, lead(state) OVER (PARTITION BY video, track_id ORDER BY idx) AS nxt FROM states9",
     "teach": "SELECT video, track_id, state, t.k AS nxt, count(*) AS c FROM tmoves, LATERAL (SELECT unnest([nxt, -1]) AS k) t WHERE nxt IS NOT NULL GROUP BY video, track_id, state, t.k",
@@ -641,6 +673,6 @@ BOOT = BYV | {
 }
 query("M23_bootstrap_means", f"SELECT {L('rep')}, {r('m')} FROM bm", BOOT, digits=4)(lambda s, d: models.bootstrap_means(by_video(s, d), "VCL", "video"))
 query("M23_bca_interval", f"SELECT {r('mean', f'{_bca_end(0.025)} AS low', f'{_bca_end(0.975)} AS high')}, reps FROM bz0", BOOT)(lambda s, d: models.bca_interval(by_video(s, d), "VCL", "video"))
-query("M25_forest")(lambda s, d: models.forest_regression(kept(s, d), ["LIN", "ALH", "BCF"], "VCL", order.fold_of(folds=2), trees=400))
+query("M25_forest")(lambda s, d: models.forest_regression(kept(s, d), ["LIN", "ALH", "BCF"], "VCL", repeats=1))
 query("M26_mixture_bic")(lambda s, d: models.mixture_bic(kept(s, d), FEATURES))
 query("M26_mixture_stability")(lambda s, d: models.mixture_stability(kept(s, d), FEATURES, K, 3))

@@ -84,6 +84,21 @@ def test_permutation_and_interval(table):
     assert abs(models.normal_quantile(0.975) - 1.959964) < 1e-5
 
 
+def test_markov_beside_hmm(spark):
+    """On a planted two-state chain seen through noise, the hidden model beats the chain of order 1 on the same tokens."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for t in range(60):
+        hidden = rng.integers(0, 2)
+        for k in range(40):
+            hidden = hidden if rng.random() < 0.95 else 1 - hidden
+            rows.append(("v", t, k, int(rng.choice(3, p=(0.7, 0.2, 0.1) if hidden else (0.1, 0.2, 0.7)))))
+    df = spark.createDataFrame(rows, "video string, track_id long, block int, state int")
+    got = {(r.model, r.size): r for r in models.markov_and_hmm(df, (0, 1), (2,), index="block", restarts=2, iterations=25).collect()}
+    assert got["hmm", 2].n_tokens == got["markov", 0].n_tokens == 2400 and got["markov", 1].n_tokens == 2340
+    assert got["markov", 0].ll_per_token < got["markov", 1].ll_per_token < got["hmm", 2].ll_per_token
+
+
 def test_permutation_is_a_bijection(spark):
     """Every key gives another order of all places, whatever their number, and places go everywhere about equally often."""
     for n in (1, 2, 3, 20, 97):
@@ -123,8 +138,10 @@ def test_mixture_and_forest(table):
     cov = z.T @ z / len(z)
     assert abs(rows[1].log_likelihood + 0.5 * len(z) * (2 * math.log(2 * math.pi) + math.log(np.linalg.det(cov)) + 2)) < 1e-3
     assert rows[1].bic < rows[2].bic  # one cloud
-    mae = {r.fold: r.mae for r in models.forest_regression(df.withColumn("f", F.col("f") % 2), ["a", "b"], "y", F.col("f"), trees=10).collect()}
-    assert len(mae) == 2 and max(mae.values()) < 6
+    told = models.forest_regression(df.withColumn("a", F.when(F.col("id") != "r03", F.col("a"))), ["a", "b"], "y", ["id"], 4, 2, trees=10, leaf=2).collect()
+    assert sorted((r["repeat"], r.n, r.folds) for r in told) == [(0, 40, 4), (1, 40, 4)] and max(r.mae for r in told) < 6
+    one = models.forest_regression(df, ["a", "b"], "y", ["id"], 4, 1, trees=1, leaf=40).first()  # no split is allowed: the training rows' mean, or nearly
+    assert one.mae == pytest.approx(np.abs(df.toPandas().y - df.toPandas().y.mean()).mean(), rel=0.2)
 
 
 def test_concentration_and_hmm(spark):

@@ -110,6 +110,20 @@ def test_autocorrelation_in_blocks(spark, block):
         assert got[lag].acf == pytest.approx(np.mean(values), abs=1e-9) and got[lag].n_tracks == len(values)
 
 
+def test_fidelity_over_variants(spark):
+    quality = spark.createDataFrame([("a", 0.9, 1.0), ("b", 0.7, 2.5), ("c", 0.4, 2.0), ("d", 0.8, None)], "variant string, coverage double, id_switches double")
+    dynamics = spark.createDataFrame([("truth", 0.2, 1.5), ("a", 0.25, 1.2), ("b", 0.1, 1.8), ("c", -0.1, 1.5), ("d", 0.2, 1.6)], "variant string, g2 double, dwell_cv double")
+    table = agreement.tracker_fidelity(quality, dynamics, "truth")
+    rows = {r.variant: r for r in table.collect()}
+    assert {k: (r.g2_error, r.cv_error) for k, r in rows.items()} == {k: (pytest.approx(abs(g - 0.2)), pytest.approx(abs(c / 1.5 - 1))) for k, g, c in (("a", 0.25, 1.2), ("b", 0.1, 1.8), ("c", -0.1, 1.5), ("d", 0.2, 1.6))}
+    got = {(r.quality, r.error): (r.r, r.n) for r in agreement.dissociation(table, ["coverage", "id_switches"], ["g2_error", "cv_error"]).collect()}
+    for (q, e), (value, n) in got.items():
+        xy = [(r[q], r[e]) for r in rows.values() if r[q] is not None]
+        assert n == len(xy) and value == pytest.approx(np.corrcoef(*zip(*xy, strict=True))[0, 1])
+    flat = agreement.dissociation(table.withColumn("coverage", F.lit(1.0)), ["coverage"], ["g2_error"]).first()
+    assert (flat.r, flat.n) == (None, 4) and agreement.dissociation(table.limit(2), ["coverage"], ["g2_error"]).first().r is None
+
+
 def test_class_mix_like_a_product(spark):
     """The cumulative table against every combination on every track; values on the cuts, repeated and unsorted cuts."""
     rng = np.random.default_rng(4)
