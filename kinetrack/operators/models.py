@@ -278,50 +278,145 @@ def forest_regression(df: DataFrame, features: Sequence[str], target: str, key:
     return told.groupBy("repeat").agg((F.sum("e") / F.sum("n")).alias("mae"), F.sum("n").alias("n"), F.count("*").alias("folds"))
 
 
-def mixture_bic(df: DataFrame, features: Sequence[str], ks: Sequence[int] = tuple(range(1, 11)), seeds: Sequence[int] = (1, 2), iterations: int = 30) -> DataFrame:
-    """Gaussian mixtures on z-scored features: the best start of each k by likelihood, its BIC, and which k is best.
+#: Added to the diagonal of every covariance (of z-scored features).
+RIDGE = 1e-5
 
-    One component is a closed form. The scaled rows are read again by every iteration and are cached while this runs.
+
+def _log_parts(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Log of weight times density of each row under each component."""
+    out = np.empty((len(x), len(weight)))
+    for c in range(len(weight)):
+        low = np.linalg.cholesky(cov[c])
+        z = np.linalg.solve(low, (x - mean[c]).T)
+        out[:, c] = np.log(max(weight[c], 1e-300)) - 0.5 * (z**2).sum(0) - np.log(np.diag(low)).sum() - 0.5 * x.shape[1] * math.log(2 * math.pi)
+    return out
+
+
+def _log_sum(parts: np.ndarray) -> np.ndarray:
+    top = parts.max(1)
+    return top + np.log(np.exp(parts - top[:, None]).sum(1))
+
+
+Mixture = tuple[np.ndarray, np.ndarray, np.ndarray]  # weights, means, covariances
+
+
+def mixtures(z: DataFrame, features: Sequence[str], starts: Sequence[tuple[int, int, str | None]], iterations: int = 40, tol: float = 1e-5) -> list[tuple[Mixture, float]]:
+    """Gaussian mixtures by EM for every start (k, seed, column of row weights), all side by side: (parameters, log-likelihood).
+
+    Each iteration is one pass over the rows for all models that still move; tasks return sums of each component (its
+    weight, mean and products). A start takes ``k`` rows as means, drawn by the MD5 of the row and the seed.
     """
-    z = _scaled(df, features).cache()
-    try:
-        d, out = len(features), []
-        _, g, _, n, _ = _gram(z, [F.col(c) for c in features], F.lit(0.0))[0]
-        for k in ks:
-            if k == 1:
-                ll = -0.5 * n * (d * math.log(2 * math.pi) + np.linalg.slogdet(g / n + 1e-9 * np.eye(d))[1] + d)
+    d, names = len(features), list(features)
+    weights = sorted({w for *_, w in starts if w})
+    text = [F.round(c, 9) for c in names]
+    models: list[Mixture] = []
+    drawn: dict[tuple, list] = {}
+    for k, seed, w in starts:
+        held = drawn.get((seed, w))
+        if held is None or len(held) < k:
+            most = max(k2 for k2, s2, w2 in starts if (s2, w2) == (seed, w))
+            rows = z.filter(F.col(w) > 0) if w else z
+            held = drawn[seed, w] = [list(r) for r in rows.select(*names).distinct().orderBy(hashed(*text, F.lit(seed)), *names).limit(most).collect()]
+        means = np.array(held[:k], float).reshape(-1, d)
+        models.append((np.full(len(means), 1 / max(len(means), 1)), means, np.tile(np.eye(d), (len(means), 1, 1))))
+    last, open_ = [-math.inf] * len(models), [i for i, m in enumerate(models) if len(m[0])]
+    schema = "m int, c int, ll double, n double, s array<double>, q array<double>"
+
+    for _ in range(iterations):
+        now = {i: models[i] for i in open_}
+
+        def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                x, out = f[names].to_numpy(float), []
+                for i, model in now.items():  # noqa: B023
+                    w = f[starts[i][2]].to_numpy(float) if starts[i][2] else np.ones(len(x))
+                    parts = _log_parts(x, *model)
+                    total = _log_sum(parts)
+                    r = np.exp(parts - total[:, None]) * w[:, None]
+                    for c in range(len(model[0])):
+                        out.append((i, c, float((w * total).sum()) if not c else 0.0, float(r[:, c].sum()), (r[:, c] @ x).tolist(), ((x * r[:, c, None]).T @ x).ravel().tolist()))
+                yield pd.DataFrame(out, columns=["m", "c", "ll", "n", "s", "q"])
+
+        total = z.select(*names, *weights).mapInPandas(sums, schema).groupBy("m", "c").agg(F.sum("ll").alias("ll"), F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", k)) for k in range(d)]).alias("s"), F.array(*[F.sum(F.get("q", k)) for k in range(d * d)]).alias("q"))
+        told: dict[int, dict] = {}
+        for r in total.collect():
+            told.setdefault(r["m"], {})[r["c"]] = r
+        for i, parts in told.items():
+            weight, mean, cov = (x.copy() for x in models[i])
+            all_ = sum(r["n"] for r in parts.values())
+            for c, r in parts.items():
+                weight[c] = r["n"] / all_
+                if r["n"] > 1e-6 * all_:
+                    mean[c] = np.array(r["s"]) / r["n"]
+                    cov[c] = np.array(r["q"]).reshape(d, d) / r["n"] - np.outer(mean[c], mean[c]) + RIDGE * np.eye(d)
+            ll = sum(r["ll"] for r in parts.values())
+            if ll - last[i] <= tol * abs(ll):
+                open_.remove(i)
             else:
-                ll = max(_mixture(z, features, k, seed, iterations).summary.logLikelihood for seed in seeds)
-            out.append((k, float(ll), float(-2 * ll + (k * (d + d * (d + 1) // 2) + k - 1) * math.log(n)), n))
-    finally:
-        z.unpersist()
+                models[i] = (weight, mean, cov)
+            last[i] = max(ll, last[i])
+        if not open_:
+            break
+    return list(zip(models, last, strict=True))
+
+
+def _bic_table(z: DataFrame, features: Sequence[str], ks: Sequence[int], seeds: Sequence[int], iterations: int) -> tuple[list[tuple], dict[int, Mixture]]:
+    """(k, log-likelihood, BIC, n) of the best start of each k, and its parameters."""
+    d, n = len(features), z.count()
+    starts = [(k, seed, None) for k in ks for seed in (seeds if k > 1 else seeds[:1])]
+    best: dict[int, tuple[float, Mixture]] = {}
+    for (k, *_), (model, ll) in zip(starts, mixtures(z, features, starts, iterations), strict=True):
+        if len(model[0]) == k and (k not in best or ll > best[k][0]):
+            best[k] = (ll, model)
+    return [(k, ll, -2 * ll + (k * (d + d * (d + 1) // 2) + k - 1) * math.log(n), n) for k, (ll, _) in sorted(best.items())], {k: m for k, (_, m) in best.items()}
+
+
+def mixture_bic(df: DataFrame, features: Sequence[str], ks: Sequence[int] = tuple(range(1, 11)), seeds: Sequence[int] = (1, 2, 3, 4), iterations: int = 40) -> DataFrame:
+    """Gaussian mixtures on z-scored features: the best start of each k by likelihood, its BIC, and which k is best. All starts are fitted side by side."""
+    out, _ = _bic_table(stored(_scaled(df, features)), features, ks, seeds, iterations)
     best = min(out, key=lambda r: (r[2], r[0]))[0] if out else None
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in out], "k int, log_likelihood double, bic double, n long, best boolean")
 
 
-def mixture_stability(df: DataFrame, features: Sequence[str], key: Sequence[str], k: int, boots: int = 5, seed: int = 1, iterations: int = 30) -> DataFrame:
-    """Adjusted Rand index between the clusters of all rows and those that a fit on each hashed bootstrap gives the same rows.
+def mixture_stability(df: DataFrame, features: Sequence[str], key: Sequence[str], k: int | None = None, boots: int = 20, seed: int = 1, ks: Sequence[int] = tuple(range(1, 11)), seeds: Sequence[int] = (1, 2, 3, 4), iterations: int = 40) -> DataFrame:
+    """(boot, k, ari): adjusted Rand index between the clusters of all rows and those that a fit to each hashed bootstrap gives the same rows.
 
-    A bootstrap weighs each row by a Poisson(1) draw from the hash of its key; rows of weight w enter w times.
+    ``k`` is the one of smallest BIC among ``ks`` unless it is given. A bootstrap weighs each row by a Poisson(1) draw
+    from the hash of its key. All bootstraps are fitted side by side, and only tables of cluster pairs leave the tasks.
     """
-    from .report import partition_agreement
+    names = list(features)
+    u = lambda b: F.conv(F.substring(hashed(*key, F.lit(b), F.lit(seed)), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    cuts = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(8)])
+    times = {f"_w{b}": sum((F.when(u(b) > float(c), 1).otherwise(0) for c in cuts), F.lit(0)) for b in range(1, boots + 1)}
+    z = stored(_scaled(df, features, key).withColumns(times))
+    table, fits = _bic_table(z, features, [k] if k else ks, seeds, iterations)
+    schema = "boot int, k int, ari double"
+    if not table:
+        return df.sparkSession.createDataFrame([], schema)
+    best = min(table, key=lambda r: (r[2], r[0]))[0]
+    whole, again = fits[best], [m for m, _ in mixtures(z, features, [(best, seed + b, f"_w{b}") for b in range(1, boots + 1)], iterations)]
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x = f[names].to_numpy(float)
+            a = _log_parts(x, *whole).argmax(1)
+            for b, model in enumerate(again):
+                if len(model[0]):
+                    cell, n = np.unique(a * best + _log_parts(x, *model).argmax(1), return_counts=True)
+                    yield pd.DataFrame({"boot": b + 1, "a": cell // best, "b": cell % best, "n": n})
+
+    cells: dict[int, np.ndarray] = {}
+    for r in z.select(*names).mapInPandas(pairs, "boot int, a int, b int, n long").groupBy("boot", "a", "b").agg(F.sum("n").alias("n")).collect():
+        cells.setdefault(r["boot"], np.zeros((best, best)))[r["a"], r["b"]] = r["n"]
+    return df.sparkSession.createDataFrame([(b, best, _adjusted_rand(t)) for b, t in sorted(cells.items())], schema)
 
-    z = _scaled(df, features, key).cache()
-    out = None
-    try:
-        whole = _mixture(z, features, k, seed, iterations)
-        for b in range(1, boots + 1):
-            u = F.conv(F.substring(hashed(*key, F.lit(b), F.lit(seed)), 1, 8), 16, 10).cast("double") / float(1 << 32)
-            cuts = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(8)])
-            times = sum((F.when(u > float(c), 1).otherwise(0) for c in cuts), F.lit(0))
-            drawn = z.withColumn("_w", times).filter("_w > 0").withColumn("_w", F.explode(F.sequence(F.lit(1), "_w")))
-            again = _mixture(drawn, features, k, seed + b, iterations)
-            both = again.transform(whole.transform(_vectors(z, features)).withColumnsRenamed({"prediction": "_a", "probability": "_pa"}))
-            rand = partition_agreement(both, "_a", "prediction").first()["ari"]
-            out = [*(out or []), (b, float(rand))]
-    finally:
-        z.unpersist()
-    return df.sparkSession.createDataFrame(out or [], "boot int, ari double")
+
+def _adjusted_rand(table: np.ndarray) -> float:
+    """From a table of counts of label pairs; 1 where both labelings are one cluster."""
+    two = lambda n: float((n * (n - 1) / 2).sum())
+    both, a, b, n = two(table), two(table.sum(1)), two(table.sum(0)), table.sum()
+    chance = a * b / (n * (n - 1) / 2) if n > 1 else 0.0
+    return float((both - chance) / ((a + b) / 2 - chance)) if (a + b) / 2 != chance else 1.0
 
 
 def _scaled(df: DataFrame, features: Sequence[str], key: Sequence[str] = ()) -> DataFrame:
@@ -330,18 +425,6 @@ def _scaled(df: DataFrame, features: Sequence[str], key: Sequence[str] = ()) ->
     return data.select(*key, *[c.alias(n) for c, n in zip(x, features, strict=True)])
 
 
-def _vectors(z: DataFrame, features: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(z)
-
-
-def _mixture(z: DataFrame, features: Sequence[str], k: int, seed: int, iterations: int):
-    from pyspark.ml.clustering import GaussianMixture
-
-    return GaussianMixture(k=k, seed=seed, maxIter=iterations).fit(_vectors(z, features))
-
-
 def tail_counts(states: DataFrame, key: Sequence[str] = KEY, index: str = "idx") -> DataFrame:
     """M9: (state, to, j, tracks): how many tracks move more than ``j`` times from a state to each state; to -1: anywhere.
 

@@ -674,5 +674,6 @@ BOOT = BYV | {
 query("M23_bootstrap_means", f"SELECT {L('rep')}, {r('m')} FROM bm", BOOT, digits=4)(lambda s, d: models.bootstrap_means(by_video(s, d), "VCL", "video"))
 query("M23_bca_interval", f"SELECT {r('mean', f'{_bca_end(0.025)} AS low', f'{_bca_end(0.975)} AS high')}, reps FROM bz0", BOOT)(lambda s, d: models.bca_interval(by_video(s, d), "VCL", "video"))
 query("M25_forest")(lambda s, d: models.forest_regression(kept(s, d), ["LIN", "ALH", "BCF"], "VCL", repeats=1))
-query("M26_mixture_bic")(lambda s, d: models.mixture_bic(kept(s, d), FEATURES))
-query("M26_mixture_stability")(lambda s, d: models.mixture_stability(kept(s, d), FEATURES, K, 3))
+SIX = ["VCL", "LIN", "ALH", "BCF", "PWR", "TAC"]
+query("M26_mixture_bic")(lambda s, d: models.mixture_bic(kinematics.track_features(tracks(s, d)), SIX))
+query("M26_mixture_stability")(lambda s, d: models.mixture_stability(kinematics.track_features(tracks(s, d)), SIX, K, boots=10, seeds=(1, 2)))

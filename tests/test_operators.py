@@ -432,9 +432,11 @@ def test_against_duckdb(spark, sf_dir, name):
 def test_heatmap_has_every_window(spark, sf_dir):
     long = {(r.video, r.window): r.pct_progressive for r in queries.QUERIES["W15_temporal_windows"](spark, sf_dir).collect()}
     assert max(w for _, w in long) > 3
-    wide = queries.QUERIES["A37_video_by_window"](spark, sf_dir)
+    wide = queries.plain(states.wide_heatmap(queries.windows(spark, sf_dir)))
     assert wide.columns == ["video", *map(str, sorted({w for _, w in long}))]
-    assert {(r.video, int(c)): r[c] for r in wide.collect() for c in wide.columns[1:] if r[c] is not None} == long
+    cells = {(r.video, int(c)): r[c] for r in wide.collect() for c in wide.columns[1:]}
+    assert {k: v for k, v in cells.items() if v is not None} == long
+    assert {(r.video, r.window): r.pct_progressive for r in queries.QUERIES["A37_video_by_window"](spark, sf_dir).collect()} == cells
 
 
 def test_grid_has_the_range_of_the_survey(spark, sf_dir):
