@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,22 @@ def block_kinematics(tracks: DataFrame, window: int = 25, key: Sequence[str] = K
     return s.select(*key, "block", (F.col("path") / ppm / (window - 1) * fps).alias("vcl"), ratio(net, F.col("path")).alias("lin"))
 
 
+def whole_groups(frames: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Rows sorted by ``by``, in frames of whole groups, with the bounds of each group; a group may lie over many batches."""
+    by, held = list(by), None
+    for f in frames:
+        f = f if held is None else pd.concat([held, f], ignore_index=True)
+        if not len(f):
+            continue
+        k = f[by]
+        starts = np.flatnonzero(((k != k.shift()) & ~(k.isna() & k.shift().isna())).any(axis=1).to_numpy() | (np.arange(len(f)) == 0))
+        if len(starts) > 1:
+            yield f, list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+        held = f.iloc[starts[-1] :].reset_index(drop=True)
+    if held is not None:
+        yield held, [(0, len(held))]
+
+
 #: Points of a track whose lagged products one transform makes.
 ACF_BLOCK = 4096
 
@@ -66,14 +82,18 @@ def acf(series: DataFrame, columns: Sequence[str], max_lag: int = 50, key: Seque
     early = (F.col("idx") % block < max_lag) & (at > 0)
     told = mid.select(*key, "idx", *values, F.explode(F.when(early, F.array(at, at - 1)).otherwise(F.array(at))).alias("_block"))
 
-    def products(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx")
-        v, inside = g[values].to_numpy(float), (g["idx"] // block == g["_block"]).to_numpy()
-        p = lag_products(v[inside], v[~inside], max_lag)
-        return pd.DataFrame({**{c: pd.Series([g[c].iloc[0]] * len(p), dtype=object) for c in key}, "lag": np.arange(len(p)), "_p": p})
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f, bounds in whole_groups(frames, [*key, "_block"]):
+            v, inside, parts = f[values].to_numpy(float), (f["idx"] // block == f["_block"]).to_numpy(), []
+            for a, b in bounds:
+                cut = a + int(inside[a:b].sum())  # what the next block lends comes last
+                parts.append(lag_products(v[a:cut], v[cut:b], max_lag))
+            out = f[key].iloc[np.repeat([a for a, _ in bounds], [len(p) for p in parts])].reset_index(drop=True)
+            yield out.assign(lag=np.concatenate([np.arange(len(p)) for p in parts]), _p=np.concatenate(parts))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in series.select(*key).schema)
-    sums = told.groupBy(*key, "_block").applyInPandas(products, f"{kinds}, lag int, _p double").groupBy(*key, "lag").agg(F.sum("_p").alias("_p"))
+    dealt = told.repartition(*key, "_block").sortWithinPartitions(*key, "_block", "idx")
+    sums = dealt.mapInPandas(products, f"{kinds}, lag int, _p double").groupBy(*key, "lag").agg(F.sum("_p").alias("_p"))
     own = F.max(F.when(F.col("lag") == 0, F.col("_p"))).over(Window.partitionBy(*key))
     return sums.withColumn("_z", own).filter("_z > 1e-12").groupBy("lag").agg(F.avg(F.col("_p") / F.col("_z")).alias("acf"), F.count("*").alias("n_tracks"))
 
@@ -105,15 +125,20 @@ def track_spectra(series: DataFrame, columns: Sequence[str], key: Sequence[str]
     """
     key, columns = list(key), list(columns)
 
-    def spectrum(g: pd.DataFrame) -> pd.DataFrame:
-        v = g.sort_values("idx")[columns].to_numpy(float)
-        power = (np.abs(np.fft.rfft((v - v.mean(0)) * np.hanning(len(v))[:, None], axis=0)) ** 2).sum(1)
-        n = len(power)
-        return pd.DataFrame({**{c: pd.Series([g[c].iloc[0]] * n, dtype=object) for c in key}, "bin": np.arange(n), "freq": np.fft.rfftfreq(len(v), 1 / fps), "power": power / max(power.sum(), 1e-12)})
+    def spectrum(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f, bounds in whole_groups(frames, key):
+            told, values = [], f[columns].to_numpy(float)
+            for a, b in bounds:
+                v = values[a:b]
+                power = (np.abs(np.fft.rfft((v - v.mean(0)) * np.hanning(len(v))[:, None], axis=0)) ** 2).sum(1)
+                told.append((np.arange(len(power)), np.fft.rfftfreq(len(v), 1 / fps), power / max(power.sum(), 1e-12)))
+            out = f[key].iloc[np.repeat([a for a, _ in bounds], [len(t[0]) for t in told])].reset_index(drop=True)
+            bins, freqs, powers = (np.concatenate(x) for x in zip(*told, strict=True))
+            yield out.assign(bin=bins, freq=freqs, power=powers)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in series.select(*key).schema)
     long = series.withColumn("_n", F.count("*").over(Window.partitionBy(*key))).filter(F.col("_n") >= min_points).drop("_n")
-    return long.groupBy(*key).applyInPandas(spectrum, f"{kinds}, bin int, freq double, power double")
+    return long.select(*key, "idx", *columns).repartition(*key).sortWithinPartitions(*key, "idx").mapInPandas(spectrum, f"{kinds}, bin int, freq double, power double")
 
 
 def track_peaks(spectra: DataFrame, key: Sequence[str] = KEY, search: tuple[float, float] = (2.0, 24.0)) -> DataFrame:

@@ -94,6 +94,16 @@ def test_spectra(spark):
         assert (r.mx, r.my, r.var_x, r.var_y) == pytest.approx((*v.mean(0), *v.var(0))) and r.phi == pytest.approx((c[1:] * c[:-1]).sum() / (c * c).sum())
 
 
+def test_whole_groups():
+    """Groups over many small frames come out whole and once, also those of a null key."""
+    rows = pd.DataFrame([(v, t, k) for v, t, n in (("a", 1, 5), ("a", 2, 1), (None, 2, 3), ("b", 2, 12)) for k in range(n)], columns=["v", "t", "k"])
+    for size in (1, 2, 5, 100):
+        frames = (rows.iloc[a : a + size] for a in range(0, len(rows), size))
+        got = [f.iloc[a:b]["k"].tolist() for f, bounds in signal.whole_groups(frames, ["v", "t"]) for a, b in bounds]
+        assert got == [list(range(n)) for n in (5, 1, 3, 12)]
+    assert not list(signal.whole_groups(iter([rows.iloc[:0]]), ["v"]))
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_autocorrelation_in_blocks(spark, block):
     """Lag sums of blocks add up to those of the whole track; lags beyond a track count for nothing."""
