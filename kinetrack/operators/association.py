@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,12 +72,140 @@ def greedy_matches(pairs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(walk, ordered.schema)
 
 
+#: Places of a frame's predictions that are looked at together.
+BLOCK = 128
+
+
+def _best_free(truth: tuple[np.ndarray, np.ndarray, np.ndarray], predicted: tuple[np.ndarray, np.ndarray, np.ndarray], half: float, min_iou: float) -> list[tuple[int, int, float]]:
+    """(truth id, prediction's id, overlap) of one frame's greedy matches, from ids and centres of its boxes.
+
+    Predictions at one place are a queue of ids. Places lie in blocks of neighbours; a truth box visits blocks by the
+    largest overlap that their bounds allow and stops where no block can do better, so no pair is listed.
+    """
+    ids, x, y = predicted
+    strip = np.argsort(np.argsort(x, kind="stable"), kind="stable") // max(1, int(np.sqrt(len(x) * BLOCK)))
+    order = np.lexsort((ids, x, y, strip))
+    ids, x, y = ids[order], x[order], y[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    first, names = np.flatnonzero(new), ids.tolist()
+    head, end = first.tolist(), [*first[1:].tolist(), len(x)]
+    others: dict[int, list[int]] = {}  # places of ids that stand more than once
+    if len(np.unique(ids)) < len(ids):
+        for name, p in zip(names, (np.cumsum(new) - 1).tolist(), strict=True):
+            others.setdefault(name, []).append(p)
+    edges = lambda x, y: np.stack([-(x - half), x + half, -(y - half), y + half])
+    # edges of places, low ones negated: an overlap's sides are sums of two minima
+    flat = np.full((4, -(-len(first) // BLOCK) * BLOCK), -np.inf)
+    flat[:, : len(first)] = edges(x[first], y[first])
+    blocks = np.ascontiguousarray(flat.reshape(4, -1, BLOCK).transpose(1, 0, 2))
+    bounds = np.ascontiguousarray(blocks.max(2).T)
+    size = ((flat[0] + flat[1]) * (flat[2] + flat[3])).tolist()
+    full = 8 * half * half  # two boxes' area
+    slack = 2e-9 * full  # overlaps nearer than this may round to the same IoU
+
+    def overlaps(of: np.ndarray, box: np.ndarray) -> np.ndarray:
+        m = np.minimum(of, box)
+        m = np.maximum(m[::2] + m[1::2], 0.0)
+        return m[0] * m[1]
+
+    order = np.lexsort((truth[2], truth[1], truth[0]))
+    tid, boxes = truth[0][order].tolist(), np.ascontiguousarray(edges(truth[1][order], truth[2][order]).T)[:, :, None]
+    area = ((boxes[:, 0] + boxes[:, 1]) * (boxes[:, 2] + boxes[:, 3]))[:, 0].tolist()
+    taken: set[int] = set()
+    out: list[tuple[int, int, float]] = []
+    least = max(0.0, min_iou - 1e-8)
+    least = least / (1 + least) * full
+    best, reach = (0.0, 0, -1), least  # IoU, minus the id, place; the overlap to reach
+    for i, now in enumerate(tid):
+        box = boxes[i]
+        can = overlaps(bounds, box)
+        while True:
+            b = int(can.argmax())
+            if not can[b] > 0 or can[b] < reach - slack:
+                break
+            can[b] = -1.0
+            met = overlaps(blocks[b], box)
+            top = float(met[met.argmax()])
+            if top <= 0 or top < reach - slack:
+                continue
+            for k in (met >= max(top - slack, 5e-324)).nonzero()[0].tolist():
+                q, wh = b * BLOCK + k, float(met[k])
+                best = max(best, (round(wh / (area[i] + size[q] - wh) * 1e9) / 1e9, -names[head[q]], q))
+            reach = max(reach, top)
+        if i + 1 < len(tid) and tid[i + 1] == now:
+            continue  # another box of this id
+        if best[2] >= 0 and best[0] >= min_iou:
+            pred = -best[1]
+            taken.add(pred)
+            out.append((now, pred, best[0]))
+            for p in others.get(pred, [best[2]]):
+                while head[p] < end[p] and names[head[p]] in taken:
+                    head[p] += 1
+                if head[p] == end[p]:
+                    b, k = divmod(p, BLOCK)
+                    blocks[b, :, k] = -np.inf
+                    bounds[:, b] = blocks[b].max(1)
+        best, reach = (0.0, 0, -1), least
+    return out
+
+
+def greedy(truth: DataFrame, predicted: DataFrame, min_iou: float = 0.5, half: float = HALF) -> DataFrame:
+    """``greedy_matches`` of ``candidates``, without the table of candidates, which grows with the square of a frame's boxes.
+
+    Boxes of a frame meet in one task, ordered; a task holds one frame at a time. Boxes without an id or a finite centre
+    match nothing.
+    """
+    box = lambda df, side: df.select("video", F.col("frame").cast("long").alias("frame"), F.col("track_id").cast("long").alias("id"), F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"), F.lit(side).alias("side"))
+    finite = F.col("id").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")) & F.col("video").isNotNull() & F.col("frame").isNotNull()
+    dealt = box(truth, 0).union(box(predicted, 1)).filter(finite).repartition("video", "frame").sortWithinPartitions("video", "frame")
+
+    def matched(frames: pa.Table) -> Iterator[pa.RecordBatch]:
+        video = frames.column("video").combine_chunks()
+        frame, id_, x, y, side = (frames.column(c).to_numpy() for c in ("frame", "id", "x", "y", "side"))
+        code = video.dictionary_encode()
+        code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy()
+        cuts = [0, *(np.flatnonzero((frame[1:] != frame[:-1]) | (code[1:] != code[:-1])) + 1).tolist(), len(frame)]
+        rows: list[tuple[int, int, int, float]] = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            is_truth = side[a:b] == 0
+            if is_truth.any() and not is_truth.all():
+                sides = [tuple(c[a:b][k] for c in (id_, x, y)) for k in (is_truth, ~is_truth)]
+                rows += [(a, *m) for m in _best_free(*sides, half, min_iou)]
+        if rows:
+            at, gt, pred, iou_ = zip(*rows, strict=True)
+            at = pa.array(at)
+            yield pa.RecordBatch.from_arrays([video.take(at), pa.array(frame).take(at), pa.array(gt, pa.int64()), pa.array(pred, pa.int64()), pa.array(iou_, pa.float64())], ["video", "frame", "gt", "pred", "iou"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = batch.num_rows - 1
+            same = np.ones(batch.num_rows, bool)
+            for c in ("video", "frame"):
+                same &= np.asarray(pa.compute.equal(batch.column(c), batch.column(c)[last]))
+            start = int(np.argmax(same))  # the last frame may go on
+            ends = bool(held) and (start or any(held[0].column(c)[0] != batch.column(c)[0] for c in ("video", "frame")))
+            if start:
+                yield from matched(pa.Table.from_batches([*held, batch.slice(0, start)]))
+                held = []
+            elif ends:
+                yield from matched(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(start))
+        if held:
+            yield from matched(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(walk, "video string, frame long, gt long, pred long, iou double")
+
+
 def tracking_quality(truth: DataFrame, predicted: DataFrame, fps: float = FPS, fragment_s: float = 0.5) -> DataFrame:
     """Per video, share of truth tracks matched in half of their frames, identity switches per track, short predicted tracks.
 
     A truth track's frames count where the predictions have the frame too; tracks without such a frame are not covered.
     """
-    m = greedy_matches(candidates(truth, predicted))
+    m = greedy(truth, predicted)
     w = Window.partitionBy("video", "gt").orderBy("frame")
     sw = m.withColumn("sw", F.coalesce((F.col("pred") != F.lag("pred").over(w)).cast("int"), F.lit(0))).groupBy("video", "gt").agg(F.count("*").alias("hit"), F.sum("sw").alias("sw"))
     shared = predicted.select("video", "frame").distinct().withColumn("_both", F.lit(1))

@@ -362,6 +362,38 @@ def test_greedy_matches(spark):
     assert sorted((r.frame, r.gt, r.pred) for r in got) == sorted(want) and len(want) > 10
 
 
+def test_greedy_without_candidates(spark):
+    rng = np.random.default_rng(4)
+
+    def boxes(n, off):
+        # piles with boxes at one place, ids that stand twice, boxes far apart, and a frame that only one side has
+        near = [("a", int(t), 0, float(320 + x / 100 + off), float(240 + y / 100 - off), 1.0) for t, (x, y) in zip(rng.integers(0, n, n), rng.integers(-4, 5, (n, 2)))]
+        wide = [("b", t, f, float(x), float(y), 1.0) for f in range(3) for t, (x, y) in enumerate(rng.uniform(-90, 90, (n, 2)))]
+        return [*near, *wide, ("c", 1, int(off), 5.0, 5.0, 1.0), ("a", None, 0, 320.0, 240.0, 1.0)]
+
+    gt, pr = (spark.createDataFrame(boxes(*x), TRACK) for x in ((300, 0.0), (350, 1.0)))
+    want = association.greedy_matches(association.candidates(gt.filter("track_id is not null"), pr.filter("track_id is not null")))
+    got = association.greedy(gt, pr)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 300
+    assert sorted(association.greedy(gt.repartition(7), pr).collect()) == sorted(got.collect())
+    told = association.greedy_matches(association.candidates(gt.filter("track_id is not null"), pr.filter("track_id is not null"), 0.7))
+    assert sorted(association.greedy(gt, pr, 0.7).collect()) == sorted(told.collect())
+    assert association.greedy(gt.limit(0), pr).count() == association.greedy(gt, pr.limit(0)).count() == 0
+    # 4 x 2,000 boxes on one spot are 16 million pairs: none of them is joined
+    pile = spark.range(8000).selectExpr("'v' as video", "id as track_id", "cast(0 as int) as frame", "320 + (id * 7919 % 101) / 1000D as cx", "240 + (id * 104729 % 97) / 1000D as cy", "1D as conf")
+    assert "Join" not in association.greedy(pile, pile)._jdf.queryExecution().optimizedPlan().toString()
+    assert association.tracking_quality(pile.filter("track_id < 2000"), pile).first().coverage == 1.0
+
+
+def test_greedy_over_batches(spark):
+    rows = spark.range(30).selectExpr("'v' as video", "id as track_id", "explode(sequence(0, 9)) as frame", "100D * id as cx", "0D as cy", "1D as conf").withColumn("frame", F.col("frame").cast("int"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted((r.frame, r.gt, r.pred) for r in association.greedy(rows, rows).collect()) == sorted((f, t, t) for f in range(10) for t in range(30))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_summary_invariants(spark, sf_dir):
     rows = queries.QUERIES["A06_video_summary"](spark, sf_dir).collect()
     for r in rows:
