@@ -178,7 +178,7 @@ GREEDY = {
     "gl": "SELECT video, frame, list_reduce(list([{gt: gt, pred: pred, iou: iou}] ORDER BY gt, iou DESC, pred), lambda a, x: CASE WHEN len(list_filter(a, lambda m: m.gt = x[1].gt OR m.pred = x[1].pred)) > 0 THEN a ELSE list_concat(a, x) END) AS m FROM gc GROUP BY video, frame",
     "gm": "SELECT video, frame, u.gt AS gt, u.pred AS pred, u.iou AS iou FROM (SELECT video, frame, unnest(m) AS u FROM gl)",
 }
-query("J07_greedy_matches", "SELECT video, frame, gt, pred, iou + 0.0 AS iou FROM gm", GREEDY, digits=9)(lambda s, d: association.greedy_matches(association.candidates(tracks(s, d), pred(s, d))))
+query("J07_greedy_matches", "SELECT video, frame, gt, pred, iou + 0.0 AS iou FROM gm", GREEDY, digits=9)(lambda s, d: association.greedy(tracks(s, d), pred(s, d)))
 GREEDY |= {
     "gh": "SELECT video, gt, count(*) AS hit, sum(sw) AS sw FROM (SELECT video, gt, CASE WHEN pred <> lag(pred) OVER (PARTITION BY video, gt ORDER BY frame) THEN 1 ELSE 0 END AS sw FROM gm) GROUP BY video, gt",
     "gs": "SELECT t.video, t.track_id AS gt, count(p.frame) AS n FROM tracks t LEFT JOIN (SELECT DISTINCT video, frame FROM pred_tracks) p ON p.video = t.video AND p.frame = t.frame GROUP BY t.video, t.track_id",
