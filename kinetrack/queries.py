@@ -432,7 +432,7 @@ def fidelity(s: SparkSession, d: str) -> DataFrame:
     key = ["variant", *K]
     at = files.stored(states.frame_states(told, 9, key=key))
     cv = episodes.episodes(at, key).groupBy("variant").agg((F.stddev_pop("run") / F.avg("run")).alias("dwell_cv"))
-    gains = summary.union_all([order.order_gains(order.order_test(at.filter(F.col("variant") == v), (1, 2), key=key)).filter("order = 2").select(F.lit(v).alias("variant"), F.col("gain").alias("g2")) for v in ("truth", *[x[0] for x in VARIANTS])])
+    gains = order.order_gains(order.order_test(at, (1, 2), key=key, by=["variant"]), ["variant"]).filter("order = 2").select("variant", F.col("gain").alias("g2"))
     return agreement.tracker_fidelity(quality, gains.join(cv, "variant"), "truth")
 
 

@@ -394,6 +394,15 @@ def test_greedy_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_order_test_of_groups(spark, seqs):
+    st = spark.createDataFrame([(t % 2, "v", t, k, s) for t, seq in seqs.items() for k, s in enumerate(seq)], "cohort int, video string, track_id long, idx int, state int")
+    told = {(r.cohort, r.order): (r.ll_per_token, r.n_tokens) for r in order.order_test(st, by=["cohort"]).collect()}
+    for g in (0, 1):
+        for r in order.order_test(st.filter(F.col("cohort") == g)).collect():
+            assert told[g, r.order] == (pytest.approx(r.ll_per_token, abs=1e-12), r.n_tokens)
+    assert order.order_gains(order.order_test(st, by=["cohort"]), ["cohort"]).count() == 6
+
+
 def test_summary_invariants(spark, sf_dir):
     rows = queries.QUERIES["A06_video_summary"](spark, sf_dir).collect()
     for r in rows:
