@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinetrack import queries
 from kinetrack.operators import models, ranks
 from kinetrack.operators.order import fold_of
 
@@ -215,3 +216,19 @@ def test_mixture_stability(spark):
     df = spark.createDataFrame(points, "id long, a double, b double")
     assert all(r.ari > 0.95 for r in models.mixture_stability(df, ["a", "b"], ["id"], 2, 2).collect())
     assert [r.k for r in models.mixture_bic(df, ["a", "b"], (1, 2, 3)).filter("best").collect()] == [2]
+
+
+def test_bootstrap_ties_round_up(spark, sf_dir, monkeypatch):
+    """Means of 20 values with 3 decimals often end in a five at the fifth decimal, which summation noise must not push down."""
+    import decimal
+    import hashlib
+
+    values = [decimal.Decimal(1000 + 137 * k * k % 7919) / 1000 for k in range(20)]
+    monkeypatch.setattr(queries, "by_video", lambda s, d: s.createDataFrame([(f"{k:02d}", float(v)) for k, v in enumerate(values)], "video string, VCL double"))
+    got = {r.rep: r.m for r in queries.QUERIES["M23_bootstrap_means"](spark, sf_dir).collect()}
+    ties = 0
+    for rep in range(1, 501):
+        mean = sum(values[int(hashlib.md5(f"{rep}|{k}|0".encode()).hexdigest()[:8], 16) % 20] for k in range(20)) / 20
+        ties += mean * 10000 % 1 == decimal.Decimal("0.5")
+        assert got[rep] == float(mean.quantize(decimal.Decimal("0.0001"), decimal.ROUND_HALF_UP))
+    assert ties > 10
