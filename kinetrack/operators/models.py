@@ -280,6 +280,8 @@ def forest_regression(df: DataFrame, features: Sequence[str], target: str, key:
 
 #: Added to the diagonal of every covariance (of z-scored features).
 RIDGE = 1e-5
+#: Rows whose densities under all components are held at once.
+ROWS = 2048
 
 
 def _log_parts(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -292,18 +294,42 @@ def _log_parts(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.ndar
     return out
 
 
+Mixture = tuple[np.ndarray, np.ndarray, np.ndarray]  # weights, means, covariances
+
+
+def _products(x: np.ndarray) -> np.ndarray:
+    """1, the values, and their products, each pair once."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], 1)
+
+
+def _stacked(models: Sequence[Mixture]) -> np.ndarray:
+    """All components side by side, as the matrix that takes a row's ``_products`` to its ``_log_parts``."""
+    out = []
+    for weight, mean, cov in models:
+        d = mean.shape[1]
+        i, j = np.triu_indices(d)
+        low = np.linalg.cholesky(cov)
+        inverse = np.linalg.inv(low)
+        centre = np.einsum("cij,cj->ci", inverse, mean)
+        precision = inverse.transpose(0, 2, 1) @ inverse
+        top = np.log(np.maximum(weight, 1e-300)) - np.log(np.diagonal(low, axis1=1, axis2=2)).sum(1) - 0.5 * d * math.log(2 * math.pi) - 0.5 * (centre**2).sum(1)
+        out.append(np.concatenate([top[:, None], np.einsum("cij,ci->cj", inverse, centre), -precision[:, i, j] * np.where(i == j, 0.5, 1.0)], 1))
+    return np.concatenate(out).T
+
+
 def _log_sum(parts: np.ndarray) -> np.ndarray:
     top = parts.max(1)
     return top + np.log(np.exp(parts - top[:, None]).sum(1))
 
 
-Mixture = tuple[np.ndarray, np.ndarray, np.ndarray]  # weights, means, covariances
 
 
 def mixtures(z: DataFrame, features: Sequence[str], starts: Sequence[tuple[int, int, str | None]], iterations: int = 40, tol: float = 1e-5) -> list[tuple[Mixture, float]]:
     """Gaussian mixtures by EM for every start (k, seed, column of row weights), all side by side: (parameters, log-likelihood).
 
-    Each iteration is one pass over the rows for all models that still move; tasks return sums of each component (its
+    Each iteration is one pass over the rows for all models that still move: all their components are one matrix, by
+    which a task multiplies some thousand rows at a time, and a task returns one row of sums for each component (its
     weight, mean and products). A start takes ``k`` rows as means, drawn by the MD5 of the row and the seed.
     """
     d, names = len(features), list(features)
@@ -325,17 +351,30 @@ def mixtures(z: DataFrame, features: Sequence[str], starts: Sequence[tuple[int,
     for _ in range(iterations):
         now = {i: models[i] for i in open_}
 
+        stacked = _stacked(list(now.values()))
+        places = np.cumsum([0, *[len(m[0]) for m in now.values()]])
+
         def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            i, j = np.triu_indices(d)
+            s, ll = np.zeros((places[-1], 1 + d + len(i))), np.zeros(len(now))  # noqa: B023
             for f in frames:
-                x, out = f[names].to_numpy(float), []
-                for i, model in now.items():  # noqa: B023
-                    w = f[starts[i][2]].to_numpy(float) if starts[i][2] else np.ones(len(x))
-                    parts = _log_parts(x, *model)
-                    total = _log_sum(parts)
-                    r = np.exp(parts - total[:, None]) * w[:, None]
-                    for c in range(len(model[0])):
-                        out.append((i, c, float((w * total).sum()) if not c else 0.0, float(r[:, c].sum()), (r[:, c] @ x).tolist(), ((x * r[:, c, None]).T @ x).ravel().tolist()))
-                yield pd.DataFrame(out, columns=["m", "c", "ll", "n", "s", "q"])
+                for at in range(0, len(f), ROWS):
+                    g = f.iloc[at : at + ROWS]
+                    x = g[names].to_numpy(float)
+                    products = _products(x)
+                    parts = products @ stacked  # noqa: B023
+                    for k, m in enumerate(now):  # noqa: B023
+                        p = parts[:, places[k] : places[k + 1]]  # noqa: B023
+                        total = _log_sum(p)
+                        w = g[starts[m][2]].to_numpy(float) if starts[m][2] else 1.0
+                        ll[k] += (w * total).sum()
+                        np.exp(p - total[:, None], out=p)
+                        p *= np.reshape(w, (-1, 1))
+                    s += parts.T @ products
+            q = np.empty((len(s), d, d))
+            q[:, i, j] = q[:, j, i] = s[:, 1 + d :]
+            out = [(m, c, float(ll[k]) if not c else 0.0, float(s[p, 0]), s[p, 1 : 1 + d].tolist(), q[p].ravel().tolist()) for k, m in enumerate(now) for c, p in enumerate(range(places[k], places[k + 1]))]  # noqa: B023
+            yield pd.DataFrame(out, columns=["m", "c", "ll", "n", "s", "q"])
 
         total = z.select(*names, *weights).mapInPandas(sums, schema).groupBy("m", "c").agg(F.sum("ll").alias("ll"), F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", k)) for k in range(d)]).alias("s"), F.array(*[F.sum(F.get("q", k)) for k in range(d * d)]).alias("q"))
         told: dict[int, dict] = {}
@@ -373,7 +412,7 @@ def _bic_table(z: DataFrame, features: Sequence[str], ks: Sequence[int], seeds:
 
 def mixture_bic(df: DataFrame, features: Sequence[str], ks: Sequence[int] = tuple(range(1, 11)), seeds: Sequence[int] = (1, 2, 3, 4), iterations: int = 40) -> DataFrame:
     """Gaussian mixtures on z-scored features: the best start of each k by likelihood, its BIC, and which k is best. All starts are fitted side by side."""
-    out, _ = _bic_table(stored(_scaled(df, features)), features, ks, seeds, iterations)
+    out, _ = _bic_table(stored(_spread(_scaled(df, features))), features, ks, seeds, iterations)
     best = min(out, key=lambda r: (r[2], r[0]))[0] if out else None
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in out], "k int, log_likelihood double, bic double, n long, best boolean")
 
@@ -388,7 +427,7 @@ def mixture_stability(df: DataFrame, features: Sequence[str], key: Sequence[str]
     u = lambda b: F.conv(F.substring(hashed(*key, F.lit(b), F.lit(seed)), 1, 8), 16, 10).cast("double") / float(1 << 32)
     cuts = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(8)])
     times = {f"_w{b}": sum((F.when(u(b) > float(c), 1).otherwise(0) for c in cuts), F.lit(0)) for b in range(1, boots + 1)}
-    z = stored(_scaled(df, features, key).withColumns(times))
+    z = stored(_spread(_scaled(df, features, key)).withColumns(times))
     table, fits = _bic_table(z, features, [k] if k else ks, seeds, iterations)
     schema = "boot int, k int, ari double"
     if not table:
@@ -419,6 +458,11 @@ def _adjusted_rand(table: np.ndarray) -> float:
     return float((both - chance) / ((a + b) / 2 - chance)) if (a + b) / 2 != chance else 1.0
 
 
+def _spread(z: DataFrame) -> DataFrame:
+    """Rows dealt evenly to all cores: a table of few bytes but much work a row would be read by a few tasks."""
+    return z.repartition(z.sparkSession.sparkContext.defaultParallelism)
+
+
 def _scaled(df: DataFrame, features: Sequence[str], key: Sequence[str] = ()) -> DataFrame:
     data = df.select(*key, *features).dropna()
     x, _ = _standardised(data, features)

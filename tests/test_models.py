@@ -232,3 +232,23 @@ def test_bootstrap_ties_round_up(spark, sf_dir, monkeypatch):
         ties += mean * 10000 % 1 == decimal.Decimal("0.5")
         assert got[rep] == float(mean.quantize(decimal.Decimal("0.0001"), decimal.ROUND_HALF_UP))
     assert ties > 10
+
+
+def test_mixture_sums_side_by_side(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    fits = []
+    for k in (1, 3, 4):
+        cov = rng.normal(size=(k, 3, 3))
+        fits.append((rng.dirichlet(np.ones(k)), rng.normal(size=(k, 3)), cov @ cov.transpose(0, 2, 1) + 1e-5 * np.eye(3)))
+    x = rng.normal(size=(500, 3))
+    told = models._products(x) @ models._stacked(fits)
+    assert np.allclose(told, np.concatenate([models._log_parts(x, *m) for m in fits], 1), rtol=1e-7, atol=1e-6)
+    # work a row, not bytes, decides how many tasks read the rows, and each returns one row a component
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double").coalesce(1)
+    assert models.stored(models._spread(df)).rdd.getNumPartitions() >= 2
+    z = models._scaled(df, ["a", "b"])
+    starts = [(k, s, None) for k in (1, 2, 3) for s in (1, 2)]
+    whole = models.mixtures(z, ["a", "b"], starts, 5)
+    monkeypatch.setattr(models, "ROWS", 7)
+    for (m, ll), (again, ll2) in zip(whole, models.mixtures(z.repartition(3), ["a", "b"], starts, 5), strict=True):
+        assert ll == pytest.approx(ll2, rel=1e-9) and np.allclose(m[1], again[1], atol=1e-6)
