@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import FPS
@@ -15,36 +16,115 @@ from ..functions.scalar import FPS
 HALF = 8.0
 
 
-def boxed(tracks: DataFrame, half: float = HALF) -> DataFrame:
-    return tracks.withColumns({"x1": F.col("cx") - half, "y1": F.col("cy") - half, "x2": F.col("cx") + half, "y2": F.col("cy") + half})
+#: Pairs of neighbours that a task measures at a time.
+PAIRS_HELD = 1 << 16
 
 
-def iou(a: str, b: str) -> Column:
-    """Intersection over union of box structs; 0 for boxes without area."""
-    w = F.greatest(F.lit(0.0), F.least(f"{a}.x2", f"{b}.x2") - F.greatest(f"{a}.x1", f"{b}.x1"))
-    h = F.greatest(F.lit(0.0), F.least(f"{a}.y2", f"{b}.y2") - F.greatest(f"{a}.y1", f"{b}.y1"))
-    area = lambda s: (F.col(f"{s}.x2") - F.col(f"{s}.x1")) * (F.col(f"{s}.y2") - F.col(f"{s}.y1"))
-    union = area(a) + area(b) - w * h
-    return F.when(union > 0, w * h / union).otherwise(0.0)
-
+def _nine(v: np.ndarray) -> np.ndarray:
+    """Non-negative numbers rounded to 9 decimals as Spark's ``round`` does: halves of the shortest decimal form go up."""
+    scaled = v * 1e9
+    low = np.floor(scaled)
+    part = scaled - low
+    out = (low + (part >= 0.5)) / 1e9
+    for k in (np.abs(part - 0.5) < 1e-5).nonzero()[0].tolist():
+        out[k] = float(Decimal(repr(float(v[k]))).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+    return out
 
-def candidates(truth: DataFrame, predicted: DataFrame, min_iou: float = 0.5, cell: float = 64.0) -> DataFrame:
-    """Pairs of boxes of one frame with enough overlap. Boxes meet by grid cell, so a crowded frame is no cross product.
 
-    A box enters every cell that it touches; a pair counts in the cell that holds its overlap's upper left corner, so
-    that nothing has to be made distinct afterwards.
+def _whole(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that hold all rows of each of their groups; at most one group waits for its next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch.num_rows - 1
+        same = np.ones(batch.num_rows, bool)
+        for c in key:
+            same &= np.asarray(pa.compute.equal(batch.column(c), batch.column(c)[last]))
+        start = int(np.argmax(same))  # the last group may go on
+        ends = bool(held) and (start or any(held[0].column(c)[0] != batch.column(c)[0] for c in key))
+        if start:
+            yield pa.Table.from_batches([*held, batch.slice(0, start)])
+            held = []
+        elif ends:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    code = column.combine_chunks().dictionary_encode()
+    return (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy()
+
+
+def candidates(truth: DataFrame, predicted: DataFrame, min_iou: float = 0.5, cell: float = 64.0, half: float = HALF) -> DataFrame:
+    """Pairs of boxes of one frame with enough overlap, IoU rounded to 9 decimals. Boxes meet by grid cell, so a crowded frame is no cross product.
+
+    A truth box lies in its centre's cell; a prediction enters the cells that it can match from, so a pair is met once. A
+    task holds one cell's boxes, ordered by x, and hands on each truth box with a list of its matches: what is shuffled
+    grows with the boxes, and pairs are rows only where they are read. Boxes without a finite centre match nothing.
     """
-    box = lambda df, name: boxed(df).select("video", "frame", F.col("track_id").alias(name), F.struct("x1", "y1", "x2", "y2").alias(f"{name}_box"))
+    t = max(0.0, min_iou)
+    reach = 2 * half * (1 - t) / (1 + t) + 1e-6  # centres of equal boxes with this IoU are no farther apart
+    pitch = cell + 4 * reach
+    key = ["video", "frame", "gx", "gy"]
+
+    def gridded(df: DataFrame, side: int) -> DataFrame:
+        rows = df.select("video", "frame", F.col("track_id").alias("id"), F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"), F.lit(side == 1).alias("side"))
+        known = rows.filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")) & F.col("video").isNotNull() & F.col("frame").isNotNull())
+        span = lambda c: F.explode(F.sequence(*[F.floor((F.col(c) + side * r) / cell) for r in (-reach, reach)]))
+        return known.withColumn("gx", span("x")).withColumn("gy", span("y"))
+
+    dealt = gridded(truth, 0).unionByName(gridded(predicted, 1)).repartition(*key).sortWithinPartitions(*key)
+
+    def met(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        frame, gx, gy, x, y, side = (table.column(c).to_numpy() for c in ("frame", "gx", "gy", "x", "y", "side"))
+        codes = (_codes(table.column("video")), frame, gx, gy)
+        new = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+        place = np.concatenate([[0], np.cumsum(new)]) * pitch + (x - gx * cell)  # groups lie side by side, out of reach
+        gt, pred = (~side).nonzero()[0], side.nonzero()[0]
+        pred = pred[np.argsort(place[pred], kind="stable")]
+        at = place[pred]
+        low = np.searchsorted(at, place[gt] - reach)
+        n = np.searchsorted(at, place[gt] + reach, "right") - low
+        ends = np.cumsum(n)
+        edges = np.stack([x - half, y - half, x + half, y + half])
+        of_gt, of_pred = (np.vstack([edges[:, k], (edges[2, k] - edges[0, k]) * (edges[3, k] - edges[1, k])]) for k in (gt, pred))
+        y_gt, y_pred = y[gt], y[pred]
+        columns = [table.column(c).combine_chunks() for c in ("video", "frame", "id")]
+        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        for start in range(0, int(ends[-1]) if len(ends) else 0, PAIRS_HELD):
+            stop = min(start + PAIRS_HELD, int(ends[-1]))
+            a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop)) + 1
+            first = ends[a:b] - n[a:b]
+            k = np.repeat(np.arange(a, b), np.minimum(ends[a:b], stop) - np.maximum(first, start))
+            q = np.arange(start, stop) + (low[a:b] - first)[k - a]
+            near = np.abs(y_gt[k] - y_pred[q]) <= reach
+            k, q = k[near], q[near]
+            one, two = of_gt[:, k], of_pred[:, q]
+            sides = np.maximum(np.minimum(one[2:4], two[2:4]) - np.maximum(one[:2], two[:2]), 0.0)
+            shared = sides[0] * sides[1]
+            union = one[4] + two[4] - shared
+            iou_ = _nine(np.divide(shared, union, out=np.zeros_like(shared), where=union > 0))
+            keep = iou_ >= min_iou
+            k, q, iou_ = k[keep], q[keep], iou_[keep]
+            if not len(k):
+                continue
+            heads = np.concatenate([[True], k[1:] != k[:-1]]).nonzero()[0]
+            who = pa.array(gt[k[heads]])
+            pairs = pa.StructArray.from_arrays([columns[2].take(pa.array(pred[q])), pa.array(iou_)], ["pred", "iou"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(k)).astype(np.int32)), pairs)
+            yield pa.RecordBatch.from_arrays([*[c.take(who) for c in columns], lists], ["video", "frame", "gt", "pairs"])
 
-    def gridded(df: DataFrame, name: str) -> DataFrame:
-        b = box(df, name)
-        span = lambda lo, hi: F.sequence(F.floor(F.col(f"{name}_box.{lo}") / cell), F.floor(F.col(f"{name}_box.{hi}") / cell))
-        return b.withColumn("gx", F.explode(span("x1", "x2"))).withColumn("gy", F.explode(span("y1", "y2")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches, key):
+            yield from met(table)
 
-    both = gridded(truth, "gt").join(gridded(predicted, "pred"), ["video", "frame", "gx", "gy"])
-    corner = lambda side: F.floor(F.greatest(f"gt_box.{side}", f"pred_box.{side}") / cell)
-    here = both.filter((F.col("gx") == corner("x1")) & (F.col("gy") == corner("y1"))).withColumn("iou", F.round(iou("gt_box", "pred_box"), 9))
-    return here.filter(F.col("iou") >= min_iou).select("video", "frame", "gt", "pred", "iou")
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    told = dealt.mapInArrow(run, f"video {kinds['video']}, frame {kinds['frame']}, gt {kinds['id']}, pairs array<struct<pred: {kinds['id']}, iou: double>>")
+    return told.select("video", "frame", "gt", F.inline("pairs"))
 
 
 def greedy_matches(pairs: DataFrame) -> DataFrame:
@@ -162,8 +242,7 @@ def greedy(truth: DataFrame, predicted: DataFrame, min_iou: float = 0.5, half: f
     def matched(frames: pa.Table) -> Iterator[pa.RecordBatch]:
         video = frames.column("video").combine_chunks()
         frame, id_, x, y, side = (frames.column(c).to_numpy() for c in ("frame", "id", "x", "y", "side"))
-        code = video.dictionary_encode()
-        code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy()
+        code = _codes(frames.column("video"))
         cuts = [0, *(np.flatnonzero((frame[1:] != frame[:-1]) | (code[1:] != code[:-1])) + 1).tolist(), len(frame)]
         rows: list[tuple[int, int, int, float]] = []
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -177,25 +256,8 @@ def greedy(truth: DataFrame, predicted: DataFrame, min_iou: float = 0.5, half: f
             yield pa.RecordBatch.from_arrays([video.take(at), pa.array(frame).take(at), pa.array(gt, pa.int64()), pa.array(pred, pa.int64()), pa.array(iou_, pa.float64())], ["video", "frame", "gt", "pred", "iou"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            last = batch.num_rows - 1
-            same = np.ones(batch.num_rows, bool)
-            for c in ("video", "frame"):
-                same &= np.asarray(pa.compute.equal(batch.column(c), batch.column(c)[last]))
-            start = int(np.argmax(same))  # the last frame may go on
-            ends = bool(held) and (start or any(held[0].column(c)[0] != batch.column(c)[0] for c in ("video", "frame")))
-            if start:
-                yield from matched(pa.Table.from_batches([*held, batch.slice(0, start)]))
-                held = []
-            elif ends:
-                yield from matched(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(start))
-        if held:
-            yield from matched(pa.Table.from_batches(held))
+        for table in _whole(batches, ["video", "frame"]):
+            yield from matched(table)
 
     return dealt.mapInArrow(walk, "video string, frame long, gt long, pred long, iou double")
 

@@ -362,6 +362,35 @@ def test_greedy_matches(spark):
     assert sorted((r.frame, r.gt, r.pred) for r in got) == sorted(want) and len(want) > 10
 
 
+def test_candidates_without_join(spark):
+    rng = np.random.default_rng(8)
+
+    def boxes(n, off):
+        # a pile of more pairs than are measured at a time, boxes on both sides of cell borders, ids that stand twice or are null, odd places
+        pile = [("a", t, 0, 320 + int(x) / 1000 + off, 240 + int(y) / 1000, 1.0) for t, (x, y) in enumerate(rng.integers(-4000, 4000, (n, 2)))]
+        wide = [("b", t % 50, f, float(x), float(y), 1.0) for f in range(2) for t, (x, y) in enumerate(rng.uniform(-70, 70, (n, 2)))]
+        return [*pile, *wide, ("b", None, 0, 64.0, -64.0, 1.0), ("c", 1, 3, 5.0, 5.0, 1.0), ("c", 2, 3, None, 5.0, 1.0), ("c", 3, 3, float("nan"), 5.0, 1.0), ("c", 4, None, 5.0, 5.0, 1.0), ("d", 1, int(off), 5.0, 5.0, 1.0)]
+
+    gt, pr = (spark.createDataFrame(boxes(*x), TRACK) for x in ((300, 0.0), (320, 1.0)))
+    w, h = (F.greatest(F.lit(0.0), F.least(f"a.{c}", f"b.{c}") + 8 - (F.greatest(f"a.{c}", f"b.{c}") - 8)) for c in ("cx", "cy"))
+    told = gt.alias("a").join(pr.alias("b"), ["video", "frame"]).filter("abs(a.cx) < 1e9 and abs(b.cx) < 1e9")
+    every = told.select("video", "frame", F.col("a.track_id").alias("gt"), F.col("b.track_id").alias("pred"), F.round(w * h / (512 - w * h), 9).alias("iou"))
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    for least in (0.5, 0.8, 0.1):
+        got = association.candidates(gt, pr, least)
+        want = sorted(map(tuple, every.filter(F.col("iou") >= least).collect()), key=key)
+        assert sorted(map(tuple, got.collect()), key=key) == want
+        if least < 0.5:
+            assert len(want) > association.PAIRS_HELD
+        assert sorted(map(tuple, association.candidates(gt, pr, least, 16.0).collect()), key=key) == want
+    # pairs are no rows of a join: what is shuffled are boxes, a truth box once
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert association.candidates(gt.limit(0), pr).count() == association.candidates(gt, pr.limit(0)).count() == 0
+    v = np.concatenate([(2 * rng.integers(0, 5 * 10**8, 500) + 1) / 2e9, rng.uniform(0, 1, 500), [0.0, 0.4999999995, 1.0]])
+    rounded = [r.x for r in spark.createDataFrame([(k, float(x)) for k, x in enumerate(v)], "k int, x double").select("k", F.round("x", 9).alias("x")).orderBy("k").collect()]
+    assert association._nine(v).tolist() == rounded
+
+
 def test_greedy_without_candidates(spark):
     rng = np.random.default_rng(4)
 
