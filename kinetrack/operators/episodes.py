@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +15,7 @@ from ..functions.special import column_of, kolmogorov_p
 from ..sources.files import stored
 from .kinematics import KEY, ordered
 from .ranks import exact_quantiles
-from .scans import composed_maps, stack_merge
+from .scans import MAPS, composed_maps, stack_merge
 from .serial import average_ranks, hashed, spearman
 
 
@@ -30,6 +32,28 @@ def episodes(states: DataFrame, key: Sequence[str] = KEY, order: str = "idx") ->
     return out.withColumns({"is_first": first, "is_last": last, "censored": first | last})
 
 
+def changes(df: DataFrame, codes: Mapping[str, Column], key: Sequence[str] = KEY, order: str = "frame", name: str = "config") -> DataFrame:
+    """(name, key, idx, n_track, code): of several codes a row, each code where it differs from that of the track's row before.
+
+    One pass over the ordered tracks, however many codes there are: only changes become rows. ``df`` has idx and n_track.
+    """
+    w, names = Window.partitionBy(*key).orderBy(order), list(codes)
+    now = df.select(*key, order, "idx", "n_track", *[c.alias(f"_c{k}") for k, c in enumerate(codes.values())])
+    new = [F.col(f"_c{k}") != F.coalesce(F.col(f"_b{k}"), F.lit(-1)) for k in range(len(names))]
+    seen = now.withColumns({f"_b{k}": F.lag(f"_c{k}").over(w) for k in range(len(names))}).filter(reduce(or_, new))
+    rows = F.array(*[F.when(x, F.struct(F.lit(n).alias(name), F.col(f"_c{k}").alias("code"))) for k, (n, x) in enumerate(zip(names, new, strict=True))])
+    return seen.select(*key, "idx", "n_track", F.explode(rows).alias("_x")).filter("_x is not null").select(f"_x.{name}", *key, "idx", "n_track", "_x.code")
+
+
+def episodes_of_changes(points: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """``episodes`` from the rows (key, idx, n_track, state) at which a track's state changes, its first row included."""
+    w, whole = Window.partitionBy(*key).orderBy("idx"), Window.partitionBy(*key)
+    run = F.coalesce(F.lead("idx").over(w).cast("long"), F.col("n_track")) - F.col("idx")
+    out = points.select(*key, (F.row_number().over(w) - 1).cast("long").alias("ep_idx"), "state", run.alias("run"), F.count("*").over(whole).alias("n_eps"))
+    first, last = F.col("ep_idx") == 0, F.col("ep_idx") == F.col("n_eps") - 1
+    return out.withColumns({"is_first": first, "is_last": last, "censored": first | last})
+
+
 def transition_counts(states: DataFrame, by: Sequence[str] = (), key: Sequence[str] = KEY, order: str = "idx", n_states: int = 3) -> DataFrame:
     """(by, from, to, n) with zero cells; a last state has no successor."""
     nxt = states.select(*key, *[c for c in by if c not in key], F.col("state").alias("from"), F.lead("state").over(Window.partitionBy(*key).orderBy(order)).alias("to"))
@@ -220,23 +244,40 @@ def merge_flickers(eps: DataFrame, threshold: int, key: Sequence[str] = KEY) ->
     return stack_merge(eps, threshold, key)
 
 
-def hysteresis_states(kinematics: DataFrame, margin: float, key: Sequence[str] = KEY, v_imm: float = 5.0, v_prog: float = 25.0, s_prog: float = 0.5) -> DataFrame:
-    """Schmitt-trigger states from windowed VCL and STR: strict to enter, loose to leave.
-
-    Each frame is a map of the state before it to its own state; the maps of a track are composed by a prefix scan.
-    """
+def hysteresis_maps(margin: float, vcl: str = "vcl", straightness: str = "straightness", v_imm: float = 5.0, v_prog: float = 25.0, s_prog: float = 0.5) -> list[Column]:
+    """The states to which a frame sends the states 0, 1, 2 before it."""
     lo_i, hi_i, lo_p, hi_p, lo_s, hi_s = (x * (1 + s * margin) for x in (v_imm, v_prog, s_prog) for s in (-1, 1))
-    v, s = F.col("vcl"), F.col("straightness")
+    v, s = F.col(vcl), F.col(straightness)
     plain = F.when(v <= v_imm, 2).when((v >= v_prog) & (s >= s_prog), 0).otherwise(1)
     fast = (v >= hi_p) & (s >= hi_s)
     from_imm = F.when(v > hi_i, F.when(fast, 0).otherwise(1)).otherwise(2)
     from_prog = F.when(v <= lo_i, 2).when((v < lo_p) | (s < lo_s), 1).otherwise(0)
     from_np = F.when(v <= lo_i, 2).when(fast, 0).otherwise(1)
     start = F.col("idx") == 0  # whatever came before, a track begins in its plain state
-    maps = kinematics.select(*key, F.col("idx").cast("long").alias("idx"), "frame", *[F.when(start, plain).otherwise(c).cast("long").alias(m) for c, m in ((from_prog, "m0"), (from_np, "m1"), (from_imm, "m2"))])
+    return [F.when(start, plain).otherwise(c) for c in (from_prog, from_np, from_imm)]
+
+
+def hysteresis_states(kinematics: DataFrame, margin: float, key: Sequence[str] = KEY, **thresholds: float) -> DataFrame:
+    """Schmitt-trigger states from windowed VCL and STR: strict to enter, loose to leave.
+
+    Each frame is a map of the state before it to its own state; the maps of a track are composed by a prefix scan.
+    """
+    maps = kinematics.select(*key, F.col("idx").cast("long").alias("idx"), "frame", *[c.cast("long").alias(m) for m, c in zip(MAPS, hysteresis_maps(margin, **thresholds), strict=True)])
     return composed_maps(maps, key).select(*key, "frame", "idx", F.col("m0").cast("int").alias("state"))
 
 
+def hysteresis_changes(maps: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """(key, idx, n_track, state) where a Schmitt-trigger's state changes, from the ``changes`` of its map (code m0 + 3 m1 + 9 m2).
+
+    A map sends its own results to themselves, so a frame with the map of the frame before leaves the state as it is:
+    only frames with another map are composed.
+    """
+    w = Window.partitionBy(*key).orderBy("idx")
+    rows = maps.select(*key, F.col("idx").alias("_at"), "n_track", (F.row_number().over(w) - 1).cast("long").alias("idx"), *[(F.floor(F.col("code") / 3**k) % 3).cast("long").alias(m) for k, m in enumerate(MAPS)])
+    states = composed_maps(rows, key).select(*key, F.col("_at").alias("idx"), "n_track", F.col("m0").cast("int").alias("state"))
+    return states.withColumn("_before", F.lag("state").over(w)).filter("_before is null or _before != state").drop("_before")
+
+
 def matrix_of(rows: Sequence, n: int = 3) -> np.ndarray:
     """Collected (from, to, n) rows as an array."""
     out = np.zeros((n, n))

@@ -171,9 +171,18 @@ def resampled_videos(videos: DataFrame, reps: int, seed: int = 0) -> DataFrame:
 
 
 def weighted_spearman(pairs: DataFrame, by: Sequence[str], weight: str, min_n: int = 3) -> DataFrame:
-    """Spearman of pairs that each stand ``weight`` times; null below ``min_n`` pairs."""
+    """Spearman of pairs that each stand ``weight`` times; null below ``min_n`` pairs.
+
+    With ``by``, each group is ordered in one task, by x and by y, and nothing is joined; a group that is the whole
+    table is ordered by range partitions.
+    """
     w = F.col(weight)
-    r = average_ranks(pairs, {"x": "_rx", "y": "_ry"}, by, w)
+    if by:
+        r = pairs.withColumns({"_x": F.round("x", 9), "_y": F.round("y", 9)})
+        ranked = lambda c: F.sum(w).over(Window.partitionBy(*by).orderBy(c)) - (F.sum(w).over(Window.partitionBy(*by, c)) - 1) / 2
+        r = r.withColumn("_rx", ranked("_x")).withColumn("_ry", ranked("_y"))
+    else:
+        r = average_ranks(pairs, {"x": "_rx", "y": "_ry"}, by, w)
     s = r.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * F.col("_rx")).alias("sx"), F.sum(w * F.col("_ry")).alias("sy"), F.sum(w * F.col("_rx") * F.col("_ry")).alias("sxy"), F.sum(w * F.col("_rx") * F.col("_rx")).alias("sxx"), F.sum(w * F.col("_ry") * F.col("_ry")).alias("syy"))
     n = F.col("n")
     cov, vx, vy = F.col("sxy") - F.col("sx") * F.col("sy") / n, F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
@@ -191,8 +200,10 @@ def bootstrap_deltas(counts: DataFrame, reps: int = 200, by: Sequence[str] = (),
     again = drawn.withColumn("_q", F.explode(F.sequence(F.lit(1), F.lit(orders))))
     fresh = again.withColumn("perm", (hash_number(F.col("rep"), F.col("slot"), F.col("_q"), F.lit(seed)) % max(pool, 1) + 1).cast("int"))
     draws = drawn.select("rep", "video", F.lit(0).alias("_q"), F.lit(0).alias("perm")).union(fresh.select("rep", "video", "_q", "perm")).groupBy("rep", "video", "_q", "perm").agg(F.count("*").alias("m"))
-    weighed = counts.join(draws, ["video", "perm"]).groupBy(*by, "rep", F.col("_q").alias("perm"), "x", "y").agg(F.sum(F.col("c") * F.col("m")).alias("w"))
-    return deltas(weighted_spearman(stored(weighed), [*by, "rep", "perm"], "w", min_pairs), [*by, "rep"]).select(*by, "rep", "delta").filter("delta is not null")
+    # counts are dealt by pair before replicates multiply them; what then moves is one row a replicate and pair
+    dealt = counts.repartition(*by, "x", "y").join(stored(draws), ["video", "perm"])
+    weighed = dealt.groupBy(*by, "rep", F.col("_q").alias("perm"), "x", "y").agg(F.sum(F.col("c") * F.col("m")).alias("w"))
+    return deltas(stored(weighted_spearman(weighed, [*by, "rep", "perm"], "w", min_pairs)), [*by, "rep"]).select(*by, "rep", "delta").filter("delta is not null")
 
 
 def interval(replicates: DataFrame, by: Sequence[str] = ()) -> DataFrame:

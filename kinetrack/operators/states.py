@@ -36,14 +36,14 @@ def window_kinematics(path: Column, net: Column, inner: Column, elo: Column, ehi
     return path / (m - 1) / ppm * fps, ratio(net, smooth)
 
 
-def frame_kinematics(tracks: DataFrame, window: int = STATE_WINDOW, key: Sequence[str] = KEY, ppm: float = PX_PER_UM, fps: float = FPS, min_length: int = MIN_LENGTH) -> DataFrame:
-    """VCL and STR of the centred window at each frame; windows are cut at a track's ends, short tracks are one window.
+def windowed_kinematics(tracks: DataFrame, windows: Sequence[int], key: Sequence[str] = KEY, ppm: float = PX_PER_UM, fps: float = FPS, min_length: int = MIN_LENGTH) -> DataFrame:
+    """VCL and STR (``vcl_<window>``, ``straightness_<window>``) of each centred window at each frame, from one pass over the ordered tracks.
 
-    ``window`` is odd and at least 9, so that every cut window still holds 5 points.
+    Windows are cut at a track's ends, short tracks are one window. Each is odd and at least 9, so that every cut window
+    still holds 5 points.
     """
-    if window % 2 == 0 or window < 9:
+    if any(window % 2 == 0 or window < 9 for window in windows):
         raise ValueError("the window must be odd and at least 9")
-    h = window // 2
     w, whole = ordered(key), Window.partitionBy(*key).orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     base = with_steps(tracks, key).filter(F.col("n_track") >= min_length)
 
@@ -51,10 +51,19 @@ def frame_kinematics(tracks: DataFrame, window: int = STATE_WINDOW, key: Sequenc
         ends = [F.first(c).over(span) for c in ("cx", "cy")], [F.last(c).over(span) for c in ("cx", "cy")]
         return F.sum("step").over(steps), distance(ends[1][0] - ends[0][0], ends[1][1] - ends[0][1]), F.sum("g").over(inner), F.first("elo").over(span), F.last("ehi").over(span), F.count("*").over(span)
 
-    cut = window_kinematics(*parts(w.rowsBetween(-h, h), w.rowsBetween(1 - h, h), w.rowsBetween(2 - h, h - 3)), ppm, fps)
     all_ = window_kinematics(*parts(whole, whole, whole), ppm, fps)
-    short = F.col("n_track") < window
-    return base.select(*key, "frame", "idx", "n_track", F.when(short, all_[0]).otherwise(cut[0]).alias("vcl"), F.when(short, all_[1]).otherwise(cut[1]).alias("straightness"))
+    told = []
+    for window in windows:
+        h = window // 2
+        cut = window_kinematics(*parts(w.rowsBetween(-h, h), w.rowsBetween(1 - h, h), w.rowsBetween(2 - h, h - 3)), ppm, fps)
+        short = F.col("n_track") < window
+        told += [F.when(short, of_all).otherwise(of_cut).alias(f"{name}_{window}") for name, of_all, of_cut in zip(("vcl", "straightness"), all_, cut, strict=True)]
+    return base.select(*key, "frame", "idx", "n_track", *told)
+
+
+def frame_kinematics(tracks: DataFrame, window: int = STATE_WINDOW, key: Sequence[str] = KEY, **options) -> DataFrame:
+    """VCL and STR of the centred window at each frame, see ``windowed_kinematics``."""
+    return windowed_kinematics(tracks, [window], key, **options).select(*key, "frame", "idx", "n_track", F.col(f"vcl_{window}").alias("vcl"), F.col(f"straightness_{window}").alias("straightness"))
 
 
 def frame_states(tracks: DataFrame, window: int = STATE_WINDOW, key: Sequence[str] = KEY, **options) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import CLASSES
+from ..functions.scalar import CLASSES, state_code
 from ..operators import agreement, episodes, laws, order, serial, states, summary
 from ..operators.kinematics import KEY
 from ..sources.files import stored
@@ -70,10 +70,27 @@ def designed_states(tracks: DataFrame, window: int = 25, margins: Sequence[float
     return summary.union_all(parts)
 
 
+def designed_episodes(tracks: DataFrame, window: int = 25, margins: Sequence[float] = (0.1, 0.2, 0.3), windows: Sequence[int] = (13, 51), key: Sequence[str] = KEY, designs: Sequence[tuple] = DESIGNS) -> DataFrame:
+    """The episodes, by config, of ``designed_states``, from one pass over the tracks: frames are not copied for each design, only changes are rows."""
+    kin = states.windowed_kinematics(tracks, sorted({window, *windows}), key)
+    at = lambda w: (F.col(f"vcl_{w}"), F.col(f"straightness_{w}"))
+    plain = {name: state_code(*at(window), *cuts) for name, *cuts in designs} | {f"window_{w}": state_code(*at(w)) for w in windows}
+    maps = {}
+    for m in margins:
+        a, b, c = episodes.hysteresis_maps(m, f"vcl_{window}", f"straightness_{window}")
+        maps[f"margin_{round(m * 100)}"] = (a + 3 * b + 9 * c).cast("int")
+    by = ["config", *key]
+    points = stored(episodes.changes(kin, plain | maps, key))
+    held = points.filter(~F.col("config").isin(*maps)).select(*by, "idx", "n_track", F.col("code").alias("state"))
+    if maps:
+        held = held.unionByName(episodes.hysteresis_changes(points.filter(F.col("config").isin(*maps)), by))
+    return episodes.episodes_of_changes(held, by)
+
+
 def design_sweep(tracks: DataFrame, perms: int = 20, reps: int = 50, key: Sequence[str] = KEY, **options) -> DataFrame:
     """Of each design the lag-1 memory beyond its permutation mean, with its interval over resampled videos, and the number of episodes."""
     key = list(key)
-    eps = stored(episodes.episodes(designed_states(tracks, key=key, **options), ["config", *key]))
+    eps = stored(designed_episodes(tracks, key=key, **options))
     resid = serial.residuals(eps, by=["config"])
     counts = serial.pair_counts(resid, perms, 1, ["config", *key], ["config", "video"])
     pooled = counts.groupBy("config", "perm", "x", "y").agg(F.sum("c").alias("c"))

@@ -4,10 +4,13 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrack.operators import episodes, scans
+from kinetrack import fixtures
+from kinetrack.operators import episodes, scans, serial
+from kinetrack.plans import battery
 
 
 def loop_states(rows, margin, v_imm=5.0, v_prog=25.0, s_prog=0.5):
@@ -115,3 +118,34 @@ def test_a_million_episodes_of_one_track(spark):
     assert time.time() - start < 60
     runs = df.toPandas().sort_values("ep_idx").run.to_numpy()
     assert merged[0] == np.sum(runs) and merged[1] == merged[2] + 1 < n
+
+
+def test_designs_copy_no_frames(spark, sf_dir, monkeypatch):
+    tracks = fixtures.tracks(spark, sf_dir)
+    frames = battery.states.frame_states(tracks).count()
+    composed = []
+
+    def counted(maps, key, *rest):
+        composed.append(maps.count())
+        return scans.composed_maps(maps, key, *rest)
+
+    monkeypatch.setattr(episodes, "composed_maps", counted)
+    battery.design_sweep(tracks, 2, 3)
+    assert 0 < sum(composed) < frames  # all margins together compose changes only
+    by = ["config", "video", "track_id"]
+    columns = [*by, "ep_idx", "state", "run", "n_eps", "is_first", "is_last", "censored"]
+    want = episodes.episodes(battery.designed_states(tracks), by).select(columns)
+    got = battery.designed_episodes(tracks).select(columns)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() > 500
+    assert got.dtypes == want.dtypes and got.select("config").distinct().count() == 16
+
+
+def test_weighted_ranks_without_a_join(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(x), float(y), int(c)) for g, x, y, c in zip(rng.integers(0, 4, 600), rng.integers(0, 9, 600) / 3, rng.normal(size=600), rng.integers(1, 5, 600), strict=True)]
+    df = spark.createDataFrame(rows, "g int, x double, y double, c long")
+    told = serial.weighted_spearman(df, ["g"], "c")
+    assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
+    for r in told.collect():
+        x, y = np.array([(x, y) for g, x, y, c in rows if g == r.g for _ in range(c)]).T
+        assert r.n == len(x) and r.rho == pytest.approx(np.corrcoef(pd.Series(x).rank(), pd.Series(y).rank())[0, 1], abs=1e-9)
