@@ -77,7 +77,9 @@ def candidates(truth: DataFrame, predicted: DataFrame, min_iou: float = 0.5, cel
         span = lambda c: F.explode(F.sequence(*[F.floor((F.col(c) + side * r) / cell) for r in (-reach, reach)]))
         return known.withColumn("gx", span("x")).withColumn("gy", span("y"))
 
-    dealt = gridded(truth, 0).unionByName(gridded(predicted, 1)).repartition(*key).sortWithinPartitions(*key)
+    # few bytes become many pairs: a fixed number of tasks, which Spark does not merge by the bytes they read
+    tasks = int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = gridded(truth, 0).unionByName(gridded(predicted, 1)).repartition(tasks, *key).sortWithinPartitions(*key)
 
     def met(table: pa.Table) -> Iterator[pa.RecordBatch]:
         frame, gx, gy, x, y, side = (table.column(c).to_numpy() for c in ("frame", "gx", "gy", "x", "y", "side"))
