@@ -69,6 +69,7 @@ def candidates(truth: DataFrame, predicted: DataFrame, min_iou: float = 0.5, cel
     t = max(0.0, min_iou)
     reach = 2 * half * (1 - t) / (1 + t) + 1e-6  # centres of equal boxes with this IoU are no farther apart
     pitch = cell + 4 * reach
+    full = 8 * half * half  # two boxes' area, a constant as in SQL: differences of a box's edges are off by their last bits
     key = ["video", "frame", "gx", "gy"]
 
     def gridded(df: DataFrame, side: int) -> DataFrame:
@@ -93,7 +94,7 @@ def candidates(truth: DataFrame, predicted: DataFrame, min_iou: float = 0.5, cel
         n = np.searchsorted(at, place[gt] + reach, "right") - low
         ends = np.cumsum(n)
         edges = np.stack([x - half, y - half, x + half, y + half])
-        of_gt, of_pred = (np.vstack([edges[:, k], (edges[2, k] - edges[0, k]) * (edges[3, k] - edges[1, k])]) for k in (gt, pred))
+        of_gt, of_pred = edges[:, gt], edges[:, pred]
         y_gt, y_pred = y[gt], y[pred]
         columns = [table.column(c).combine_chunks() for c in ("video", "frame", "id")]
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
@@ -106,9 +107,9 @@ def candidates(truth: DataFrame, predicted: DataFrame, min_iou: float = 0.5, cel
             near = np.abs(y_gt[k] - y_pred[q]) <= reach
             k, q = k[near], q[near]
             one, two = of_gt[:, k], of_pred[:, q]
-            sides = np.maximum(np.minimum(one[2:4], two[2:4]) - np.maximum(one[:2], two[:2]), 0.0)
+            sides = np.maximum(np.minimum(one[2:], two[2:]) - np.maximum(one[:2], two[:2]), 0.0)
             shared = sides[0] * sides[1]
-            union = one[4] + two[4] - shared
+            union = full - shared
             iou_ = _nine(np.divide(shared, union, out=np.zeros_like(shared), where=union > 0))
             keep = iou_ >= min_iou
             k, q, iou_ = k[keep], q[keep], iou_[keep]
@@ -181,8 +182,7 @@ def _best_free(truth: tuple[np.ndarray, np.ndarray, np.ndarray], predicted: tupl
     flat[:, : len(first)] = edges(x[first], y[first])
     blocks = np.ascontiguousarray(flat.reshape(4, -1, BLOCK).transpose(1, 0, 2))
     bounds = np.ascontiguousarray(blocks.max(2).T)
-    size = ((flat[0] + flat[1]) * (flat[2] + flat[3])).tolist()
-    full = 8 * half * half  # two boxes' area
+    full = 8 * half * half  # two boxes' area, as in candidates
     slack = 2e-9 * full  # overlaps nearer than this may round to the same IoU
 
     def overlaps(of: np.ndarray, box: np.ndarray) -> np.ndarray:
@@ -192,7 +192,6 @@ def _best_free(truth: tuple[np.ndarray, np.ndarray, np.ndarray], predicted: tupl
 
     order = np.lexsort((truth[2], truth[1], truth[0]))
     tid, boxes = truth[0][order].tolist(), np.ascontiguousarray(edges(truth[1][order], truth[2][order]).T)[:, :, None]
-    area = ((boxes[:, 0] + boxes[:, 1]) * (boxes[:, 2] + boxes[:, 3]))[:, 0].tolist()
     taken: set[int] = set()
     out: list[tuple[int, int, float]] = []
     least = max(0.0, min_iou - 1e-8)
@@ -212,7 +211,7 @@ def _best_free(truth: tuple[np.ndarray, np.ndarray, np.ndarray], predicted: tupl
                 continue
             for k in (met >= max(top - slack, 5e-324)).nonzero()[0].tolist():
                 q, wh = b * BLOCK + k, float(met[k])
-                best = max(best, (round(wh / (area[i] + size[q] - wh) * 1e9) / 1e9, -names[head[q]], q))
+                best = max(best, (round(wh / (full - wh) * 1e9) / 1e9, -names[head[q]], q))
             reach = max(reach, top)
         if i + 1 < len(tid) and tid[i + 1] == now:
             continue  # another box of this id

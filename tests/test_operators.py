@@ -391,6 +391,18 @@ def test_candidates_without_join(spark):
     assert association._nine(v).tolist() == rounded
 
 
+def test_overlap_as_in_sql(spark):
+    # places of 6 x sf0.1 where edges taken from each other give no area of 256: the ninth decimal was another than that of SQL
+    met = [(373.94, 249.066, 374.574, 248.966, 0.912727333), (370.902, 248.934, 372.256, 249.876, 0.756670093), (362.762, 250.056, 365.4, 247.012, 0.510850706), (364.116, 249.59, 364.216, 248.956, 0.912727333), (376.84000000000003, 251.796, 377.402, 249.42, 0.697203692)]
+    gt, pr = (spark.createDataFrame([("v", 1, f, x[k], x[k + 1], 1.0) for f, x in enumerate(met)], TRACK) for k in (0, 2))
+    want = [(f, x[4]) for f, x in enumerate(met)]
+    assert sorted((r.frame, r.iou) for r in association.candidates(gt, pr).collect()) == want
+    assert sorted((r.frame, r.iou) for r in association.greedy(gt, pr).collect()) == want
+    a, b = (",".join(f"({f}, {x[k]!r}::DOUBLE, {x[k + 1]!r}::DOUBLE)" for f, x in enumerate(met)) for k in (0, 2))
+    sql = f"SELECT a.frame, round({queries.IOU} / (512 - {queries.IOU}), 9) FROM (VALUES {a}) a(frame, cx, cy) JOIN (VALUES {b}) b(frame, cx, cy) ON a.frame = b.frame ORDER BY 1"
+    assert duckdb.sql(sql).fetchall() == want
+
+
 def test_greedy_without_candidates(spark):
     rng = np.random.default_rng(4)
 
